@@ -15,7 +15,7 @@ def comm_from_addr(addr: Column) -> Column:
     string decodes; ASCII command names come out unchanged.
     """
     byte_list = F.transform(F.sequence(F.lit(0), F.lit(7)),
-                            lambda i: F.shiftright(addr, i * 8).bitwiseAND(F.lit(255)))
+                            lambda i: F.call_function("shiftright", addr, i * 8).bitwiseAND(F.lit(255)))
     first_nul = F.array_position(byte_list, 0)
     length = F.when(first_nul == 0, F.lit(8)).otherwise(first_nul - 1)
     kept = F.slice(byte_list, F.lit(1), length.cast("int"))

@@ -31,12 +31,14 @@ def _block(order: str, block_rows: int) -> Column:
 
 
 def next_in_group(df: DataFrame, keys: list, values: dict, order: str = "idx",
-                  block_rows: int = 1 << 22, member: Column | None = None) -> DataFrame:
+                  block_rows: int = 1 << 22, member: Column | None = None,
+                  use_next: dict | None = None) -> DataFrame:
     """Add ``out = value of the next row of the same key group``.
 
     ``values`` maps output name -> source column name.  The last row of a group
     keeps its own value.  ``member`` (optional) restricts the groups to rows
-    where it is true; other rows keep their own value.
+    where it is true; other rows keep their own value.  ``use_next`` (optional)
+    maps an output name to a condition: rows failing it keep their own value.
     """
     src = list(dict.fromkeys(values.values()))
     tmp = {c: f"_tt_v{i}" for i, c in enumerate(src)}
@@ -62,6 +64,8 @@ def next_in_group(df: DataFrame, keys: list, values: dict, order: str = "idx",
                 .otherwise(quoted(c)))
         if member is not None:
             nxt = F.when(F.col("_tt_m"), nxt).otherwise(quoted(c))
+        if use_next and out in use_next:
+            nxt = F.when(F.coalesce(use_next[out], F.lit(False)), nxt).otherwise(quoted(c))
         outs[out] = nxt
     drop = [BLK, "_tt_nx", "_tt_cx"] + (["_tt_m"] if member is not None else [])
     return joined.withColumns(outs).drop(*drop)
@@ -74,9 +78,11 @@ def last_non_null_in_group(df: DataFrame, keys: list, value: Column, out: str,
     w = (Window.partitionBy(*[quoted(k) for k in keys], F.col(BLK)).orderBy(quoted(order))
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     within = base.withColumn("_tt_in", F.last("_tt_val", ignorenulls=True).over(w))
-    lasts = (base.where(F.col("_tt_val").isNotNull())
-                 .groupBy(*[quoted(k) for k in keys], F.col(BLK))
-                 .agg(F.max_by("_tt_val", quoted(order)).alias("_tt_blast")))
+    # every block gets a carry row, also blocks without a non-NULL value
+    has = F.col("_tt_val").isNotNull()
+    lasts = (base.groupBy(*[quoted(k) for k in keys], F.col(BLK))
+                 .agg(F.max_by(F.when(has, F.col("_tt_val")), F.when(has, quoted(order)))
+                       .alias("_tt_blast")))
     wc = (Window.partitionBy(*[quoted(k) for k in keys]).orderBy(F.col(BLK))
                 .rowsBetween(Window.unboundedPreceding, -1))
     carry = lasts.withColumn("_tt_prev", F.last("_tt_blast", ignorenulls=True).over(wc)).drop("_tt_blast")
@@ -97,8 +103,8 @@ def running_max_by_time(df: DataFrame, keys: list, value: Column, out: str,
     w = (Window.partitionBy(*[quoted(k) for k in keys], F.col(BLK)).orderBy(quoted(time_col))
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     within = base.withColumn("_tt_in", F.max("_tt_val").over(w))
-    maxes = (base.where(F.col("_tt_val").isNotNull())
-                 .groupBy(*[quoted(k) for k in keys], F.col(BLK))
+    # every block gets a carry row, also blocks without a value
+    maxes = (base.groupBy(*[quoted(k) for k in keys], F.col(BLK))
                  .agg(F.max("_tt_val").alias("_tt_bmax")))
     wc = (Window.partitionBy(*[quoted(k) for k in keys]).orderBy(F.col(BLK))
                 .rowsBetween(Window.unboundedPreceding, -1))

@@ -95,18 +95,27 @@ def with_computed(df: DataFrame, names, variables: dict | None = None,
         missing = [d for d in spec.deps if d not in df.columns]
         if missing:
             raise KeyError(f"{n} needs columns {missing}")
-        families.setdefault(spec.family, []).append(n)
+        fam = spec.family
+        if fam[0] == "pair":  # pairs are disjoint event sets: one window per lane
+            fam = ("pairs", fam[3])
+        families.setdefault(fam, []).append(n)
     for family, members in families.items():
         kind = family[0]
         if kind == "same_evt":
             loc = family[1]
             df = next_in_group(df, ["event", loc], {n: REGISTRY[n].key for n in members},
                                block_rows=block_rows)
-        elif kind == "pair":
-            _, a, b, loc = family
-            member = F.col("event").isin(_code(variables, a), _code(variables, b))
-            df = next_in_group(df, [loc], {n: REGISTRY[n].key for n in members},
-                               block_rows=block_rows, member=member)
+        elif kind == "pairs":
+            loc = family[1]
+            pairs = sorted({REGISTRY[n].family[1:3] for n in members})
+            group = F.lit(None).cast("int")
+            for j, (a, b) in reversed(list(enumerate(pairs))):
+                group = F.when(F.col("event").isin(_code(variables, a), _code(variables, b)),
+                               F.lit(j)).otherwise(group)
+            df = df.withColumn("_tt_pair", group)
+            use = {n: F.col("_tt_pair") == pairs.index(REGISTRY[n].family[1:3]) for n in members}
+            df = next_in_group(df, [loc, "_tt_pair"], {n: REGISTRY[n].key for n in members},
+                               block_rows=block_rows, use_next=use).drop("_tt_pair")
         elif kind == "prv_frq":
             tick = _code(variables, "TICK")
             df = last_non_null_in_group(

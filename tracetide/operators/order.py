@@ -133,44 +133,68 @@ def argsort(df: DataFrame, key: str, out: str, order: str = "idx", **kw) -> Data
 ROLLING_OPS = ("sum", "mean", "median")
 
 
-def rolling(df: DataFrame, window: int, op: str, key: str, out: str,
-            order: str = "idx", block_rows: int | None = None, **kw) -> DataFrame:
+def rolling(df: DataFrame, window: int, op: str, key, out: str | None = None,
+            order: str = "idx", block_rows: int | None = None, digits: int | None = None,
+            pos_col: str | None = None, **kw) -> DataFrame:
     """Trailing ``window``-row aggregate in ``order``; NULL until the window is
-    full or when any value inside it is NaN/NULL."""
+    full or when any value inside it is NaN/NULL.
+
+    ``key`` is a column name (result in ``out``) or a dict ``{out: key}`` to
+    compute several columns in the same window pass.  ``pos_col`` names an
+    existing dense position column (0..n-1 in ``order``) to reuse.
+    ``digits`` (sum/mean only): round half-up to that many decimals in exact
+    decimal arithmetic before converting to double.
+    """
     if not isinstance(window, int) or isinstance(window, bool) or window < 1:
         raise ValueError(f"rolling window must be a positive int, got {window!r}")
     if op not in ROLLING_OPS:
         raise ValueError(f"rolling op must be one of {ROLLING_OPS}, got {op!r}")
+    targets = dict(key) if isinstance(key, dict) else {out: key}
     w = window
     block = max(4 * w, block_rows or conf_int(df.sparkSession, "tracetide.rolling.block"))
-    is_float = kind_of(df.schema[key].dataType) == "float"
-    p = with_position(df, [order], "_tt_pos", **kw).withColumn(
-        "_tt_blk", F.floor(F.col("_tt_pos") / F.lit(block)).cast("bigint"))
+    if pos_col is None:
+        p = with_position(df, [order], "_tt_pos", **kw)
+        pos = "_tt_pos"
+    else:
+        p, pos = df, pos_col
+    p = p.withColumn("_tt_blk", F.floor(F.col(pos) / F.lit(block)).cast("bigint"))
     halo_rows = w if op in ("sum", "mean") else w - 1
-    own = p.withColumn("_tt_own", F.lit(True))
-    parts = own
+    parts = p.withColumn("_tt_own", F.lit(True))
     if halo_rows > 0:
-        halo = (p.where(F.pmod(F.col("_tt_pos"), F.lit(block)) >= block - halo_rows)
+        halo = (p.where(F.pmod(F.col(pos), F.lit(block)) >= block - halo_rows)
                  .withColumn("_tt_blk", F.col("_tt_blk") + 1)
                  .withColumn("_tt_own", F.lit(False)))
-        parts = own.unionByName(halo)
-    k = quoted(key)
-    bad = k.isNull() | (F.isnan(k) if is_float else F.lit(False))
-    wp = Window.partitionBy("_tt_blk").orderBy("_tt_pos")
+        parts = parts.unionByName(halo)
+    wp = Window.partitionBy("_tt_blk").orderBy(pos)
     run = wp.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    complete = F.col("_tt_pos") >= (w - 1)
-    if op in ("sum", "mean"):
-        dec = "decimal(38,10)" if is_float else "decimal(38,0)"
-        val = F.when(bad, F.lit(0)).otherwise(k).cast(dec)
-        parts = (parts.withColumn("_tt_cs", F.sum(val).over(run))
-                      .withColumn("_tt_cb", F.sum(bad.cast("int")).over(run)))
-        s = F.col("_tt_cs") - F.coalesce(F.lag("_tt_cs", w).over(wp), F.lit(0).cast(dec))
-        nbad = F.col("_tt_cb") - F.coalesce(F.lag("_tt_cb", w).over(wp), F.lit(0))
-        agg = s.cast("double") if op == "sum" else s.cast("double") / F.lit(float(w))
-    else:
-        frame = wp.rowsBetween(-(w - 1), Window.currentRow)
-        nbad = F.sum(bad.cast("int")).over(frame)
-        agg = F.percentile(k.cast("double"), F.lit(0.5)).over(frame)
-    result = parts.withColumn(out, F.when(complete & (nbad == 0), agg))
-    return result.where("_tt_own").drop(
-        "_tt_pos", "_tt_blk", "_tt_own", "_tt_cs", "_tt_cb")
+    frame = wp.rowsBetween(-(w - 1), Window.currentRow)
+    complete = F.col(pos) >= (w - 1)
+    helpers = []
+    outs = {}
+    for i, (o, k_name) in enumerate(targets.items()):
+        is_float = kind_of(df.schema[k_name].dataType) == "float"
+        k = quoted(k_name)
+        bad = k.isNull() | (F.isnan(k) if is_float else F.lit(False))
+        if op in ("sum", "mean"):
+            dec = "decimal(38,10)" if is_float else "decimal(38,0)"
+            val = F.when(bad, F.lit(0)).otherwise(k).cast(dec)
+            cs, cb = f"_tt_cs{i}", f"_tt_cb{i}"
+            parts = (parts.withColumn(cs, F.sum(val).over(run))
+                          .withColumn(cb, F.sum(bad.cast("int")).over(run)))
+            helpers += [cs, cb]
+            s = F.col(cs) - F.coalesce(F.lag(cs, w).over(wp), F.lit(0).cast(dec))
+            nbad = F.col(cb) - F.coalesce(F.lag(cb, w).over(wp), F.lit(0))
+            div = 1 if op == "sum" else w
+            if digits is None:
+                agg = s.cast("double") / F.lit(float(div))
+            else:
+                scale = 10 ** digits
+                q = F.floor((s * F.lit(2 * scale) + F.lit(div)) / F.lit(2 * div))
+                agg = q.cast("double") / F.lit(float(scale))
+        else:
+            nbad = F.sum(bad.cast("int")).over(frame)
+            agg = F.percentile(k.cast("double"), F.lit(0.5)).over(frame)
+        outs[o] = F.when(complete & (nbad == 0), agg)
+    result = parts.withColumns(outs).where("_tt_own")
+    drop = ["_tt_blk", "_tt_own"] + helpers + (["_tt_pos"] if pos_col is None else [])
+    return result.drop(*drop)

@@ -17,6 +17,7 @@ Plan shape:
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -84,14 +85,67 @@ def _pure_pipeline(steps: list, env: dict):
     return (cond if cond is not None else F.lit(True)), env
 
 
-def _staged_pipeline(df: DataFrame, steps: list, position_kw: dict) -> DataFrame:
+def _staged_pipeline(df: DataFrame, steps: list, position_kw: dict,
+                     rolling_digits: int | None = None, memo: dict | None = None) -> DataFrame:
     cur = df
+    state = {"tmp": 0, "pos": False}
+    memo = {} if memo is None else memo
     i = 0
-    tmp = 0
+
+    def fresh():
+        name = f"_tt_s{state['tmp']}"
+        state["tmp"] += 1
+        return name
+
+    def position():
+        # positions depend only on the steps consumed so far: share them
+        # between pipelines with the same leading steps
+        nonlocal cur
+        if not state["pos"]:
+            key = json.dumps(steps[:i])
+            if state["tmp"] == 0 and key in memo:
+                cur = memo[key]
+            else:
+                cur = order.with_position(cur.drop("_tt_pos") if "_tt_pos" in cur.columns else cur,
+                                          ["idx"], "_tt_pos", **position_kw)
+                if state["tmp"] == 0:
+                    memo[key] = cur
+            state["pos"] = True
+        return "_tt_pos"
+
+    def ensure_column(e):
+        nonlocal cur
+        if isinstance(e, str):
+            return e
+        e = lift(e)
+        col = fresh()
+        cur = cur.withColumn(col, compile_step(e, env_of(cur)).col)
+        return col
+
+    def lift(e):
+        nonlocal cur
+        if isinstance(e, list) and e and e[0] == "argsort":
+            col = fresh()
+            cur = order.argsort(cur, ensure_column(e[1]), col, **position_kw)
+            return col
+        if isinstance(e, list) and e and e[0] == "rolling":
+            if len(e) != 4:
+                raise SpecError(f"rolling needs window, op and key: {e!r}")
+            col = fresh()
+            key = ensure_column(e[3])
+            pos = position()
+            cur = order.rolling(cur, e[1], e[2], key, col, digits=rolling_digits,
+                                pos_col=pos, **position_kw)
+            return col
+        if isinstance(e, list) and e:
+            return [e[0]] + [lift(a) for a in e[1:]]
+        return e
+
     while i < len(steps):
         step = steps[i]
         if step[0] == "query":
             cur = cur.where(compile_query(step[1], env_of(cur)))
+            state["pos"] = False
             i += 1
             continue
         name, expr = step[1], step[2]
@@ -103,41 +157,26 @@ def _staged_pipeline(df: DataFrame, steps: list, position_kw: dict) -> DataFrame
             cur = order.rank(cur, expr[1], name, **position_kw)
             i += 2
             continue
-
-        def lift(e):
-            nonlocal cur, tmp
-            if isinstance(e, list) and e and e[0] == "argsort":
-                col = f"_tt_s{tmp}"
-                tmp += 1
-                key = _ensure_column(e[1])
-                cur = order.argsort(cur, key, col, **position_kw)
-                return col
-            if isinstance(e, list) and e and e[0] == "rolling":
-                if len(e) != 4:
-                    raise SpecError(f"rolling needs window, op and key: {e!r}")
-                col = f"_tt_s{tmp}"
-                tmp += 1
-                key = _ensure_column(e[3])
-                cur = order.rolling(cur, e[1], e[2], key, col, **position_kw)
-                return col
-            if isinstance(e, list) and e:
-                return [e[0]] + [lift(a) for a in e[1:]]
-            return e
-
-        def _ensure_column(e):
-            nonlocal cur, tmp
-            if isinstance(e, str):
-                return e
-            e = lift(e)
-            col = f"_tt_s{tmp}"
-            tmp += 1
-            cur = cur.withColumn(col, compile_step(e, env_of(cur)).col)
-            return col
-
+        # consecutive rolling assignments with the same window and op: one pass
+        group = []
+        j = i
+        while (j < len(steps) and steps[j][0] == "=" and isinstance(steps[j][2], list)
+               and len(steps[j][2]) == 4 and steps[j][2][0] == "rolling"
+               and isinstance(steps[j][2][3], str)
+               and steps[j][2][1:3] == expr[1:3] if isinstance(expr, list) else False):
+            group.append(steps[j])
+            j += 1
+        keys_used = {g[2][3] for g in group}
+        if len(group) > 1 and not (keys_used & {g[1] for g in group}):
+            pos = position()
+            cur = order.rolling(cur, expr[1], expr[2], {g[1]: g[2][3] for g in group},
+                                digits=rolling_digits, pos_col=pos, **position_kw)
+            i = j
+            continue
         lifted = lift(expr)
         cur = cur.withColumn(name, compile_step(lifted, env_of(cur)).col)
         i += 1
-    return cur
+    return cur.drop("_tt_pos") if "_tt_pos" in cur.columns else cur
 
 
 def _spark_type(kind: str) -> T.DataType:
@@ -158,7 +197,7 @@ def _unify(kinds: list) -> str:
 
 def build_frame(trace: DataFrame, spec: dict, variables: dict | None = None,
                 normalise: bool = True, position_kw: dict | None = None,
-                **computed_kw) -> DataFrame:
+                rolling_digits: int | None = None, **computed_kw) -> DataFrame:
     """EXP15: compile and run a spec over a trace; returns the concatenated frame."""
     variables = variables or DEFAULT_VARS
     spec = substitute(spec, variables)
@@ -173,30 +212,32 @@ def build_frame(trace: DataFrame, spec: dict, variables: dict | None = None,
         df = normalise_time(df)
     outputs = [o for o in spec["output"] if o != "c"]
 
-    pure, staged = [], []
+    # Group pipelines by their order-dependent prefix (up to the last rolling /
+    # argsort step): each distinct prefix is computed once, the remaining
+    # filter/assign steps of all its pipelines fan out over it in one scan.
+    groups: dict = {}
     for ci, cat in enumerate(spec["c"]):
         for steps in cat["concatenate"]:
-            target = staged if any(s[0] == "=" and is_staged(s[2]) for s in steps) else pure
-            target.append((ci, steps))
-
-    base_env = env_of(df)
-    compiled = []
-    for ci, steps in pure:
-        try:
-            cond, env = _pure_pipeline(steps, base_env)
-            compiled.append((ci, cond, [env[o] for o in outputs]))
-        except KeyError as e:
-            raise SpecError(f"category {ci}: {e}") from e
-    branches = []
-    for ci, steps in staged:
-        out = _staged_pipeline(df, steps, position_kw)
-        env = env_of(out)
-        try:
-            branches.append((ci, out, [env[o] for o in outputs]))
-        except KeyError as e:
-            raise SpecError(f"category {ci}: output column {e} was never assigned") from e
-
-    kinds = {o: _unify([p[2][k].kind for p in compiled + branches])
+            last = max([k for k, st in enumerate(steps) if st[0] == "=" and is_staged(st[2])],
+                       default=-1)
+            prefix, suffix = steps[:last + 1], steps[last + 1:]
+            groups.setdefault(json.dumps(prefix), (prefix, []))[1].append((ci, suffix))
+
+    compiled = []  # (base frame, [(ci, cond, output TCols)])
+    memo: dict = {}
+    for prefix, members in groups.values():
+        base = _staged_pipeline(df, prefix, position_kw, rolling_digits, memo) if prefix else df
+        env0 = env_of(base)
+        items = []
+        for ci, suffix in members:
+            try:
+                cond, env = _pure_pipeline(suffix, env0)
+                items.append((ci, cond, [env[o] for o in outputs]))
+            except KeyError as e:
+                raise SpecError(f"category {ci}: {e}") from e
+        compiled.append((base, items))
+
+    kinds = {o: _unify([cols[k].kind for _, items in compiled for _, _, cols in items])
              for k, o in enumerate(outputs)}
     types = {o: _spark_type(kinds[o]) for o in outputs}
 
@@ -205,15 +246,12 @@ def build_frame(trace: DataFrame, spec: dict, variables: dict | None = None,
         return F.struct(*fields, F.lit(ci).cast("int").alias("c"))
 
     parts = []
-    if compiled:
-        arr = F.array(*[F.when(cond, row(cols, ci)) for ci, cond, cols in compiled])
-        fan = (df.where(reduce(lambda a, b: a | b, [cond for _, cond, _ in compiled]))
-                 .select(F.explode(F.filter(arr, lambda r: r.isNotNull())).alias("_tt_r"))
-                 .select("_tt_r.*"))
+    for base, items in compiled:
+        arr = F.array(*[F.when(cond, row(cols, ci)) for ci, cond, cols in items])
+        fan = (base.where(reduce(lambda a, b: a | b, [cond for _, cond, _ in items]))
+                   .select(F.explode(F.filter(arr, lambda r: r.isNotNull())).alias("_tt_r"))
+                   .select("_tt_r.*"))
         parts.append(fan)
-    for ci, out, cols in branches:
-        parts.append(out.select(*[t.col.cast(types[o]).alias(o) for o, t in zip(outputs, cols)],
-                                F.lit(ci).cast("int").alias("c")))
     if not parts:
         raise SpecError("spec has no pipelines")
     frame = reduce(lambda a, b: a.unionByName(b), parts)

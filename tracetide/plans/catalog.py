@@ -56,15 +56,15 @@ INEXACT = {"freq_rolling_mean"}
 
 def recipe_frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     trace = load_trace(spark, sf_dir, RECIPE_VARIANT.get(name, "base"))
-    frame = build_frame(trace, RECIPES[name](), TEST_VARS)
-    return round_floats(frame) if name in INEXACT else frame
+    return build_frame(trace, RECIPES[name](), TEST_VARS,
+                       rolling_digits=4 if name in INEXACT else None)
 
 
 def _recipe_query(name):
     def fn(spark, sf_dir):
         return recipe_frame(spark, sf_dir, name)
     sql = oracle.spec_sql(RECIPES[name](), TEST_VARS, RECIPE_VARIANT.get(name, "base"),
-                          round_floats=4 if name in INEXACT else None)
+                          rolling_digits=4 if name in INEXACT else None)
     return fn, sql
 
 
@@ -76,3 +76,265 @@ def _recipe_categories(name):
     def fn(spark, sf_dir):
         return category_table(recipe_frame(spark, sf_dir, name), RECIPES[name]())
     return fn
+
+
+# --------------------------------------------------------------------- trace & computed columns
+
+from ..operators import order as _order  # noqa: E402
+from ..operators.computed import comm_dictionary, with_comm, with_computed  # noqa: E402
+from ..operators.search import (block_to_wakeup, next_same_event_pattern,  # noqa: E402
+                                search)
+from ..operators.spec import normalise_time  # noqa: E402
+from ..trace import with_addr  # noqa: E402
+from ..vars import merge_vars_frames, vars_frame  # noqa: E402
+
+TRACE_COLS = "idx, timestamp, cpu, pid, event, arg0, arg1"
+
+
+def _with(variant="base", extra=""):
+    return f"WITH {oracle.trace_cte(variant)}{extra} "
+
+
+@register("trace_scan", _with() + "SELECT idx, timestamp, cpu, pid, event, arg0, arg1 FROM trace")
+def q_trace_scan(spark, sf_dir):
+    """SRC2 / EXP3: the trace mapped from events, pruned to the trace columns."""
+    return load_trace(spark, sf_dir)
+
+
+@register("trace_normalise_first", _with() + (
+    "SELECT idx, timestamp - (SELECT arg_min(timestamp, idx) FROM trace) AS timestamp, cpu, pid, event "
+    "FROM trace"))
+def q_norm_first(spark, sf_dir):
+    """EXP13: subtract the first row's timestamp."""
+    return normalise_time(load_trace(spark, sf_dir).select("idx", "timestamp", "cpu", "pid", "event"))
+
+
+@register("trace_normalise_min", _with() + (
+    "SELECT idx, timestamp - (SELECT min(timestamp) FROM trace WHERE event = 10) AS timestamp "
+    "FROM trace WHERE event = 10"))
+def q_norm_min(spark, sf_dir):
+    """EXP14 on a filtered frame: subtract the minimum timestamp."""
+    t = load_trace(spark, sf_dir).where("event = 10").select("idx", "timestamp")
+    return normalise_time(t, mode="min")
+
+
+@register("addr", _with() + "SELECT idx, (CAST(arg0 AS BIGINT) << 32) | CAST(arg1 AS BIGINT) AS addr FROM trace")
+def q_addr(spark, sf_dir):
+    """CMP5 / FN7."""
+    return with_addr(load_trace(spark, sf_dir)).select("idx", "addr")
+
+
+def _computed_query(names, variant="base", vars_=None):
+    vars_ = vars_ or TEST_VARS
+
+    def fn(spark, sf_dir):
+        df = with_computed(load_trace(spark, sf_dir, variant), names, vars_)
+        return df.select("idx", *[F.col(f"`{n}`") for n in names])
+    cols = ", ".join(f"{oracle.computed_sql(n, vars_)} AS {oracle.q(n)}" for n in names)
+    return fn, _with(variant) + f"SELECT idx, {cols} FROM trace"
+
+
+_NXT = "nxt_{}_of_same_evt_on_same_{}"
+QUERIES["nxt_same_evt_cpu"] = _computed_query([_NXT.format(k, "cpu") for k in ("timestamp", "arg0", "arg1")])
+QUERIES["nxt_same_evt_pid"] = _computed_query([_NXT.format(k, "pid") for k in ("timestamp", "arg0", "arg1")])
+QUERIES["nxt_block_wakeup"] = _computed_query(
+    ["nxt_blk_wkp_of_same_pid"] + [f"nxt_{k}_of_(BLOCK|WAKEUP)_on_same_cpu" for k in ("timestamp", "arg0", "arg1")])
+QUERIES["nxt_pairs_balancing"] = _computed_query(
+    [f"nxt_timestamp_of_({a}|{b})_on_same_{loc}"
+     for a, b in (("IDL_BLN_FAIR_BEG", "IDL_BLN_FAIR_END"), ("PER_BLN_FAIR_BEG", "PER_BLN_FAIR_END"),
+                  ("IDL_BLN_IPA_BEG", "IDL_BLN_IPA_END"), ("PER_BLN_IPA_BEG", "PER_BLN_IPA_END"))
+     for loc in ("cpu", "pid")], variant="trace_lb")
+QUERIES["prv_frq"] = _computed_query(["prv_frq_on_same_cpu"])
+
+COMM_SQL_TEXT = (
+    "array_to_string(list_transform(b[1:coalesce(list_position(b, 0) - 1, 8)], lambda x: chr(CAST(x AS INTEGER))), '')")
+COMM_DICT_SQL = _with(extra=", a AS (SELECT DISTINCT (CAST(arg0 AS BIGINT) << 32) | CAST(arg1 AS BIGINT) AS addr "
+                                "FROM trace WHERE event = 0), "
+                                "bb AS (SELECT addr, list_transform(range(8), lambda i: (addr >> (8 * i)) & 255) AS b FROM a)") + (
+    f"SELECT CAST(row_number() OVER (ORDER BY addr) AS BIGINT) AS comm_id, addr, {COMM_SQL_TEXT} AS comm FROM bb")
+
+
+@register("comm_dictionary", COMM_DICT_SQL)
+def q_comm_dict(spark, sf_dir):
+    """CMP6 / FN8: command dictionary of EXEC addresses."""
+    return comm_dictionary(load_trace(spark, sf_dir))
+
+
+@register("comm", _with(extra=", d AS (SELECT addr, row_number() OVER (ORDER BY addr) AS comm_id FROM "
+                              "(SELECT DISTINCT (CAST(arg0 AS BIGINT) << 32) | CAST(arg1 AS BIGINT) AS addr "
+                              "FROM trace WHERE event = 0)), "
+                              "x AS (SELECT idx, pid, timestamp, CASE WHEN event = 0 THEN "
+                              "struct_pack(t := timestamp, i := idx, a := (CAST(arg0 AS BIGINT) << 32) | CAST(arg1 AS BIGINT)) END AS e "
+                              "FROM trace), "
+                              "y AS (SELECT idx, max(e) OVER (PARTITION BY pid ORDER BY timestamp "
+                              "RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_exec FROM x)") + (
+    "SELECT y.idx, CAST(coalesce(d.comm_id, 0) AS BIGINT) AS comm FROM y LEFT JOIN d ON d.addr = y.last_exec.a"))
+def q_comm(spark, sf_dir):
+    """CMP7: command id of the latest EXEC of the pid at or before the row."""
+    return with_comm(load_trace(spark, sf_dir), time_block=3_600_000_000).select("idx", "comm")
+
+
+VARS_SQL = (
+    "WITH d(key, value) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in DEFAULT_VARS.items()) + "), "
+    "t AS (SELECT DISTINCT upper(event_type) AS key, CAST(CASE event_type "
+    + " ".join(f"WHEN '{t}' THEN {c}" for t, c in __import__('tracetide.trace', fromlist=['x']).EVENT_CODE_BY_TYPE.items())
+    + " ELSE 13 END AS VARCHAR) AS value FROM events), "
+    "u AS (SELECT key, value, 0 AS pr FROM d UNION ALL SELECT key, value, 1 AS pr FROM t) "
+    "SELECT '$' || key AS key, arg_max(value, pr) AS value FROM u GROUP BY key")
+
+
+@register("vars_table", VARS_SQL)
+def q_vars(spark, sf_dir):
+    """SRC8 / EXP2: defaults overridden by the trace's own dictionary (event
+    names of the events table with their codes)."""
+    from ..trace import EVENT_CODE_BY_TYPE, OTHER_EVENT_CODE, load_events
+    ev = load_events(spark, sf_dir).select("event_type").distinct()
+    code = F.lit(OTHER_EVENT_CODE)
+    for t, c in reversed(list(EVENT_CODE_BY_TYPE.items())):
+        code = F.when(F.col("event_type") == t, F.lit(c)).otherwise(code)
+    own = ev.select(F.upper("event_type").alias("key"), code.cast("string").alias("value"),
+                    F.lit(1).alias("priority"))
+    return merge_vars_frames(vars_frame(spark, DEFAULT_VARS, 0), own)
+
+
+# --------------------------------------------------------------------- order-sensitive operators
+
+def _ticks(spark, sf_dir):
+    return load_trace(spark, sf_dir).where(F.col("event") == 10)
+
+
+@register("position_ticks", _with() + "SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos FROM trace WHERE event = 10")
+def q_position(spark, sf_dir):
+    """WIN7: dense positions of the TICK rows."""
+    return _order.with_position(_ticks(spark, sf_dir).select("idx"), ["idx"], "pos")
+
+
+def _rolling_sql(agg):
+    frame = "OVER (ORDER BY idx ROWS BETWEEN 159 PRECEDING AND CURRENT ROW)"
+    return _with() + (f"SELECT idx, CASE WHEN count(arg1) {frame} = 160 THEN {agg} END AS r "
+                      f"FROM trace WHERE event = 10")
+
+
+@register("rolling_sum", _rolling_sql("CAST(sum(arg1) OVER (ORDER BY idx ROWS BETWEEN 159 PRECEDING AND CURRENT ROW) AS DOUBLE)"))
+def q_rolling_sum(spark, sf_dir):
+    """WIN1: trailing 160-row sum of TICK arg1."""
+    return _order.rolling(_ticks(spark, sf_dir).select("idx", "arg1"), 160, "sum", "arg1", "r").select("idx", "r")
+
+
+@register("rolling_mean", _rolling_sql(
+    "CAST((2 * 10000 * CAST(sum(arg1) OVER (ORDER BY idx ROWS BETWEEN 159 PRECEDING AND CURRENT ROW) AS HUGEINT) + 160)"
+    " // 320 AS DOUBLE) / 10000.0"))
+def q_rolling_mean(spark, sf_dir):
+    """WIN2: trailing 160-row mean (rounded half up at 4 decimals, exactly)."""
+    return _order.rolling(_ticks(spark, sf_dir).select("idx", "arg1"), 160, "mean", "arg1", "r",
+                          digits=4).select("idx", "r")
+
+
+@register("rolling_median", _rolling_sql(
+    "median(CAST(arg1 AS DOUBLE)) OVER (ORDER BY idx ROWS BETWEEN 159 PRECEDING AND CURRENT ROW)"))
+def q_rolling_median(spark, sf_dir):
+    """WIN3: trailing 160-row median."""
+    return _order.rolling(_ticks(spark, sf_dir).select("idx", "arg1"), 160, "median", "arg1", "r").select("idx", "r")
+
+
+@register("argsort_ticks", _with(extra=", p AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos, "
+                                       "row_number() OVER (ORDER BY arg1, idx) - 1 AS rk FROM trace WHERE event = 10)") + (
+    "SELECT a.idx, b.pos AS y FROM p a JOIN p b ON b.rk = a.pos"))
+def q_argsort(spark, sf_dir):
+    """WIN4: argsort of TICK arg1 (stable ties by idx)."""
+    return _order.argsort(_ticks(spark, sf_dir).select("idx", "arg1"), "arg1", "y").select("idx", "y")
+
+
+@register("rank_ticks", _with() + "SELECT idx, row_number() OVER (ORDER BY arg1, idx) - 1 AS y FROM trace WHERE event = 10")
+def q_rank(spark, sf_dir):
+    """WIN5: argsort of argsort = 0-based rank."""
+    return _order.rank(_ticks(spark, sf_dir).select("idx", "arg1"), "arg1", "y").select("idx", "y")
+
+
+@register("sorted_ticks", _with() + "SELECT idx, timestamp, arg1 FROM trace WHERE event = 10 ORDER BY timestamp")
+def q_sorted(spark, sf_dir):
+    """WIN6: global sort by timestamp (range-partitioned sort)."""
+    return _ticks(spark, sf_dir).select("idx", "timestamp", "arg1").orderBy("timestamp")
+
+
+# --------------------------------------------------------------------- search & joins
+
+@register("search_next_same_event_cpu", _with() + (
+    "SELECT idx AS a, coalesce(lead(idx) OVER (PARTITION BY cpu, event ORDER BY timestamp, idx), idx) AS b FROM trace"))
+def q_search_next(spark, sf_dir):
+    """SEA1/3/4/5/6/9: next same event on the same CPU (strictly later)."""
+    return search(load_trace(spark, sf_dir), next_same_event_pattern("cpu"))
+
+
+PREV_PATTERN = [
+    {"name": "a", "constraint": []},
+    {"name": "p", "constraint": ["argmax", "timestamp",
+                                 ["&", ["&", ["==", "pid", ["get", "pid", "a"]], ["==", "event", ["get", "event", "a"]]],
+                                  ["<", "timestamp", ["get", "timestamp", "a"]]]]},
+]
+
+
+@register("search_prev_same_event_pid", _with() + (
+    "SELECT idx AS a, coalesce(lag(idx) OVER (PARTITION BY pid, event ORDER BY timestamp, idx), idx) AS p FROM trace"))
+def q_search_prev(spark, sf_dir):
+    """SEA7: previous same event of the same pid (argmax)."""
+    return search(load_trace(spark, sf_dir), PREV_PATTERN)
+
+
+CHAIN_PATTERN = [
+    {"name": "a", "constraint": ["==", "event", 4]},
+    {"name": "b", "constraint": ["argmin", "timestamp",
+                                 ["&", ["&", ["==", "pid", ["get", "pid", "a"]], ["==", "event", 2]],
+                                  [">", "timestamp", ["get", "timestamp", "a"]]]]},
+    {"name": "c", "constraint": ["argmin", "timestamp",
+                                 ["&", ["&", ["==", "pid", ["get", "pid", "b"]], ["==", "event", 4]],
+                                  [">=", "timestamp", ["get", "timestamp", "b"]]]]},
+    {"name": "d", "constraint": []},
+]
+
+
+@register("search_block_chain", _with(extra=(
+    ", b AS (SELECT a.idx AS a, coalesce((SELECT arg_min(t.idx, t.timestamp) FROM trace t WHERE t.pid = a.pid "
+    "AND t.event = 2 AND t.timestamp > a.timestamp), a.idx) AS b FROM trace a WHERE a.event = 4)")) + (
+    "SELECT b.a, b.b, coalesce((SELECT arg_min(t.idx, t.timestamp) FROM trace t, trace s WHERE s.idx = b.b "
+    "AND t.pid = s.pid AND t.event = 4 AND t.timestamp >= s.timestamp), b.a) AS c, b.a AS d FROM b"))
+def q_search_chain(spark, sf_dir):
+    """SEA2/SEA8: BLOCK root -> next WAKEUP of the pid -> next BLOCK after it."""
+    return search(load_trace(spark, sf_dir), CHAIN_PATTERN)
+
+
+GLOBAL_PATTERN = [
+    {"name": "a", "constraint": ["==", "event", 10]},
+    {"name": "b", "constraint": ["argmin", "timestamp", ["&", [], [">", "timestamp", ["get", "timestamp", "a"]]]]},
+]
+
+
+@register("search_next_root_match", _with() + (
+    "SELECT idx AS a, coalesce(lead(idx) OVER (ORDER BY timestamp, idx), idx) AS b FROM trace WHERE event = 10"))
+def q_search_global(spark, sf_dir):
+    """SEA6 with ``[]`` (root mask) and no equality key: next TICK overall."""
+    return search(load_trace(spark, sf_dir), GLOBAL_PATTERN)
+
+
+FIRST_PATTERN = [
+    {"name": "a", "constraint": ["==", "event", 4]},
+    {"name": "f", "constraint": ["argmin", "timestamp", ["&", ["==", "pid", ["get", "pid", "a"]], ["==", "event", 2]]]},
+]
+
+
+@register("search_first_of_pid", _with(extra=", m AS (SELECT pid, arg_min(idx, timestamp) AS f FROM trace "
+                                             "WHERE event = 2 GROUP BY pid)") + (
+    "SELECT t.idx AS a, coalesce(m.f, t.idx) AS f FROM trace t LEFT JOIN m ON m.pid = t.pid WHERE t.event = 4"))
+def q_search_first(spark, sf_dir):
+    """SEA6 without a bound: first WAKEUP of the pid (group argmin)."""
+    return search(load_trace(spark, sf_dir), FIRST_PATTERN)
+
+
+@register("asof_block_wakeup", _with(extra=(
+    ", j AS (SELECT e0.idx AS e0idx, e1.idx AS e1idx, row_number() OVER (PARTITION BY e0.idx "
+    "ORDER BY e1.timestamp, e1.idx) AS rn FROM trace e0 JOIN trace e1 ON e0.pid = e1.pid "
+    "AND e0.timestamp <= e1.timestamp WHERE e0.event = 4 AND e1.event = 2)")) + (
+    "SELECT e0idx, e1idx FROM j WHERE rn = 1"))
+def q_asof(spark, sf_dir):
+    """JOIN1 / JOIN4 / AGG12: BLOCK -> first WAKEUP of the same pid at or after it."""
+    return block_to_wakeup(load_trace(spark, sf_dir))

@@ -169,7 +169,7 @@ def _is_staged(e):
 
 
 def spec_sql(spec: dict, variables: dict | None = None, variant: str = "base",
-             round_floats: int | None = None) -> str:
+             round_floats: int | None = None, rolling_digits: int | None = None) -> str:
     variables = variables or DEFAULT_VARS
     spec = substitute(spec, variables)
     base_cols = ["idx", "timestamp", "cpu", "pid", "event", "arg0", "arg1"]
@@ -187,7 +187,7 @@ def spec_sql(spec: dict, variables: dict | None = None, variant: str = "base",
     for ci, cat in enumerate(spec["c"]):
         for steps in cat["concatenate"]:
             if any(s[0] == "=" and _is_staged(s[2]) for s in steps):
-                branches.append((ci,) + _staged_sql(steps, base_env))
+                branches.append((ci,) + _staged_sql(steps, base_env, rolling_digits))
             else:
                 env = dict(base_env)
                 conds = []
@@ -222,7 +222,7 @@ def spec_sql(spec: dict, variables: dict | None = None, variant: str = "base",
     return f"{head} SELECT {', '.join(outer)} FROM ({body}) u WHERE {' AND '.join(checks)}"
 
 
-def _staged_sql(steps, base_env):
+def _staged_sql(steps, base_env, rolling_digits=None):
     cols = dict(base_env)
     cur = "(SELECT * FROM n)"
     i = 0
@@ -245,7 +245,14 @@ def _staged_sql(steps, base_env):
             frame = f"OVER (ORDER BY idx ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)"
             agg = {"sum": f"sum(CAST({key} AS DOUBLE))", "mean": f"avg(CAST({key} AS DOUBLE))",
                    "median": f"median(CAST({key} AS DOUBLE))"}[op]
-            e = f"(CASE WHEN count({key}) {frame} = {w} THEN {agg} {frame} END)"
+            if rolling_digits is not None and op in ("sum", "mean"):
+                div = 1 if op == "sum" else w
+                scale = 10 ** rolling_digits
+                exact = f"CAST(sum({key}) {frame} AS HUGEINT)"
+                agg = f"CAST((2 * {scale} * {exact} + {div}) // {2 * div} AS DOUBLE) / {float(scale)}"
+                e = f"(CASE WHEN count({key}) {frame} = {w} THEN {agg} END)"
+            else:
+                e = f"(CASE WHEN count({key}) {frame} = {w} THEN {agg} {frame} END)"
             i += 1
             kind = "float"
         elif _is_staged(expr):
