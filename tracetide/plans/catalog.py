@@ -338,3 +338,267 @@ def q_search_first(spark, sf_dir):
 def q_asof(spark, sf_dir):
     """JOIN1 / JOIN4 / AGG12: BLOCK -> first WAKEUP of the same pid at or after it."""
     return block_to_wakeup(load_trace(spark, sf_dir))
+
+
+# --------------------------------------------------------------------- frame operations
+
+from ..operators import frame_ops as _fo  # noqa: E402
+from ..operators import raster as _ra  # noqa: E402
+from ..operators.spec import categories as _categories  # noqa: E402
+
+
+def _frame_sql(name):
+    return oracle.spec_sql(RECIPES[name](), TEST_VARS, RECIPE_VARIANT.get(name, "base"))
+
+
+def _frame(spark, sf_dir, name):
+    return recipe_frame(spark, sf_dir, name)
+
+
+RQ_SQL = _frame_sql("run_queue")
+FP_SQL = _frame_sql("freq_points")
+RQ_COLS = ["x0", "y0", "x1", "y1", "arg0", "arg1", "delta"]
+RQ_FLOAT = {"y0", "y1"}
+
+
+def _stats_sql():
+    parts = []
+    for col in RQ_COLS:
+        qc = oracle.q(col)
+        if col in RQ_FLOAT:
+            v = f"CASE WHEN NOT isnan({qc}) THEN {qc} END"
+            tot = f"CAST(sum(CAST({v} AS DECIMAL(38,10))) AS DOUBLE)"
+        else:
+            v = qc
+            tot = f"CAST(sum(CAST({v} AS DECIMAL(38,0))) AS DOUBLE)"
+        cnt = f"count({v})"
+        parts += [f"{tot} / CASE WHEN {cnt} > 0 THEN CAST({cnt} AS DOUBLE) END AS {oracle.q(col + '.mean')}",
+                  f"coalesce({tot}, 0.0) AS {oracle.q(col + '.sum')}",
+                  f"CAST({cnt} AS BIGINT) AS {oracle.q(col + '.count')}"]
+    return f"SELECT c, {', '.join(parts)} FROM ({RQ_SQL}) f GROUP BY c"
+
+
+@register("stats_run_queue", _stats_sql())
+def q_stats(spark, sf_dir):
+    """AGG1: mean / sum / count of every column per category."""
+    return _fo.category_stats(_frame(spark, sf_dir, "run_queue"))
+
+
+def _cats_values(name):
+    spec = RECIPES[name]()
+    rows = ", ".join(
+        f"({i}, '{c['label']}', '{c['color']}', {str(bool(c.get('hide_hovertool', False))).upper()})"
+        for i, c in enumerate(spec["c"]))
+    return f"cats(c, label, color, hide_hovertool) AS (VALUES {rows})"
+
+
+@register("categories_run_queue", (
+    f"WITH {_cats_values('run_queue')}, n AS (SELECT c, count(*) AS n FROM ({RQ_SQL}) f GROUP BY c) "
+    "SELECT CAST(cats.c AS INTEGER) AS c, label, color, hide_hovertool, CAST(coalesce(n.n, 0) AS BIGINT) AS n "
+    "FROM cats LEFT JOIN n ON n.c = cats.c"))
+def q_categories(spark, sf_dir):
+    """AGG2 / JOIN8: categories with their row counts (empty ones included)."""
+    return category_table(_frame(spark, sf_dir, "run_queue"), RECIPES["run_queue"]())
+
+
+@register("legend_events_per_cpu", (
+    f"WITH {_cats_values('events_per_cpu')}, n AS (SELECT c, count(*) AS n FROM ({_frame_sql('events_per_cpu')}) f "
+    "GROUP BY c) SELECT CAST(cats.c AS INTEGER) AS c, label, color, CAST(n.n AS BIGINT) AS n "
+    "FROM cats JOIN n ON n.c = cats.c WHERE n.n > 0"))
+def q_legend(spark, sf_dir):
+    """AGG10 / Q19: legend of the non-empty categories."""
+    frame = _frame(spark, sf_dir, "events_per_cpu")
+    return _ra.legend(category_table(frame, RECIPES["events_per_cpu"]()))
+
+
+SEG_RANGES = ("CAST(least(min(x0), min(x1)) AS DOUBLE) AS xmin, CAST(greatest(max(x0), max(x1)) AS DOUBLE) AS xmax, "
+              "CAST(least(min(y0), min(y1)) AS DOUBLE) AS ymin, CAST(greatest(max(y0), max(y1)) AS DOUBLE) AS ymax")
+PT_RANGES = ("CAST(min(x) AS DOUBLE) AS xmin, CAST(max(x) AS DOUBLE) AS xmax, "
+             "CAST(min(y) AS DOUBLE) AS ymin, CAST(max(y) AS DOUBLE) AS ymax")
+
+
+@register("ranges_run_queue", f"SELECT {SEG_RANGES} FROM ({RQ_SQL}) f")
+def q_ranges_seg(spark, sf_dir):
+    """AGG5: data range of a segment frame (one pass)."""
+    return _fo.data_ranges(_frame(spark, sf_dir, "run_queue"))
+
+
+@register("ranges_freq_points", f"SELECT {PT_RANGES} FROM ({FP_SQL}) f")
+def q_ranges_pt(spark, sf_dir):
+    """AGG4: data range of a point frame."""
+    return _fo.data_ranges(_frame(spark, sf_dir, "freq_points"))
+
+
+@register("lanes_run_queue", (
+    f"SELECT CAST(count(DISTINCT y0) AS BIGINT) AS lanes, CAST((count(DISTINCT y0) + 2) * 4 AS BIGINT) AS height, "
+    f"CAST(-1 AS BIGINT) AS ymin_clamp, CAST(count(DISTINCT y0) + 1 AS BIGINT) AS ymax_clamp FROM ({RQ_SQL}) f"))
+def q_lanes(spark, sf_dir):
+    """EXP20 / AGG11: lanes, figure height and y clamp."""
+    return _fo.lanes(_frame(spark, sf_dir, "run_queue"))
+
+
+def _mid_box(r):
+    dx, dy = (r["xmax"] - r["xmin"]) / 4, (r["ymax"] - r["ymin"]) / 4
+    return r["xmin"] + dx, r["xmax"] - dx, r["ymin"] + dy, r["ymax"] - dy
+
+
+MID_BOX_SQL = ("v AS (SELECT xmin + (xmax - xmin) / 4 AS xlo, xmax - (xmax - xmin) / 4 AS xhi, "
+               "ymin + (ymax - ymin) / 4 AS ylo, ymax - (ymax - ymin) / 4 AS yhi FROM r)")
+
+
+@register("viewport_segments", (
+    f"WITH f AS ({RQ_SQL}), r AS (SELECT {SEG_RANGES} FROM f), {MID_BOX_SQL} "
+    "SELECT f.* FROM f, v WHERE ((x0 >= xlo AND x0 <= xhi) OR (x0 <= xlo AND x1 >= xhi)) "
+    "AND ((y0 >= ylo AND y0 <= yhi) OR (y0 <= ylo AND y1 >= yhi))"))
+def q_viewport_seg(spark, sf_dir):
+    """EXP18 as stated (first end inside or spanning), middle half of the data range."""
+    frame = _frame(spark, sf_dir, "run_queue")
+    box = _mid_box(_fo.data_ranges(frame).first())
+    return frame.where(_fo.segment_viewport(*box))
+
+
+@register("viewport_segments_overlap", (
+    f"WITH f AS ({RQ_SQL}), r AS (SELECT {SEG_RANGES} FROM f), {MID_BOX_SQL} "
+    "SELECT f.* FROM f, v WHERE least(x0, x1) <= xhi AND greatest(x0, x1) >= xlo "
+    "AND least(y0, y1) <= yhi AND greatest(y0, y1) >= ylo"))
+def q_viewport_overlap(spark, sf_dir):
+    """EXP18 variant: true overlap of the segment box and the viewport."""
+    frame = _frame(spark, sf_dir, "run_queue")
+    box = _mid_box(_fo.data_ranges(frame).first())
+    return frame.where(_fo.segment_viewport_overlap(*box))
+
+
+@register("viewport_points", (
+    f"WITH f AS ({FP_SQL}), r AS (SELECT {PT_RANGES} FROM f), {MID_BOX_SQL} "
+    "SELECT f.* FROM f, v WHERE x BETWEEN xlo AND xhi AND y BETWEEN ylo AND yhi"))
+def q_viewport_pt(spark, sf_dir):
+    """EXP17: inclusive box on points."""
+    frame = _frame(spark, sf_dir, "freq_points")
+    box = _mid_box(_fo.data_ranges(frame).first())
+    return frame.where(_fo.point_viewport(*box))
+
+
+@register("hide_hovertool_run_queue", f"SELECT * FROM ({RQ_SQL}) f WHERE c NOT IN (4)")
+def q_hide(spark, sf_dir):
+    """EXP19: drop categories flagged hide_hovertool."""
+    spec = RECIPES["run_queue"]()
+    return _fo.exclude_categories(_frame(spark, sf_dir, "run_queue"), _fo.hidden_categories(spec))
+
+
+@register("interactive_query", f"SELECT * FROM ({RQ_SQL}) f WHERE arg0 >= 2 AND delta > 1000000")
+def q_interactive(spark, sf_dir):
+    """EXP16: user query with $NAME substitution and arithmetic."""
+    frame = _frame(spark, sf_dir, "run_queue")
+    return _fo.apply_query(frame, "arg0 >= $TICK - 8 & delta > 1000000", TEST_VARS).frame
+
+
+@register("interactive_fallback", (
+    f"WITH f AS ({RQ_SQL}) SELECT * FROM f WHERE delta < 0 OR NOT EXISTS (SELECT 1 FROM f WHERE delta < 0)"))
+def q_fallback(spark, sf_dir):
+    """EXP16 / Q4: a query with no rows falls back to the unfiltered frame."""
+    frame = _frame(spark, sf_dir, "run_queue")
+    return _fo.apply_query(frame, "delta < 0", TEST_VARS).frame
+
+
+@register("result_ranges", f"SELECT {SEG_RANGES} FROM ({RQ_SQL}) f WHERE arg0 >= 2 AND delta > 1000000")
+def q_result_ranges(spark, sf_dir):
+    """AGG6: ranges of the filtered (result) frame."""
+    frame = _frame(spark, sf_dir, "run_queue")
+    return _fo.data_ranges(_fo.apply_query(frame, "arg0 >= 2 & delta > 1000000").frame)
+
+
+@register("hover_sample")
+def q_hover(spark, sf_dir):
+    """WIN8: viewport + hidden categories, sampled to at most ~100k rows (rows-only check)."""
+    frame = _frame(spark, sf_dir, "run_queue")
+    spec = RECIPES["run_queue"]()
+    box = _mid_box(_fo.data_ranges(frame).first())
+    return _fo.hover_sample(frame, _fo.segment_viewport(*box), _fo.hidden_categories(spec))
+
+
+# --------------------------------------------------------------------- raster
+
+def _pix_sql(v, lo, hi, size):
+    return f"least(floor((CAST({v} AS DOUBLE) - {lo}) * {float(size)} / ({hi} - {lo})), {size - 1})"
+
+
+@register("raster_points", (
+    f"WITH f AS ({FP_SQL}), r AS (SELECT {PT_RANGES} FROM f) "
+    f"SELECT CAST({_pix_sql('x', 'xmin', 'xmax', 64)} AS INTEGER) AS px, "
+    f"CAST({_pix_sql('y', 'ymin', 'ymax', 32)} AS INTEGER) AS py, CAST(c AS INTEGER) AS c, count(*) AS n "
+    "FROM f, r WHERE x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax GROUP BY 1, 2, 3"))
+def q_raster_points(spark, sf_dir):
+    """AGG7: 64x32 point raster over the data range."""
+    frame = _frame(spark, sf_dir, "freq_points")
+    r = _fo.data_ranges(frame).first()
+    return _ra.point_raster(frame, (r["xmin"], r["xmax"]), (r["ymin"], r["ymax"]), 64, 32)
+
+
+def _segment_raster_sql(box_sql, w, h):
+    lo = ("GREATEST(0.0, CASE WHEN -dx < 0 THEN (x0d - xlo) / (-dx) END, CASE WHEN dx < 0 THEN (xhi - x0d) / dx END, "
+          "CASE WHEN -dy < 0 THEN (y0d - ylo) / (-dy) END, CASE WHEN dy < 0 THEN (yhi - y0d) / dy END)")
+    hi = ("LEAST(1.0, CASE WHEN -dx > 0 THEN (x0d - xlo) / (-dx) END, CASE WHEN dx > 0 THEN (xhi - x0d) / dx END, "
+          "CASE WHEN -dy > 0 THEN (y0d - ylo) / (-dy) END, CASE WHEN dy > 0 THEN (yhi - y0d) / dy END)")
+    rej = ("((-dx = 0 AND x0d - xlo < 0) OR (dx = 0 AND xhi - x0d < 0) OR "
+           "(-dy = 0 AND y0d - ylo < 0) OR (dy = 0 AND yhi - y0d < 0))")
+    return (
+        f"WITH f AS ({RQ_SQL}), r AS (SELECT {SEG_RANGES} FROM f), {box_sql}, "
+        "s AS (SELECT CAST(x0 AS DOUBLE) AS x0d, CAST(y0 AS DOUBLE) AS y0d, "
+        "CAST(x1 AS DOUBLE) - CAST(x0 AS DOUBLE) AS dx, CAST(y1 AS DOUBLE) - CAST(y0 AS DOUBLE) AS dy, c, "
+        "xlo, xhi, ylo, yhi FROM f, v), "
+        f"t AS (SELECT *, {lo} AS t0, {hi} AS t1, {rej} AS rej FROM s), "
+        "cl AS (SELECT x0d + t0 * dx AS cx0, y0d + t0 * dy AS cy0, x0d + t1 * dx AS cx1, y0d + t1 * dy AS cy1, "
+        "c, xlo, xhi, ylo, yhi FROM t WHERE NOT rej AND t0 <= t1), "
+        f"e AS (SELECT CAST({_pix_sql('cx0', 'xlo', 'xhi', w)} AS INTEGER) AS ax, "
+        f"CAST({_pix_sql('cy0', 'ylo', 'yhi', h)} AS INTEGER) AS ay, "
+        f"CAST({_pix_sql('cx1', 'xlo', 'xhi', w)} AS INTEGER) AS bx, "
+        f"CAST({_pix_sql('cy1', 'ylo', 'yhi', h)} AS INTEGER) AS qy, CAST(c AS INTEGER) AS c FROM cl), "
+        "g AS (SELECT *, greatest(abs(bx - ax), abs(qy - ay)) AS n FROM e), "
+        "p AS (SELECT ax + CASE WHEN n = 0 THEN 0 ELSE CAST(floor((2 * (bx - ax) * i + n) / (2 * n)) AS INTEGER) END AS px, "
+        "ay + CASE WHEN n = 0 THEN 0 ELSE CAST(floor((2 * (qy - ay) * i + n) / (2 * n)) AS INTEGER) END AS py, c "
+        "FROM g, unnest(range(0, n + 1)) AS u(i)) "
+        "SELECT px, py, c, count(*) AS n FROM p GROUP BY px, py, c")
+
+
+FULL_BOX_SQL = "v AS (SELECT xmin AS xlo, xmax AS xhi, ymin AS ylo, ymax AS yhi FROM r)"
+
+
+def _seg_raster(spark, sf_dir, zoom):
+    frame = _frame(spark, sf_dir, "run_queue")
+    r = _fo.data_ranges(frame).first()
+    if zoom:
+        xlo, xhi, ylo, yhi = _mid_box(r)
+    else:
+        xlo, xhi, ylo, yhi = r["xmin"], r["xmax"], r["ymin"], r["ymax"]
+    return _ra.segment_raster(frame, (xlo, xhi), (ylo, yhi), 256, 64)
+
+
+@register("raster_segments", _segment_raster_sql(FULL_BOX_SQL, 256, 64))
+def q_raster_segments(spark, sf_dir):
+    """AGG8: 256x64 segment raster over the data range."""
+    return _seg_raster(spark, sf_dir, False)
+
+
+@register("raster_segments_zoom", _segment_raster_sql(MID_BOX_SQL, 256, 64))
+def q_raster_segments_zoom(spark, sf_dir):
+    """AGG8 with clipping: the middle half of the data range."""
+    return _seg_raster(spark, sf_dir, True)
+
+
+def _shade_sql():
+    spec = RECIPES["run_queue"]()
+    pal = ", ".join(f"({i}, {int(c['color'][1:3], 16)}, {int(c['color'][3:5], 16)}, {int(c['color'][5:7], 16)})"
+                    for i, c in enumerate(spec["c"]))
+    ras = _segment_raster_sql(FULL_BOX_SQL, 256, 64)
+    def ch(x):
+        return f"CAST(floor((2 * sum(n * {x}) + sum(n)) / (2 * sum(n))) AS INTEGER) AS {x}"
+    return (f"WITH pal(c, r, g, b) AS (VALUES {pal}), ras AS ({ras}) "
+            f"SELECT px, py, {ch('r')}, {ch('g')}, {ch('b')}, 255 AS a, CAST(sum(n) AS BIGINT) AS n "
+            "FROM ras JOIN pal USING (c) GROUP BY px, py")
+
+
+@register("shade_segments", _shade_sql())
+def q_shade(spark, sf_dir):
+    """AGG9: count-weighted category colour per pixel (FN12 palette)."""
+    ras = _seg_raster(spark, sf_dir, False)
+    return _ra.shade(ras, _categories(spark, RECIPES["run_queue"]()))
