@@ -602,3 +602,116 @@ def q_shade(spark, sf_dir):
     """AGG9: count-weighted category colour per pixel (FN12 palette)."""
     ras = _seg_raster(spark, sf_dir, False)
     return _ra.shade(ras, _categories(spark, RECIPES["run_queue"]()))
+
+
+# --------------------------------------------------------------------- run tables
+
+from ..functions.scalar import pattern_to_regex as _p2r  # noqa: E402
+from ..sources.runlogs import run_logs_from_events  # noqa: E402
+from . import runs as _runs  # noqa: E402
+
+
+def _run_logs(spark, sf_dir):
+    from ..trace import load_events
+    return run_logs_from_events(load_events(spark, sf_dir))
+
+
+RUN_LOG_CTES = (
+    "ev AS (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, "
+    "printf('%.2f', value) AS v, 'runs/BENCH=phoronix/POWER=' || CASE WHEN user_id % 2 = 0 THEN 'powersave-y' "
+    "ELSE 'performance-n' END || '/MONITORING=cpu-energy-meter/PHORONIX=bench' || "
+    "CAST(CAST(floor(user_id / 2) AS BIGINT) AS VARCHAR) || '/k' || CAST(user_id % 3 AS VARCHAR) || '/1.tar' AS path "
+    "FROM events), "
+    "lines AS (SELECT path, CASE WHEN event_type IN ('view', 'click') THEN 'cpu-energy-meter.out' "
+    "WHEN event_type = 'purchase' THEN 'time.err' ELSE 'run.out' END AS member, event_id AS line_no, "
+    "CASE WHEN event_type = 'view' THEN 'cpu' || CAST(k % 4 AS VARCHAR) || '_package_joules=' || v "
+    "WHEN event_type = 'click' THEN 'cpu' || CAST(k % 4 AS VARCHAR) || '_dram_joules=' || v "
+    "WHEN event_type = 'purchase' THEN v "
+    "WHEN event_type = 'signup' THEN '    transactions:   ' || CAST(k AS VARCHAR) || '   (' || v || ' per sec.)' "
+    "ELSE 'error ' || CAST(k AS VARCHAR) END AS line FROM ev), "
+    "res AS (SELECT path, event_id AS doc_no, 0 AS pos, event_type AS test, 'k=' || CAST(k % 3 AS VARCHAR) AS arguments, "
+    "'ops' AS units, value AS value FROM ev WHERE event_type <> 'signup'), "
+    "kern AS (SELECT path, arg_min('4.19.' || CAST(k % 5 AS VARCHAR), event_id) AS kernel FROM ev "
+    "WHERE event_type = 'signup' GROUP BY path), "
+    "idx AS (SELECT DISTINCT path FROM ev WHERE regexp_matches(path, '^(?:" + _runs.TRACE_PATH_PATTERN + ")'))")
+
+
+def _summary_sql():
+    pats = _runs.PERF_PATTERNS + _runs.energy_patterns()
+    cols = []
+    for dtype, name, member, pattern in pats:
+        rx = _p2r(pattern).replace("'", "''")
+        cols.append(f"arg_min(regexp_extract(line, '{rx}', 1), line_no) FILTER "
+                    f"(WHERE member = '{member}' AND regexp_matches(line, '{rx}')) AS {name}")
+    fl = ("coalesce(TRY_CAST({} AS DOUBLE), CAST('nan' AS DOUBLE))")
+    st = "coalesce(CAST({} AS VARCHAR), '(NULL)')"
+    sel = ["idx.path AS fname"]
+    sel += [f"coalesce(nullif(regexp_extract(idx.path, '{v}=([^/]+)', 1), ''), '(NULL)') AS {v}"
+            for v in _runs.PATH_VARS]
+    sel += [fl.format(name) + f" AS {name}" for _, name, _, _ in pats]
+    for i in range(_runs.MAX_RESULTS):
+        sel += [st.format(f"r{i}.test") + f" AS phoro_test{i}", st.format(f"r{i}.arguments") + f" AS phoro_args{i}",
+                st.format(f"r{i}.units") + f" AS phoro_units{i}", fl.format(f"r{i}.value") + f" AS phoro_value{i}"]
+    sel.append(st.format("kern.kernel") + " AS kernel")
+    pk = " + ".join(f"cpu{i}_package_joules" for i in range(4))
+    dr = " + ".join(f"cpu{i}_dram_joules" for i in range(4))
+    joins = " ".join(f"LEFT JOIN (SELECT * FROM ranked WHERE rn = {i + 1}) r{i} ON r{i}.path = idx.path"
+                     for i in range(_runs.MAX_RESULTS))
+    return (f"WITH {RUN_LOG_CTES}, "
+            f"pm AS (SELECT path, {', '.join(cols)} FROM lines GROUP BY path), "
+            "ranked AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY doc_no, pos) AS rn FROM res), "
+            f"base AS (SELECT {', '.join(sel)} FROM idx LEFT JOIN pm ON pm.path = idx.path {joins} "
+            "LEFT JOIN kern ON kern.path = idx.path) "
+            f"SELECT *, ({pk}) AS total_package_joules, ({dr}) AS total_dram_joules, "
+            f"({pk}) + ({dr}) AS total_joules FROM base")
+
+
+@register("run_traces_summary", _summary_sql())
+def q_traces_summary(spark, sf_dir):
+    """RUN1 / RUN3: one row per run (path variables, log patterns, JSON results, totals)."""
+    lines, docs = _run_logs(spark, sf_dir)
+    return _runs.traces_summary(lines, docs)
+
+
+def _comparison_sql():
+    ps = "^.*BENCH=phoronix/POWER=powersave-y/MONITORING=cpu-energy-meter/PHORONIX=[^/]+/[^/]+/1\\.tar$"
+    pf = "^.*BENCH=phoronix/POWER=performance-n/MONITORING=cpu-energy-meter/PHORONIX=[^/]+/[^/]+/1\\.tar$"
+    nan = "CAST('nan' AS DOUBLE)"
+
+    def ratio(a, b):
+        return f"CASE WHEN {b} = 0 THEN {nan} ELSE {a} / {b} END"
+    a, b = "perf_value_powersave", "perf_value_performance"
+    return (f"WITH {RUN_LOG_CTES}, "
+            f"r2 AS (SELECT path, regexp_extract(path, 'PHORONIX=([^/]+)', 1) AS ph, "
+            f"CASE WHEN regexp_matches(path, '{ps}') THEN 'powersave' WHEN regexp_matches(path, '{pf}') "
+            "THEN 'performance' END AS mode FROM idx), "
+            "fst AS (SELECT ph, mode, min(path) AS p FROM r2 WHERE mode IS NOT NULL GROUP BY ph, mode), "
+            "pairs AS (SELECT a.p AS fps, b.p AS fpf FROM fst a JOIN fst b ON a.ph = b.ph "
+            "AND a.mode = 'powersave' AND b.mode = 'performance'), "
+            "kept AS (SELECT r.test, r.arguments, r.units, pairs.fps, pairs.fpf FROM res r JOIN pairs ON r.path = pairs.fps "
+            "WHERE EXISTS (SELECT 1 FROM res q WHERE q.path = pairs.fpf AND q.test = r.test "
+            "AND q.arguments = r.arguments AND q.units = r.units)), "
+            "fv AS (SELECT path, test, arguments, units, arg_min(value, doc_no * 1000000 + pos) AS v FROM res "
+            "GROUP BY path, test, arguments, units), "
+            "o AS (SELECT k.test, k.arguments, k.units, coalesce(CAST(p.v AS DOUBLE), "
+            f"{nan}) AS {a}, coalesce(CAST(f.v AS DOUBLE), {nan}) AS {b} FROM kept k "
+            "LEFT JOIN fv p ON p.path = k.fps AND p.test = k.test AND p.arguments = k.arguments AND p.units = k.units "
+            "LEFT JOIN fv f ON f.path = k.fpf AND f.test = k.test AND f.arguments = k.arguments AND f.units = k.units) "
+            f"SELECT test, arguments, units, {a}, {b}, {ratio(a, b)} AS power_perf, {ratio(b, a)} AS perf_power, "
+            f"{ratio(f'({a} - {b})', a)} AS power_perf_power, {ratio(f'({b} - {a})', b)} AS perf_power_perf FROM o")
+
+
+@register("run_power_comparison", _comparison_sql())
+def q_power_comparison(spark, sf_dir):
+    """RUN4 / JOIN5-7 / FN10: powersave vs performance results per benchmark."""
+    lines, docs = _run_logs(spark, sf_dir)
+    return _runs.power_comparison(lines, docs)
+
+
+@register("run_scatter", (
+    f"WITH s AS ({_summary_sql()}) SELECT CAST(row_number() OVER (ORDER BY fname) - 1 AS DOUBLE) AS x, "
+    "total_joules AS y FROM s"))
+def q_scatter(spark, sf_dir):
+    """RUN5: scatter projection of two run-table columns (row position vs total energy)."""
+    lines, docs = _run_logs(spark, sf_dir)
+    return _fo.scatter(_runs.traces_summary(lines, docs), "index", "total_joules")
