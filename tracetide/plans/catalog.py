@@ -715,3 +715,153 @@ def q_scatter(spark, sf_dir):
     """RUN5: scatter projection of two run-table columns (row position vs total energy)."""
     lines, docs = _run_logs(spark, sf_dir)
     return _fo.scatter(_runs.traces_summary(lines, docs), "index", "total_joules")
+
+
+# --------------------------------------------------------------------- streaming
+
+from ..streaming.run_stream import run_table_stream_from_logs  # noqa: E402
+
+
+@register("run_table_stream", _summary_sql())
+def q_run_stream(spark, sf_dir):
+    """STR1 / STR2 / SET4: the traces summary built by micro-batches of run paths
+    (file-source stream + foreachBatch append); the final state equals the batch table."""
+    lines, docs = _run_logs(spark, sf_dir)
+    return run_table_stream_from_logs(spark, lines, docs, batches=4)
+
+
+# --------------------------------------------------------------------- sources and sinks (round trips)
+
+import os as _os  # noqa: E402
+
+from ..sources import archive as _archive  # noqa: E402
+from ..sources import dictionary as _dictionary  # noqa: E402
+from ..sources import raw as _raw  # noqa: E402
+from ..sources import sinks as _sinks  # noqa: E402
+from ..sources import text as _text  # noqa: E402
+from ..streaming.run_stream import scratch_dir  # noqa: E402
+from .ingest import INGEST_COLUMNS, ingest_raw  # noqa: E402
+
+
+@register("archive_roundtrip", _with() + "SELECT idx, timestamp, cpu, event FROM trace")
+def q_archive(spark, sf_dir):
+    """SRC1 / SRC2 / SNK2: trace written as npz-column archives (one per task)
+    and read back with a column selection."""
+    d = scratch_dir(spark, "archives")
+    _archive.write_trace_archives(load_trace(spark, sf_dir), d).collect()
+    t = _archive.read_trace_archives(spark, d, only=["timestamp", "cpu", "event"])
+    return t.select("idx", "timestamp", "cpu", F.col("event").cast("int").alias("event"))
+
+
+@register("raw_roundtrip", _with() + f"SELECT {TRACE_COLS} FROM trace")
+def q_raw(spark, sf_dir):
+    """SRC4 / SRC5 / SET3: per-CPU 24-byte record files, merged and renumbered."""
+    d = scratch_dir(spark, "raw")
+    _raw.write_raw_files(load_trace(spark, sf_dir), d).collect()
+    return _raw.read_raw_trace(spark, d)
+
+
+@register("dictionary_files", VARS_SQL)
+def q_dictionary(spark, sf_dir):
+    """SRC6 / SRC7 / SRC8: dictionary text files (old and new name) merged over
+    the defaults; parsing stops at the first empty line."""
+    from ..trace import EVENT_CODE_BY_TYPE, OTHER_EVENT_CODE, load_events
+    d = scratch_dir(spark, "dict")
+    ev = load_events(spark, sf_dir).select("event_type").distinct()
+    code = F.lit(OTHER_EVENT_CODE)
+    for t, c in reversed(list(EVENT_CODE_BY_TYPE.items())):
+        code = F.when(F.col("event_type") == t, F.lit(c)).otherwise(code)
+    lines = ev.select(F.concat(code.cast("string"), F.lit(" "), F.upper("event_type")).alias("l"))
+    # the newer file: the events' own names, then an empty line and junk that must be ignored
+    body = lines.agg(F.concat_ws("\n", F.array_sort(F.collect_list("l"))).alias("value"))
+    body.select(F.concat("value", F.lit("\n\n99 IGNORED_AFTER_BLANK\n")).alias("value")) \
+        .coalesce(1).write.text(_os.path.join(d, "new"))
+    # the older file: a stale code for SIGNUP that the newer file overrides
+    spark.createDataFrame([("7 SIGNUP\n",)], "value string").write.text(_os.path.join(d, "old"))
+    table = _dictionary.dictionary_table(spark, [_os.path.join(d, "old"), _os.path.join(d, "new")])
+    return table
+
+
+PS_HEADER = ["PID", "USER", "COMMAND"]
+
+
+@register("process_list", (
+    "SELECT CAST(user_id AS VARCHAR) AS PID, 'u' || CAST(user_id % 7 AS VARCHAR) AS \"USER\", "
+    "'cmd ' || event_type || ' --k ' || json_extract_string(props, '$.k') AS COMMAND FROM events"))
+def q_process_list(spark, sf_dir):
+    """SRC16: whitespace table whose last column keeps the rest of the line."""
+    from ..trace import load_events
+    d = scratch_dir(spark, "ps")
+    ev = load_events(spark, sf_dir)
+    rows = ev.select(F.format_string("%6d  u%d   cmd %s --k %s", F.col("user_id"), F.col("user_id") % 7,
+                                     F.col("event_type"), F.get_json_object("props", "$.k")).alias("value"))
+    spark.createDataFrame([("  PID USER   COMMAND",)], "value string").unionByName(rows).write.text(d)
+    return _text.read_process_list(spark, d, PS_HEADER)
+
+
+@register("nested_flatten", "SELECT event_id AS \"e/id\", value AS \"m/v/value\", user_id AS \"m/v/user\", "
+                            "event_type AS \"m/type\" FROM events")
+def q_flatten(spark, sf_dir):
+    """SRC15: nested struct columns flattened to leaf paths."""
+    from ..trace import load_events
+    ev = load_events(spark, sf_dir)
+    nested = ev.select(F.struct(F.col("event_id").alias("id")).alias("e"),
+                       F.struct(F.struct(F.col("value").alias("value"), F.col("user_id").alias("user")).alias("v"),
+                                F.col("event_type").alias("type")).alias("m"))
+    return _text.flatten(nested)
+
+
+@register("run_table_saved", _summary_sql())
+def q_run_saved(spark, sf_dir):
+    """SNK1 / SRC14: run table saved uncompressed and loaded back."""
+    lines, docs = _run_logs(spark, sf_dir)
+    d = scratch_dir(spark, "runtable")
+    _sinks.save_run_table(_runs.traces_summary(lines, docs), d)
+    return _sinks.load_run_table(spark, d)
+
+
+@register("side_column", QUERIES["prv_frq"][1])
+def q_side(spark, sf_dir):
+    """SNK3: a computed column persisted keyed by idx and joined back on read."""
+    d = scratch_dir(spark, "side")
+    trace = load_trace(spark, sf_dir)
+    _sinks.write_trace(trace, _os.path.join(d, "trace"))
+    stored = spark.read.parquet(_os.path.join(d, "trace"))
+    _sinks.write_side_column(with_computed(stored, ["prv_frq_on_same_cpu"]), "prv_frq_on_same_cpu",
+                             _os.path.join(d, "side"))
+    df = _sinks.read_with_side_columns(spark, _os.path.join(d, "trace"), _os.path.join(d, "side"),
+                                       ["prv_frq_on_same_cpu"])
+    return df.select("idx", "prv_frq_on_same_cpu")
+
+
+@register("result_cache", RQ_SQL)
+def q_cache(spark, sf_dir):
+    """SNK4: frame cached under sha256(trace path + config) and read back."""
+    d = scratch_dir(spark, "cache")
+    frame = _frame(spark, sf_dir, "run_queue")
+    spec = RECIPES["run_queue"]()
+    _sinks.cache_put(d, sf_dir, spec, frame, {"len": 0})
+    got = _sinks.cache_get(spark, d, sf_dir, spec)
+    return got[0]
+
+
+def _ingest_sql():
+    nxt = oracle.computed_sql("nxt_timestamp_of_same_evt_on_same_cpu", DEFAULT_VARS)
+    bw = oracle.computed_sql("nxt_blk_wkp_of_same_pid", DEFAULT_VARS)
+    pf = oracle.computed_sql("prv_frq_on_same_cpu", DEFAULT_VARS)
+    comm = QUERIES["comm"][1].split(" SELECT y.idx,")[0]
+    return (f"{comm}, z AS (SELECT y.idx, CAST(coalesce(d.comm_id, 0) AS BIGINT) AS comm FROM y "
+            "LEFT JOIN d ON d.addr = y.last_exec.a) "
+            f", c AS (SELECT idx, timestamp, {nxt} AS nxt_timestamp_of_same_evt_on_same_cpu, "
+            f"{bw} AS nxt_blk_wkp_of_same_pid, {pf} AS prv_frq_on_same_cpu FROM trace) "
+            "SELECT c.idx, c.timestamp, z.comm, c.nxt_timestamp_of_same_evt_on_same_cpu, c.nxt_blk_wkp_of_same_pid, "
+            "c.prv_frq_on_same_cpu FROM c JOIN z ON z.idx = c.idx")
+
+
+@register("ingest_raw", _ingest_sql())
+def q_ingest(spark, sf_dir):
+    """SNK5: raw ring buffers -> enriched trace (comm, next/previous columns)."""
+    d = scratch_dir(spark, "ingest")
+    _raw.write_raw_files(load_trace(spark, sf_dir), _os.path.join(d, "raw")).collect()
+    out = ingest_raw(spark, _os.path.join(d, "raw"), _os.path.join(d, "out"))
+    return spark.read.parquet(out).select("idx", "timestamp", "comm", *INGEST_COLUMNS)
