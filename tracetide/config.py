@@ -46,6 +46,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", "16g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -72,3 +75,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     local = tempfile.mkdtemp(prefix="tracetide-ckpt-")
     sc.setCheckpointDir(local)
     return local
+
+
+def materialize(df):
+    """Cut the lineage of a frame that several actions will read.
+
+    A reliable checkpoint into the shared checkpoint folder: the upstream
+    (scans, window shuffles) runs once, and a lost executor re-reads the
+    checkpoint files instead of recomputing the upstream.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

@@ -35,6 +35,11 @@ class StagedOperator(Exception):
 class TCol:
     col: Column
     kind: str  # "int" | "float" | "bool" | "str"
+    sql_type: str | None = None  # exact Spark type when known (skips no-op casts)
+
+
+def cast_to(t: "TCol", sql_type: str) -> Column:
+    return t.col if t.sql_type == sql_type else t.col.cast(sql_type)
 
 
 def kind_of(dtype: T.DataType) -> str:
@@ -52,16 +57,17 @@ def quoted(name: str) -> Column:
 
 
 def env_of(df: DataFrame) -> dict:
-    return {f.name: TCol(quoted(f.name), kind_of(f.dataType)) for f in df.schema.fields}
+    return {f.name: TCol(quoted(f.name), kind_of(f.dataType), f.dataType.simpleString())
+            for f in df.schema.fields}
 
 
 def literal(value) -> TCol:
     if isinstance(value, bool):
         return TCol(F.lit(value), "bool")
     if isinstance(value, int):
-        return TCol(F.lit(value).cast("bigint"), "int")
+        return TCol(F.lit(value).cast("bigint"), "int", "bigint")
     if isinstance(value, float):
-        return TCol(F.lit(value).cast("double"), "float")
+        return TCol(F.lit(value), "float", "double")
     if isinstance(value, str):
         return TCol(F.lit(value), "str")
     raise TypeError(f"cannot use {value!r} as a literal")
@@ -94,12 +100,19 @@ def _num_kind(*xs: TCol) -> str:
     return "float" if any(x.kind == "float" for x in xs) else "int"
 
 
+def _arith_type(a: TCol, b: TCol) -> str | None:
+    types = {a.sql_type, b.sql_type}
+    if types <= {"bigint", "double"} and None not in types:
+        return "double" if "double" in types else "bigint"
+    return None
+
+
 def add(a: TCol, b: TCol) -> TCol:
-    return TCol(a.col + b.col, _num_kind(a, b))
+    return TCol(a.col + b.col, _num_kind(a, b), _arith_type(a, b))
 
 
 def sub(a: TCol, b: TCol) -> TCol:
-    return TCol(a.col - b.col, _num_kind(a, b))
+    return TCol(a.col - b.col, _num_kind(a, b), _arith_type(a, b))
 
 
 def mul(a: TCol, b: TCol) -> TCol:
@@ -118,7 +131,7 @@ def safe_divide(a: Column, b: Column) -> Column:
 
 
 def div(a: TCol, b: TCol) -> TCol:
-    return TCol(safe_divide(a.col, b.col), "float")
+    return TCol(safe_divide(a.col, b.col), "float", "double")
 
 
 # --------------------------------------------------------------------------

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from ..config import conf_int
+from ..config import conf_int, materialize
 from ..functions.expr import kind_of, quoted
 
 SAMPLE_PER_BUCKET = 64
@@ -55,15 +55,21 @@ def _bucket_udf(bounds: list, ncols: int):
 
 
 def with_position(df: DataFrame, order_cols: list, out: str = "pos",
-                  bucket_rows: int | None = None, seed: int = 17) -> DataFrame:
+                  bucket_rows: int | None = None, seed: int = 17,
+                  checkpoint: bool = True) -> DataFrame:
     """Add ``out``: dense 0-based position of each row ordered by ``order_cols``.
 
     ``order_cols`` must be non-NULL and (together) unique, e.g. ``[key, "idx"]``.
+    The input is checkpointed first (``checkpoint=True``): the count, the
+    sample, the bucket counts and the numbering then all read it instead of
+    recomputing the upstream plan.
     """
     if len(order_cols) > 2:
         raise ValueError("with_position supports one or two order columns")
     bucket_rows = bucket_rows or conf_int(df.sparkSession, "tracetide.bucket.rows")
     cols = [quoted(c) for c in order_cols]
+    if checkpoint:
+        df = materialize(df)
     n = df.count()
     if n <= bucket_rows:
         # proven bound: at most bucket_rows rows in the single ordering task
@@ -120,7 +126,7 @@ def argsort(df: DataFrame, key: str, out: str, order: str = "idx", **kw) -> Data
     ok = _valid(df, key)
     v = df.where(ok).select(quoted(order).alias("_tt_o"), quoted(key).alias("_tt_k"))
     v = with_position(v, ["_tt_o"], "_tt_pos", **kw)
-    v = with_position(v, ["_tt_k", "_tt_o"], "_tt_rank", **kw)
+    v = with_position(materialize(v), ["_tt_k", "_tt_o"], "_tt_rank", checkpoint=False, **kw)
     by_rank = v.select(F.col("_tt_rank").alias("_tt_j"), F.col("_tt_pos").alias("_tt_src"))
     at_pos = (v.select("_tt_o", "_tt_pos")
                 .join(by_rank, F.col("_tt_pos") == F.col("_tt_j"))

@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import (TCol, compile_query, compile_step, env_of, is_staged,
-                              quoted)
+from ..functions.expr import (TCol, cast_to, compile_query, compile_step, env_of,
+                              is_staged, quoted)
 from ..vars import DEFAULT_VARS, substitute
 from . import order
 from .computed import REGISTRY, with_computed
@@ -242,8 +242,8 @@ def build_frame(trace: DataFrame, spec: dict, variables: dict | None = None,
     types = {o: _spark_type(kinds[o]) for o in outputs}
 
     def row(cols: list, ci: int):
-        fields = [t.col.cast(types[o]).alias(o) for o, t in zip(outputs, cols)]
-        return F.struct(*fields, F.lit(ci).cast("int").alias("c"))
+        fields = [cast_to(t, types[o].simpleString()).alias(o) for o, t in zip(outputs, cols)]
+        return F.struct(*fields, F.lit(ci).alias("c"))
 
     parts = []
     for base, items in compiled:

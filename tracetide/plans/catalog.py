@@ -355,6 +355,12 @@ def _frame(spark, sf_dir, name):
     return recipe_frame(spark, sf_dir, name)
 
 
+def _shared_frame(spark, sf_dir, name):
+    """A frame read by several actions (ranges, then a filter / raster)."""
+    from ..config import materialize
+    return materialize(recipe_frame(spark, sf_dir, name))
+
+
 RQ_SQL = _frame_sql("run_queue")
 FP_SQL = _frame_sql("freq_points")
 RQ_COLS = ["x0", "y0", "x1", "y1", "arg0", "arg1", "delta"]
@@ -452,7 +458,7 @@ MID_BOX_SQL = ("v AS (SELECT xmin + (xmax - xmin) / 4 AS xlo, xmax - (xmax - xmi
     "AND ((y0 >= ylo AND y0 <= yhi) OR (y0 <= ylo AND y1 >= yhi))"))
 def q_viewport_seg(spark, sf_dir):
     """EXP18 as stated (first end inside or spanning), middle half of the data range."""
-    frame = _frame(spark, sf_dir, "run_queue")
+    frame = _shared_frame(spark, sf_dir, "run_queue")
     box = _mid_box(_fo.data_ranges(frame).first())
     return frame.where(_fo.segment_viewport(*box))
 
@@ -463,7 +469,7 @@ def q_viewport_seg(spark, sf_dir):
     "AND least(y0, y1) <= yhi AND greatest(y0, y1) >= ylo"))
 def q_viewport_overlap(spark, sf_dir):
     """EXP18 variant: true overlap of the segment box and the viewport."""
-    frame = _frame(spark, sf_dir, "run_queue")
+    frame = _shared_frame(spark, sf_dir, "run_queue")
     box = _mid_box(_fo.data_ranges(frame).first())
     return frame.where(_fo.segment_viewport_overlap(*box))
 
@@ -473,7 +479,7 @@ def q_viewport_overlap(spark, sf_dir):
     "SELECT f.* FROM f, v WHERE x BETWEEN xlo AND xhi AND y BETWEEN ylo AND yhi"))
 def q_viewport_pt(spark, sf_dir):
     """EXP17: inclusive box on points."""
-    frame = _frame(spark, sf_dir, "freq_points")
+    frame = _shared_frame(spark, sf_dir, "freq_points")
     box = _mid_box(_fo.data_ranges(frame).first())
     return frame.where(_fo.point_viewport(*box))
 
@@ -510,7 +516,7 @@ def q_result_ranges(spark, sf_dir):
 @register("hover_sample")
 def q_hover(spark, sf_dir):
     """WIN8: viewport + hidden categories, sampled to at most ~100k rows (rows-only check)."""
-    frame = _frame(spark, sf_dir, "run_queue")
+    frame = _shared_frame(spark, sf_dir, "run_queue")
     spec = RECIPES["run_queue"]()
     box = _mid_box(_fo.data_ranges(frame).first())
     return _fo.hover_sample(frame, _fo.segment_viewport(*box), _fo.hidden_categories(spec))
@@ -529,7 +535,7 @@ def _pix_sql(v, lo, hi, size):
     "FROM f, r WHERE x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax GROUP BY 1, 2, 3"))
 def q_raster_points(spark, sf_dir):
     """AGG7: 64x32 point raster over the data range."""
-    frame = _frame(spark, sf_dir, "freq_points")
+    frame = _shared_frame(spark, sf_dir, "freq_points")
     r = _fo.data_ranges(frame).first()
     return _ra.point_raster(frame, (r["xmin"], r["xmax"]), (r["ymin"], r["ymax"]), 64, 32)
 
@@ -564,7 +570,7 @@ FULL_BOX_SQL = "v AS (SELECT xmin AS xlo, xmax AS xhi, ymin AS ylo, ymax AS yhi
 
 
 def _seg_raster(spark, sf_dir, zoom):
-    frame = _frame(spark, sf_dir, "run_queue")
+    frame = _shared_frame(spark, sf_dir, "run_queue")
     r = _fo.data_ranges(frame).first()
     if zoom:
         xlo, xhi, ylo, yhi = _mid_box(r)
