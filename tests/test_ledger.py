@@ -212,3 +212,29 @@ def test_stats_names_and_nan_skipping(spark):
     f = spark.createDataFrame([(1.0, 0), (float("nan"), 0), (3.0, 0)], "x double, c int")
     r = fo.category_stats(f).first()
     assert r["x.count"] == 2 and r["x.sum"] == 4.0 and r["x.mean"] == 2.0
+
+
+def test_extension_points(spark):
+    from tracetide.functions.expr import TCol, register_step_operator, STEP_OPERATORS
+    from tracetide.operators.computed import register_computed, REGISTRY
+    register_step_operator("double_it", lambda args: TCol(args[0].col * 2, args[0].kind))
+    register_computed("ts_x10", ["timestamp"], lambda df, v: df.withColumn("ts_x10", F.col("timestamp") * 10))
+    try:
+        t = spec_trace(spark)
+        got = with_computed(t, ["ts_x10"]).select("ts_x10").collect()
+        assert sorted(r[0] for r in got) == [1000, 1010, 1020, 1030]
+        env = env_of(t)
+        assert t.select(compile_step(["double_it", "cpu"], env).col.alias("d")).agg(F.sum("d")).first()[0] == 6
+        idx = spark.createDataFrame([("p1",), ("p2",)], "path string")
+        table = (runs.RunTable(idx).add_column("fname", runs.STRING, lambda d: F.col("path"))
+                 .add_column("n", runs.FLOAT, lambda d: F.length("fname"))
+                 .add_column("bad", runs.FLOAT, lambda d: F.lit("x")))
+        rows = table.build().collect()
+        assert [r["n"] for r in rows] == [2.0, 2.0] and all(math.isnan(r["bad"]) for r in rows)
+        seen = []
+        f = spark.createDataFrame([(1.0,)], "x double")
+        fo.apply_query(f, "x > 0", listeners=[seen.append])
+        assert seen and seen[0].applied
+    finally:
+        STEP_OPERATORS.pop("double_it", None)
+        REGISTRY.pop("ts_x10", None)

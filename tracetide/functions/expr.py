@@ -236,6 +236,17 @@ def is_staged(expr) -> bool:
     return False
 
 
+# UDF4: extra step operators, name -> function(list of TCol) -> TCol
+STEP_OPERATORS: dict = {}
+
+
+def register_step_operator(name: str, fn) -> None:
+    """Extend the step language with ``[name, arg, ...]``."""
+    if name in ("+", "-", "/", "rolling", "argsort", "query", "="):
+        raise ValueError(f"{name!r} is a built-in step")
+    STEP_OPERATORS[name] = fn
+
+
 def compile_step(expr, env: dict) -> TCol:
     """EXP3..EXP9: column reference, literal, n-ary + - / and nesting."""
     if isinstance(expr, bool):
@@ -250,6 +261,8 @@ def compile_step(expr, env: dict) -> TCol:
         op, args = expr[0], expr[1:]
         if op in ("rolling", "argsort"):
             raise StagedOperator(op)
+        if op in STEP_OPERATORS:
+            return STEP_OPERATORS[op]([compile_step(a, env) for a in args])
         fold = {"+": add, "-": sub, "/": div}.get(op)
         if fold is None:
             raise ValueError(f"{op!r} is not a step operator")

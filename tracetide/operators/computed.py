@@ -72,6 +72,23 @@ register("addr", ("addr",), None, ("arg0", "arg1"))
 register("comm", ("comm",), None, ("timestamp", "pid", "event", "arg0", "arg1"))
 
 
+USER_BUILDERS: dict = {}
+
+
+def register_computed(name: str, deps, builder) -> None:
+    """UDF2: register ``builder(df, variables) -> df`` adding column ``name``.
+
+    Dependencies (stored or computable) are added first; the first
+    registration of a name wins.
+    """
+    if name in REGISTRY:
+        import warnings
+        warnings.warn(f"{name} already registered; keeping the first")
+        return
+    register(name, ("user", name), None, tuple(deps))
+    USER_BUILDERS[name] = builder
+
+
 def _code(variables: dict, name: str) -> int:
     if name not in variables:
         raise KeyError(f"event {name!r} is not in the trace dictionary")
@@ -89,6 +106,10 @@ def with_computed(df: DataFrame, names, variables: dict | None = None,
     unknown = [n for n in todo if n not in REGISTRY]
     if unknown:
         raise KeyError(f"columns {unknown} are neither stored nor computable")
+    # computable dependencies first (memoised: each is added once)
+    deps = [d for n in todo for d in REGISTRY[n].deps if d not in df.columns and d in REGISTRY]
+    if deps:
+        df = with_computed(df, deps, variables, block_rows, time_block)
     families: dict = {}
     for n in todo:
         spec = REGISTRY[n]
@@ -125,6 +146,8 @@ def with_computed(df: DataFrame, names, variables: dict | None = None,
             df = with_addr(df)
         elif kind == "comm":
             df = with_comm(df, variables, time_block=time_block)
+        elif kind == "user":
+            df = USER_BUILDERS[family[1]](df, variables)
     return df
 
 

@@ -23,9 +23,18 @@ class QueryResult:
     error: str | None = None
 
 
-def apply_query(frame: DataFrame, text: str, variables: dict | None = None) -> QueryResult:
-    """EXP16: ``$NAME`` substitution, blank -> identity; an invalid query or one
-    with no rows falls back to the unfiltered frame."""
+def apply_query(frame: DataFrame, text: str, variables: dict | None = None,
+                listeners=()) -> QueryResult:
+    """EXP16 / UDF5: ``$NAME`` substitution, blank -> identity; an invalid query
+    or one with no rows falls back to the unfiltered frame.  Each listener is
+    called with the result (e.g. to refresh statistics)."""
+    result = _apply_query(frame, text, variables)
+    for listener in listeners:
+        listener(result)
+    return result
+
+
+def _apply_query(frame: DataFrame, text: str, variables: dict | None) -> QueryResult:
     try:
         text = substitute(text, variables or {}) if variables is not None else text
     except (KeyError, ValueError) as e:

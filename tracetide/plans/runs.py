@@ -192,3 +192,31 @@ def power_comparison(run_lines: DataFrame, run_docs: DataFrame, kernel: str | No
     return out.select(*keys, "perf_value_powersave", "perf_value_performance",
                       ratio(a, b).alias("power_perf"), ratio(b, a).alias("perf_power"),
                       ratio(a - b, a).alias("power_perf_power"), ratio(b - a, b).alias("perf_power_perf"))
+
+
+class RunTable:
+    """RUN1 / UDF1 / EXP24: a run table declared column by column.
+
+    Columns are added in order; each is ``(name, dtype, builder)`` where the
+    builder maps the table built so far to a Column (so later columns may read
+    earlier ones).  Failing cells take the dtype default (NaN / ``(NULL)``).
+    """
+
+    def __init__(self, index: DataFrame):
+        self.index = index
+        self.columns: list = []
+
+    def add_column(self, name: str, dtype: str, builder) -> "RunTable":
+        if dtype not in (FLOAT, STRING):
+            raise ValueError(f"{dtype} unsupported")
+        self.columns.append((name, dtype, builder))
+        return self
+
+    def columns_name(self) -> list:
+        return [c[0] for c in self.columns]
+
+    def build(self) -> DataFrame:
+        df = self.index
+        for name, dtype, builder in self.columns:
+            df = df.withColumn(name, typed(builder(df), dtype))
+        return df.select(*self.columns_name())

@@ -22,12 +22,25 @@ def read_dictionary(spark: SparkSession, path: str, priority: int = 1) -> DataFr
     return kept.select(parts[1].alias("key"), parts[0].alias("value"), F.lit(priority).alias("priority"))
 
 
+# UDF3: extra dictionary readers: fn(spark, path, priority) -> (key, value, priority)
+READERS: list = []
+
+
+def register_reader(fn) -> None:
+    READERS.append(fn)
+
+
 def dictionary_table(spark: SparkSession, paths: list) -> DataFrame:
     """SRC8: defaults, then each dictionary source in order (later overrides);
     within one source the first line of a name wins."""
     frames = [vars_frame(spark, DEFAULT_VARS, 0)]
     for i, p in enumerate(paths, start=1):
         d = read_dictionary(spark, p, i)
+        for reader in READERS:
+            try:
+                d = d.unionByName(reader(spark, p, i))
+            except Exception:  # noqa: BLE001 - a failing reader contributes nothing
+                pass
         frames.append(d.groupBy("key", "priority").agg(F.first("value").alias("value"))
                        .select("key", "value", "priority"))
     return merge_vars_frames(*frames)
