@@ -43,10 +43,11 @@ def require_columns(df: DataFrame, columns=REQUIRED_COLUMNS) -> None:
 
 
 def _event_code(event_type: Column) -> Column:
-    expr = F.lit(OTHER_EVENT_CODE)
-    for name, code in reversed(list(EVENT_CODE_BY_TYPE.items())):
-        expr = F.when(event_type == name, F.lit(code)).otherwise(expr)
-    return expr.cast("int")
+    # one flat CASE: Catalyst folds `event = k` into predicates on event_type
+    expr = None
+    for name, code in EVENT_CODE_BY_TYPE.items():
+        expr = F.when(event_type == name, F.lit(code)) if expr is None else expr.when(event_type == name, F.lit(code))
+    return expr.otherwise(F.lit(OTHER_EVENT_CODE))
 
 
 def trace_from_events(events: DataFrame, variant: str = "base") -> DataFrame:
