@@ -30,63 +30,67 @@ from ..functions.expr import kind_of, quoted
 SAMPLE_PER_BUCKET = 64
 
 
+def _count_le(bcols: list, kcols: list) -> np.ndarray:
+    """Per row: number of (lexicographically sorted) bounds <= the row's key."""
+    b0, k0 = bcols[0], kcols[0]
+    if len(bcols) == 1:
+        return np.searchsorted(b0, k0, side="right")
+    lo = np.searchsorted(b0, k0, side="left")
+    hi = np.searchsorted(b0, k0, side="right")
+    out = lo.copy()
+    tie = hi > lo
+    if tie.any():
+        for a, b in set(zip(lo[tie].tolist(), hi[tie].tolist())):
+            sel = tie & (lo == a) & (hi == b)
+            out[sel] = a + _count_le([c[a:b] for c in bcols[1:]], [k[sel] for k in kcols[1:]])
+    return out
+
+
 def _bucket_udf(bounds: list, ncols: int):
-    """Vectorised 'number of bounds <= key' for 1 or 2 sort columns."""
-    b0 = np.array([b[0] for b in bounds])
-    b1 = np.array([b[1] for b in bounds]) if ncols == 2 else None
+    """Vectorised 'number of bounds <= key' for composite sort keys."""
+    bcols = [np.array([b[i] for b in bounds]) for i in range(ncols)]
 
     @F.pandas_udf(T.IntegerType())
     def bucket(*cols: pd.Series) -> pd.Series:
-        k0 = cols[0].to_numpy()
-        if ncols == 1:
-            return pd.Series(np.searchsorted(b0, k0, side="right").astype("int32"))
-        k1 = cols[1].to_numpy()
-        lo = np.searchsorted(b0, k0, side="left")
-        hi = np.searchsorted(b0, k0, side="right")
-        out = lo.copy()
-        tie = hi > lo
-        if tie.any():
-            for a, b in set(zip(lo[tie].tolist(), hi[tie].tolist())):
-                sel = tie & (lo == a) & (hi == b)
-                out[sel] = a + np.searchsorted(b1[a:b], k1[sel], side="right")
-        return pd.Series(out.astype("int32"))
+        return pd.Series(_count_le(bcols, [c.to_numpy() for c in cols]).astype("int32"))
 
     return bucket
 
 
 def with_position(df: DataFrame, order_cols: list, out: str = "pos",
                   bucket_rows: int | None = None, seed: int = 17,
-                  checkpoint: bool = True) -> DataFrame:
-    """Add ``out``: dense 0-based position of each row ordered by ``order_cols``.
-
-    ``order_cols`` must be non-NULL and (together) unique, e.g. ``[key, "idx"]``.
-    The input is checkpointed first (``checkpoint=True``): the count, the
-    sample, the bucket counts and the numbering then all read it instead of
-    recomputing the upstream plan.
+                  checkpoint: bool = True, group: str | None = None) -> DataFrame:
+    """Add ``out``: dense 0-based position of each row ordered by ``order_cols``
+    (within each value of ``group`` when given).
+
+    ``order_cols`` must be non-NULL and (together, per group) unique, e.g.
+    ``[key, "idx"]``.  The input is checkpointed first (``checkpoint=True``):
+    the count, the sample, the bucket counts and the numbering then all read
+    it instead of recomputing the upstream plan.
     """
-    if len(order_cols) > 2:
-        raise ValueError("with_position supports one or two order columns")
     bucket_rows = bucket_rows or conf_int(df.sparkSession, "tracetide.bucket.rows")
-    cols = [quoted(c) for c in order_cols]
+    keys = ([group] if group else []) + list(order_cols)
+    cols = [quoted(c) for c in keys]
     if checkpoint:
         df = materialize(df)
     n = df.count()
     if n <= bucket_rows:
         # proven bound: at most bucket_rows rows in the single ordering task
-        w = Window.partitionBy(F.lit(0)).orderBy(*cols)
+        w = Window.partitionBy(quoted(group) if group else F.lit(0)).orderBy(
+            *[quoted(c) for c in order_cols])
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
     nb = int(math.ceil(n / bucket_rows))
     target = SAMPLE_PER_BUCKET * nb
     frac = min(1.0, target / n)
     sample = (df.select(*cols).sample(withReplacement=False, fraction=frac, seed=seed)
                 .limit(4 * target).collect())
-    keys = sorted(tuple(r) for r in sample)
+    skeys = sorted(tuple(r) for r in sample)
     bounds = []
     for i in range(1, nb):
-        b = keys[min(len(keys) - 1, (i * len(keys)) // nb)]
+        b = skeys[min(len(skeys) - 1, (i * len(skeys)) // nb)]
         if not bounds or b != bounds[-1]:
             bounds.append(b)
-    bucket = _bucket_udf(bounds, len(order_cols))
+    bucket = _bucket_udf(bounds, len(keys))
     staged = df.withColumn("_tt_bkt", bucket(*cols))
     counts = dict(staged.groupBy("_tt_bkt").count().collect())
     offsets, acc = [], 0
@@ -95,6 +99,14 @@ def with_position(df: DataFrame, order_cols: list, out: str = "pos",
         acc += int(counts.get(b, 0))
     w = Window.partitionBy("_tt_bkt").orderBy(*cols)
     pos = F.element_at(F.lit(offsets), F.col("_tt_bkt") + 1) + F.row_number().over(w) - 1
+    if group:
+        # global position over (group, key) minus the rows of smaller groups
+        sizes = sorted((r[0], r[1]) for r in df.groupBy(quoted(group)).count().collect())
+        starts, acc = [], 0
+        for g, c in sizes:
+            starts += [F.lit(g), F.lit(acc)]
+            acc += int(c)
+        pos = pos - F.element_at(F.create_map(*starts), quoted(group))
     return staged.withColumn(out, pos.cast("bigint")).drop("_tt_bkt")
 
 
@@ -106,32 +118,38 @@ def _valid(df: DataFrame, key: str) -> Column:
     return ok
 
 
-def rank(df: DataFrame, key: str, out: str, order: str = "idx", **kw) -> DataFrame:
-    """0-based rank by (key, order) among rows with a valid key; others -1.
-
-    Equals ``argsort(argsort(key))`` when the key has no NaN.
+def rank(df: DataFrame, key: str, out: str, order: str = "idx", group: str | None = None,
+         **kw) -> DataFrame:
+    """0-based rank by (key, order) among rows with a valid key (within
+    ``group``); others -1.  Equals ``argsort(argsort(key))`` when the key has
+    no NaN.
     """
     ok = _valid(df, key)
-    valid = with_position(df.where(ok), [key, order], out, **kw)
+    valid = with_position(df.where(ok), [key, order], out, group=group, **kw)
     invalid = df.where(~ok).withColumn(out, F.lit(-1).cast("bigint"))
     return valid.unionByName(invalid)
 
 
-def argsort(df: DataFrame, key: str, out: str, order: str = "idx", **kw) -> DataFrame:
+def argsort(df: DataFrame, key: str, out: str, order: str = "idx", group: str | None = None,
+            **kw) -> DataFrame:
     """``out`` at the j-th row (in ``order``) = position of the j-th smallest key.
 
     Positions are counted among rows with a valid key; NaN/NULL rows get -1.
     Ties are broken by ``order`` (stable).
     """
     ok = _valid(df, key)
-    v = df.where(ok).select(quoted(order).alias("_tt_o"), quoted(key).alias("_tt_k"))
-    v = with_position(v, ["_tt_o"], "_tt_pos", **kw)
-    v = with_position(materialize(v), ["_tt_k", "_tt_o"], "_tt_rank", checkpoint=False, **kw)
-    by_rank = v.select(F.col("_tt_rank").alias("_tt_j"), F.col("_tt_pos").alias("_tt_src"))
-    at_pos = (v.select("_tt_o", "_tt_pos")
-                .join(by_rank, F.col("_tt_pos") == F.col("_tt_j"))
-                .select(F.col("_tt_o").alias(order), "_tt_src"))
-    return (df.join(at_pos, on=order, how="left")
+    g = [quoted(group).alias("_tt_g")] if group else [F.lit(0).alias("_tt_g")]
+    v = df.where(ok).select(quoted(order).alias("_tt_o"), quoted(key).alias("_tt_k"), *g)
+    v = with_position(v, ["_tt_o"], "_tt_pos", group="_tt_g", **kw)
+    v = with_position(materialize(v), ["_tt_k", "_tt_o"], "_tt_rank", checkpoint=False,
+                      group="_tt_g", **kw)
+    by_rank = v.select(F.col("_tt_g").alias("_tt_g2"), F.col("_tt_rank").alias("_tt_j"),
+                       F.col("_tt_pos").alias("_tt_src"))
+    at_pos = (v.select("_tt_o", "_tt_g", "_tt_pos")
+                .join(by_rank, (F.col("_tt_pos") == F.col("_tt_j")) & (F.col("_tt_g") == F.col("_tt_g2")))
+                .select(F.col("_tt_o").alias(order), *([F.col("_tt_g").alias(group)] if group else []),
+                        "_tt_src"))
+    return (df.join(at_pos, on=[order] + ([group] if group else []), how="left")
               .withColumn(out, F.coalesce(F.col("_tt_src"), F.lit(-1)).cast("bigint"))
               .drop("_tt_src"))
 
@@ -141,7 +159,7 @@ ROLLING_OPS = ("sum", "mean", "median")
 
 def rolling(df: DataFrame, window: int, op: str, key, out: str | None = None,
             order: str = "idx", block_rows: int | None = None, digits: int | None = None,
-            pos_col: str | None = None, **kw) -> DataFrame:
+            pos_col: str | None = None, group: str | None = None, **kw) -> DataFrame:
     """Trailing ``window``-row aggregate in ``order``; NULL until the window is
     full or when any value inside it is NaN/NULL.
 
@@ -159,7 +177,7 @@ def rolling(df: DataFrame, window: int, op: str, key, out: str | None = None,
     w = window
     block = max(4 * w, block_rows or conf_int(df.sparkSession, "tracetide.rolling.block"))
     if pos_col is None:
-        p = with_position(df, [order], "_tt_pos", **kw)
+        p = with_position(df, [order], "_tt_pos", group=group, **kw)
         pos = "_tt_pos"
     else:
         p, pos = df, pos_col
@@ -171,7 +189,7 @@ def rolling(df: DataFrame, window: int, op: str, key, out: str | None = None,
                  .withColumn("_tt_blk", F.col("_tt_blk") + 1)
                  .withColumn("_tt_own", F.lit(False)))
         parts = parts.unionByName(halo)
-    wp = Window.partitionBy("_tt_blk").orderBy(pos)
+    wp = Window.partitionBy(*([quoted(group)] if group else []), "_tt_blk").orderBy(pos)
     run = wp.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     frame = wp.rowsBetween(-(w - 1), Window.currentRow)
     complete = F.col(pos) >= (w - 1)

@@ -86,8 +86,10 @@ def _pure_pipeline(steps: list, env: dict):
 
 
 def _staged_pipeline(df: DataFrame, steps: list, position_kw: dict,
-                     rolling_digits: int | None = None, memo: dict | None = None) -> DataFrame:
+                     rolling_digits: int | None = None, memo: dict | None = None,
+                     group: str | None = None) -> DataFrame:
     cur = df
+    position_kw = dict(position_kw, group=group)
     state = {"tmp": 0, "pos": False}
     memo = {} if memo is None else memo
     i = 0
@@ -179,6 +181,31 @@ def _staged_pipeline(df: DataFrame, steps: list, position_kw: dict,
     return cur.drop("_tt_pos") if "_tt_pos" in cur.columns else cur
 
 
+def _assigned(steps: list) -> set:
+    return {st[1] for st in steps if st[0] == "="}
+
+
+def _batchable(pres: list, env: dict) -> bool:
+    """Prefixes can share one tagged fan-out when they assign the same columns."""
+    names = [_assigned(p) for p in pres]
+    return all(n == names[0] for n in names)
+
+
+def _tag_prefixes(df: DataFrame, pres: list, env: dict) -> DataFrame:
+    """One scan: every row once per matching prefix, tagged ``_tt_g`` = prefix number."""
+    compiled = [_pure_pipeline(p, env) for p in pres]
+    names = list(env) + sorted(_assigned(pres[0]) - set(env))
+    kinds = {n: _unify([c[1][n].kind for c in compiled]) for n in names}
+    types = {n: _spark_type(kinds[n]).simpleString() for n in names}
+    structs = [F.when(cond, F.struct(*[cast_to(e[n], types[n]).alias(n) for n in names],
+                                      F.lit(t).alias("_tt_g")))
+               for t, (cond, e) in enumerate(compiled)]
+    arr = F.array(*structs)
+    return (df.where(reduce(lambda a, b: a | b, [c[0] for c in compiled]))
+              .select(F.explode(F.filter(arr, lambda r: r.isNotNull())).alias("_tt_r"))
+              .select("_tt_r.*"))
+
+
 def _spark_type(kind: str) -> T.DataType:
     return {"float": T.DoubleType(), "int": T.LongType(), "bool": T.BooleanType(),
             "str": T.StringType()}[kind]
@@ -212,30 +239,60 @@ def build_frame(trace: DataFrame, spec: dict, variables: dict | None = None,
         df = normalise_time(df)
     outputs = [o for o in spec["output"] if o != "c"]
 
-    # Group pipelines by their order-dependent prefix (up to the last rolling /
-    # argsort step): each distinct prefix is computed once, the remaining
-    # filter/assign steps of all its pipelines fan out over it in one scan.
+    # Pipelines with order-dependent steps (rolling / argsort) are grouped by
+    # that staged part.  Their distinct leading filter/assign steps are fanned
+    # out in one scan with a tag column, the staged part runs once per group
+    # with the tag as partition (positions restart per tag), and the trailing
+    # filter/assign steps of every pipeline fan out over the result.
     groups: dict = {}
     for ci, cat in enumerate(spec["c"]):
         for steps in cat["concatenate"]:
-            last = max([k for k, st in enumerate(steps) if st[0] == "=" and is_staged(st[2])],
-                       default=-1)
-            prefix, suffix = steps[:last + 1], steps[last + 1:]
-            groups.setdefault(json.dumps(prefix), (prefix, []))[1].append((ci, suffix))
-
+            staged_at = [k for k, st in enumerate(steps) if st[0] == "=" and is_staged(st[2])]
+            if not staged_at:
+                groups.setdefault(None, []).append((ci, [], [], steps))
+                continue
+            first, last = staged_at[0], staged_at[-1]
+            pre, mid, suffix = steps[:first], steps[first:last + 1], steps[last + 1:]
+            groups.setdefault(json.dumps(mid), []).append((ci, pre, mid, suffix))
+
+    base_env = env_of(df)
     compiled = []  # (base frame, [(ci, cond, output TCols)])
     memo: dict = {}
-    for prefix, members in groups.values():
-        base = _staged_pipeline(df, prefix, position_kw, rolling_digits, memo) if prefix else df
-        env0 = env_of(base)
-        items = []
-        for ci, suffix in members:
-            try:
-                cond, env = _pure_pipeline(suffix, env0)
-                items.append((ci, cond, [env[o] for o in outputs]))
-            except KeyError as e:
-                raise SpecError(f"category {ci}: {e}") from e
-        compiled.append((base, items))
+    for key, members in groups.items():
+        if key is None:
+            bases = [(df, None, members)]
+        else:
+            pres = list(dict.fromkeys(json.dumps(m[1]) for m in members))
+            mid = members[0][2]
+            if len(pres) > 1 and _batchable([json.loads(p) for p in pres], base_env):
+                tagged = _tag_prefixes(df, [json.loads(p) for p in pres], base_env)
+                staged_df = _staged_pipeline(tagged, mid, position_kw, rolling_digits, group="_tt_g")
+                bases = [(staged_df, pres.index(json.dumps(m[1])), [m]) for m in members]
+            else:
+                shared: dict = {}
+                for m in members:  # identical prefixes are computed once
+                    k = json.dumps(m[1])
+                    if k not in shared:
+                        shared[k] = _staged_pipeline(df, m[1] + mid, position_kw, rolling_digits, memo)
+                bases = [(shared[json.dumps(m[1])], None, [m]) for m in members]
+        for base, tag, items_in in bases:
+            env0 = env_of(base)
+            items = []
+            for ci, _, _, suffix in items_in:
+                try:
+                    cond, env = _pure_pipeline(suffix, env0)
+                    if tag is not None:
+                        cond = cond & (F.col("_tt_g") == tag)
+                    items.append((ci, cond, [env[o] for o in outputs]))
+                except KeyError as e:
+                    raise SpecError(f"category {ci}: {e}") from e
+            # pipelines over the same base frame share one fan-out
+            for c in compiled:
+                if c[0] is base:
+                    c[1].extend(items)
+                    break
+            else:
+                compiled.append((base, items))
 
     kinds = {o: _unify([cols[k].kind for _, items in compiled for _, _, cols in items])
              for k, o in enumerate(outputs)}
