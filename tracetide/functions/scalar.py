@@ -22,6 +22,16 @@ def comm_from_addr(addr: Column) -> Column:
     return F.array_join(F.transform(kept, lambda b: F.char(b)), "")
 
 
+def basename(path: Column) -> Column:
+    """FN5: last path component."""
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def extension(path: Column) -> Column:
+    """FN5: extension of the last path component, with the dot ('' if none)."""
+    return F.regexp_extract(basename(path), r"(\.[^.]*)$", 1)
+
+
 def hex_channel(color: Column, channel: int) -> Column:
     """FN12: ``#rrggbb`` -> integer value of one channel (0=r, 1=g, 2=b)."""
     return F.conv(F.substring(color, 2 + 2 * channel, 2), 16, 10).cast("int")

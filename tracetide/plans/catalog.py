@@ -871,3 +871,25 @@ def q_ingest(spark, sf_dir):
     _raw.write_raw_files(load_trace(spark, sf_dir), _os.path.join(d, "raw")).collect()
     out = ingest_raw(spark, _os.path.join(d, "raw"), _os.path.join(d, "out"))
     return spark.read.parquet(out).select("idx", "timestamp", "comm", *INGEST_COLUMNS)
+
+
+# --------------------------------------------------------------------- scalar aggregates
+
+@register("trace_count", _with() + "SELECT CAST(count(*) AS BIGINT) AS n FROM trace")
+def q_count(spark, sf_dir):
+    """AGG3: number of records in the trace."""
+    return load_trace(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("first_timestamp", _with() + (
+    "SELECT arg_min(timestamp, idx) AS t0_first, min(timestamp) AS t0_min FROM trace"))
+def q_first_ts(spark, sf_dir):
+    """AGG13: timestamp of the first row and the minimum timestamp (one pass)."""
+    return load_trace(spark, sf_dir).agg(F.min_by("timestamp", "idx").alias("t0_first"),
+                                         F.min("timestamp").alias("t0_min"))
+
+
+@register("distinct_events", _with("trace18") + "SELECT DISTINCT event FROM trace ORDER BY event")
+def q_distinct_events(spark, sf_dir):
+    """AGG11: sorted distinct event codes."""
+    return load_trace(spark, sf_dir, "trace18").select("event").distinct().orderBy("event")

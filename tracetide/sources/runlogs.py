@@ -37,10 +37,12 @@ JSON_MEMBERS = ("phoronix.json", "report.main.json")
 def list_files(spark: SparkSession, directory: str, ext: str, regexp: str = ".*") -> DataFrame:
     """SRC11 / SRC12: recursive listing, extension equality, regex anchored at
     the path start, sorted; only metadata is read (content is pruned)."""
+    from ..functions.scalar import basename, extension
     df = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
                .option("pathGlobFilter", f"*{ext}").load(directory)
                .select(F.regexp_replace("path", "^file:", "").alias("path"), "length"))
-    return df.where(F.col("path").rlike("^(?:" + regexp + ")")).orderBy("path")
+    df = df.where((extension(F.col("path")) == ext) & F.col("path").rlike("^(?:" + regexp + ")"))
+    return df.withColumn("name", basename(F.col("path"))).orderBy("path")
 
 
 def _unpack_archives(batches):
