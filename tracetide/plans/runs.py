@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 from ..functions.scalar import pattern_to_regex, var_from_path
 
@@ -75,35 +76,42 @@ def first_pattern_matches(run_lines: DataFrame, patterns: list) -> DataFrame:
     return run_lines.groupBy("path").agg(*aggs)
 
 
+RESULT_SCHEMA = T.StructType([T.StructField("results", T.ArrayType(T.StructType([
+    T.StructField("test", T.StringType()), T.StructField("arguments", T.StringType()),
+    T.StructField("units", T.StringType()),
+    T.StructField("results", T.StructType([T.StructField("schedrecord", T.StructType([
+        T.StructField("value", T.StringType())]))]))])))])
+
+
+def result_entries(run_docs: DataFrame, member: str = "phoronix.json") -> DataFrame:
+    """FN3 / FN4: one row per ``results`` entry: path, doc_no, pos, test,
+    arguments, units, value (text)."""
+    return (run_docs.where(F.col("member") == member)
+                    .select("path", "doc_no", F.posexplode(F.from_json("doc", RESULT_SCHEMA)["results"])
+                            .alias("pos", "r"))
+                    .select("path", "doc_no", "pos", F.col("r.test").alias("test"),
+                            F.col("r.arguments").alias("arguments"), F.col("r.units").alias("units"),
+                            F.col("r.results.schedrecord.value").alias("value")))
+
+
 def nth_results(run_docs: DataFrame, n: int = MAX_RESULTS, member: str = "phoronix.json") -> DataFrame:
-    """FN3 / FN4: ``results`` entries of the member's documents in document
-    order; the first ``n`` per path as columns ``phoro_{test,args,units,value}{i}``.
-
-    Bounded top-n per path by repeated ``min_by`` over a shrinking set (no
-    per-path collect)."""
-    entry = T.StructType([
-        T.StructField("test", T.StringType()), T.StructField("arguments", T.StringType()),
-        T.StructField("units", T.StringType()),
-        T.StructField("results", T.StructType([T.StructField("schedrecord", T.StructType([
-            T.StructField("value", T.StringType())]))]))])
-    schema = T.StructType([T.StructField("results", T.ArrayType(entry))])
-    parsed = run_docs.where(F.col("member") == member).select(
-        "path", "doc_no", F.posexplode(F.from_json("doc", schema)["results"]).alias("pos", "r"))
-    ordered = parsed.select("path", F.struct("doc_no", "pos").alias("o"), "r")
-    out = None
-    remaining = ordered
+    """The first ``n`` result entries per path (document order) as columns
+    ``phoro_{test,args,units,value}{i}``.
+
+    ``row_number() <= n`` lets Spark apply a partial per-task top-n before the
+    shuffle (window group limit), so a path with a huge share of the entries
+    still ships at most n rows per task."""
+    w = Window.partitionBy("path").orderBy("doc_no", "pos")
+    top = (result_entries(run_docs, member).withColumn("_tt_rn", F.row_number().over(w))
+           .where(F.col("_tt_rn") <= n))
+    aggs = []
     for i in range(n):
-        best = remaining.groupBy("path").agg(F.min_by("r", "o").alias(f"_r{i}"), F.min("o").alias(f"_o{i}"))
-        cols = best.select("path",
-                           F.col(f"_r{i}.test").alias(f"phoro_test{i}"),
-                           F.col(f"_r{i}.arguments").alias(f"phoro_args{i}"),
-                           F.col(f"_r{i}.units").alias(f"phoro_units{i}"),
-                           F.col(f"_r{i}.results.schedrecord.value").alias(f"phoro_value{i}"))
-        out = cols if out is None else out.join(cols, on="path", how="left")
-        if i + 1 < n:
-            remaining = (remaining.join(best.select("path", f"_o{i}"), on="path")
-                                  .where(F.col("o") > F.col(f"_o{i}")).drop(f"_o{i}"))
-    return out
+        hit = F.col("_tt_rn") == i + 1
+        aggs += [F.max(F.when(hit, F.col("test"))).alias(f"phoro_test{i}"),
+                 F.max(F.when(hit, F.col("arguments"))).alias(f"phoro_args{i}"),
+                 F.max(F.when(hit, F.col("units"))).alias(f"phoro_units{i}"),
+                 F.max(F.when(hit, F.col("value"))).alias(f"phoro_value{i}")]
+    return top.groupBy("path").agg(*aggs)
 
 
 def json_field(run_docs: DataFrame, name: str, member: str, json_path: str) -> DataFrame:
@@ -163,17 +171,8 @@ def power_comparison(run_lines: DataFrame, run_docs: DataFrame, kernel: str | No
     pairs = (first.where("mode = 'powersave'").select("phoronix", F.col("p").alias("fpowersave"))
                   .join(first.where("mode = 'performance'").select("phoronix", F.col("p").alias("fperformance")),
                         "phoronix"))
-    entry = T.StructType([
-        T.StructField("test", T.StringType()), T.StructField("arguments", T.StringType()),
-        T.StructField("units", T.StringType()),
-        T.StructField("results", T.StructType([T.StructField("schedrecord", T.StructType([
-            T.StructField("value", T.StringType())]))]))])
-    schema = T.StructType([T.StructField("results", T.ArrayType(entry))])
-    res = (run_docs.where(F.col("member") == "phoronix.json")
-                   .select("path", "doc_no", F.posexplode(F.from_json("doc", schema)["results"]).alias("pos", "r"))
-                   .select("path", F.struct("doc_no", "pos").alias("o"), F.col("r.test").alias("test"),
-                           F.col("r.arguments").alias("arguments"), F.col("r.units").alias("units"),
-                           F.col("r.results.schedrecord.value").alias("value")))
+    res = (result_entries(run_docs)
+           .select("path", F.struct("doc_no", "pos").alias("o"), "test", "arguments", "units", "value"))
     keys = ["test", "arguments", "units"]
     # JOIN6: powersave results whose key exists in the performance run (duplicates kept)
     left = res.join(pairs.select(F.col("fpowersave").alias("path"), "fperformance"), "path")

@@ -76,8 +76,28 @@ def trace_from_events(events: DataFrame, variant: str = "base") -> DataFrame:
     )
 
 
+REPLICATE_ID_STRIDE = 1 << 32
+REPLICATE_TIME_STRIDE_US = 40 * 24 * 3600 * 1_000_000
+
+
 def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/events.parquet")
+    """The driver's ``events`` table.
+
+    ``tracetide.fixture.replicate=k`` (scaling experiments only) appends k-1
+    copies after the original, ids and times shifted, users unchanged, so
+    every key group grows k-fold.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    k = int(spark.conf.get("tracetide.fixture.replicate", "1") or 1)
+    if k <= 1:
+        return events
+    rep = events.withColumn("_tt_copy", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    return rep.select(
+        (F.col("event_id") + F.col("_tt_copy") * REPLICATE_ID_STRIDE).alias("event_id"),
+        (F.col("ts") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0),
+                                          (F.col("_tt_copy") * (REPLICATE_TIME_STRIDE_US // 1_000_000)).cast("decimal(18,6)"))
+         ).alias("ts"),
+        "user_id", "event_type", "value", "props")
 
 
 def load_trace(spark: SparkSession, sf_dir: str, variant: str = "base") -> DataFrame:
