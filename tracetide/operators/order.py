@@ -164,25 +164,40 @@ def rolling(df: DataFrame, window: int, op: str, key, out: str | None = None,
     full or when any value inside it is NaN/NULL.
 
     ``key`` is a column name (result in ``out``) or a dict ``{out: key}`` to
-    compute several columns in the same window pass.  ``pos_col`` names an
-    existing dense position column (0..n-1 in ``order``) to reuse.
+    compute several columns in the same window pass.  See :func:`rolling_many`.
+    """
+    targets = dict(key) if isinstance(key, dict) else {out: key}
+    return rolling_many(df, op, [(window, o, k) for o, k in targets.items()], order=order,
+                        block_rows=block_rows, digits=digits, pos_col=pos_col, group=group, **kw)
+
+
+def rolling_many(df: DataFrame, op: str, targets: list, order: str = "idx",
+                 block_rows: int | None = None, digits: int | None = None,
+                 pos_col: str | None = None, group: str | None = None, **kw) -> DataFrame:
+    """Several trailing-window aggregates ``(window, out, key)`` in one pass.
+
+    Rows are cut into position blocks of ``max(4 * max window, rolling.block)``
+    rows plus a halo with the previous ``max window`` rows, partitioned by
+    ``(group, block)``.  Sum / mean: exact decimal prefix sums per key, shared
+    by all windows (O(1) per row and window).  ``pos_col`` names an existing
+    dense position column (0..n-1 in ``order``, per group) to reuse.
     ``digits`` (sum/mean only): round half-up to that many decimals in exact
     decimal arithmetic before converting to double.
     """
-    if not isinstance(window, int) or isinstance(window, bool) or window < 1:
-        raise ValueError(f"rolling window must be a positive int, got {window!r}")
     if op not in ROLLING_OPS:
         raise ValueError(f"rolling op must be one of {ROLLING_OPS}, got {op!r}")
-    targets = dict(key) if isinstance(key, dict) else {out: key}
-    w = window
-    block = max(4 * w, block_rows or conf_int(df.sparkSession, "tracetide.rolling.block"))
+    for w, _, _ in targets:
+        if not isinstance(w, int) or isinstance(w, bool) or w < 1:
+            raise ValueError(f"rolling window must be a positive int, got {w!r}")
+    wmax = max(w for w, _, _ in targets)
+    block = max(4 * wmax, block_rows or conf_int(df.sparkSession, "tracetide.rolling.block"))
     if pos_col is None:
         p = with_position(df, [order], "_tt_pos", group=group, **kw)
         pos = "_tt_pos"
     else:
         p, pos = df, pos_col
     p = p.withColumn("_tt_blk", F.floor(F.col(pos) / F.lit(block)).cast("bigint"))
-    halo_rows = w if op in ("sum", "mean") else w - 1
+    halo_rows = wmax if op in ("sum", "mean") else wmax - 1
     parts = p.withColumn("_tt_own", F.lit(True))
     if halo_rows > 0:
         halo = (p.where(F.pmod(F.col(pos), F.lit(block)) >= block - halo_rows)
@@ -191,21 +206,22 @@ def rolling(df: DataFrame, window: int, op: str, key, out: str | None = None,
         parts = parts.unionByName(halo)
     wp = Window.partitionBy(*([quoted(group)] if group else []), "_tt_blk").orderBy(pos)
     run = wp.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    frame = wp.rowsBetween(-(w - 1), Window.currentRow)
-    complete = F.col(pos) >= (w - 1)
-    helpers = []
-    outs = {}
-    for i, (o, k_name) in enumerate(targets.items()):
+    helpers, outs, prefix = [], {}, {}
+    for w, o, k_name in targets:
         is_float = kind_of(df.schema[k_name].dataType) == "float"
         k = quoted(k_name)
         bad = k.isNull() | (F.isnan(k) if is_float else F.lit(False))
+        complete = F.col(pos) >= (w - 1)
         if op in ("sum", "mean"):
             dec = "decimal(38,10)" if is_float else "decimal(38,0)"
-            val = F.when(bad, F.lit(0)).otherwise(k).cast(dec)
-            cs, cb = f"_tt_cs{i}", f"_tt_cb{i}"
-            parts = (parts.withColumn(cs, F.sum(val).over(run))
-                          .withColumn(cb, F.sum(bad.cast("int")).over(run)))
-            helpers += [cs, cb]
+            if k_name not in prefix:
+                cs, cb = f"_tt_cs{len(prefix)}", f"_tt_cb{len(prefix)}"
+                val = F.when(bad, F.lit(0)).otherwise(k).cast(dec)
+                parts = (parts.withColumn(cs, F.sum(val).over(run))
+                              .withColumn(cb, F.sum(bad.cast("int")).over(run)))
+                helpers += [cs, cb]
+                prefix[k_name] = (cs, cb)
+            cs, cb = prefix[k_name]
             s = F.col(cs) - F.coalesce(F.lag(cs, w).over(wp), F.lit(0).cast(dec))
             nbad = F.col(cb) - F.coalesce(F.lag(cb, w).over(wp), F.lit(0))
             div = 1 if op == "sum" else w
@@ -216,6 +232,7 @@ def rolling(df: DataFrame, window: int, op: str, key, out: str | None = None,
                 q = F.floor((s * F.lit(2 * scale) + F.lit(div)) / F.lit(2 * div))
                 agg = q.cast("double") / F.lit(float(scale))
         else:
+            frame = wp.rowsBetween(-(w - 1), Window.currentRow)
             nbad = F.sum(bad.cast("int")).over(frame)
             agg = F.percentile(k.cast("double"), F.lit(0.5)).over(frame)
         outs[o] = F.when(complete & (nbad == 0), agg)

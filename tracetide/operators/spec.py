@@ -181,6 +181,46 @@ def _staged_pipeline(df: DataFrame, steps: list, position_kw: dict,
     return cur.drop("_tt_pos") if "_tt_pos" in cur.columns else cur
 
 
+def _rolling_only(mid: list):
+    """(op, window, ((name, key), ...)) if every step is name = rolling(w, op, key)."""
+    specs = []
+    for st in mid:
+        e = st[2]
+        if not (isinstance(e, list) and len(e) == 4 and e[0] == "rolling" and isinstance(e[3], str)):
+            return None
+        specs.append((e[2], e[1], st[1], e[3]))
+    ops, ws = {x[0] for x in specs}, {x[1] for x in specs}
+    names = [x[2] for x in specs]
+    if len(ops) != 1 or len(ws) != 1 or len(set(names)) != len(names) or set(names) & {x[3] for x in specs}:
+        return None
+    return specs[0][0], specs[0][1], tuple((x[2], x[3]) for x in specs)
+
+
+def _merge_rolling_groups(groups: dict) -> dict:
+    """Rolling-only groups with the same prefix and op (different windows) -> one
+    multi-window group: all windows come out of one prefix-sum pass."""
+    buckets: dict = {}
+    for key, members in groups.items():
+        if key is None:
+            continue
+        ro = _rolling_only(members[0][2])
+        pres = {json.dumps(m[1]) for m in members}
+        if ro is None or len(pres) != 1:
+            continue
+        buckets.setdefault((pres.pop(), ro[0]), []).append((key, ro))
+    out = dict(groups)
+    for (pre, op), entries in buckets.items():
+        if len(entries) < 2:
+            continue
+        windows = []
+        members = []
+        for key, ro in entries:
+            windows.append((ro[1], ro[2]))
+            members += out.pop(key)
+        out[("rolling-many", pre, op, tuple(windows))] = members
+    return out
+
+
 def _assigned(steps: list) -> set:
     return {st[1] for st in steps if st[0] == "="}
 
@@ -255,10 +295,28 @@ def build_frame(trace: DataFrame, spec: dict, variables: dict | None = None,
             pre, mid, suffix = steps[:first], steps[first:last + 1], steps[last + 1:]
             groups.setdefault(json.dumps(mid), []).append((ci, pre, mid, suffix))
 
+    groups = _merge_rolling_groups(groups)
     base_env = env_of(df)
     compiled = []  # (base frame, [(ci, cond, output TCols)])
     memo: dict = {}
     for key, members in groups.items():
+        if isinstance(key, tuple) and key[0] == "rolling-many":
+            _, pre, op, windows = key
+            base = _staged_pipeline(df, json.loads(pre), position_kw, rolling_digits, memo)
+            targets = [(w, f"_tt_r{w}_{name}", k) for w, names in windows for name, k in names]
+            pos = order.with_position(base, ["idx"], "_tt_pos", **position_kw)
+            base = order.rolling_many(pos, op, targets, digits=rolling_digits, pos_col="_tt_pos",
+                                      **position_kw).drop("_tt_pos")
+            env0 = env_of(base)
+            items = []
+            for ci, _, mid, suffix in members:
+                env = dict(env0)
+                for st in mid:
+                    env[st[1]] = env0[f"_tt_r{st[2][1]}_{st[1]}"]
+                cond, env = _pure_pipeline(suffix, env)
+                items.append((ci, cond, [env[o] for o in outputs]))
+            compiled.append((base, items))
+            continue
         if key is None:
             bases = [(df, None, members)]
         else:

@@ -76,6 +76,16 @@ def trace_from_events(events: DataFrame, variant: str = "base") -> DataFrame:
     )
 
 
+def spread_small_input(df: DataFrame) -> DataFrame:
+    """An input with fewer scan splits than task slots (e.g. one parquet row
+    group) would run every map-side operator in one task: spread it once,
+    round-robin.  Inputs with enough splits (the cluster case) are untouched."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
+
+
 REPLICATE_ID_STRIDE = 1 << 32
 REPLICATE_TIME_STRIDE_US = 40 * 24 * 3600 * 1_000_000
 
@@ -88,6 +98,7 @@ def load_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     every key group grows k-fold.
     """
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events = spread_small_input(events)
     k = int(spark.conf.get("tracetide.fixture.replicate", "1") or 1)
     if k <= 1:
         return events
