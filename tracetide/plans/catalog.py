@@ -6,14 +6,33 @@ and runs over the whole table.
 
 from __future__ import annotations
 
+import os as _os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.spec import build_frame, category_table
-from ..trace import LB_EXTRA_VARS, load_trace
-from ..vars import DEFAULT_VARS, merge_vars
+from ..functions.scalar import pattern_to_regex as _p2r
+from ..operators import frame_ops as _fo
+from ..operators import order as _order
+from ..operators import raster as _ra
+from ..operators.computed import comm_dictionary, with_comm, with_computed
+from ..operators.search import block_to_wakeup, next_same_event_pattern, search
+from ..operators.spec import build_frame, category_table, normalise_time
+from ..operators.spec import categories as _categories
+from ..sources import archive as _archive
+from ..sources import dictionary as _dictionary
+from ..sources import raw as _raw
+from ..sources import sinks as _sinks
+from ..sources import text as _text
+from ..sources.runlogs import run_logs_from_events
+from ..streaming.run_stream import run_table_stream_from_logs, scratch_dir
+from ..trace import (EVENT_CODE_BY_TYPE, LB_EXTRA_VARS, OTHER_EVENT_CODE, load_events,
+                     load_trace, with_addr)
+from ..vars import DEFAULT_VARS, merge_vars, merge_vars_frames, vars_frame
 from . import oracle
+from . import runs as _runs
+from .ingest import INGEST_COLUMNS, ingest_raw
 from .recipes import RECIPES
 
 # Test dictionary: defaults + the balancing pairs of the trace_lb fixture +
@@ -80,13 +99,6 @@ def _recipe_categories(name):
 
 # --------------------------------------------------------------------- trace & computed columns
 
-from ..operators import order as _order  # noqa: E402
-from ..operators.computed import comm_dictionary, with_comm, with_computed  # noqa: E402
-from ..operators.search import (block_to_wakeup, next_same_event_pattern,  # noqa: E402
-                                search)
-from ..operators.spec import normalise_time  # noqa: E402
-from ..trace import with_addr  # noqa: E402
-from ..vars import merge_vars_frames, vars_frame  # noqa: E402
 
 TRACE_COLS = "idx, timestamp, cpu, pid, event, arg0, arg1"
 
@@ -177,7 +189,7 @@ def q_comm(spark, sf_dir):
 VARS_SQL = (
     "WITH d(key, value) AS (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in DEFAULT_VARS.items()) + "), "
     "t AS (SELECT DISTINCT upper(event_type) AS key, CAST(CASE event_type "
-    + " ".join(f"WHEN '{t}' THEN {c}" for t, c in __import__('tracetide.trace', fromlist=['x']).EVENT_CODE_BY_TYPE.items())
+    + " ".join(f"WHEN '{t}' THEN {c}" for t, c in EVENT_CODE_BY_TYPE.items())
     + " ELSE 13 END AS VARCHAR) AS value FROM events), "
     "u AS (SELECT key, value, 0 AS pr FROM d UNION ALL SELECT key, value, 1 AS pr FROM t) "
     "SELECT '$' || key AS key, arg_max(value, pr) AS value FROM u GROUP BY key")
@@ -187,7 +199,6 @@ VARS_SQL = (
 def q_vars(spark, sf_dir):
     """SRC8 / EXP2: defaults overridden by the trace's own dictionary (event
     names of the events table with their codes)."""
-    from ..trace import EVENT_CODE_BY_TYPE, OTHER_EVENT_CODE, load_events
     ev = load_events(spark, sf_dir).select("event_type").distinct()
     code = F.lit(OTHER_EVENT_CODE)
     for t, c in reversed(list(EVENT_CODE_BY_TYPE.items())):
@@ -342,10 +353,6 @@ def q_asof(spark, sf_dir):
 
 # --------------------------------------------------------------------- frame operations
 
-from ..operators import frame_ops as _fo  # noqa: E402
-from ..operators import raster as _ra  # noqa: E402
-from ..operators.spec import categories as _categories  # noqa: E402
-
 
 def _frame_sql(name):
     return oracle.spec_sql(RECIPES[name](), TEST_VARS, RECIPE_VARIANT.get(name, "base"))
@@ -612,13 +619,8 @@ def q_shade(spark, sf_dir):
 
 # --------------------------------------------------------------------- run tables
 
-from ..functions.scalar import pattern_to_regex as _p2r  # noqa: E402
-from ..sources.runlogs import run_logs_from_events  # noqa: E402
-from . import runs as _runs  # noqa: E402
-
 
 def _run_logs(spark, sf_dir):
-    from ..trace import load_events
     return run_logs_from_events(load_events(spark, sf_dir))
 
 
@@ -725,8 +727,6 @@ def q_scatter(spark, sf_dir):
 
 # --------------------------------------------------------------------- streaming
 
-from ..streaming.run_stream import run_table_stream_from_logs  # noqa: E402
-
 
 @register("run_table_stream", _summary_sql())
 def q_run_stream(spark, sf_dir):
@@ -738,16 +738,6 @@ def q_run_stream(spark, sf_dir):
 
 # --------------------------------------------------------------------- sources and sinks (round trips)
 
-import os as _os  # noqa: E402
-
-from ..sources import archive as _archive  # noqa: E402
-from ..sources import dictionary as _dictionary  # noqa: E402
-from ..sources import raw as _raw  # noqa: E402
-from ..sources import sinks as _sinks  # noqa: E402
-from ..sources import text as _text  # noqa: E402
-from ..streaming.run_stream import scratch_dir  # noqa: E402
-from .ingest import INGEST_COLUMNS, ingest_raw  # noqa: E402
-
 
 @register("archive_roundtrip", _with() + "SELECT idx, timestamp, cpu, event FROM trace")
 def q_archive(spark, sf_dir):
@@ -771,7 +761,6 @@ def q_raw(spark, sf_dir):
 def q_dictionary(spark, sf_dir):
     """SRC6 / SRC7 / SRC8: dictionary text files (old and new name) merged over
     the defaults; parsing stops at the first empty line."""
-    from ..trace import EVENT_CODE_BY_TYPE, OTHER_EVENT_CODE, load_events
     d = scratch_dir(spark, "dict")
     ev = load_events(spark, sf_dir).select("event_type").distinct()
     code = F.lit(OTHER_EVENT_CODE)
@@ -796,7 +785,6 @@ PS_HEADER = ["PID", "USER", "COMMAND"]
     "'cmd ' || event_type || ' --k ' || json_extract_string(props, '$.k') AS COMMAND FROM events"))
 def q_process_list(spark, sf_dir):
     """SRC16: whitespace table whose last column keeps the rest of the line."""
-    from ..trace import load_events
     d = scratch_dir(spark, "ps")
     ev = load_events(spark, sf_dir)
     rows = ev.select(F.format_string("%6d  u%d   cmd %s --k %s", F.col("user_id"), F.col("user_id") % 7,
@@ -809,7 +797,6 @@ def q_process_list(spark, sf_dir):
                             "event_type AS \"m/type\" FROM events")
 def q_flatten(spark, sf_dir):
     """SRC15: nested struct columns flattened to leaf paths."""
-    from ..trace import load_events
     ev = load_events(spark, sf_dir)
     nested = ev.select(F.struct(F.col("event_id").alias("id")).alias("e"),
                        F.struct(F.struct(F.col("value").alias("value"), F.col("user_id").alias("user")).alias("v"),
