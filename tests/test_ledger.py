@@ -238,3 +238,26 @@ def test_extension_points(spark):
     finally:
         STEP_OPERATORS.pop("double_it", None)
         REGISTRY.pop("ts_x10", None)
+
+
+def test_grouped_positions_many_buckets(spark):
+    import random
+    rnd = random.Random(5)
+    rows = [(i, rnd.choice([0, 0, 0, 1, 2]), rnd.randint(0, 20)) for i in range(900)]
+    df = spark.createDataFrame(rows, "idx long, g int, k long")
+    got = {(r["g"], r["idx"]): r["p"] for r in
+           order.with_position(df, ["k", "idx"], "p", bucket_rows=50, group="g").collect()}
+    exp = {}
+    for g in (0, 1, 2):
+        members = sorted((k, i) for i, gg, k in rows if gg == g)
+        exp.update({(g, i): p for p, (k, i) in enumerate(members)})
+    assert got == exp
+    rk = {(r["g"], r["idx"]): r["y"] for r in order.rank(df, "k", "y", group="g", bucket_rows=50).collect()}
+    assert rk == exp
+    roll = order.rolling(df, 5, "sum", "k", "s", group="g", bucket_rows=50, block_rows=20)
+    got = {(r["g"], r["idx"]): r["s"] for r in roll.collect()}
+    for g in (0, 1, 2):
+        seq = [(i, k) for i, gg, k in sorted(rows) if gg == g]
+        for j, (i, k) in enumerate(seq):
+            want = float(sum(x for _, x in seq[j - 4:j + 1])) if j >= 4 else None
+            assert got[(g, i)] == want
