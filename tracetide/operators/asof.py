@@ -71,15 +71,18 @@ def asof(probes: DataFrame, cands: DataFrame, eq: list, probe_key: str, cand_key
     block_rows = block_rows or conf_int(probes.sparkSession, "tracetide.block.rows")
     gcols = [f"_tt_g{i}" for i in range(len(eq))]
     ktype = _key_type(probes, probe_key, cands, cand_key)
-    p = probes
-    P = p.select(F.col(probe_id).cast("bigint").alias("_tt_pid"),
-                 *[F.col(a).alias(g) for (a, _), g in zip(eq, gcols)],
-                 F.col(probe_key).cast(ktype).alias("_tt_k"),
-                 F.lit(None).cast("bigint").alias("_tt_ci"))
+    # probe rows carry their own columns through the window (no join back)
+    row = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
+    P = probes.select(F.col(probe_id).cast("bigint").alias("_tt_pid"),
+                      *[F.col(a).alias(g) for (a, _), g in zip(eq, gcols)],
+                      F.col(probe_key).cast(ktype).alias("_tt_k"),
+                      F.lit(None).cast("bigint").alias("_tt_ci"), row.alias("_tt_row"))
+    row_type = P.schema["_tt_row"].dataType
     C = cands.select(F.lit(None).cast("bigint").alias("_tt_pid"),
                      *[F.col(b).alias(g) for (_, b), g in zip(eq, gcols)],
                      F.col(cand_key).cast(ktype).alias("_tt_k"),
-                     F.col(cand_idx).cast("bigint").alias("_tt_ci"))
+                     F.col(cand_idx).cast("bigint").alias("_tt_ci"),
+                     F.lit(None).cast(row_type).alias("_tt_row"))
     # tie order between a probe and candidates with the same key
     if direction == "next":
         cand_first = strict        # strict: equal keys are not "after" the probe
@@ -123,9 +126,7 @@ def asof(probes: DataFrame, cands: DataFrame, eq: list, probe_key: str, cand_key
                  .select(*gcols, "_tt_blk", "_tt_carry"))
         hits = (hits.join(carry, on=gcols + ["_tt_blk"], how="left")
                     .withColumn("_tt_hit", F.coalesce(F.col("_tt_hit"), F.col("_tt_carry"))))
-    found = hits.select(F.col("_tt_pid").alias("_tt_pid2"), F.col("_tt_hit.i").alias(out))
-    return (p.join(found, F.col(probe_id).cast("bigint") == F.col("_tt_pid2"), how="left")
-             .drop("_tt_pid2"))
+    return hits.select("_tt_row.*", F.col("_tt_hit.i").alias(out))
 
 
 def group_extreme(probes: DataFrame, cands: DataFrame, eq: list, cand_key: str, cand_idx: str,

@@ -72,6 +72,15 @@ def compile_set(constraint, env: dict, nop: Column | None = None) -> Column:
     return compare(op, operand(a), operand(b)).col
 
 
+def _gets(c) -> set:
+    """All (node, column) pairs read through ``["get", column, node]``."""
+    if isinstance(c, list) and len(c) == 3 and c[0] == "get":
+        return {(c[2], c[1])}
+    if isinstance(c, list):
+        return set().union(*[_gets(x) for x in c]) if c else set()
+    return set()
+
+
 def _conjuncts(c) -> list:
     if isinstance(c, list) and len(c) == 3 and c[0] == "&":
         return _conjuncts(c[1]) + _conjuncts(c[2])
@@ -122,7 +131,11 @@ def search(trace: DataFrame, pattern: list, idx: str = "idx", block_rows: int |
         raise UnsupportedPattern("'get' is not allowed in the root constraint")
     root_cond = compile_set(root["constraint"], env)
     rname = root["name"]
-    results = trace.where(root_cond).select(quoted(idx).alias(rname))
+    # values of the root row read by later nodes travel with the root match
+    # (no lookup join for them)
+    root_cols = sorted({col for n, col in _gets([p["constraint"] for p in pattern[1:]]) if n == rname})
+    results = trace.where(root_cond).select(
+        quoted(idx).alias(rname), *[quoted(c).alias(f"_tt_{rname}_{c}") for c in root_cols])
     bound = {rname}
     for node in pattern[1:]:
         name, c = node["name"], node["constraint"]
@@ -139,7 +152,7 @@ def search(trace: DataFrame, pattern: list, idx: str = "idx", block_rows: int |
         # probe values: columns of the rows bound to earlier nodes
         refs = sorted({r for _, r in eqs} | {r for _, r in bounds})
         probes = results
-        for node_ref in sorted({n for n, _ in refs}):
+        for node_ref in sorted({n for n, _ in refs} - {rname}):
             cols = sorted({col for n, col in refs if n == node_ref})
             look = trace.select(quoted(idx).alias(f"_tt_at_{node_ref}"),
                                 *[quoted(col).alias(f"_tt_{node_ref}_{col}") for col in cols])
