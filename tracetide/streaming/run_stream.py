@@ -5,7 +5,8 @@ Streaming file source reads it ``files_per_trigger`` files at a time, each
 micro-batch computes the full run-table rows of its paths (joined with the
 static run logs) and appends them to a parquet sink.  The checkpoint makes
 the build restartable: a lost driver or executor resumes at the last
-committed batch, and batches are idempotent per path set.
+committed batch, and each epoch overwrites its own output folder, so a
+replayed batch never duplicates rows.
 """
 
 from __future__ import annotations
@@ -40,9 +41,11 @@ def stream_run_table(spark: SparkSession, run_lines: DataFrame, run_docs: DataFr
         lines = run_lines.join(batch, "path", "left_semi")
         docs = run_docs.join(batch, "path", "left_semi")
         rows = runs.traces_summary(lines, docs)
-        rows.write.mode("append").parquet(out_dir)
+        # one folder per epoch, overwritten on replay: a batch re-run after a
+        # failure replaces its own rows instead of appending duplicates
+        rows.write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch}"))
         if callback is not None:
-            callback(spark.read.parquet(out_dir), epoch)
+            callback(spark.read.parquet(out_dir).drop("epoch"), epoch)
 
     query = (spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger)
                   .parquet(index_dir)
@@ -51,7 +54,7 @@ def stream_run_table(spark: SparkSession, run_lines: DataFrame, run_docs: DataFr
                   .trigger(availableNow=True)
                   .start())
     query.awaitTermination()
-    return spark.read.parquet(out_dir)
+    return spark.read.parquet(out_dir).drop("epoch")
 
 
 def run_table_stream_from_logs(spark: SparkSession, run_lines: DataFrame, run_docs: DataFrame,
