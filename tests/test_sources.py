@@ -95,3 +95,12 @@ def test_text_helpers(spark, tmp_path):
     lines = text.synthetic_lines(spark, 1000, seed=3)
     r = lines.agg(F.count("*").alias("n"), F.max("y0").alias("m")).first()
     assert r["n"] == 1000 and r["m"] <= 159
+
+
+def test_dictionary_from_dir(spark, tmp_path):
+    from tracetide.sources.dictionary import dictionary_from_dir
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "sched_monitor_events.start").write_text("50 OLD_ONLY\n51 BOTH\n")
+    (tmp_path / "sched_log_traced_events.start").write_text("52 BOTH\n")
+    v = vars_from_table(dictionary_from_dir(spark, str(tmp_path)))
+    assert v["OLD_ONLY"] == "50" and v["BOTH"] == "52" and v["EXEC"] == "0"

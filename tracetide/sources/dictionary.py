@@ -49,3 +49,17 @@ def dictionary_table(spark: SparkSession, paths: list) -> DataFrame:
 def vars_from_table(table: DataFrame) -> dict:
     """Driver-side dict for ``$NAME`` substitution (a dictionary is tiny)."""
     return {r["key"].lstrip("$"): r["value"] for r in table.collect()}
+
+
+def dictionary_from_dir(spark: SparkSession, directory: str) -> DataFrame:
+    """SRC6 + SRC7 + SRC8 for an unpacked trace folder: the older dictionary
+    file name first, the newer one overriding it, both over the defaults.
+    Only file names are listed (contents are pruned)."""
+    found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
+                  .select("path").collect())
+    paths = []
+    for name in DICTIONARY_FILES:
+        matches = sorted(r["path"] for r in found if r["path"].rsplit("/", 1)[-1] == name)
+        if matches:
+            paths.append(matches[0])  # the first file with that name wins
+    return dictionary_table(spark, paths)
