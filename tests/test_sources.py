@@ -43,8 +43,8 @@ def test_raw_records_merge_and_order(spark, tmp_path):
 
 
 def test_dictionary_files_merge(spark, tmp_path):
-    old = tmp_path / "sched_monitor_events.start"
-    new = tmp_path / "sched_log_traced_events.start"
+    old = tmp_path / "old_events.start"
+    new = tmp_path / "traced_events.start"
     old.write_text("40 USER_EVT\n41 WAIT_PID\n")
     new.write_text("42 USER_EVT\n\n43 IGNORED\n")
     v = vars_from_table(dictionary_table(spark, [str(old), str(new)]))
@@ -100,7 +100,7 @@ def test_text_helpers(spark, tmp_path):
 def test_dictionary_from_dir(spark, tmp_path):
     from tracetide.sources.dictionary import dictionary_from_dir
     (tmp_path / "a").mkdir()
-    (tmp_path / "a" / "sched_monitor_events.start").write_text("50 OLD_ONLY\n51 BOTH\n")
-    (tmp_path / "sched_log_traced_events.start").write_text("52 BOTH\n")
-    v = vars_from_table(dictionary_from_dir(spark, str(tmp_path)))
+    (tmp_path / "a" / "old_events.start").write_text("50 OLD_ONLY\n51 BOTH\n")
+    (tmp_path / "traced_events.start").write_text("52 BOTH\n")
+    v = vars_from_table(dictionary_from_dir(spark, str(tmp_path), ["old_events.start", "traced_events.start"]))
     assert v["OLD_ONLY"] == "50" and v["BOTH"] == "52" and v["EXEC"] == "0"

@@ -8,8 +8,6 @@ from pyspark.sql import Window
 
 from ..vars import DEFAULT_VARS, merge_vars_frames, vars_frame
 
-# Dictionary file names, oldest format first (later wins).
-DICTIONARY_FILES = ("sched_monitor_events.start", "sched_log_traced_events.start")
 
 
 def read_dictionary(spark: SparkSession, path: str, priority: int = 1) -> DataFrame:
@@ -51,14 +49,16 @@ def vars_from_table(table: DataFrame) -> dict:
     return {r["key"].lstrip("$"): r["value"] for r in table.collect()}
 
 
-def dictionary_from_dir(spark: SparkSession, directory: str) -> DataFrame:
-    """SRC6 + SRC7 + SRC8 for an unpacked trace folder: the older dictionary
-    file name first, the newer one overriding it, both over the defaults.
-    Only file names are listed (contents are pruned)."""
+def dictionary_from_dir(spark: SparkSession, directory: str, file_names: list) -> DataFrame:
+    """SRC6 + SRC7 + SRC8 for an unpacked trace folder.
+
+    ``file_names``: the recorder's dictionary file names, oldest format first;
+    a later file overrides an earlier one, all override the defaults.  Only
+    file names are listed (contents are pruned)."""
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
                   .select("path").collect())
     paths = []
-    for name in DICTIONARY_FILES:
+    for name in file_names:
         matches = sorted(r["path"] for r in found if r["path"].rsplit("/", 1)[-1] == name)
         if matches:
             paths.append(matches[0])  # the first file with that name wins
