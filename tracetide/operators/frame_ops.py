@@ -156,3 +156,32 @@ def scatter(frame: DataFrame, x: str, y: str, position: str = "index") -> DataFr
         order_col = "fname" if "fname" in frame.columns else frame.columns[0]
         df = with_position(frame, [order_col], position)
     return df.select(quoted(x).cast("double").alias("x"), quoted(y).cast("double").alias("y"))
+
+
+@dataclass
+class InteractiveView:
+    query: QueryResult
+    ranges: tuple
+    stats: DataFrame
+    hover: DataFrame
+    raster: DataFrame
+
+
+def interactive_view(frame: DataFrame, text: str, variables: dict | None, width: int, height: int,
+                     hidden: list = (), viewport: tuple | None = None) -> InteractiveView:
+    """The interactive update: apply the query (with fallback), cut the lineage
+    of the result once, then its statistics, hover sample and raster over the
+    viewport (default: the result's own range)."""
+    from ..config import materialize
+    from . import raster as _raster
+    res = apply_query(frame, text, variables)
+    result = materialize(res.frame)
+    r = data_ranges(result).first()
+    box = viewport or (r["xmin"], r["xmax"], r["ymin"], r["ymax"])
+    if is_segments(result):
+        view = segment_viewport(*box)
+        img = _raster.segment_raster(result, box[:2], box[2:], width, height)
+    else:
+        view = point_viewport(*box)
+        img = _raster.point_raster(result, box[:2], box[2:], width, height)
+    return InteractiveView(res, box, category_stats(result), hover_sample(result, view, list(hidden)), img)

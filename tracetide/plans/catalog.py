@@ -880,3 +880,14 @@ def q_first_ts(spark, sf_dir):
 def q_distinct_events(spark, sf_dir):
     """AGG11: sorted distinct event codes."""
     return load_trace(spark, sf_dir, "trace18").select("event").distinct().orderBy("event")
+
+
+@register("interactive_raster_points", (
+    f"WITH f AS (SELECT * FROM ({FP_SQL}) f0 WHERE y > 250000), r AS (SELECT {PT_RANGES} FROM f) "
+    f"SELECT CAST({_pix_sql('x', 'xmin', 'xmax', 48)} AS INTEGER) AS px, "
+    f"CAST({_pix_sql('y', 'ymin', 'ymax', 24)} AS INTEGER) AS py, CAST(c AS INTEGER) AS c, count(*) AS n "
+    "FROM f, r WHERE x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax GROUP BY 1, 2, 3"))
+def q_interactive_raster(spark, sf_dir):
+    """Interactive update (EXP16 -> AGG6 -> AGG7): raster of the query result over its fitted range."""
+    view = _fo.interactive_view(_frame(spark, sf_dir, "freq_points"), "y > 250000", TEST_VARS, 48, 24)
+    return view.raster
