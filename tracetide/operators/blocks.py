@@ -39,6 +39,8 @@ def next_in_group(df: DataFrame, keys: list, values: dict, order: str = "idx",
     keeps its own value.  ``member`` (optional) restricts the groups to rows
     where it is true; other rows keep their own value.  ``use_next`` (optional)
     maps an output name to a condition: rows failing it keep their own value.
+    Per-column ``lead`` / ``min_by`` keep every aggregation buffer primitive, so
+    the carry aggregate is hash-based with map-side partial aggregation.
     """
     src = list(dict.fromkeys(values.values()))
     tmp = {c: f"_tt_v{i}" for i, c in enumerate(src)}
@@ -47,27 +49,31 @@ def next_in_group(df: DataFrame, keys: list, values: dict, order: str = "idx",
     if member is not None:
         base = base.withColumn("_tt_m", F.coalesce(member, F.lit(False)))
         gkeys = gkeys + ["_tt_m"]
-    payload = F.struct(*[quoted(c).alias(tmp[c]) for c in src])
-    w = Window.partitionBy(*[quoted(k) for k in gkeys], F.col(BLK)).orderBy(quoted(order))
-    with_next = base.withColumn("_tt_nx", F.lead(payload, 1).over(w))
-
-    firsts = (base.groupBy(*[quoted(k) for k in gkeys], F.col(BLK))
-                  .agg(F.min_by(payload, quoted(order)).alias("_tt_first")))
-    wc = Window.partitionBy(*[quoted(k) for k in gkeys]).orderBy(F.col(BLK))
-    carry = (firsts.withColumn("_tt_cx", F.lead("_tt_first", 1).over(wc))
-                   .drop("_tt_first"))
+    part = [quoted(k) for k in gkeys]
+    w = Window.partitionBy(*part, F.col(BLK)).orderBy(quoted(order))
+    nexts = {"_tt_nxo": F.lead(quoted(order), 1).over(w)}
+    nexts.update({f"_tt_nx_{tmp[c]}": F.lead(quoted(c), 1).over(w) for c in src})
+    with_next = base.withColumns(nexts)
+
+    firsts = (base.groupBy(*part, F.col(BLK))
+                  .agg(F.min(quoted(order)).alias("_tt_fo"),
+                       *[F.min_by(quoted(c), quoted(order)).alias(f"_tt_f_{tmp[c]}") for c in src]))
+    wc = Window.partitionBy(*part).orderBy(F.col(BLK))
+    carry = firsts.select(*part, F.col(BLK), F.lead("_tt_fo", 1).over(wc).alias("_tt_cxo"),
+                          *[F.lead(f"_tt_f_{tmp[c]}", 1).over(wc).alias(f"_tt_cx_{tmp[c]}") for c in src])
     joined = with_next.join(carry, on=gkeys + [BLK], how="left")
     outs = {}
     for out, c in values.items():
-        nxt = (F.when(F.col("_tt_nx").isNotNull(), F.col("_tt_nx")[tmp[c]])
-                .when(F.col("_tt_cx").isNotNull(), F.col("_tt_cx")[tmp[c]])
+        nxt = (F.when(F.col("_tt_nxo").isNotNull(), F.col(f"_tt_nx_{tmp[c]}"))
+                .when(F.col("_tt_cxo").isNotNull(), F.col(f"_tt_cx_{tmp[c]}"))
                 .otherwise(quoted(c)))
         if member is not None:
             nxt = F.when(F.col("_tt_m"), nxt).otherwise(quoted(c))
         if use_next and out in use_next:
             nxt = F.when(F.coalesce(use_next[out], F.lit(False)), nxt).otherwise(quoted(c))
         outs[out] = nxt
-    drop = [BLK, "_tt_nx", "_tt_cx"] + (["_tt_m"] if member is not None else [])
+    drop = [BLK, "_tt_nxo", "_tt_cxo"] + [f"_tt_nx_{tmp[c]}" for c in src] + \
+        [f"_tt_cx_{tmp[c]}" for c in src] + (["_tt_m"] if member is not None else [])
     return joined.withColumns(outs).drop(*drop)
 
 

@@ -221,6 +221,31 @@ def _merge_rolling_groups(groups: dict) -> dict:
     return out
 
 
+def _fan_out(base: DataFrame, items: list, outputs: list, types: dict) -> DataFrame:
+    """One scan for many pipelines: explode the indices of the matching
+    pipelines (ints, not row structs), then compute each output once through a
+    CASE on that index, with identical per-pipeline expressions merged."""
+    hit = F.filter(F.array(*[F.when(cond, F.lit(j)) for j, (_, cond, _) in enumerate(items)]),
+                   lambda x: x.isNotNull())
+    rows = (base.where(reduce(lambda a, b: a | b, [cond for _, cond, _ in items]))
+                .withColumn("_tt_k", F.explode(hit)))
+    k = F.col("_tt_k")
+    cols = []
+    for pos, o in enumerate(outputs):
+        variants: dict = {}
+        for j, (_, _, exprs) in enumerate(items):
+            e = cast_to(exprs[pos], types[o].simpleString())
+            variants.setdefault(str(e), (e, []))[1].append(j)
+        choices = list(variants.values())
+        col = choices[-1][0]
+        for e, js in reversed(choices[:-1]):
+            col = F.when(k.isin(js), e).otherwise(col)
+        cols.append(col.alias(o))
+    cats = [ci for ci, _, _ in items]
+    c = F.lit(cats[0]) if len(set(cats)) == 1 else F.element_at(F.lit(cats), k + 1)
+    return rows.select(*cols, c.cast("int").alias("c"))
+
+
 def _assigned(steps: list) -> set:
     return {st[1] for st in steps if st[0] == "="}
 
@@ -356,17 +381,7 @@ def build_frame(trace: DataFrame, spec: dict, variables: dict | None = None,
              for k, o in enumerate(outputs)}
     types = {o: _spark_type(kinds[o]) for o in outputs}
 
-    def row(cols: list, ci: int):
-        fields = [cast_to(t, types[o].simpleString()).alias(o) for o, t in zip(outputs, cols)]
-        return F.struct(*fields, F.lit(ci).alias("c"))
-
-    parts = []
-    for base, items in compiled:
-        arr = F.array(*[F.when(cond, row(cols, ci)) for ci, cond, cols in items])
-        fan = (base.where(reduce(lambda a, b: a | b, [cond for _, cond, _ in items]))
-                   .select(F.explode(F.filter(arr, lambda r: r.isNotNull())).alias("_tt_r"))
-                   .select("_tt_r.*"))
-        parts.append(fan)
+    parts = [_fan_out(base, items, outputs, types) for base, items in compiled]
     if not parts:
         raise SpecError("spec has no pipelines")
     frame = reduce(lambda a, b: a.unionByName(b), parts)
