@@ -8,3 +8,17 @@ patterns with as-of style windows, and summarises/rasterises the result.
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Python workers need no install or path setup: functions of this package
+    (pandas UDFs, mapInPandas bodies) are pickled by value."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older pyspark: rely on the import path
+        pass
+
+
+_ship_by_value()
