@@ -204,6 +204,8 @@ def rolling_many(df: DataFrame, op: str, targets: list, order: str = "idx",
                  .withColumn("_tt_blk", F.col("_tt_blk") + 1)
                  .withColumn("_tt_own", F.lit(False)))
         parts = parts.unionByName(halo)
+    if op == "median":
+        return _rolling_median_blocks(parts, targets, pos, group, pos_col is None)
     wp = Window.partitionBy(*([quoted(group)] if group else []), "_tt_blk").orderBy(pos)
     run = wp.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     helpers, outs, prefix = [], {}, {}
@@ -239,3 +241,26 @@ def rolling_many(df: DataFrame, op: str, targets: list, order: str = "idx",
     result = parts.withColumns(outs).where("_tt_own")
     drop = ["_tt_blk", "_tt_own"] + helpers + (["_tt_pos"] if pos_col is None else [])
     return result.drop(*drop)
+
+
+def _rolling_median_blocks(parts: DataFrame, targets: list, pos: str, group: str | None,
+                           drop_pos: bool) -> DataFrame:
+    """Rolling medians per bounded position block (block rows + halo) with
+    pandas' O(log w) sliding median; NULL until full or when a NaN/NULL is inside."""
+    outs = [(w, o, k) for w, o, k in targets]
+    schema = T.StructType(parts.schema.fields + [T.StructField(o, T.DoubleType()) for _, o, _ in outs])
+
+    def per_block(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(pos)
+        for w, o, k in outs:
+            vals = pd.to_numeric(pdf[k], errors="coerce").astype("float64")
+            med = vals.rolling(w, min_periods=w).median()
+            med[pdf[pos] < w - 1] = np.nan
+            pdf[o] = med
+        return pdf
+
+    keys = ([quoted(group)] if group else []) + [F.col("_tt_blk")]
+    result = parts.groupBy(*keys).applyInPandas(per_block, schema)
+    result = result.withColumns({o: F.when(~F.isnan(F.col(o)), F.col(o)) for _, o, _ in outs})
+    drop = ["_tt_blk", "_tt_own"] + (["_tt_pos"] if drop_pos else [])
+    return result.where("_tt_own").drop(*drop)
