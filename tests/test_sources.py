@@ -37,6 +37,9 @@ def test_raw_records_merge_and_order(spark, tmp_path):
     t = raw.read_raw_trace(spark, str(d))
     got = [tuple(r) for r in t.orderBy("idx").collect()]
     assert got == [(0, 10, 0, 1, 4, 1, -1), (1, 20, 1, 2, 10, 0, 7), (2, 30, 0, 1, 2, 0, 5)]
+    split = raw.read_raw_per_cpu(spark, str(d), records_per_partition=1)
+    assert split.rdd.getNumPartitions() == 3
+    assert sorted((r["cpu"], r["timestamp"]) for r in split.collect()) == [(0, 10), (0, 30), (1, 20)]
     (d / "2").write_bytes(b"\x00" * 25)
     with pytest.raises(Exception):
         raw.read_raw_per_cpu(spark, str(d)).collect()

@@ -1,9 +1,11 @@
 """Raw per-CPU ring buffers: fixed 24-byte little-endian records
 ``<Q i i i i`` = (timestamp, pid, event, arg0, arg1); the file name is the CPU.
 
-Decoding runs in ``mapInPandas`` with ``numpy.frombuffer`` (vectorised, one
-task per file); merging the CPUs is a union with a global position ordered
-by (timestamp, cpu, offset) -- no single-partition sort.
+Reading is a Python data source: the driver lists the files and plans
+byte ranges of whole records; each task seeks to its range and decodes it
+with ``numpy.frombuffer`` into Arrow batches.  Merging the CPUs is a union
+with a global position ordered by (timestamp, cpu, offset) -- no
+single-partition sort.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..operators.order import with_position
 
@@ -21,34 +24,86 @@ RECORD = np.dtype([("timestamp", "<u8"), ("pid", "<i4"), ("event", "<i4"), ("arg
 RAW_SCHEMA = "cpu long, offset long, timestamp long, pid long, event int, arg0 long, arg1 long"
 
 
-def _decode(batches):
-    for pdf in batches:
-        for path, content in zip(pdf["path"], pdf["content"]):
-            data = bytes(content)
-            if len(data) % RECORD.itemsize != 0:
-                raise ValueError(f"{path}: size {len(data)} is not a multiple of {RECORD.itemsize}")
-            rec = np.frombuffer(data, dtype=RECORD)
-            cpu = int(path.rstrip("/").split("/")[-1])
-            # offset: record position, made unique across files of the same cpu
-            # by a deterministic file number in the upper bits
-            base = (zlib.crc32(path.encode()) % (1 << 11)) << 36
-            yield pd.DataFrame({
-                "cpu": np.full(len(rec), cpu, dtype="int64"),
-                "offset": base + np.arange(len(rec), dtype="int64"),
-                "timestamp": rec["timestamp"].astype("int64"),
-                "pid": rec["pid"].astype("int64"),
-                "event": rec["event"].astype("int32"),
-                "arg0": rec["arg0"].astype("int64"),
-                "arg1": rec["arg1"].astype("int64"),
-            })
-
-
-def read_raw_per_cpu(spark: SparkSession, directory: str) -> DataFrame:
-    """SRC4 / SET3: all per-CPU files of a directory (names are CPU numbers)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(directory)
-                  .where(F.regexp_extract("path", "([^/]+)$", 1).rlike("^[0-9]+$"))
-                  .select("path", "content"))
-    return files.mapInPandas(_decode, RAW_SCHEMA)
+class RawRecordsPartition(InputPartition):
+    def __init__(self, path: str, cpu: int, start: int, count: int, base: int):
+        self.path, self.cpu, self.start, self.count, self.base = path, cpu, start, count, base
+
+
+def _filesystem(path: str):
+    import pyarrow.fs as pafs
+    if "://" in path:
+        return pafs.FileSystem.from_uri(path)
+    if path.startswith("file:"):
+        path = path[5:]
+    return pafs.LocalFileSystem(), path
+
+
+class RawRecordsReader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.path = options["path"]
+        self.per_partition = int(options.get("recordsPerPartition", 1 << 22))
+
+    def partitions(self):
+        import pyarrow.fs as pafs
+        fs, root = _filesystem(self.path)
+        infos = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+        parts = []
+        for info in sorted(infos, key=lambda i: i.path):
+            name = info.path.rstrip("/").split("/")[-1]
+            if info.type != pafs.FileType.File or not name.isdigit():
+                continue
+            if info.size % RECORD.itemsize != 0:
+                raise ValueError(f"{info.path}: size {info.size} is not a multiple of {RECORD.itemsize}")
+            n = info.size // RECORD.itemsize
+            # record position, made unique across files of the same cpu by a
+            # deterministic file number in the upper bits
+            base = (zlib.crc32(info.path.encode()) % (1 << 11)) << 36
+            for start in range(0, n, self.per_partition):
+                parts.append(RawRecordsPartition(info.path, int(name), start,
+                                                 min(self.per_partition, n - start), base))
+        return parts
+
+    def read(self, part: RawRecordsPartition):
+        import pyarrow as pa
+        fs, _ = _filesystem(self.path)
+        with fs.open_input_file(part.path) as f:
+            f.seek(part.start * RECORD.itemsize)
+            data = f.read(part.count * RECORD.itemsize)
+        rec = np.frombuffer(data, dtype=RECORD)
+        n = len(rec)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(n, part.cpu, dtype="int64")),
+            pa.array(part.base + part.start + np.arange(n, dtype="int64")),
+            pa.array(rec["timestamp"].astype("int64")),
+            pa.array(rec["pid"].astype("int64")),
+            pa.array(rec["event"].astype("int32")),
+            pa.array(rec["arg0"].astype("int64")),
+            pa.array(rec["arg1"].astype("int64")),
+        ], names=["cpu", "offset", "timestamp", "pid", "event", "arg0", "arg1"])
+
+
+class RawRecordsDataSource(DataSource):
+    """``spark.read.format("tracetide_raw").load(dir)``: every file named by a
+    CPU number under ``dir``, split into byte ranges of whole records."""
+
+    @classmethod
+    def name(cls):
+        return "tracetide_raw"
+
+    def schema(self):
+        return RAW_SCHEMA
+
+    def reader(self, schema):
+        return RawRecordsReader(self.options)
+
+
+def read_raw_per_cpu(spark: SparkSession, directory: str, records_per_partition: int = 1 << 22) -> DataFrame:
+    """SRC4 / SET3: all per-CPU files under a directory (names are CPU numbers),
+    read in byte ranges of ``records_per_partition`` records (no per-file task,
+    no 2 GB row limit)."""
+    spark.dataSource.register(RawRecordsDataSource)
+    return (spark.read.format("tracetide_raw")
+                 .option("recordsPerPartition", str(records_per_partition)).load(directory))
 
 
 def read_raw_trace(spark: SparkSession, directory: str, **position_kw) -> DataFrame:
