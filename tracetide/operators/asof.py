@@ -25,7 +25,9 @@ from pyspark.sql import Window
 
 from ..config import conf_int
 
-SAMPLE_PER_BLOCK = 64
+SAMPLE_PER_BLOCK = 64     # target sampled keys per block
+SAMPLE_MAX = 1_000_000    # cap on sampled keys collected to the driver
+MAX_BLOCKS = 100_000      # key blocks beyond this only add carry rows
 
 
 def _key_blocks(cands: DataFrame, key: str, block_rows: int, seed: int = 11):
@@ -33,10 +35,10 @@ def _key_blocks(cands: DataFrame, key: str, block_rows: int, seed: int = 11):
     n = cands.count()
     if n <= block_rows:
         return None
-    nb = int(math.ceil(n / block_rows))
-    target = SAMPLE_PER_BLOCK * nb
+    nb = min(MAX_BLOCKS, int(math.ceil(n / block_rows)))
+    target = min(SAMPLE_MAX, SAMPLE_PER_BLOCK * nb)
     sample = (cands.select(key).sample(False, min(1.0, target / n), seed)
-                   .limit(4 * target).collect())
+                   .limit(2 * target).collect())
     keys = sorted(r[0] for r in sample if r[0] is not None)
     bounds = sorted({keys[(i * len(keys)) // nb] for i in range(1, nb)}) if keys else []
     return bounds or None

@@ -27,7 +27,8 @@ from pyspark.sql import Window
 from ..config import conf_int, materialize
 from ..functions.expr import kind_of, quoted
 
-SAMPLE_PER_BUCKET = 32  # sample rows per bucket bound (collected: <= 4x this per bucket)
+SAMPLE_PER_BUCKET = 32   # target sampled keys per bucket
+SAMPLE_MAX = 1_000_000   # cap on sampled keys collected to the driver
 
 
 def _count_le(bcols: list, kcols: list) -> np.ndarray:
@@ -80,10 +81,10 @@ def with_position(df: DataFrame, order_cols: list, out: str = "pos",
             *[quoted(c) for c in order_cols])
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
     nb = int(math.ceil(n / bucket_rows))
-    target = SAMPLE_PER_BUCKET * nb
+    target = min(SAMPLE_MAX, max(4 * nb, SAMPLE_PER_BUCKET * nb))
     frac = min(1.0, target / n)
     sample = (df.select(*cols).sample(withReplacement=False, fraction=frac, seed=seed)
-                .limit(4 * target).collect())
+                .limit(2 * target).collect())
     skeys = sorted(tuple(r) for r in sample)
     bounds = []
     for i in range(1, nb):
