@@ -32,3 +32,13 @@ def test_entry_smoke(spark):
     df = entry.entry(spark)
     assert df.count() >= 0
     assert df.columns == ["x0", "y0", "x1", "y1", "c", "arg0", "arg1", "delta"]
+
+
+@pytest.mark.parametrize("name", ["trace_scan", "rec_run_queue", "comm"])
+def test_independent_of_session_time_zone(spark, duck, name):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        assert_matches_oracle(QUERIES[name](spark, SF_MID), duck, SQL[name])
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

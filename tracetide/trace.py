@@ -50,6 +50,14 @@ def _event_code(event_type: Column) -> Column:
     return expr.otherwise(F.lit(OTHER_EVENT_CODE))
 
 
+def epoch_micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970-01-01 00:00 UTC, independent of the session
+    time zone: a wall-clock (NTZ) value is read as UTC."""
+    if isinstance(df.schema[column].dataType, T.TimestampNTZType):
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{column}`)")
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def trace_from_events(events: DataFrame, variant: str = "base") -> DataFrame:
     """Map the driver's ``events`` table onto a scheduler trace.
 
@@ -67,7 +75,7 @@ def trace_from_events(events: DataFrame, variant: str = "base") -> DataFrame:
         raise ValueError(f"unknown trace variant {variant!r}")
     return events.select(
         F.col("event_id").cast("bigint").alias("idx"),
-        F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"),
+        epoch_micros(events, "ts").alias("timestamp"),
         (user % 8).cast("bigint").alias("cpu"),
         user.cast("bigint").alias("pid"),
         event.alias("event"),
