@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import (TCol, cast_to, compile_query, compile_step, env_of,
-                              is_staged, quoted)
+from ..functions.expr import (cast_to, compile_query, compile_step, env_of, is_staged,
+                              quoted)
 from ..vars import DEFAULT_VARS, substitute
 from . import order
 from .computed import REGISTRY, with_computed

@@ -14,7 +14,6 @@ query can be checked against SQL.
 from __future__ import annotations
 
 import io
-import json
 import os
 import tarfile
 
