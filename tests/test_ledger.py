@@ -261,3 +261,13 @@ def test_grouped_positions_many_buckets(spark):
         for j, (i, k) in enumerate(seq):
             want = float(sum(x for _, x in seq[j - 4:j + 1])) if j >= 4 else None
             assert got[(g, i)] == want
+
+
+def test_position_many_bounds_uses_binary_search(spark):
+    rows = [(i, (i * 7919) % 13) for i in range(5000)]
+    df = spark.createDataFrame(rows, "idx long, k long")
+    got = {r["idx"]: r["p"] for r in order.with_position(df, ["k", "idx"], "p", bucket_rows=50).collect()}
+    exp = {i: p for p, (k, i) in enumerate(sorted((k, i) for i, k in rows))}
+    assert got == exp
+    one = {r["idx"]: r["p"] for r in order.with_position(df, ["idx"], "p", bucket_rows=40).collect()}
+    assert one == {i: i for i in range(5000)}

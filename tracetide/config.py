@@ -22,7 +22,7 @@ DEFAULTS = {
     "tracetide.block.rows": 1 << 22,
     "tracetide.bucket.rows": 20_000_000,
     "tracetide.time.block": 1 << 30,
-    "tracetide.rolling.block": 1 << 20,
+    "tracetide.rolling.block": 1 << 17,
 }
 
 

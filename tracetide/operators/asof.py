@@ -28,14 +28,18 @@ from ..config import conf_int
 SAMPLE_PER_BLOCK = 64     # target sampled keys per block
 SAMPLE_MAX = 1_000_000    # cap on sampled keys collected to the driver
 MAX_BLOCKS = 100_000      # key blocks beyond this only add carry rows
+PARALLEL_ROWS = 1 << 19   # above this, use at least one block per task slot
 
 
 def _key_blocks(cands: DataFrame, key: str, block_rows: int, seed: int = 11):
     """Sorted block bounds on the candidate key (None -> a single block)."""
     n = cands.count()
-    if n <= block_rows:
+    nb = int(math.ceil(n / block_rows))
+    if n > PARALLEL_ROWS:  # spread medium inputs over all task slots
+        nb = max(nb, cands.sparkSession.sparkContext.defaultParallelism)
+    if nb <= 1:
         return None
-    nb = min(MAX_BLOCKS, int(math.ceil(n / block_rows)))
+    nb = min(MAX_BLOCKS, nb)
     target = min(SAMPLE_MAX, SAMPLE_PER_BLOCK * nb)
     sample = (cands.select(key).sample(False, min(1.0, target / n), seed)
                    .limit(2 * target).collect())
@@ -100,7 +104,13 @@ def asof(probes: DataFrame, cands: DataFrame, eq: list, probe_key: str, cand_key
     P = P.withColumn("_tt_tag", F.lit(probe_tag))
     C = C.withColumn("_tt_tag", F.lit(cand_tag))
     bounds = _key_blocks(C, "_tt_k", block_rows)
-    blk = F.lit(0) if bounds is None else _block_col(bounds, F.col("_tt_k"))
+    if bounds is None:
+        blk = F.lit(0)
+    elif len(bounds) <= 64:  # few blocks: count bounds <= key, JVM-side
+        arr = F.array(*[F.lit(b).cast(ktype) for b in bounds])
+        blk = F.size(F.filter(arr, lambda b: b <= F.col("_tt_k"))).cast("int")
+    else:
+        blk = _block_col(bounds, F.col("_tt_k"))
     U = P.unionByName(C).withColumn("_tt_blk", blk)
     cand = F.when(F.col("_tt_ci").isNotNull(), F.struct(F.col("_tt_k").alias("k"), F.col("_tt_ci").alias("i")))
     w = (Window.partitionBy(*gcols, "_tt_blk").orderBy(*order)

@@ -29,6 +29,7 @@ from ..functions.expr import kind_of, quoted
 
 SAMPLE_PER_BUCKET = 32   # target sampled keys per bucket
 SAMPLE_MAX = 1_000_000   # cap on sampled keys collected to the driver
+PARALLEL_ROWS = 1 << 19  # above this, use at least one bucket per task slot
 
 
 def _count_le(bcols: list, kcols: list) -> np.ndarray:
@@ -47,6 +48,24 @@ def _count_le(bcols: list, kcols: list) -> np.ndarray:
     return out
 
 
+JVM_BOUNDS = 64  # up to this many bounds: bucket = count of bounds <= key, JVM-side
+
+
+def bucket_column(df: DataFrame, bounds: list, cols: list):
+    """Number of (lexicographically sorted) bounds <= the row's key."""
+    if len(bounds) <= JVM_BOUNDS:
+        types = [df.schema[c].dataType for c in cols]
+        if len(cols) == 1:
+            arr = F.array(*[F.lit(b[0]).cast(types[0]) for b in bounds])
+            key = quoted(cols[0])
+        else:
+            arr = F.array(*[F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(b, types))])
+                            for b in bounds])
+            key = F.struct(*[quoted(c).alias(f"k{i}") for i, c in enumerate(cols)])
+        return F.size(F.filter(arr, lambda b: b <= key)).cast("int")
+    return _bucket_udf(bounds, len(cols))(*[quoted(c) for c in cols])
+
+
 def _bucket_udf(bounds: list, ncols: int):
     """Vectorised 'number of bounds <= key' for composite sort keys."""
     bcols = [np.array([b[i] for b in bounds]) for i in range(ncols)]
@@ -62,7 +81,8 @@ def with_position(df: DataFrame, order_cols: list, out: str = "pos",
                   bucket_rows: int | None = None, seed: int = 17,
                   checkpoint: bool = True, group: str | None = None) -> DataFrame:
     """Add ``out``: dense 0-based position of each row ordered by ``order_cols``
-    (within each value of ``group`` when given).
+    (within each value of ``group`` when given; ``group`` is a low-cardinality
+    tag such as a pipeline number: its value counts are collected).
 
     ``order_cols`` must be non-NULL and (together, per group) unique, e.g.
     ``[key, "idx"]``.  The input is checkpointed first (``checkpoint=True``):
@@ -74,13 +94,25 @@ def with_position(df: DataFrame, order_cols: list, out: str = "pos",
     cols = [quoted(c) for c in keys]
     if checkpoint:
         df = materialize(df)
-    n = df.count()
-    if n <= bucket_rows:
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    sizes = None
+    if group:
+        sizes = sorted((r[0], int(r[1])) for r in df.groupBy(quoted(group)).count().collect())
+        n = sum(c for _, c in sizes)
+        if sizes and max(c for _, c in sizes) <= bucket_rows and (n <= PARALLEL_ROWS or 2 * len(sizes) >= slots):
+            # every group fits one ordering task, and there are enough of them
+            w = Window.partitionBy(quoted(group)).orderBy(*[quoted(c) for c in order_cols])
+            return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
+    else:
+        n = df.count()
+    nb = int(math.ceil(n / bucket_rows))
+    if n > PARALLEL_ROWS:  # spread medium frames over all task slots
+        nb = max(nb, slots)
+    if nb <= 1:
         # proven bound: at most bucket_rows rows in the single ordering task
         w = Window.partitionBy(quoted(group) if group else F.lit(0)).orderBy(
             *[quoted(c) for c in order_cols])
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    nb = int(math.ceil(n / bucket_rows))
     target = min(SAMPLE_MAX, max(4 * nb, SAMPLE_PER_BUCKET * nb))
     frac = min(1.0, target / n)
     sample = (df.select(*cols).sample(withReplacement=False, fraction=frac, seed=seed)
@@ -91,8 +123,7 @@ def with_position(df: DataFrame, order_cols: list, out: str = "pos",
         b = skeys[min(len(skeys) - 1, (i * len(skeys)) // nb)]
         if not bounds or b != bounds[-1]:
             bounds.append(b)
-    bucket = _bucket_udf(bounds, len(keys))
-    staged = df.withColumn("_tt_bkt", bucket(*cols))
+    staged = df.withColumn("_tt_bkt", bucket_column(df, bounds, keys))
     counts = dict(staged.groupBy("_tt_bkt").count().collect())
     offsets, acc = [], 0
     for b in range(len(bounds) + 1):
@@ -102,7 +133,6 @@ def with_position(df: DataFrame, order_cols: list, out: str = "pos",
     pos = F.element_at(F.lit(offsets), F.col("_tt_bkt") + 1) + F.row_number().over(w) - 1
     if group:
         # global position over (group, key) minus the rows of smaller groups
-        sizes = sorted((r[0], r[1]) for r in df.groupBy(quoted(group)).count().collect())
         starts, acc = [], 0
         for g, c in sizes:
             starts += [F.lit(g), F.lit(acc)]
