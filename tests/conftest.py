@@ -30,7 +30,7 @@ def duck():
 def tiny_blocks(spark):
     """Force block / bucket sizes far below the data size so every carry path runs."""
     keys = {"tracetide.block.rows": "37", "tracetide.bucket.rows": "301",
-            "tracetide.time.block": "3600000000", "tracetide.rolling.block": "50"}
+"tracetide.rolling.block": "50"}
     old = {k: spark.conf.get(k, None) for k in keys}
     for k, v in keys.items():
         spark.conf.set(k, v)

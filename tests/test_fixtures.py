@@ -96,3 +96,19 @@ def test_next_in_group_member_restriction(spark):
                        block_rows=2, member=F.col("event").isin(2, 4))
     got = {r["idx"]: r["n"] for r in df.collect()}
     assert got == {0: 20, 1: 10, 2: 40, 3: 30, 4: 50, 5: 50}
+
+
+@pytest.mark.parametrize("block", [2, 3, 5, 1 << 22])
+def test_latest_exec_with_equal_times_across_blocks(spark, block):
+    """as-of by time, ties included: equal timestamps straddle idx blocks."""
+    import random
+    from tracetide.operators.blocks import running_max_by_time
+    rnd = random.Random(3)
+    rows = [(i, i // 3, 0, rnd.randint(0, 2), rnd.choice([0, 0, 2, 4]), 0, 0) for i in range(240)]
+    df = spark.createDataFrame(rows, TRACE_SCHEMA)
+    latest = F.when(F.col("event") == 0, F.struct(F.col("timestamp").alias("t"), F.col("idx").alias("i")))
+    got = {r["idx"]: (tuple(r["m"]) if r["m"] else None)
+           for r in running_max_by_time(df, ["pid"], latest, "m", block_rows=block).collect()}
+    for idx, ts, _, pid, _, _, _ in rows:
+        cands = [(t, i) for i, t, _, p, e, _, _ in rows if p == pid and e == 0 and t <= ts]
+        assert got[idx] == (max(cands) if cands else None), idx

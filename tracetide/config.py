@@ -6,8 +6,6 @@ without code changes:
 * ``tracetide.block.rows``     rows per idx block for keyed next/previous
   columns (block + carry keeps one hot key from landing in one task).
 * ``tracetide.bucket.rows``    rows per range bucket for global positions.
-* ``tracetide.time.block``     timestamp width of a block for as-of-by-time
-  columns (ties never straddle a block).
 * ``tracetide.rolling.block``  minimum rows per block for rolling windows.
 """
 
@@ -21,7 +19,6 @@ from pyspark.sql import SparkSession
 DEFAULTS = {
     "tracetide.block.rows": 1 << 22,
     "tracetide.bucket.rows": 20_000_000,
-    "tracetide.time.block": 1 << 30,
     "tracetide.rolling.block": 1 << 17,
 }
 

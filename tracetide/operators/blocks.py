@@ -98,25 +98,32 @@ def last_non_null_in_group(df: DataFrame, keys: list, value: Column, out: str,
 
 
 def running_max_by_time(df: DataFrame, keys: list, value: Column, out: str,
-                        time_col: str = "timestamp", time_block: int = 1 << 30) -> DataFrame:
-    """Add ``out`` = max of ``value`` over rows of the key with time <= row time.
-
-    Peers (equal time) are included, as in a RANGE frame.  Blocks are cut on
-    time so peers never straddle a block boundary.
+                        time_col: str = "timestamp", order: str = "idx",
+                        block_rows: int = 1 << 22) -> DataFrame:
+    """Add ``out`` = max of ``value`` over rows of the key with time <= the row's
+    time (peers with an equal time included, as in a RANGE frame).
+
+    Blocks are idx blocks (time-ordered trace).  Besides the maximum of all
+    earlier blocks, the carry brings the next block's value at its earliest
+    time, which equal-time peers at the block border must see.  (A run of
+    equal times longer than a whole block is not looked through further.)
     """
-    base = (df.withColumn(BLK, F.floor(quoted(time_col) / F.lit(int(time_block))).cast("bigint"))
-              .withColumn("_tt_val", value))
-    w = (Window.partitionBy(*[quoted(k) for k in keys], F.col(BLK)).orderBy(quoted(time_col))
+    base = df.withColumn(BLK, _block(order, block_rows)).withColumn("_tt_val", value)
+    part = [quoted(k) for k in keys]
+    w = (Window.partitionBy(*part, F.col(BLK)).orderBy(quoted(time_col))
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     within = base.withColumn("_tt_in", F.max("_tt_val").over(w))
-    # every block gets a carry row, also blocks without a value
-    maxes = (base.groupBy(*[quoted(k) for k in keys], F.col(BLK))
-                 .agg(F.max("_tt_val").alias("_tt_bmax")))
-    wc = (Window.partitionBy(*[quoted(k) for k in keys]).orderBy(F.col(BLK))
-                .rowsBetween(Window.unboundedPreceding, -1))
-    carry = maxes.withColumn("_tt_prev", F.max("_tt_bmax").over(wc)).drop("_tt_bmax")
+    # per block: maximum, and (earliest time, max value at that time) in one pass
+    blocks = (base.groupBy(*part, F.col(BLK))
+                  .agg(F.max("_tt_val").alias("_tt_bmax"),
+                       F.max(F.struct((-quoted(time_col)).alias("t"), F.col("_tt_val").alias("v")))
+                        .alias("_tt_bfirst")))
+    wc = Window.partitionBy(*part).orderBy(F.col(BLK))
+    carry = blocks.select(
+        *part, F.col(BLK),
+        F.max("_tt_bmax").over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("_tt_prev"),
+        F.lead("_tt_bfirst", 1).over(wc).alias("_tt_next"))
     joined = within.join(carry, on=list(keys) + [BLK], how="left")
-    best = F.when(F.col("_tt_prev").isNull(), F.col("_tt_in")) \
-            .when(F.col("_tt_in").isNull(), F.col("_tt_prev")) \
-            .otherwise(F.greatest(F.col("_tt_in"), F.col("_tt_prev")))
-    return joined.withColumn(out, best).drop(BLK, "_tt_val", "_tt_in", "_tt_prev")
+    peer = F.when(F.col("_tt_next.t") == -quoted(time_col), F.col("_tt_next.v"))
+    best = F.greatest(F.col("_tt_in"), F.col("_tt_prev"), peer)
+    return joined.withColumn(out, best).drop(BLK, "_tt_val", "_tt_in", "_tt_prev", "_tt_next")

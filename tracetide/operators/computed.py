@@ -96,12 +96,11 @@ def _code(variables: dict, name: str) -> int:
 
 
 def with_computed(df: DataFrame, names, variables: dict | None = None,
-                  block_rows: int | None = None, time_block: int | None = None) -> DataFrame:
+                  block_rows: int | None = None) -> DataFrame:
     """Add the requested computed columns that are not stored yet (SRC3, CMP8)."""
     variables = variables or DEFAULT_VARS
     spark = df.sparkSession
     block_rows = block_rows or conf_int(spark, "tracetide.block.rows")
-    time_block = time_block or conf_int(spark, "tracetide.time.block")
     todo = [n for n in dict.fromkeys(names) if n not in df.columns]
     unknown = [n for n in todo if n not in REGISTRY]
     if unknown:
@@ -109,7 +108,7 @@ def with_computed(df: DataFrame, names, variables: dict | None = None,
     # computable dependencies first (memoised: each is added once)
     deps = [d for n in todo for d in REGISTRY[n].deps if d not in df.columns and d in REGISTRY]
     if deps:
-        df = with_computed(df, deps, variables, block_rows, time_block)
+        df = with_computed(df, deps, variables, block_rows)
     families: dict = {}
     for n in todo:
         spec = REGISTRY[n]
@@ -145,7 +144,7 @@ def with_computed(df: DataFrame, names, variables: dict | None = None,
         elif kind == "addr":
             df = with_addr(df)
         elif kind == "comm":
-            df = with_comm(df, variables, time_block=time_block)
+            df = with_comm(df, variables, block_rows=block_rows)
         elif kind == "user":
             df = USER_BUILDERS[family[1]](df, variables)
     return df
@@ -162,7 +161,7 @@ def comm_dictionary(df: DataFrame, variables: dict | None = None) -> DataFrame:
 
 
 def with_comm(df: DataFrame, variables: dict | None = None, dictionary: DataFrame | None = None,
-              time_block: int = 1 << 30) -> DataFrame:
+              block_rows: int | None = None) -> DataFrame:
     """CMP7: command id of the latest EXEC of the same pid at or before the row's
     timestamp (equal timestamps included); 0 when none."""
     variables = variables or DEFAULT_VARS
@@ -172,7 +171,8 @@ def with_comm(df: DataFrame, variables: dict | None = None, dictionary: DataFram
     addr = F.shiftleft(F.col("arg0").cast("bigint"), 32).bitwiseOR(F.col("arg1").cast("bigint"))
     latest = F.when(F.col("event") == exec_code,
                     F.struct(F.col("timestamp"), F.col("idx"), addr.alias("a")))
-    staged = running_max_by_time(df, ["pid"], latest, "_tt_exec", time_block=time_block)
+    block_rows = block_rows or conf_int(df.sparkSession, "tracetide.block.rows")
+    staged = running_max_by_time(df, ["pid"], latest, "_tt_exec", block_rows=block_rows)
     staged = staged.withColumn("_tt_addr", F.col("_tt_exec.a")).drop("_tt_exec")
     ids = dictionary.select(F.col("addr").alias("_tt_addr"), F.col("comm_id").alias("_tt_cid"))
     return (staged.join(ids, on="_tt_addr", how="left")

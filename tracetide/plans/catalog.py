@@ -183,7 +183,7 @@ def q_comm_dict(spark, sf_dir):
     "SELECT y.idx, CAST(coalesce(d.comm_id, 0) AS BIGINT) AS comm FROM y LEFT JOIN d ON d.addr = y.last_exec.a"))
 def q_comm(spark, sf_dir):
     """CMP7: command id of the latest EXEC of the pid at or before the row."""
-    return with_comm(load_trace(spark, sf_dir), time_block=3_600_000_000).select("idx", "comm")
+    return with_comm(load_trace(spark, sf_dir)).select("idx", "comm")
 
 
 VARS_SQL = (
