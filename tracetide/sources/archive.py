@@ -1,9 +1,10 @@
 """Trace archives: uncompressed tar files with one ``.npz`` member per column.
 
-Ingest is a Spark job over many archives: ``binaryFile`` lists them, a
-``mapInPandas`` task unpacks one archive into rows with an explicit ``idx``.
-One archive is one task (``binaryFile`` rows are limited to 2 GB), so large
-traces should be ingested once to parquet and analysed from there.
+Reading is a Python data source: one partition per archive, opened from the
+filesystem (no 2 GB ``binaryFile`` row), only the requested members
+decompressed, rows emitted as Arrow batches with an explicit ``idx``.  The
+decoded columns of one archive live in one task, so very large traces should
+be ingested once to parquet and analysed from there.
 """
 
 from __future__ import annotations
@@ -16,11 +17,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
-def _member_columns(content: bytes, only=None) -> dict:
+def _member_columns(fileobj, only=None) -> dict:
     cols = {}
-    with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as tar:
+    with tarfile.open(fileobj=fileobj, mode="r:") as tar:
         for info in tar:
             if not info.isreg() or os.path.splitext(info.name)[1] != ".npz":
                 continue
@@ -43,13 +45,30 @@ def _numpy_to_spark(a: np.ndarray) -> T.DataType:
     return T.StringType()
 
 
+def _list_archives(path: str) -> list:
+    import pyarrow.fs as pafs
+    from .raw import _filesystem
+    fs, root = _filesystem(path)
+    info = fs.get_file_info(root)
+    if info.type == pafs.FileType.File:
+        return [info.path]
+    infos = fs.get_file_info(pafs.FileSelector(root, recursive=True))
+    return sorted(i.path for i in infos if i.type == pafs.FileType.File and i.path.endswith(".tar"))
+
+
+def _open(path: str, name: str):
+    from .raw import _filesystem
+    fs, _ = _filesystem(path)
+    return fs.open_input_file(name)
+
+
 def archive_schema(spark: SparkSession, path: str, only=None) -> T.StructType:
-    """Schema of the columns stored in one archive (read on the driver: only
-    the member headers and one archive are touched)."""
-    first = (spark.read.format("binaryFile").load(path).select("content").limit(1).collect())
-    if not first:
+    """Schema of the columns stored in the first archive (decoded on the driver)."""
+    archives = _list_archives(path)
+    if not archives:
         raise FileNotFoundError(path)
-    cols = _member_columns(bytes(first[0][0]), only)
+    with _open(path, archives[0]) as f:
+        cols = _member_columns(f, only)
     fields = [T.StructField("trace", T.StringType())]
     if "idx" not in cols:
         fields.append(T.StructField("idx", T.LongType()))
@@ -57,31 +76,72 @@ def archive_schema(spark: SparkSession, path: str, only=None) -> T.StructType:
     return T.StructType(fields)
 
 
+class ArchivePartition(InputPartition):
+    def __init__(self, archive: str):
+        self.archive = archive
+
+
+class ArchiveReader(DataSourceReader):
+    BATCH_ROWS = 1 << 20
+
+    def __init__(self, options: dict, schema: T.StructType):
+        self.path = options["path"]
+        self.schema = schema
+        self.names = [f.name for f in schema.fields]
+
+    def partitions(self):
+        return [ArchivePartition(a) for a in _list_archives(self.path)]
+
+    def read(self, part: ArchivePartition):
+        import pyarrow as pa
+        only = set(self.names) - {"trace"}
+        with _open(self.path, part.archive) as f:
+            cols = _member_columns(f, only)
+        n = len(next(iter(cols.values()))) if cols else 0
+        if "idx" not in cols:  # positional identity within the archive
+            cols["idx"] = np.arange(n, dtype="int64")
+        arrow_schema = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(),
+                                            "double": pa.float64(), "boolean": pa.bool_()}
+                                   [f.dataType.simpleString()]) for f in self.schema.fields])
+        for lo in range(0, n, self.BATCH_ROWS):
+            hi = min(n, lo + self.BATCH_ROWS)
+            arrays = []
+            for field in arrow_schema:
+                if field.name == "trace":
+                    arrays.append(pa.array([part.archive] * (hi - lo), pa.string()))
+                elif field.name in cols:
+                    arrays.append(pa.array(cols[field.name][lo:hi]).cast(field.type))
+                else:
+                    arrays.append(pa.nulls(hi - lo, field.type))
+            yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+
+
+class TraceArchiveDataSource(DataSource):
+    """``spark.read.format("tracetide_archive").schema(s).load(dir)``: one
+    partition per archive, read from the filesystem (no binaryFile row), only
+    the members named in the schema decoded, Arrow batches of <= 1M rows."""
+
+    @classmethod
+    def name(cls):
+        return "tracetide_archive"
+
+    def schema(self):
+        raise ValueError("pass the schema: archive_schema(spark, path)")
+
+    def reader(self, schema):
+        return ArchiveReader(self.options, schema)
+
+
 def read_trace_archives(spark: SparkSession, path: str, only=None,
                         schema: T.StructType | None = None) -> DataFrame:
     """SRC1 / SRC2: every ``.npz`` member of every archive under ``path``
-    becomes a column; ``only`` keeps just the listed columns."""
+    becomes a column; ``only`` keeps just the listed columns (others are
+    never decompressed)."""
     if only is not None:
         only = set(only) | {"idx"}
     schema = schema or archive_schema(spark, path, only)
-    names = [f.name for f in schema.fields]
-
-    def unpack(batches):
-        for pdf in batches:
-            for p, content in zip(pdf["path"], pdf["content"]):
-                cols = _member_columns(bytes(content), only)
-                n = len(next(iter(cols.values()))) if cols else 0
-                out = {"trace": [p] * n}
-                if "idx" not in cols:  # positional identity within the archive
-                    out["idx"] = np.arange(n, dtype="int64")
-                for name in names[1:]:
-                    if name not in out:
-                        out[name] = cols.get(name, np.full(n, None))
-                yield pd.DataFrame(out, columns=names)
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-        .option("pathGlobFilter", "*.tar").load(path).select("path", "content")
-    return files.mapInPandas(unpack, schema)
+    spark.dataSource.register(TraceArchiveDataSource)
+    return spark.read.format("tracetide_archive").schema(schema).load(path)
 
 
 def write_trace_archive(path: str, columns: dict) -> None:
