@@ -271,3 +271,14 @@ def test_position_many_bounds_uses_binary_search(spark):
     assert got == exp
     one = {r["idx"]: r["p"] for r in order.with_position(df, ["idx"], "p", bucket_rows=40).collect()}
     assert one == {i: i for i in range(5000)}
+
+
+def test_hover_sample_bounded_and_deterministic(spark):
+    f = spark.range(20000).select(F.col("id").cast("double").alias("x"), (F.col("id") % 7).cast("double").alias("y"),
+                                  (F.col("id") % 3).cast("int").alias("c"))
+    view = fo.point_viewport(0.0, 1e9, 0.0, 10.0)
+    a = fo.hover_sample(f, view, [2], max_rows=1000)
+    b = fo.hover_sample(f.repartition(5), view, [2], max_rows=1000)
+    ra, rb = sorted(tuple(r) for r in a.collect()), sorted(tuple(r) for r in b.collect())
+    assert ra == rb and 700 < len(ra) < 1300 and all(r[2] != 2 for r in ra)
+    assert fo.hover_sample(f, view, [], max_rows=10 ** 6).count() == 20000

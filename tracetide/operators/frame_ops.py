@@ -139,11 +139,14 @@ def category_stats(frame: DataFrame) -> DataFrame:
 def hover_sample(frame: DataFrame, viewport: Column, hidden: list,
                  max_rows: int = HOVER_MAX_ROWS, seed: int = 7) -> DataFrame:
     """WIN8: rows in the viewport outside hidden categories; when more than
-    ``max_rows`` match, a seeded Bernoulli sample of about ``max_rows``."""
+    ``max_rows`` match, about ``max_rows`` of them chosen by a seeded hash of
+    the row's values (the same rows on every run, whatever the partitioning)."""
     rows = exclude_categories(frame.where(viewport), hidden)
     n = rows.count()
     if n > max_rows:
-        return rows.sample(withReplacement=False, fraction=max_rows / n, seed=seed)
+        scale = 1 << 30
+        h = F.pmod(F.xxhash64(F.lit(seed), *[quoted(c) for c in rows.columns]), F.lit(scale))
+        return rows.where(h < F.lit(int(scale * max_rows / n)))
     return rows
 
 
