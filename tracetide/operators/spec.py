@@ -261,14 +261,11 @@ def _tag_prefixes(df: DataFrame, pres: list, env: dict) -> DataFrame:
     compiled = [_pure_pipeline(p, env) for p in pres]
     names = list(env) + sorted(_assigned(pres[0]) - set(env))
     kinds = {n: _unify([c[1][n].kind for c in compiled]) for n in names}
-    types = {n: _spark_type(kinds[n]).simpleString() for n in names}
-    structs = [F.when(cond, F.struct(*[cast_to(e[n], types[n]).alias(n) for n in names],
-                                      F.lit(t).alias("_tt_g")))
-               for t, (cond, e) in enumerate(compiled)]
-    arr = F.array(*structs)
-    return (df.where(reduce(lambda a, b: a | b, [c[0] for c in compiled]))
-              .select(F.explode(F.filter(arr, lambda r: r.isNotNull())).alias("_tt_r"))
-              .select("_tt_r.*"))
+    types = {n: _spark_type(kinds[n]) for n in names}
+    if "c" in names or "_tt_g" in names:
+        raise SpecError("columns named 'c' or '_tt_g' cannot be carried through a tagged prefix")
+    items = [(t, cond, [e[n] for n in names]) for t, (cond, e) in enumerate(compiled)]
+    return _fan_out(df, items, names, types).withColumnRenamed("c", "_tt_g")
 
 
 def _spark_type(kind: str) -> T.DataType:
