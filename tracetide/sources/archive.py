@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .raw import _filesystem  # module-level: pickled by value with this module
+
 
 def _member_columns(fileobj, only=None) -> dict:
     cols = {}
@@ -47,7 +49,6 @@ def _numpy_to_spark(a: np.ndarray) -> T.DataType:
 
 def _list_archives(path: str) -> list:
     import pyarrow.fs as pafs
-    from .raw import _filesystem
     fs, root = _filesystem(path)
     info = fs.get_file_info(root)
     if info.type == pafs.FileType.File:
@@ -57,7 +58,6 @@ def _list_archives(path: str) -> list:
 
 
 def _open(path: str, name: str):
-    from .raw import _filesystem
     fs, _ = _filesystem(path)
     return fs.open_input_file(name)
 
