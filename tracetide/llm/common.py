@@ -7,6 +7,7 @@ Python object is made per word.
 
 from __future__ import annotations
 
+import pickle
 import sys
 import types
 import uuid
@@ -14,6 +15,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,19 @@ def worker_cache() -> dict:
     """
     return sys.modules.setdefault("_tracetide_worker_cache", types.ModuleType("_tracetide_worker_cache")).__dict__
 
+def broadcast(spark: SparkSession, value):
+    """A function that gives ``value`` in any task: sent once to each executor, its classes by value."""
+    key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    def get():
+        cache = worker_cache()
+        if cache.get("broadcast", (None,))[0] != key:
+            cache["broadcast"] = key, pickle.loads(sent.value)
+        return cache["broadcast"][1]
+
+    return get
+
+
 SHINGLE = 5
 
 U64 = np.uint64
@@ -105,9 +120,11 @@ _TAB_POS = 64
 _TAB = random_u64(_TAB_POS * 256, 0x5EED)
 
 
-def words_of(data: np.ndarray, off: np.ndarray):
+def words_of(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = _SPACE):
     """Words ``[^\\x20\\x09-\\x0D]+`` of each document in the buffer, A-Z lowered.
 
+    ``breaks`` marks the bytes that part words, if others are wanted.
+
     Returns (lowered bytes, word starts, word ends, document of each word).
     """
     n = len(data)
@@ -115,7 +132,7 @@ def words_of(data: np.ndarray, off: np.ndarray):
         e = np.empty(0, np.int64)
         return data, e, e, e
     low = _LOWER[data]
-    word = ~_SPACE[data]
+    word = ~breaks[data]
     first = word.copy()
     first[1:] &= ~word[:-1]
     last = word.copy()

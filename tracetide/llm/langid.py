@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import broadcast, worker_cache
 
 BUCKETS = 1 << 16
 ORDERS = 4
@@ -166,12 +166,12 @@ def score_texts(texts: list, model: Model):
 
 def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns plus lang_pred and score; the whole text of each row is scored."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = broadcast(docs.sparkSession, model)
     src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
     kept = src.select(*keep).schema
 
     def run(batches):
-        m = shared.value
+        m = shared()
         for batch in batches:
             best, post = score_texts(batch.column(batch.num_columns - 1).to_pylist(), m)
             pred = [m.langs[b] if b >= 0 else UNDETERMINED for b in best.tolist()]
