@@ -40,6 +40,7 @@ FREQUENT = 100_000  # broadcast bound: tokens moved to the end of the order
 PER_TASK = 50_000  # of each task's most frequent tokens
 SKETCH_BITS = 2048
 LEAF = 16
+BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast
 
 
 def _sets(col):
@@ -70,13 +71,20 @@ def prefix_length(n: np.ndarray) -> np.ndarray:
     return n - (3 * n + 3) // 4 + 1
 
 
+def _sketches(h: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """Bitmap of each set."""
+    bits = np.zeros((len(n), SKETCH_BITS), np.uint8)
+    bits[np.repeat(np.arange(len(n)), n), (h & U64(SKETCH_BITS - 1)).astype(np.int64)] = 1
+    return [r.tobytes() for r in np.packbits(bits, axis=1)]
+
+
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("t")).where("doc_id is not null")
 
 
 def fingerprint_pass(src: DataFrame) -> DataFrame:
-    """Rows of documents (kind 0: doc_id, n, fp1, fp2) and of frequent tokens (kind 1: token, count)."""
-    names = ["kind", "doc_id", "n", "fp1", "fp2"]
+    """Rows of documents (kind 0: doc_id, n, fp1, fp2, bitmap) and of frequent tokens (kind 1: token, count)."""
+    names = ["kind", "doc_id", "n", "fp1", "fp2", "sketch"]
 
     def run(batches):
         seen_t, seen_c, held = [], [], 0
@@ -84,7 +92,7 @@ def fingerprint_pass(src: DataFrame) -> DataFrame:
             for i, m, n, start, h in _sets(batch.column(1)):
                 f1, f2 = _fingerprints(h, n, start)
                 yield pa.RecordBatch.from_arrays([pa.array(np.zeros(m, np.int8)), batch.column(0).slice(i, m), pa.array(n.astype(np.int64)),
-                                                  pa.array(i64(f1)), pa.array(i64(f2))], names=names)
+                                                  pa.array(i64(f1)), pa.array(i64(f2)), pa.array(_sketches(h, n), pa.binary())], names=names)
                 t, c = np.unique(h, return_counts=True)
                 t, c = t[c > 1], c[c > 1]
                 seen_t.append(t)
@@ -96,7 +104,7 @@ def fingerprint_pass(src: DataFrame) -> DataFrame:
         t, c = _merge(seen_t, seen_c)
         z = np.zeros(len(t), np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(t), np.int8)), pa.array(i64(t)), pa.array(c.astype(np.int64)),
-                                          pa.array(z), pa.array(z)], names=names)
+                                          pa.array(z), pa.array(z), pa.nulls(len(t), pa.binary())], names=names)
 
     def _merge(ts, cs):
         t = np.concatenate(ts) if ts else np.empty(0, U64)
@@ -108,7 +116,7 @@ def fingerprint_pass(src: DataFrame) -> DataFrame:
             t, c = t[top], c[top]
         return t, c
 
-    return src.mapInArrow(run, "kind tinyint, doc_id bigint, n bigint, fp1 bigint, fp2 bigint")
+    return src.mapInArrow(run, "kind tinyint, doc_id bigint, n bigint, fp1 bigint, fp2 bigint, sketch binary")
 
 
 def prefix_pass(src: DataFrame, frequent) -> DataFrame:
@@ -182,25 +190,19 @@ def chained(prefix: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "token bigint, cid bigint, n bigint, prev bigint, prev_n bigint")
 
 
-def _sketch(tokens: np.ndarray) -> np.ndarray:
-    bits = np.zeros(SKETCH_BITS, np.uint8)
-    bits[(tokens & U64(SKETCH_BITS - 1)).astype(np.int64)] = 1
-    return np.packbits(bits)
-
-
-def whole_sets(src: DataFrame, reps: DataFrame) -> DataFrame:
-    """(rep, n, sketch, tokens) of the documents named in ``reps`` (doc_id)."""
-    names = ["rep", "n", "sketch", "tokens"]
+def whole_sets(src: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(rep, tokens) of the documents in ``pairs`` (a, b)."""
+    names = ["rep", "tokens"]
 
     def run(batches):
         for batch in batches:
             for i, m, n, start, h in _sets(batch.column(1)):
-                parts = [h[s:s + k] for s, k in zip(start.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.array(n.astype(np.int64)),
-                                                  pa.array([_sketch(p).tobytes() for p in parts], pa.binary()),
-                                                  pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
+                parts = [h[s:s + k].tobytes() for s, k in zip(start.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.array(parts, pa.binary())], names=names)
 
-    return src.join(reps, "doc_id", "left_semi").mapInArrow(run, "rep bigint, n bigint, sketch binary, tokens binary")
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    few = ids.count() <= BROADCAST_IDS  # else a sort-merge join
+    return src.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "rep bigint, tokens binary")
 
 
 def needed(n, m):
@@ -230,6 +232,7 @@ def sketch_survivors(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) that link, by the whole sets."""
+    sets = stored(sets)
     left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
     right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
 
@@ -304,40 +307,61 @@ class SignatureTree:
             yield i[ok], j[ok]
 
 
+def _leaf_pairs(size, comp, n, bits):
+    """Member pairs of many groups of at most one leaf each, as SignatureTree.pairs gives them."""
+    first = np.cumsum(size) - size
+    for m in np.unique(size[size > 1]).tolist():
+        i, j = np.triu_indices(m, 1)
+        base = first[size == m][:, None]
+        i, j = (base + i).ravel(), (base + j).ravel()
+        for s in range(0, len(i), 1 << 15):
+            x, y = i[s:s + (1 << 15)], j[s:s + (1 << 15)]
+            ok = (comp[x] != comp[y]) & (4 * n[x] >= 3 * n[y]) & (4 * n[y] >= 3 * n[x])
+            x, y = x[ok], y[ok]
+            most = np.minimum(n[x] - np.bitwise_count(bits[x] & ~bits[y]).sum(axis=1, dtype=np.int64),
+                              n[y] - np.bitwise_count(bits[y] & ~bits[x]).sum(axis=1, dtype=np.int64))
+            ok = most >= needed(n[x], n[y])
+            yield x[ok], y[ok]
+
+
 def tree_candidates(rows: DataFrame) -> DataFrame:
     """Candidate pairs of the token groups in ``rows`` (token, comp, rep, n, sketch)."""
 
-    def group(cols):
-        comp, rep, n, sketch = cols
+    def out(rep, i, j):
+        a, b = rep[i], rep[j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    def solve(token, comp, rep, n, sketch):
         bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(n), -1).view(U64)
-        tree = SignatureTree(n, comp, bits)
-        return [(rep[i], rep[j]) for i, j in tree.pairs() if len(i)]
+        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+        size = np.diff(np.append(cuts, len(token)))
+        small = np.repeat(size <= LEAF, size)
+        at = np.flatnonzero(small)
+        for i, j in _leaf_pairs(size[size <= LEAF], comp[at], n[at], bits[at]):
+            yield out(rep, at[i], at[j])
+        for s, m in zip(cuts[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
+            for i, j in SignatureTree(n[s:s + m], comp[s:s + m], bits[s:s + m]).pairs():
+                yield out(rep, s + i, s + j)
 
     def run(batches):
-        held, last = [], None
-
-        def close():
-            if len(held) > 1 or sum(len(h[0]) for h in held) > 1:
-                cols = [np.concatenate([h[k] for h in held]) for k in range(3)]
-                sketch = [s for h in held for s in h[3]]
-                if cols[0].min() != cols[0].max():
-                    for a, b in group([*cols, sketch]):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
+        held: list = []  # batches that end in an open group
         for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
             token = batch.column(0).to_numpy()
-            if not len(token):
+            if token[0] == token[-1]:
                 continue
-            comp, rep, n = (batch.column(k).to_numpy() for k in (1, 2, 3))
-            sketch = batch.column(4).to_pylist()
-            cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])).tolist() + [len(token)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if last is not None and token[s] != last:
-                    yield from close()
-                    held = []
-                last = token[s]
-                held.append((comp[s:e], rep[s:e], n[s:e], sketch[s:e]))
-        yield from close()
+            last = int(np.searchsorted(token, token[-1]))
+            held[-1] = batch.slice(0, last)
+            yield from _all(held)
+            held = [batch.slice(last)]
+        if held:
+            yield from _all(held)
+
+    def _all(held):
+        t = pa.Table.from_batches(held)
+        yield from solve(*(t.column(k).to_numpy() for k in range(4)), t.column(4).to_pylist())
 
     parts = rows.select("token", "comp", "rep", "n", "sketch").repartition("token").sortWithinPartitions("token", "comp", "n", "rep")
     return parts.mapInArrow(run, "a bigint, b bigint").distinct()
@@ -348,7 +372,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     spark = docs.sparkSession
     src = _texts(docs, doc_id, text)
     first = stored(fingerprint_pass(src))
-    members = first.where("kind = 0").drop("kind")
+    members = first.where("kind = 0").select("doc_id", "n", "fp1", "fp2")
     frequent = first.where("kind = 1").groupBy(F.col("doc_id").alias("token")).agg(F.sum("n").alias("c"))
     top = frequent.orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()["token"].to_numpy(np.int64)
     shared = broadcast(spark, np.sort(top.view(U64)))
@@ -357,28 +381,37 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     ids = classes.select(F.col("fp1").alias("cid"), "rep", "n")
     rows = stored(chained(prefix_pass(src, shared)))
 
-    prev = ids.select(F.col("cid").alias("prev"), F.col("rep").alias("ra"))
-    cur = ids.select("cid", F.col("rep").alias("rb"))
+    # every class that shares a first token with another one
+    shares = stored(rows.select("cid").distinct().join(ids, "cid"))
+    sketches = shares.select("rep", "n").join(first.where("kind = 0").select(F.col("doc_id").alias("rep"), "sketch"), "rep").dropDuplicates(["rep"])
+    sketches = stored(sketches)
+
+    prev = shares.select(F.col("cid").alias("prev"), F.col("rep").alias("ra"))
+    cur = shares.select("cid", F.col("rep").alias("rb"))
     chain = rows.where("prev_n > 0 and 4 * prev_n >= 3 * n").select("prev", "cid").distinct()
     chain = chain.join(prev, "prev").join(cur, "cid").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
-
-    # every class that shares a first token with another one
-    shares = rows.select("cid").distinct().join(ids, "cid")
-    sets = stored(whole_sets(src, shares.select(F.col("rep").alias("doc_id"))))
-    sketches = sets.drop("tokens")
-    links = verified(sketch_survivors(chain, sketches), sets).checkpoint()
+    links = linked(src, sketch_survivors(chain, sketches))
     comp = components(links)
 
     known = shares.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    known = known.select("cid", "rep", "n", F.coalesce("component", "rep").alias("comp")).checkpoint()
-    tagged = rows.select("token", "cid").join(known.select("cid", "comp"), "cid")
-    several = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
+    known = stored(known.select("cid", "rep", "n", F.coalesce("component", "rep").alias("comp")))
+    tagged = rows.select("token", "cid").join(known.select("cid", "comp", "rep"), "cid")
+    # tokens whose groups hold several components; of equal groups one is enough
+    groups = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"),
+                                         F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(20,0)")).alias("h2"))
+    several = groups.where("lo <> hi").groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token")
     open_rows = rows.select("token", "cid").join(several, "token", "left_semi").join(known, "cid")
     open_rows = open_rows.join(sketches.select("rep", "sketch"), "rep")
-    more = verified(tree_candidates(open_rows), sets)
+    more = linked(src, tree_candidates(open_rows))
     comp = components(links.unionByName(more))
 
     of_class = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = of_class.select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = members.join(of_class, ["fp1", "fp2", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def linked(src: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The candidate pairs that link, written once."""
+    pairs = stored(pairs)
+    return stored(verified(pairs, whole_sets(src, pairs)))

@@ -36,6 +36,7 @@ from .common import U64, broadcast, byte_chunks, i64, splitmix, stored, words_of
 TRAIN_ROWS = 20_000  # documented bound of the labelled sample
 STEMS = (4, 5, 6)  # bytes of a stem; the whole form (up to 16 bytes) is a feature too
 MIN_DOCS = 4
+EVIDENCE = 30  # least likelihood ratio of a feature
 FEATURES = 4096
 LEXICON = 768
 LEXICONS = 16
@@ -111,14 +112,13 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40):
     positive = (votes == 1).sum(axis=1)
     post = np.where(positive > 0, 0.9, 0.1 * prior + 0.01)
     kinds = [(votes == v).astype(np.float64) for v in (-1, 0, 1)]
-    weight = np.ones(m)
+    weight, share = np.ones(m), np.clip(prior, 1e-4, 1 - 1e-4)  # the class share is known from the labels
     rates, corr = None, np.zeros((m, m))
     for it in range(rounds):
         rates = []
         for q in (1 - post, post):
             t = q.sum() + 1.5
             rates.append(np.stack([(q @ k + 0.5) / t for k in kinds], axis=1))  # (voters, 3)
-        share = np.clip(post.mean(), 1e-4, 1 - 1e-4)
         if it % 10 == 9:  # what the class does not explain
             v = votes.astype(np.float64)
             mean0, mean1 = rates[0] @ [-1, 0, 1], rates[1] @ [-1, 0, 1]
@@ -129,12 +129,13 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40):
             np.fill_diagonal(corr, 0)
             weight = 1 / (1 + np.maximum(np.abs(corr) - 0.1, 0).sum(axis=1))
         ratio = np.log(rates[1]) - np.log(rates[0])
-        score = np.log(share / (1 - share)) + sum(k @ (weight * ratio[:, j]) for j, k in enumerate(kinds))
+        # a voter that says nothing adds nothing
+        score = np.log(share / (1 - share)) + sum(kinds[j] @ (weight * ratio[:, j]) for j in (0, 2))
         post = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
     return post, rates, corr
 
 
-def logistic(doc: np.ndarray, feature: np.ndarray, target: np.ndarray, size: int, steps: int = 150, decay: float = 1e-4):
+def logistic(doc: np.ndarray, feature: np.ndarray, target: np.ndarray, size: int, steps: int = 150, decay: float = 1e-3):
     """Weights and bias of a logistic regression on binary features, by Adam on all rows."""
     n = len(target)
     w, b = np.zeros(size), float(np.log((target.mean() + 1e-3) / (1 - target.mean() + 1e-3)))
@@ -188,9 +189,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     both = count(sample.where("y = 1")).where(f"n >= {MIN_DOCS}").withColumnRenamed("n", "a").join(count(sample.where("y = 0")).withColumnRenamed("n", "b"), "f", "left")
     both = both.withColumn("b", F.coalesce("b", F.lit(0)))
     odds = F.log((F.col("a") + 0.5) / (n1 + 1.0)) - F.log((F.col("b") + 0.5) / (n0 + 1.0))
-    # a feature's strength: log odds, weighted by the documents that show it
-    got = both.select("f", "a", "b", odds.alias("odds")).withColumn("strength", F.abs("odds") * F.sqrt(F.col("a") + F.col("b")))
-    got = got.orderBy(F.desc("strength"), "f").limit(FEATURES).toPandas()
+    # a feature's evidence: the likelihood ratio of its own share of toxic documents to the sample's
+    p, t = n1 / (n0 + n1), F.col("a") + F.col("b")
+    part = lambda c, q: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (t * q))).otherwise(0.0)
+    got = both.select("f", "a", "b", odds.alias("odds"), (2 * (part("a", p) + part("b", 1 - p))).alias("strength"))
+    got = got.where(f"strength >= {EVIDENCE}").orderBy(F.desc("strength"), "f").limit(FEATURES).toPandas()
     order = np.argsort(got["f"].to_numpy(np.int64).view(U64))
     table = got["f"].to_numpy(np.int64).view(U64)[order]
     lex = got[(got["odds"] > 3) & (got["a"] >= 20 * got["b"])].head(LEXICON)
@@ -203,12 +206,11 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
             for i, j, d, o in byte_chunks(batch.column(0)):
                 h, doc = _distinct(*_features(d, o))
                 at, f = _lookup(table, h)
-                votes = np.zeros((j - i, LEXICONS + PATTERNS), np.int8)
+                votes = np.zeros((j - i, LEXICONS + PATTERNS + 1), np.int8)
                 hit = voter_of[f] >= 0
-                words = np.bincount(doc, minlength=j - i)
-                votes[words >= 100, :LEXICONS] = -1  # silence of a longer text says something
                 votes[doc[at[hit]], voter_of[f[hit]]] = 1
-                votes[:, LEXICONS:] = _pattern_votes(d, o)
+                votes[:, LEXICONS:-1] = _pattern_votes(d, o)
+                votes[:, -1] = -(votes[:, :LEXICONS].max(axis=1) == 0).astype(np.int8)  # no lexicon speaks
                 cut = np.searchsorted(doc[at], np.arange(j - i + 1))
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(i, j - i), pa.array([v.tobytes() for v in votes], pa.binary()),
                                                   pa.array([f[a:b].astype(np.int32).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)], pa.binary())],
