@@ -377,7 +377,8 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM, max_g
     """
     segs = stored(segment_pass(src, length, gram))
     keys = segs.groupBy("key").agg(F.count("*").alias("c"), F.min("content").alias("c0"), F.max("content").alias("c1"))
-    keys = keys.where("c > 1").select("key", (F.col("c0") < F.col("c1")).alias("mixed"))
+    # written, so that both sides of the join are plain shuffles, whose hot keys Spark splits
+    keys = stored(keys.where("c > 1").select("key", (F.col("c0") < F.col("c1")).alias("mixed")))
     hits = stored(segs.join(keys, "key"))
     whole = hits.where("not mixed").select("doc_id", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).alias("b"))
 
@@ -389,7 +390,7 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM, max_g
     few, many = texts.join(hot, "key", "left_anti"), texts.join(hot, "key", "left_semi")
     solved = sorted_groups(few, length, gram).unionByName(split_groups(many, length))
     solved = reps.select("key", "content", "c").join(solved, ["key", "content"], "left")
-    solved = solved.where("c > 1 or spans is not null")
+    solved = stored(solved.where("c > 1 or spans is not null"))
     got = mixed.join(solved, ["key", "content"])
     full = F.array(F.struct(F.lit(0).alias("a"), (F.col("n") - 1 + length).cast("int").alias("b")))
     got = got.select("doc_id", "lo", F.explode(F.when(F.col("c") > 1, full).otherwise(F.col("spans"))).alias("s"))
