@@ -1,30 +1,70 @@
-"""Corpus pipeline: stages over the documents table, each written and read again by run()."""
+"""Corpus pipeline: stages over the documents table, each written and read again by run().
+
+Every stage takes all rows its predecessor kept; all but the last return the
+columns of documents.  Rows may be repeated; a null id is kept where a stage
+does not need it to tell rows apart.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracetide.llm import langid, packing
+from tracetide.llm import decontam, jaccard_join, langid, packing, suffix_dedup
 from tracetide.llm.common import doc_crc, stored
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # trained models and byte-level matches; compared with brute force in tests/llm
+
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is determined; texts that are null or have no letter go."""
     model = langid.fit(docs.where(F.coalesce(doc_crc() % 4 != 2, F.lit(False))))
-    out = langid.identify(docs, model, keep=tuple(docs.columns))
-    return out.where(F.col("lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+    out = langid.identify(docs, model, keep=tuple(docs.columns), names=("__lang", "__score"))
+    return out.where(F.col("__lang") != langid.UNDETERMINED).select(*docs.columns)
 
 
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    import public_tokenizers
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked documents: the one of smallest id.
+
+    Rows without an id cannot be grouped and stay; of rows with one id and one
+    text, one stays.
+    """
+    groups = jaccard_join.jaccard_components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("__first")).distinct()
+    known = docs.where("doc_id is not null").join(groups, F.col("doc_id") == F.col("__first"), "left_semi")
+    known = known.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")))
+    return known.where("__copy = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+
 
-    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without their repeated 400-byte strings; characters that were cut through go too."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    out = suffix_dedup.deduplicate(docs, keep=(*rest, "text"))
+    whole = F.when(F.col("n_removed") == 0, F.col("__keep_text")).otherwise(F.regexp_replace(F.decode("kept", "UTF-8"), "�", ""))
+    out = out.select("doc_id", whole.alias("text"), *[F.col(f"__keep_{c}").alias(c) for c in rest])
+    out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any passage of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = stored(decontam.find_matches(docs, items)).select(F.col("doc_id").alias("__found")).distinct()
+    return docs.join(found, F.col("doc_id") == F.col("__found"), "left_anti")
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of the documents that are left."""
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
 
 
 STAGES = [
     ("language ID", language_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("suffix-array dedup", substring_stage),
+    ("benchmark decontamination", decontamination_stage),
     ("packing", packing_stage),
 ]
 

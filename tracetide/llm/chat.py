@@ -18,7 +18,7 @@ A conversation is one output value, so its text must stay below Spark's 2 GB
 for a value; a task holds one conversation at a time.
 
 Defined results: null texts and roles are empty; turns are ordered by turn
-(null first), then role, then text, and repeated rows are repeated turns; an event
+(null first), then role, then a hash of the text; repeated rows are repeated turns; an event
 of an unknown kind is ignored; events of a message that was never opened open
 it with an empty role; a null conversation id is a conversation of its own; an
 empty table gives an empty result; further columns are ignored.

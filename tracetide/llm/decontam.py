@@ -36,7 +36,9 @@ from pyspark.sql import functions as F
 from .common import U64, broadcast, byte_chunks, random_u64, splitmix
 
 RATE = 0.1
-WALKS, REPEATS, BITS = 6, 48, 3
+WALKS, REPEATS, BITS = 8, 48, 5
+SPAN = 2  # steps of a walk for each byte of the item; about then the text is used up
+SAMPLED = 1.7  # places for each byte that are sampled: later ones are mostly past the end
 BLOCK_BYTES = 8 << 20
 _FLUSH = 2048
 _BITMAP = 22
@@ -117,19 +119,19 @@ class Walks:
     """Random bits and sampled places, fixed by seeds."""
 
     def __init__(self, longest: int):
-        steps = 3 * longest
+        steps = SPAN * longest
         self.bits = [(random_u64(steps * 257, 1000 + w) >> U64(40) & U64(1)).astype(np.int64).reshape(steps, 257) for w in range(WALKS)]
         self.place = (random_u64(WALKS * REPEATS * BITS, 77) >> U64(11)).astype(np.float64).reshape(WALKS, REPEATS, BITS) / float(1 << 53)
         self.mix = random_u64(WALKS * REPEATS, 99).reshape(WALKS, REPEATS)
 
     def signatures(self, texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
-        """(texts, WALKS * REPEATS) signatures; the embedding of a text for items of n bytes has 3 n places."""
+        """(texts, WALKS * REPEATS) signatures; the embedding of a text for items of n bytes has SPAN * n places."""
         m, width = len(texts), max(map(len, texts)) + 1
         raw = np.full((m, width), 256, np.int64)
         for i, t in enumerate(texts):
             raw[i, :len(t)] = np.frombuffer(t, np.uint8)
         flat, base, last = raw.ravel(), np.arange(m) * width, width - 1
-        steps = 3 * int(sizes.max())
+        steps = SPAN * int(sizes.max())
         out = np.empty((m, WALKS * REPEATS), U64)
         rows = np.arange(m)[:, None]
         for w in range(WALKS):
@@ -141,7 +143,7 @@ class Walks:
                 at += self.bits[w][j][c]
                 np.minimum(at, last, out=at)
             for r in range(REPEATS):
-                where = (self.place[w, r][None, :] * (3 * sizes)[:, None]).astype(np.int64)
+                where = (self.place[w, r][None, :] * (SAMPLED * sizes)[:, None]).astype(np.int64)
                 got = walk[where, rows].astype(U64)
                 key = sizes.astype(U64) * U64(0x9E3779B97F4A7C15) + self.mix[w, r]
                 for b in range(BITS):

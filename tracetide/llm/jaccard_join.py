@@ -22,8 +22,9 @@ m share at least ``3/7 (n + m)`` tokens and one of the first
 
 Defined results: null or blank text has an empty set, links with nothing and
 is its own component; one to four words are one shingle; repeated rows and
-copies share a class; a null id is dropped (it can name no component); an empty table gives an
-empty result; further columns are ignored.
+copies share a class; a row without an id gets the component of the rows with
+its set, or null, and links nothing; rows of one id are taken to have one text;
+an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +80,7 @@ def _sketches(h: np.ndarray, n: np.ndarray) -> list[bytes]:
 
 
 def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("t")).where("doc_id is not null")
+    return docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("t"))
 
 
 def fingerprint_pass(src: DataFrame) -> DataFrame:
@@ -377,7 +378,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     top = frequent.orderBy(F.desc("c"), "token").limit(FREQUENT).toPandas()["token"].to_numpy(np.int64)
     shared = broadcast(spark, np.sort(top.view(U64)))
 
-    classes = stored(members.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")))
+    classes = stored(members.where("n > 0").groupBy("fp1", "fp2", "n").agg(F.min("doc_id").alias("rep")).where("rep is not null"))
     ids = classes.select(F.col("fp1").alias("cid"), "rep", "n")
     rows = stored(chained(prefix_pass(src, shared)))
 

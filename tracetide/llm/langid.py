@@ -164,8 +164,9 @@ def score_texts(texts: list, model: Model):
     return best, post
 
 
-def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus lang_pred and score; the whole text of each row is scored."""
+def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
+             names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns plus the language and its posterior; the whole text of each row is scored."""
     shared = broadcast(docs.sparkSession, model)
     src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
     kept = src.select(*keep).schema
@@ -176,7 +177,7 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
             best, post = score_texts(batch.column(batch.num_columns - 1).to_pylist(), m)
             pred = [m.langs[b] if b >= 0 else UNDETERMINED for b in best.tolist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(post, pa.float64())],
-                                             names=[*keep, "lang_pred", "score"])
+                                             names=[*keep, *names])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
-    return src.mapInArrow(run, f"{out}, lang_pred string, score double")
+    return src.mapInArrow(run, f"{out}, {names[0]} string, {names[1]} double")
