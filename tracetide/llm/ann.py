@@ -34,10 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import broadcast, stored
 
-TREES = 12
-LEAF_SAMPLE = 48
+TREES = 8
+LEAF_SAMPLE = 200
 SAMPLE_ROWS = 20_000  # documented bound of the fitting sample
-SEARCH_SHARE = 0.25
+SEARCH_SHARE = 0.15
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 2048
 
@@ -124,8 +124,9 @@ def _matrix(col) -> np.ndarray:
 
 
 def usable(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
-    """id, v (double array) of the rows that take part."""
-    v = rows.select(rows[vec_id].cast("bigint").alias("id"), rows[vector].cast("array<double>").alias("v"))
+    """id, v (floats or doubles, as given) of the rows that take part."""
+    kind = "array<float>" if rows.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    v = rows.select(rows[vec_id].cast("bigint").alias("id"), rows[vector].cast(kind).alias("v"))
     v = v.where("id is not null and size(v) > 0")
     v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0))
     v = v.withColumn("len", F.size("v"))
@@ -170,7 +171,7 @@ def nearest(rows: DataFrame, queries, *, k: int = 5, vec_id: str = "vec_id", vec
     same = Window.partitionBy("v").orderBy("id")
     kept = stored(all_rows.withColumn("rn", F.row_number().over(same)).where(F.col("rn") <= k1).drop("rn"))
     asked = stored(all_rows.where(queries))
-    searches = asked.groupBy("v").agg(F.min("id").alias("s"))  # equal query vectors are one search
+    searches = stored(asked.groupBy("v").agg(F.min("id").alias("s")))  # equal query vectors are one search
 
     total = kept.count()
     sample = kept if total <= sample_rows else kept.where(F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(1_000_000)) < int(1e6 * sample_rows / total))
@@ -200,8 +201,9 @@ def nearest(rows: DataFrame, queries, *, k: int = 5, vec_id: str = "vec_id", vec
             yield pa.RecordBatch.from_arrays([pa.array(np.array([b for f in found for b in f], np.int64)), batch.column(0).take(pa.array(at)),
                                               batch.column(1).take(pa.array(at))], names=["bucket", "s", "qv"])
 
-    placed = kept.select("id", "v").mapInArrow(place, "bucket bigint, id bigint, v array<double>")
-    probes = stored(searches.select("s", "v").mapInArrow(probe, "bucket bigint, s bigint, qv array<double>"))
+    kind = kept.schema["v"].dataType.simpleString()
+    placed = kept.select("id", "v").mapInArrow(place, f"bucket bigint, id bigint, v {kind}")
+    probes = stored(searches.select("s", "v").repartition(F.col("s")).mapInArrow(probe, f"bucket bigint, s bigint, qv {kind}"))
     # leaves are a fixed number, so their counts may go to the driver
     n_rows = {r[0]: r[1] for r in placed.groupBy("bucket").count().collect()}
     n_asks = {r[0]: r[1] for r in probes.groupBy("bucket").count().collect()}

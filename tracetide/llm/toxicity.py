@@ -106,8 +106,12 @@ def _lookup(table: np.ndarray, h: np.ndarray):
     return hit[ok], at[ok]
 
 
-def label_model(votes: np.ndarray, prior: float, rounds: int = 40):
-    """Posterior of class 1 for each row of votes (-1, 0, 1), the voters' accuracies and correlations."""
+def label_model(votes: np.ndarray, prior: float, labels: np.ndarray | None = None, trust: float = 0.5, rounds: int = 40):
+    """Posterior of class 1 for each row of votes (-1, 0, 1), the voters' accuracies and correlations.
+
+    Known labels, if given, anchor the accuracies with weight ``trust``: votes
+    that only repeat each other do not tell the classes apart.
+    """
     n, m = votes.shape
     positive = (votes == 1).sum(axis=1)
     post = np.where(positive > 0, 0.9, 0.1 * prior + 0.01)
@@ -116,7 +120,8 @@ def label_model(votes: np.ndarray, prior: float, rounds: int = 40):
     rates, corr = None, np.zeros((m, m))
     for it in range(rounds):
         rates = []
-        for q in (1 - post, post):
+        one = post if labels is None else (1 - trust) * post + trust * labels
+        for q in (1 - one, one):
             t = q.sum() + 1.5
             rates.append(np.stack([(q @ k + 0.5) / t for k in kinds], axis=1))  # (voters, 3)
         if it % 10 == 9:  # what the class does not explain
@@ -222,7 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     votes = np.frombuffer(b"".join(seen.column("votes").to_pylist()), np.int8).reshape(len(y), -1)
     parts = [np.frombuffer(b, np.int32) for b in seen.column("features").to_pylist()]
     doc, feature = np.repeat(np.arange(len(y)), [len(p) for p in parts]), np.concatenate(parts).astype(np.int64)
-    post, _, _ = label_model(votes, n1 / (n0 + n1))
+    post, _, _ = label_model(votes, n1 / (n0 + n1), y)
     w, b = logistic(doc, feature, post, len(table))
     a, c = calibrate(b + np.bincount(doc, weights=w[feature], minlength=len(y)), y)
     return Model(table, a * w, a * b + c)

@@ -59,36 +59,35 @@ def longest_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tu
     return rule, verdict
 
 
-def _weight(groups: DataFrame, rate: str, parent: str) -> DataFrame:
-    """One row: the prior's weight by moments, from each group's n, rate and its parent's rate."""
-    s = groups.where("n > 0").agg(
-        F.sum("n").alias("t"), F.sum(F.col("n") * F.col("n")).alias("t2"), F.count("*").alias("g"),
-        F.sum(F.col("n") * (F.col(rate) - F.col(parent)) * (F.col(rate) - F.col(parent))).alias("ss"),
-        F.sum(F.col("n") * F.col(parent) * (1 - F.col(parent))).alias("v"))
-    t, v = F.col("t"), F.col("v") / F.col("t")
-    spread = (F.col("ss") - (F.col("g") - 1) * v) / (t - F.col("t2") / t)
-    weight = F.when((F.col("g") > 1) & (spread > 0) & (v > 0), F.least(F.greatest(v / spread - 1, F.lit(1.0)), F.lit(MAX_WEIGHT)))
-    return s.select(F.coalesce(weight, F.lit(MAX_WEIGHT)).alias("weight"))
+def _weight(groups: DataFrame) -> float:
+    """The prior's weight by moments, from each group's n, own rate and its parent's rate (up)."""
+    v = F.col("n") * F.col("up") * (1 - F.col("up"))
+    t, t2, g, ss, v = groups.where("n > 0").agg(
+        F.sum("n"), F.sum(F.col("n") * F.col("n")), F.count("*"), F.sum(F.col("n") * (F.col("own") - F.col("up")) * (F.col("own") - F.col("up"))), F.sum(v)).first()
+    if g < 2:
+        return MAX_WEIGHT
+    v = v / t
+    spread = (ss - (g - 1) * v) / (t - t2 / t)
+    return min(max(v / spread - 1, 1.0), MAX_WEIGHT) if spread > 0 and v > 0 else MAX_WEIGHT
 
 
 def reputation(hosts: DataFrame) -> DataFrame:
     """host, rate, low of every host in ``hosts`` (host, n, bad: counts of labelled pages)."""
     level = lambda d, *by: d.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = stored(hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"))))
-    whole = hosts.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1.0)).alias("up"))
-    shrink = lambda d: (F.col("bad") + F.col("weight") * F.col("up")) / (F.col("n") + F.col("weight"))
-    own = F.when(F.col("n") > 0, F.col("bad") / F.col("n")).otherwise(F.col("up"))
+    bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
+    whole = ((bad or 0) + 0.5) / ((n or 0) + 1.0)
 
     def shrunk(groups: DataFrame) -> DataFrame:
-        groups = stored(groups.withColumn("own", own))
-        one = F.broadcast(_weight(groups, "own", "up"))  # a single row
-        return groups.crossJoin(one).withColumn("rate", shrink(groups))
+        """Rates shrunk towards ``up``; one number for each level, the weight, goes by the driver."""
+        groups = stored(groups.withColumn("own", F.when(F.col("n") > 0, F.col("bad") / F.col("n")).otherwise(F.col("up"))))
+        w = _weight(groups)
+        return groups.withColumn("a", F.col("bad") + w * F.col("up")).withColumn("t", F.col("n") + w).withColumn("rate", F.col("a") / F.col("t"))
 
-    suffix = shrunk(level(hosts, "suffix").crossJoin(F.broadcast(whole)))
+    suffix = shrunk(level(hosts, "suffix").withColumn("up", F.lit(whole)))
     domain = shrunk(level(hosts, "suffix", "domain").join(suffix.select("suffix", F.col("rate").alias("up")), "suffix"))
     host = shrunk(hosts.select("domain", "host", "n", "bad").join(domain.select("domain", F.col("rate").alias("up")), "domain"))
-    a = F.col("bad") + F.col("weight") * F.col("up")
-    t = F.col("n") + F.col("weight")
+    a, t = F.col("a"), F.col("t")
     sd = F.sqrt(a * (t - a) / (t * t * (t + 1)))
     return host.select("host", "rate", (F.col("rate") - Z * sd).alias("low"))
 
