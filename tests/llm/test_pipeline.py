@@ -70,7 +70,7 @@ def test_stages_take_an_empty_table_and_null_rows(spark, name):
     docs = spark.createDataFrame([(None, None, None, None, None), (None, None, None, None, None), (1, "a b", None, None, None)],
                                  "doc_id bigint, text string, lang string, source string, n_chars bigint")
     assert stages()[name](spark, docs.limit(0), "/root/testdata/sf0.001").count() == 0
-    assert stages()[name](spark, docs, "/root/testdata/sf0.001").where("doc_id = 1").count() == (0 if name == "language ID" else 1)
+    assert stages()[name](spark, docs, "/root/testdata/sf0.001").where("doc_id = 1").select("doc_id").distinct().count() == (0 if name == "language ID" else 1)
 
 
 def test_entry_works_without_the_corpus_operators(tmp_path):

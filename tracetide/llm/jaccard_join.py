@@ -191,19 +191,37 @@ def chained(prefix: DataFrame) -> DataFrame:
     return parts.mapInArrow(run, "token bigint, cid bigint, n bigint, prev bigint, prev_n bigint")
 
 
+def _wide(tokens: np.ndarray) -> bytes:
+    """Bitmap of four to eight bits a token; larger ones fold onto smaller ones."""
+    size = 64 << max(0, (4 * len(tokens) - 1).bit_length() - 6)
+    bits = np.zeros(size, np.uint8)
+    bits[(tokens & U64(size - 1)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def _most_common(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
+    """Upper bound of the overlap of two sets of sizes n and m by their wide bitmaps."""
+    if len(x) > len(y):
+        x = np.bitwise_or.reduce(x.reshape(-1, len(y)), axis=0)
+    elif len(y) > len(x):
+        y = np.bitwise_or.reduce(y.reshape(-1, len(x)), axis=0)
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
 def whole_sets(src: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(rep, tokens) of the documents in ``pairs`` (a, b)."""
-    names = ["rep", "tokens"]
+    """(rep, wide, tokens) of the documents in ``pairs`` (a, b); wide: a bitmap that grows with the set."""
+    names = ["rep", "wide", "tokens"]
 
     def run(batches):
         for batch in batches:
             for i, m, n, start, h in _sets(batch.column(1)):
-                parts = [h[s:s + k].tobytes() for s, k in zip(start.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.array(parts, pa.binary())], names=names)
+                parts = [h[s:s + k] for s, k in zip(start.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.array([_wide(p) for p in parts], pa.binary()),
+                                                  pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
     ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_IDS  # else a sort-merge join
-    return src.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "rep bigint, tokens binary")
+    return src.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "rep bigint, wide binary, tokens binary")
 
 
 def needed(n, m):
@@ -232,27 +250,36 @@ def sketch_survivors(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link, by the whole sets."""
+    """Pairs (a, b) that link: by wide bitmaps first, then by the whole sets, so few sets are sent."""
     sets = stored(sets)
-    left = sets.select(F.col("rep").alias("a"), F.col("tokens").alias("ta"))
-    right = sets.select(F.col("rep").alias("b"), F.col("tokens").alias("tb"))
-
-    def run(batches):
-        for batch in batches:
-            a, b, ta, tb = (batch.column(batch.schema.get_field_index(c)) for c in ("a", "b", "ta", "tb"))
-            keep = np.zeros(len(a), bool)
-            for k in range(len(a)):
-                x, y = np.frombuffer(ta[k].as_buffer(), U64), np.frombuffer(tb[k].as_buffer(), U64)
-                if len(x) > len(y):
-                    x, y = y, x
-                if not len(x):
-                    continue
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                common = int((y[at] == x).sum())
-                keep[k] = 100 * common >= 75 * (len(x) + len(y) - common)
-            yield pa.RecordBatch.from_arrays([pa.array(a.to_numpy()[keep]), pa.array(b.to_numpy()[keep])], names=["a", "b"])
 
-    return pairs.join(left, "a").join(right, "b").mapInArrow(run, "a bigint, b bigint")
+    def joined(pairs, column):
+        left = sets.select(F.col("rep").alias("a"), F.length("tokens").alias("na"), F.col(column).alias("xa"))
+        right = sets.select(F.col("rep").alias("b"), F.length("tokens").alias("nb"), F.col(column).alias("xb"))
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "xa", "xb")
+
+    def checked(test):
+        def run(batches):
+            for batch in batches:
+                a, b, na, nb, xa, xb = batch.columns
+                keep = [test(np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64), n // 8, m // 8)
+                        for x, y, n, m in zip(xa, xb, na.to_pylist(), nb.to_pylist(), strict=True)]
+                keep = np.array(keep, bool)
+                yield pa.RecordBatch.from_arrays([pa.array(a.to_numpy()[keep]), pa.array(b.to_numpy()[keep])], names=["a", "b"])
+        return run
+
+    def may(x, y, n, m):
+        return n > 0 and m > 0 and _most_common(x, y, n, m) >= needed(n, m)
+
+    def does(x, y, n, m):
+        if n > m:
+            x, y = y, x
+        at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+        common = int((y[at] == x).sum())
+        return 100 * common >= 75 * (n + m - common)
+
+    some = stored(joined(pairs, "wide").mapInArrow(checked(may), "a bigint, b bigint"))
+    return joined(some, "tokens").mapInArrow(checked(does), "a bigint, b bigint")
 
 
 class SignatureTree:

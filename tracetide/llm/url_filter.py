@@ -76,7 +76,7 @@ def reputation(hosts: DataFrame) -> DataFrame:
     level = lambda d, *by: d.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     hosts = stored(hosts.withColumn("suffix", suffix_of(F.col("host"))).withColumn("domain", domain_of(F.col("host"))))
     bad, n = hosts.agg(F.sum("bad"), F.sum("n")).first()
-    whole = ((bad or 0) + 0.5) / ((n or 0) + 1.0)
+    whole = (bad + 0.5) / (n + 1.0) if n else 0.0
 
     def shrunk(groups: DataFrame) -> DataFrame:
         """Rates shrunk towards ``up``; one number for each level, the weight, goes by the driver."""
