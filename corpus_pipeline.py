@@ -41,9 +41,8 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated 400-byte strings; characters that were cut through go too."""
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = suffix_dedup.deduplicate(docs, keep=(*rest, "text"))
-    whole = F.when(F.col("n_removed") == 0, F.col("__keep_text")).otherwise(F.regexp_replace(F.decode("kept", "UTF-8"), "�", ""))
-    out = out.select("doc_id", whole.alias("text"), *[F.col(f"__keep_{c}").alias(c) for c in rest])
+    out = suffix_dedup.deduplicate(docs, keep=tuple(rest))
+    out = out.select("doc_id", F.col("kept_text").alias("text"), *[F.col(f"__keep_{c}").alias(c) for c in rest])
     out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 

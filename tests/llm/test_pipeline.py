@@ -21,6 +21,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     rows += [(60_000, "some words before " + bench[0][1] + " and after"), (60_001, "clean words of its own"), (10_003, "one")]
     passage = dict(rows)[2][:500]
     rows += [(60_002, "unlike the others 1 " + passage + " q"), (60_003, "nor these are alike 2 " + passage + " z")]
+    rows += [(60_004, "first " + passage + "é one"), (60_005, "second " + passage + "ê two")]  # cut inside a character
     docs = H.frame(spark, rows)
     docs = docs.withColumn("lang", docs["source"])
     train = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id >= 60")

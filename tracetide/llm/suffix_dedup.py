@@ -400,7 +400,10 @@ def repeated_spans(src: DataFrame, length: int = LENGTH, gram: int = GRAM, max_g
 
 def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM,
                 max_group: int = MAX_GROUP, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, kept (bytes), n_bytes, removed (spans), n_removed, plus the ``keep`` columns."""
+    """doc_id, kept (bytes), kept_text, n_bytes, removed (spans), n_removed, plus the ``keep`` columns.
+
+    ``kept_text`` leaves out characters of which only some bytes were removed.
+    """
     base = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), F.coalesce(docs[text].cast("string").cast("binary"), F.lit(b"")).alias("t"),
                        *[docs[c].alias(f"__keep_{c}") for c in keep])
     src = base.select("doc_id", "t").where("doc_id is not null")
@@ -424,10 +427,11 @@ def deduplicate(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 size.append(len(t))
                 removed.append([{"a": a, "b": b} for a, b in cut])
                 lost.append(len(t) - len(kept[-1]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.binary()), pa.array(size, pa.int64()), pa.array(removed, kind),
+            text = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+            yield pa.RecordBatch.from_arrays([ids, pa.array(kept, pa.binary()), text, pa.array(size, pa.int64()), pa.array(removed, kind),
                                               pa.array(lost, pa.int64()), *batch.columns[3:]],
-                                             names=["doc_id", "kept", "n_bytes", "removed", "n_removed", *kept_cols])
+                                             names=["doc_id", "kept", "kept_text", "n_bytes", "removed", "n_removed", *kept_cols])
 
     rows = joined.select("doc_id", "t", "spans", *kept_cols)
     fields = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in rows.select(*kept_cols).schema.fields) if keep else ""
-    return rows.mapInArrow(run, "doc_id bigint, kept binary, n_bytes bigint, removed array<struct<a:bigint,b:bigint>>, n_removed bigint" + fields)
+    return rows.mapInArrow(run, "doc_id bigint, kept binary, kept_text string, n_bytes bigint, removed array<struct<a:bigint,b:bigint>>, n_removed bigint" + fields)
