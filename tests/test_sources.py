@@ -76,7 +76,7 @@ def test_run_archives_to_summary(spark, tmp_path):
         "phoronix.json": json.dumps(doc),
         "report.main.json": json.dumps({"kernel": {"version": "4.19.0"}}),
     })
-    lines, docs = runlogs.read_run_archives(spark, str(tmp_path))
+    lines, docs, _ = runlogs.read_run_archives(spark, str(tmp_path))
     row = runs.traces_summary(lines, docs).first().asDict()
     assert row["POWER"] == "powersave-y" and row["PHORONIX"] == "redis" and row["MONITORING"] == "cpu-energy-meter"
     assert row["usr_bin_time"] == 12.25 and row["sysbench_trps"] == 45.67

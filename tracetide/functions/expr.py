@@ -153,6 +153,22 @@ def parse_query(text: str) -> ast.expr:
     return ast.parse(source.strip(), mode="eval").body
 
 
+def decimal_exact(value: Column) -> Column:
+    """True where a double is a decimal of at most 10 places below 1e15, so that
+    decimal(38,10) sums of it are exact; NULL stays NULL."""
+    return ((F.abs(value) < 1e15) & (value.try_cast("decimal(38,10)").cast("double") == value))
+
+
+def modulo(a: TCol, b: TCol) -> Column:
+    """EXP1 ``%``: the result has the divisor's sign; a zero divisor gives NULL
+    for integers and NaN for floats (the row does not match, the job goes on)."""
+    rest = a.col % F.when(b.col != 0, b.col)
+    signed = F.when((rest != 0) & ((rest < 0) != (b.col < 0)), rest + b.col).otherwise(rest)
+    if _num_kind(a, b) == "float":
+        return F.when(b.col == 0, F.lit(float("nan"))).otherwise(signed)
+    return signed
+
+
 _BIN = {ast.Add: add, ast.Sub: sub, ast.Mult: mul, ast.Div: div}
 
 
@@ -188,7 +204,7 @@ def _compile_node(node: ast.AST, env: dict) -> TCol:
         if type(node.op) in _BIN:
             return _BIN[type(node.op)](a, b)
         if isinstance(node.op, ast.Mod):
-            return TCol(F.pmod(a.col, b.col), _num_kind(a, b))
+            return TCol(modulo(a, b), _num_kind(a, b))
         if isinstance(node.op, ast.Pow):
             return TCol(F.pow(a.col, b.col), "float")
         if isinstance(node.op, ast.FloorDiv):

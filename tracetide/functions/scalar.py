@@ -11,15 +11,16 @@ from pyspark.sql import functions as F
 def comm_from_addr(addr: Column) -> Column:
     """FN8: 8 little-endian bytes of ``addr`` as text, up to the first NUL byte.
 
-    Bytes are mapped one to one to characters (ISO-8859-1), so any byte
-    string decodes; ASCII command names come out unchanged.
+    The bytes are read as UTF-8; bytes that are not UTF-8 (a name cut inside a
+    character) become U+FFFD.
     """
     byte_list = F.transform(F.sequence(F.lit(0), F.lit(7)),
                             lambda i: F.call_function("shiftright", addr, i * 8).bitwiseAND(F.lit(255)))
     first_nul = F.array_position(byte_list, 0)
     length = F.when(first_nul == 0, F.lit(8)).otherwise(first_nul - 1)
     kept = F.slice(byte_list, F.lit(1), length.cast("int"))
-    return F.array_join(F.transform(kept, lambda b: F.char(b)), "")
+    text = F.unhex(F.array_join(F.transform(kept, lambda b: F.lpad(F.hex(b), 2, "0")), ""))
+    return F.make_valid_utf8(text.cast("string"))
 
 
 def basename(path: Column) -> Column:
@@ -54,7 +55,8 @@ PATTERN_TYPES = {
 def pattern_to_regex(pattern: str) -> str:
     """FN2: ``{name:F}`` / ``{:s}`` / ``{:d}`` line pattern -> anchored regex.
 
-    The field named ``pattern`` is the only capture group.
+    The field named ``pattern`` is the only capture group.  Letters match in
+    either case.
     """
     out, pos = [], 0
     for m in re.finditer(r"\{(\w*):(\w)\}", pattern):
@@ -68,4 +70,4 @@ def pattern_to_regex(pattern: str) -> str:
         out.append(rx)
         pos = m.end()
     out.append(re.escape(pattern[pos:]))
-    return "^" + "".join(out) + "$"
+    return "(?i)^" + "".join(out) + "$"

@@ -5,57 +5,40 @@ probe's key.
 Plan: probes and candidates are unioned and ordered by key inside each
 equality group; a *running* ``last(..., ignorenulls)`` frame picks the
 nearest candidate (running frames are O(1) per row, unlike frames that
-extend to UNBOUNDED FOLLOWING).  To keep one hot group out of a single
-task, the key axis is cut into blocks with bounds from a bounded sample of
-candidate keys (equal keys stay in one block); the nearest candidate of the
-neighbouring blocks comes from a small carry table joined back on
-``(group, block)``.  No pairs are ever enumerated.
+extend to UNBOUNDED FOLLOWING).  To keep one hot group, or one hot key, out of
+a single task, the rows -- probes and candidates -- are cut into blocks on
+the full sort order (key, kind, id) with bounds from a sample of all rows;
+the nearest candidate of the neighbouring blocks comes from a small carry
+table joined back on ``(group, block)``.  No pairs are ever enumerated.
 """
 
 from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..config import conf_int
+from .order import bucket_column
 
-SAMPLE_PER_BLOCK = 64     # target sampled keys per block
-SAMPLE_MAX = 1_000_000    # cap on sampled keys collected to the driver
-MAX_BLOCKS = 100_000      # key blocks beyond this only add carry rows
+SAMPLE_PER_BLOCK = 32     # target sampled rows per block
 PARALLEL_ROWS = 1 << 19   # above this, use at least one block per task slot
 
 
-def _key_blocks(cands: DataFrame, key: str, block_rows: int, seed: int = 11):
-    """Sorted block bounds on the candidate key (None -> a single block)."""
-    n = cands.count()
+def _row_blocks(rows: DataFrame, cols: list, block_rows: int, seed: int = 11) -> list:
+    """Sorted block bounds on the full sort order of all rows (empty: one block)."""
+    n = rows.count()
     nb = int(math.ceil(n / block_rows))
     if n > PARALLEL_ROWS:  # spread medium inputs over all task slots
-        nb = max(nb, cands.sparkSession.sparkContext.defaultParallelism)
+        nb = max(nb, rows.sparkSession.sparkContext.defaultParallelism)
     if nb <= 1:
-        return None
-    nb = min(MAX_BLOCKS, nb)
-    target = min(SAMPLE_MAX, SAMPLE_PER_BLOCK * nb)
-    sample = (cands.select(key).sample(False, min(1.0, target / n), seed)
-                   .limit(2 * target).collect())
-    keys = sorted(r[0] for r in sample if r[0] is not None)
-    bounds = sorted({keys[(i * len(keys)) // nb] for i in range(1, nb)}) if keys else []
-    return bounds or None
-
-
-def _block_col(bounds, key_col):
-    b = np.array(bounds)
-
-    @F.pandas_udf(T.IntegerType())
-    def block(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(b, k.to_numpy(), side="right").astype("int32"))
-
-    return block(key_col)
+        return []
+    keys = rows.select(*cols).where(F.col(cols[0]).isNotNull())
+    got = sorted(tuple(r) for r in keys.sample(False, min(1.0, SAMPLE_PER_BLOCK * nb / n), seed).collect())
+    return sorted({got[(i * len(got)) // nb] for i in range(1, nb)}) if got else []
 
 
 def _key_type(probes: DataFrame, probe_key: str, cands: DataFrame, cand_key: str) -> str:
@@ -103,15 +86,13 @@ def asof(probes: DataFrame, cands: DataFrame, eq: list, probe_key: str, cand_key
         raise ValueError(direction)
     P = P.withColumn("_tt_tag", F.lit(probe_tag))
     C = C.withColumn("_tt_tag", F.lit(cand_tag))
-    bounds = _key_blocks(C, "_tt_k", block_rows)
-    if bounds is None:
-        blk = F.lit(0)
-    elif len(bounds) <= 64:  # few blocks: count bounds <= key, JVM-side
-        arr = F.array(*[F.lit(b).cast(ktype) for b in bounds])
-        blk = F.size(F.filter(arr, lambda b: b <= F.col("_tt_k"))).cast("int")
-    else:
-        blk = _block_col(bounds, F.col("_tt_k"))
-    U = P.unionByName(C).withColumn("_tt_blk", blk)
+    U = P.unionByName(C)
+    # the place among rows of equal key and kind: probes by id, candidates as the window takes them
+    tie = F.coalesce("_tt_pid", F.col("_tt_ci") if direction == "next" else -F.col("_tt_ci"))
+    U = U.withColumn("_tt_tie", tie)
+    cut = ["_tt_k", "_tt_tag", "_tt_tie"]
+    bounds = _row_blocks(U.select(*cut), cut, block_rows) or None
+    U = U.withColumn("_tt_blk", bucket_column(U, bounds, cut) if bounds else F.lit(0)).drop("_tt_tie")
     cand = F.when(F.col("_tt_ci").isNotNull(), F.struct(F.col("_tt_k").alias("k"), F.col("_tt_ci").alias("i")))
     w = (Window.partitionBy(*gcols, "_tt_blk").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))

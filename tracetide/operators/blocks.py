@@ -104,26 +104,26 @@ def running_max_by_time(df: DataFrame, keys: list, value: Column, out: str,
     time (peers with an equal time included, as in a RANGE frame).
 
     Blocks are idx blocks (time-ordered trace).  Besides the maximum of all
-    earlier blocks, the carry brings the next block's value at its earliest
-    time, which equal-time peers at the block border must see.  (A run of
-    equal times longer than a whole block is not looked through further.)
+    earlier blocks, the carry brings the values that later blocks of the key
+    hold at this block's last time: rows of one time may span any number of
+    blocks.  ``value`` is NULL for most rows; only the others are aggregated.
     """
     base = df.withColumn(BLK, _block(order, block_rows)).withColumn("_tt_val", value)
     part = [quoted(k) for k in keys]
     w = (Window.partitionBy(*part, F.col(BLK)).orderBy(quoted(time_col))
                .rangeBetween(Window.unboundedPreceding, Window.currentRow))
     within = base.withColumn("_tt_in", F.max("_tt_val").over(w))
-    # per block: maximum, and (earliest time, max value at that time) in one pass
-    blocks = (base.groupBy(*part, F.col(BLK))
-                  .agg(F.max("_tt_val").alias("_tt_bmax"),
-                       F.max(F.struct((-quoted(time_col)).alias("t"), F.col("_tt_val").alias("v")))
-                        .alias("_tt_bfirst")))
-    wc = Window.partitionBy(*part).orderBy(F.col(BLK))
-    carry = blocks.select(
-        *part, F.col(BLK),
-        F.max("_tt_bmax").over(wc.rowsBetween(Window.unboundedPreceding, -1)).alias("_tt_prev"),
-        F.lead("_tt_bfirst", 1).over(wc).alias("_tt_next"))
+    blocks = base.groupBy(*part, F.col(BLK)).agg(F.min(quoted(time_col)).alias("_tt_t0"), F.max(quoted(time_col)).alias("_tt_t1"))
+    held = base.where(F.col("_tt_val").isNotNull()).select(*part, F.col(BLK), quoted(time_col).alias("_tt_t"), "_tt_val")
+    tops = held.groupBy(*part, F.col(BLK)).agg(F.max("_tt_val").alias("_tt_bmax"))
+    on = list(keys) + [BLK]
+    # values at a block's first time, over all blocks that begin at that time
+    first = (held.join(blocks, on).where("_tt_t = _tt_t0").groupBy(*part, F.col("_tt_t0").alias("_tt_t1"))
+                 .agg(F.max("_tt_val").alias("_tt_next")))
+    wc = Window.partitionBy(*part).orderBy(F.col(BLK)).rowsBetween(Window.unboundedPreceding, -1)
+    carry = (blocks.join(tops, on, "left").withColumn("_tt_prev", F.max("_tt_bmax").over(wc))
+                   .join(first, list(keys) + ["_tt_t1"], "left").select(*on, "_tt_t1", "_tt_prev", "_tt_next"))
     joined = within.join(carry, on=list(keys) + [BLK], how="left")
-    peer = F.when(F.col("_tt_next.t") == -quoted(time_col), F.col("_tt_next.v"))
+    peer = F.when(F.col("_tt_t1") == quoted(time_col), F.col("_tt_next"))
     best = F.greatest(F.col("_tt_in"), F.col("_tt_prev"), peer)
-    return joined.withColumn(out, best).drop(BLK, "_tt_val", "_tt_in", "_tt_prev", "_tt_next")
+    return joined.withColumn(out, best).drop(BLK, "_tt_val", "_tt_in", "_tt_prev", "_tt_next", "_tt_t1")

@@ -3,13 +3,15 @@ category exclusion, lanes, ranges, statistics and the hover sample."""
 
 from __future__ import annotations
 
+import tokenize
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.expr import compile_query, env_of, quoted
+from ..functions.expr import compile_query, decimal_exact, env_of, quoted
 from ..vars import substitute
 
 HOVER_MAX_ROWS = 100_000
@@ -43,10 +45,12 @@ def _apply_query(frame: DataFrame, text: str, variables: dict | None) -> QueryRe
         return QueryResult(frame, text, False)
     try:
         filtered = frame.where(compile_query(text, env_of(frame)))
-        if filtered.isEmpty():
-            return QueryResult(frame, text, False, "no rows")
-    except Exception as e:  # noqa: BLE001 - any failure falls back
+        filtered.schema  # analysis errors show here, before any job
+    except (SyntaxError, KeyError, ValueError, TypeError, tokenize.TokenError, AnalysisException) as e:
         return QueryResult(frame, text, False, f"{type(e).__name__}: {e}")
+    # a job that fails (an arithmetic error, a lost executor) is not a bad query: let it fail
+    if filtered.isEmpty():
+        return QueryResult(frame, text, False, "no rows")
     return QueryResult(filtered, text, True)
 
 
@@ -117,7 +121,9 @@ def data_ranges(frame: DataFrame) -> DataFrame:
 def category_stats(frame: DataFrame) -> DataFrame:
     """AGG1: per category ``c``: mean, sum and count of every other column,
     named ``<col>.mean`` / ``<col>.sum`` / ``<col>.count``.  NaN/NULL are
-    skipped; sums are exact (decimal) before the final double."""
+    skipped, infinities are values.  Sums of integers, and of doubles that are
+    short decimals below 1e15, are exact (decimal) before the final double;
+    other doubles are summed as doubles."""
     aggs = []
     for f in frame.schema.fields:
         if f.name == "c":
@@ -125,7 +131,9 @@ def category_stats(frame: DataFrame) -> DataFrame:
         col = quoted(f.name)
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             v = F.when(~F.isnan(col), col)
-            total = F.sum(v.cast("decimal(38,10)")).cast("double")
+            short = decimal_exact(v)
+            total = F.when(F.bool_and(F.coalesce(short, F.lit(True))), F.sum(F.when(short, v.try_cast("decimal(38,10)"))).cast("double")) \
+                .otherwise(F.sum(v.cast("double")))
         else:
             v = col
             total = F.sum(v.cast("decimal(38,0)")).cast("double")
@@ -177,8 +185,8 @@ def interactive_view(frame: DataFrame, text: str, variables: dict | None, width:
     viewport (default: the result's own range)."""
     from ..config import materialize
     from . import raster as _raster
-    res = apply_query(frame, text, variables)
-    result = materialize(res.frame)
+    res = apply_query(materialize(frame), text, variables)
+    result = res.frame if not res.applied else materialize(res.frame)
     r = data_ranges(result).first()
     box = viewport or (r["xmin"], r["xmax"], r["ymin"], r["ymax"])
     if is_segments(result):

@@ -25,10 +25,9 @@ from pyspark.sql import types as T
 from pyspark.sql import Window
 
 from ..config import conf_int, materialize
-from ..functions.expr import kind_of, quoted
+from ..functions.expr import decimal_exact, kind_of, quoted
 
 SAMPLE_PER_BUCKET = 32   # target sampled keys per bucket
-SAMPLE_MAX = 1_000_000   # cap on sampled keys collected to the driver
 PARALLEL_ROWS = 1 << 19  # above this, use at least one bucket per task slot
 
 
@@ -113,10 +112,10 @@ def with_position(df: DataFrame, order_cols: list, out: str = "pos",
         w = Window.partitionBy(quoted(group) if group else F.lit(0)).orderBy(
             *[quoted(c) for c in order_cols])
         return df.withColumn(out, (F.row_number().over(w) - 1).cast("bigint"))
-    target = min(SAMPLE_MAX, max(4 * nb, SAMPLE_PER_BUCKET * nb))
+    target = SAMPLE_PER_BUCKET * nb
     frac = min(1.0, target / n)
-    sample = (df.select(*cols).sample(withReplacement=False, fraction=frac, seed=seed)
-                .limit(2 * target).collect())
+    # about SAMPLE_PER_BUCKET keys for each bucket of bucket_rows rows, from all partitions alike
+    sample = df.select(*cols).sample(withReplacement=False, fraction=frac, seed=seed).collect()
     skeys = sorted(tuple(r) for r in sample)
     bounds = []
     for i in range(1, nb):
@@ -155,10 +154,13 @@ def rank(df: DataFrame, key: str, out: str, order: str = "idx", group: str | Non
     ``group``); others -1.  Equals ``argsort(argsort(key))`` when the key has
     no NaN.
     """
+    # one ordering pass over all rows, those without a valid key last
+    late, safe = "_tt_late", "_tt_key"
     ok = _valid(df, key)
-    valid = with_position(df.where(ok), [key, order], out, group=group, **kw)
-    invalid = df.where(~ok).withColumn(out, F.lit(-1).cast("bigint"))
-    return valid.unionByName(invalid)
+    zero = F.lit(0).cast(df.schema[key].dataType)
+    keyed = df.withColumn(late, (~ok).cast("int")).withColumn(safe, F.when(ok, quoted(key)).otherwise(zero))
+    placed = with_position(keyed, [late, safe, order], out, group=group, **kw)
+    return placed.withColumn(out, F.when(F.col(late) == 0, F.col(out)).otherwise(F.lit(-1)).cast("bigint")).drop(late, safe)
 
 
 def argsort(df: DataFrame, key: str, out: str, order: str = "idx", group: str | None = None,
@@ -168,6 +170,7 @@ def argsort(df: DataFrame, key: str, out: str, order: str = "idx", group: str |
     Positions are counted among rows with a valid key; NaN/NULL rows get -1.
     Ties are broken by ``order`` (stable).
     """
+    df = materialize(df)  # read by both orderings and by the join
     ok = _valid(df, key)
     g = [quoted(group).alias("_tt_g")] if group else [F.lit(0).alias("_tt_g")]
     v = df.where(ok).select(quoted(order).alias("_tt_o"), quoted(key).alias("_tt_k"), *g)
@@ -192,7 +195,7 @@ def rolling(df: DataFrame, window: int, op: str, key, out: str | None = None,
             order: str = "idx", block_rows: int | None = None, digits: int | None = None,
             pos_col: str | None = None, group: str | None = None, **kw) -> DataFrame:
     """Trailing ``window``-row aggregate in ``order``; NULL until the window is
-    full or when any value inside it is NaN/NULL.
+    full or when any value inside it is NaN/NULL or infinite.
 
     ``key`` is a column name (result in ``out``) or a dict ``{out: key}`` to
     compute several columns in the same window pass.  See :func:`rolling_many`.
@@ -236,14 +239,20 @@ def rolling_many(df: DataFrame, op: str, targets: list, order: str = "idx",
                  .withColumn("_tt_own", F.lit(False)))
         parts = parts.unionByName(halo)
     if op == "median":
-        return _rolling_median_blocks(parts, targets, pos, group, pos_col is None)
+        return _rolling_blocks(parts, op, targets, pos, group, pos_col is None)
+    floats = sorted({k for _, _, k in targets if kind_of(df.schema[k].dataType) == "float"})
+    if floats and digits is None:
+        finite = [F.when(~F.isnan(quoted(k)) & (F.abs(quoted(k)) < F.lit(float("inf"))), quoted(k)) for k in floats]
+        short = p.agg(*[F.bool_and(F.coalesce(decimal_exact(v), F.lit(True))) for v in finite]).first()
+        if not all(x is None or x for x in short):
+            return _rolling_blocks(parts, op, targets, pos, group, pos_col is None)
     wp = Window.partitionBy(*([quoted(group)] if group else []), "_tt_blk").orderBy(pos)
     run = wp.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     helpers, outs, prefix = [], {}, {}
     for w, o, k_name in targets:
         is_float = kind_of(df.schema[k_name].dataType) == "float"
         k = quoted(k_name)
-        bad = k.isNull() | (F.isnan(k) if is_float else F.lit(False))
+        bad = k.isNull() | ((F.isnan(k) | (F.abs(k) == F.lit(float("inf")))) if is_float else F.lit(False))
         complete = F.col(pos) >= (w - 1)
         if op in ("sum", "mean"):
             dec = "decimal(38,10)" if is_float else "decimal(38,0)"
@@ -274,10 +283,12 @@ def rolling_many(df: DataFrame, op: str, targets: list, order: str = "idx",
     return result.drop(*drop)
 
 
-def _rolling_median_blocks(parts: DataFrame, targets: list, pos: str, group: str | None,
-                           drop_pos: bool) -> DataFrame:
-    """Rolling medians per bounded position block (block rows + halo) with
-    pandas' O(log w) sliding median; NULL until full or when a NaN/NULL is inside."""
+def _rolling_blocks(parts: DataFrame, op: str, targets: list, pos: str, group: str | None,
+                    drop_pos: bool) -> DataFrame:
+    """Rolling values per bounded position block (block rows + halo): pandas'
+    O(log w) sliding median, or sums of doubles that are no short decimals, each
+    window summed on its own (no running sum, so no digits are lost to other
+    windows); NULL until full or when a NaN/NULL or infinity is inside."""
     outs = [(w, o, k) for w, o, k in targets]
     schema = T.StructType(parts.schema.fields + [T.StructField(o, T.DoubleType()) for _, o, _ in outs])
 
@@ -285,9 +296,15 @@ def _rolling_median_blocks(parts: DataFrame, targets: list, pos: str, group: str
         pdf = pdf.sort_values(pos)
         for w, o, k in outs:
             vals = pd.to_numeric(pdf[k], errors="coerce").astype("float64")
-            med = vals.rolling(w, min_periods=w).median()
-            med[pdf[pos] < w - 1] = np.nan
-            pdf[o] = med
+            if op == "median":
+                got = vals.rolling(w, min_periods=w).median()
+            else:
+                x = vals.where(np.isfinite(vals)).to_numpy()
+                got = pd.Series(np.nan, index=vals.index)
+                if len(x) >= w:
+                    got.iloc[w - 1:] = np.lib.stride_tricks.sliding_window_view(x, w).sum(axis=1) / (w if op == "mean" else 1)
+            got[pdf[pos] < w - 1] = np.nan
+            pdf[o] = got
         return pdf
 
     keys = ([quoted(group)] if group else []) + [F.col("_tt_blk")]

@@ -12,7 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.scalar import pattern_to_regex as _p2r
 from ..operators import frame_ops as _fo
 from ..operators import order as _order
 from ..operators import raster as _ra
@@ -122,11 +121,10 @@ def q_norm_first(spark, sf_dir):
 
 
 @register("trace_normalise_min", _with() + (
-    "SELECT idx, timestamp - (SELECT min(timestamp) FROM trace WHERE event = 10) AS timestamp "
-    "FROM trace WHERE event = 10"))
+    "SELECT idx, timestamp - (SELECT min(timestamp) FROM trace) AS timestamp FROM trace"))
 def q_norm_min(spark, sf_dir):
-    """EXP14 on a filtered frame: subtract the minimum timestamp."""
-    t = load_trace(spark, sf_dir).where("event = 10").select("idx", "timestamp")
+    """EXP14: subtract the minimum timestamp."""
+    t = load_trace(spark, sf_dir).select("idx", "timestamp")
     return normalise_time(t, mode="min")
 
 
@@ -158,8 +156,10 @@ QUERIES["nxt_pairs_balancing"] = _computed_query(
      for loc in ("cpu", "pid")], variant="trace_lb")
 QUERIES["prv_frq"] = _computed_query(["prv_frq_on_same_cpu"])
 
+# names whose bytes are not UTF-8 are compared as '(invalid)'
 COMM_SQL_TEXT = (
-    "array_to_string(list_transform(b[1:coalesce(list_position(b, 0) - 1, 8)], lambda x: chr(CAST(x AS INTEGER))), '')")
+    "coalesce(try(decode(unhex(array_to_string(list_transform(b[1:coalesce(list_position(b, 0) - 1, 8)], "
+    "lambda x: printf('%02X', x)), '')))), '(invalid)')")
 COMM_DICT_SQL = _with(extra=", a AS (SELECT DISTINCT (CAST(arg0 AS BIGINT) << 32) | CAST(arg1 AS BIGINT) AS addr "
                                 "FROM trace WHERE event = 0), "
                                 "bb AS (SELECT addr, list_transform(range(8), lambda i: (addr >> (8 * i)) & 255) AS b FROM a)") + (
@@ -169,7 +169,8 @@ COMM_DICT_SQL = _with(extra=", a AS (SELECT DISTINCT (CAST(arg0 AS BIGINT) << 32
 @register("comm_dictionary", COMM_DICT_SQL)
 def q_comm_dict(spark, sf_dir):
     """CMP6 / FN8: command dictionary of EXEC addresses."""
-    return comm_dictionary(load_trace(spark, sf_dir))
+    names = comm_dictionary(load_trace(spark, sf_dir))
+    return names.withColumn("comm", F.when(F.contains("comm", F.lit("\ufffd")), "(invalid)").otherwise(F.col("comm")))
 
 
 @register("comm", _with(extra=", d AS (SELECT addr, row_number() OVER (ORDER BY addr) AS comm_id FROM "
@@ -210,26 +211,22 @@ def q_vars(spark, sf_dir):
 
 # --------------------------------------------------------------------- order-sensitive operators
 
-def _ticks(spark, sf_dir):
-    return load_trace(spark, sf_dir).where(F.col("event") == 10)
-
-
-@register("position_ticks", _with() + "SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos FROM trace WHERE event = 10")
+@register("position_ticks", _with() + "SELECT idx, row_number() OVER (ORDER BY timestamp, idx) - 1 AS pos FROM trace")
 def q_position(spark, sf_dir):
-    """WIN7: dense positions of the TICK rows."""
-    return _order.with_position(_ticks(spark, sf_dir).select("idx"), ["idx"], "pos")
+    """WIN7: dense positions of all rows by time."""
+    return _order.with_position(load_trace(spark, sf_dir).select("idx", "timestamp"), ["timestamp", "idx"], "pos").select("idx", "pos")
 
 
 def _rolling_sql(agg):
     frame = "OVER (ORDER BY idx ROWS BETWEEN 159 PRECEDING AND CURRENT ROW)"
     return _with() + (f"SELECT idx, CASE WHEN count(arg1) {frame} = 160 THEN {agg} END AS r "
-                      f"FROM trace WHERE event = 10")
+                      f"FROM trace")
 
 
 @register("rolling_sum", _rolling_sql("CAST(sum(arg1) OVER (ORDER BY idx ROWS BETWEEN 159 PRECEDING AND CURRENT ROW) AS DOUBLE)"))
 def q_rolling_sum(spark, sf_dir):
-    """WIN1: trailing 160-row sum of TICK arg1."""
-    return _order.rolling(_ticks(spark, sf_dir).select("idx", "arg1"), 160, "sum", "arg1", "r").select("idx", "r")
+    """WIN1: trailing 160-row sum of arg1 over the whole trace."""
+    return _order.rolling(load_trace(spark, sf_dir).select("idx", "arg1"), 160, "sum", "arg1", "r").select("idx", "r")
 
 
 @register("rolling_mean", _rolling_sql(
@@ -237,7 +234,7 @@ def q_rolling_sum(spark, sf_dir):
     " // 320 AS DOUBLE) / 10000.0"))
 def q_rolling_mean(spark, sf_dir):
     """WIN2: trailing 160-row mean (rounded half up at 4 decimals, exactly)."""
-    return _order.rolling(_ticks(spark, sf_dir).select("idx", "arg1"), 160, "mean", "arg1", "r",
+    return _order.rolling(load_trace(spark, sf_dir).select("idx", "arg1"), 160, "mean", "arg1", "r",
                           digits=4).select("idx", "r")
 
 
@@ -245,27 +242,28 @@ def q_rolling_mean(spark, sf_dir):
     "median(CAST(arg1 AS DOUBLE)) OVER (ORDER BY idx ROWS BETWEEN 159 PRECEDING AND CURRENT ROW)"))
 def q_rolling_median(spark, sf_dir):
     """WIN3: trailing 160-row median."""
-    return _order.rolling(_ticks(spark, sf_dir).select("idx", "arg1"), 160, "median", "arg1", "r").select("idx", "r")
+    return _order.rolling(load_trace(spark, sf_dir).select("idx", "arg1"), 160, "median", "arg1", "r").select("idx", "r")
 
 
 @register("argsort_ticks", _with(extra=", p AS (SELECT idx, row_number() OVER (ORDER BY idx) - 1 AS pos, "
-                                       "row_number() OVER (ORDER BY arg1, idx) - 1 AS rk FROM trace WHERE event = 10)") + (
-    "SELECT a.idx, b.pos AS y FROM p a JOIN p b ON b.rk = a.pos"))
+                                       "row_number() OVER (ORDER BY arg1, idx) - 1 AS rk FROM trace WHERE arg1 IS NOT NULL)") + (
+    "SELECT t.idx, coalesce(b.pos, -1) AS y FROM trace t LEFT JOIN p a ON a.idx = t.idx LEFT JOIN p b ON b.rk = a.pos"))
 def q_argsort(spark, sf_dir):
-    """WIN4: argsort of TICK arg1 (stable ties by idx)."""
-    return _order.argsort(_ticks(spark, sf_dir).select("idx", "arg1"), "arg1", "y").select("idx", "y")
+    """WIN4: argsort of arg1 over the whole trace (stable ties by idx; rows without a value -1)."""
+    return _order.argsort(load_trace(spark, sf_dir).select("idx", "arg1"), "arg1", "y").select("idx", "y")
 
 
-@register("rank_ticks", _with() + "SELECT idx, row_number() OVER (ORDER BY arg1, idx) - 1 AS y FROM trace WHERE event = 10")
+@register("rank_ticks", _with() + (
+    "SELECT idx, CASE WHEN arg1 IS NULL THEN -1 ELSE row_number() OVER (PARTITION BY arg1 IS NULL ORDER BY arg1, idx) - 1 END AS y FROM trace"))
 def q_rank(spark, sf_dir):
     """WIN5: argsort of argsort = 0-based rank."""
-    return _order.rank(_ticks(spark, sf_dir).select("idx", "arg1"), "arg1", "y").select("idx", "y")
+    return _order.rank(load_trace(spark, sf_dir).select("idx", "arg1"), "arg1", "y").select("idx", "y")
 
 
-@register("sorted_ticks", _with() + "SELECT idx, timestamp, arg1 FROM trace WHERE event = 10 ORDER BY timestamp")
+@register("sorted_ticks", _with() + "SELECT idx, timestamp, arg1 FROM trace ORDER BY timestamp")
 def q_sorted(spark, sf_dir):
     """WIN6: global sort by timestamp (range-partitioned sort)."""
-    return _ticks(spark, sf_dir).select("idx", "timestamp", "arg1").orderBy("timestamp")
+    return load_trace(spark, sf_dir).select("idx", "timestamp", "arg1").orderBy("timestamp")
 
 
 # --------------------------------------------------------------------- search & joins
@@ -628,14 +626,15 @@ RUN_LOG_CTES = (
     "ev AS (SELECT event_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, "
     "printf('%.2f', value) AS v, 'runs/BENCH=phoronix/POWER=' || CASE WHEN user_id % 2 = 0 THEN 'powersave-y' "
     "ELSE 'performance-n' END || '/MONITORING=cpu-energy-meter/PHORONIX=bench' || "
-    "CAST(CAST(floor(user_id / 2) AS BIGINT) AS VARCHAR) || '/k' || CAST(user_id % 3 AS VARCHAR) || '/1.tar' AS path "
+    "CAST(CAST(floor(user_id / 2) AS BIGINT) AS VARCHAR) || CASE WHEN user_id % 5 = 0 THEN '/k9' ELSE '/k' || "
+    "CAST(CAST(floor(user_id / 2) AS BIGINT) % 3 AS VARCHAR) END || '/1.tar' AS path "
     "FROM events), "
     "lines AS (SELECT path, CASE WHEN event_type IN ('view', 'click') THEN 'cpu-energy-meter.out' "
     "WHEN event_type = 'purchase' THEN 'time.err' ELSE 'run.out' END AS member, event_id AS line_no, "
     "CASE WHEN event_type = 'view' THEN 'cpu' || CAST(k % 4 AS VARCHAR) || '_package_joules=' || v "
     "WHEN event_type = 'click' THEN 'cpu' || CAST(k % 4 AS VARCHAR) || '_dram_joules=' || v "
     "WHEN event_type = 'purchase' THEN v "
-    "WHEN event_type = 'signup' THEN '    transactions:   ' || CAST(k AS VARCHAR) || '   (' || v || ' per sec.)' "
+    "WHEN event_type = 'signup' THEN CASE WHEN k % 2 = 0 THEN '    transactions:   ' ELSE '    Transactions:   ' END || CAST(k AS VARCHAR) || '   (' || v || ' per sec.)' "
     "ELSE 'error ' || CAST(k AS VARCHAR) END AS line FROM ev), "
     "res AS (SELECT path, event_id AS doc_no, 0 AS pos, event_type AS test, 'k=' || CAST(k % 3 AS VARCHAR) AS arguments, "
     "'ops' AS units, value AS value FROM ev WHERE event_type <> 'signup'), "
@@ -644,11 +643,17 @@ RUN_LOG_CTES = (
     "idx AS (SELECT DISTINCT path FROM ev WHERE regexp_matches(path, '^(?:" + _runs.TRACE_PATH_PATTERN + ")'))")
 
 
+# The log patterns as regular expressions, written out for the oracle.
+LOG_REGEX = [("usr_bin_time", "time.err", r"(?i)^([-+ ]?\d*\.\d+)$"),
+             ("sysbench_trps", "run.out", r"(?i)^\s+transactions:\s+[-+ ]?\d+\s+\(([-+ ]?\d*\.\d+) per sec\.\)$"),
+             *[(f"cpu{i}_{part}_joules", "cpu-energy-meter.out", rf"(?i)^cpu{i}_{part}_joules=([-+ ]?\d*\.\d+)$")
+               for part in ("package", "dram") for i in range(4)]]
+
+
 def _summary_sql():
-    pats = _runs.PERF_PATTERNS + _runs.energy_patterns()
+    pats = [(None, name, member, None) for name, member, _ in LOG_REGEX]
     cols = []
-    for dtype, name, member, pattern in pats:
-        rx = _p2r(pattern).replace("'", "''")
+    for name, member, rx in LOG_REGEX:
         cols.append(f"arg_min(regexp_extract(line, '{rx}', 1), line_no) FILTER "
                     f"(WHERE member = '{member}' AND regexp_matches(line, '{rx}')) AS {name}")
     fl = ("coalesce(TRY_CAST({} AS DOUBLE), CAST('nan' AS DOUBLE))")
@@ -690,7 +695,8 @@ def _comparison_sql():
         return f"CASE WHEN {b} = 0 THEN {nan} ELSE {a} / {b} END"
     a, b = "perf_value_powersave", "perf_value_performance"
     return (f"WITH {RUN_LOG_CTES}, "
-            f"r2 AS (SELECT path, regexp_extract(path, 'PHORONIX=([^/]+)', 1) AS ph, "
+            f"r2 AS (SELECT path, regexp_extract(path, 'PHORONIX=([^/]+)/([^/]+)/', 1) || ' ' || "
+            f"regexp_extract(path, 'PHORONIX=([^/]+)/([^/]+)/', 2) AS ph, "
             f"CASE WHEN regexp_matches(path, '{ps}') THEN 'powersave' WHEN regexp_matches(path, '{pf}') "
             "THEN 'performance' END AS mode FROM idx), "
             "fst AS (SELECT ph, mode, min(path) AS p FROM r2 WHERE mode IS NOT NULL GROUP BY ph, mode), "

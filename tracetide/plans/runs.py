@@ -122,13 +122,17 @@ def json_field(run_docs: DataFrame, name: str, member: str, json_path: str) -> D
 
 
 def traces_summary(run_lines: DataFrame, run_docs: DataFrame,
-                   regexp: str = TRACE_PATH_PATTERN) -> DataFrame:
+                   regexp: str = TRACE_PATH_PATTERN, runs: DataFrame | None = None) -> DataFrame:
     """RUN3: one row per run archive with path variables, performance and
-    energy figures, benchmark results, kernel and energy totals."""
-    index = run_index(run_lines, run_docs, regexp)
+    energy figures, benchmark results, kernel and energy totals.
+
+    ``runs`` (path): the files found; a run without logs then has a row of
+    defaults.  Without it the runs are those that left a log."""
+    at = F.col("path").rlike("^(?:" + regexp + ")")
+    index = runs.where(at).select("path").distinct() if runs is not None else run_index(run_lines, run_docs, regexp)
     patterns = PERF_PATTERNS + energy_patterns()
-    lines = first_pattern_matches(run_lines.join(index, "path", "left_semi"), patterns)
-    docs = run_docs.join(index, "path", "left_semi")
+    lines = first_pattern_matches(run_lines.where(at), patterns)
+    docs = run_docs.where(at)
     results = nth_results(docs)
     kernel = json_field(docs, "kernel", "report.main.json", "$.kernel.version")
     t = (index.join(lines, "path", "left").join(results, "path", "left").join(kernel, "path", "left"))
@@ -156,21 +160,22 @@ def ratio(a: Column, b: Column) -> Column:
 
 def power_comparison(run_lines: DataFrame, run_docs: DataFrame, kernel: str | None = None,
                      regexp: str = TRACE_PATH_PATTERN) -> DataFrame:
-    """RUN4: pair each benchmark's powersave and performance runs, keep the
-    results present in both and compare their values."""
+    """RUN4: pair each benchmark's powersave and performance runs of one kernel,
+    keep the results present in both and compare their values."""
     index = run_index(run_lines, run_docs, regexp)
     kern = "[^/]+" if kernel is None else kernel.replace(".", r"\.")
     runs = index.select(
         "path", var_from_path(F.col("path"), "PHORONIX").alias("phoronix"),
+        F.element_at(F.split("path", "/"), -2).alias("kernel"),
         F.when(F.col("path").rlike(f"^.*BENCH=phoronix/POWER=powersave-y/MONITORING=cpu-energy-meter/PHORONIX=[^/]+/{kern}/1\\.tar$"),
                F.lit("powersave"))
          .when(F.col("path").rlike(f"^.*BENCH=phoronix/POWER=performance-n/MONITORING=cpu-energy-meter/PHORONIX=[^/]+/{kern}/1\\.tar$"),
                F.lit("performance")).alias("mode"))
-    # JOIN5: first (sorted) path per benchmark and mode, full pairs only
-    first = runs.where(F.col("mode").isNotNull()).groupBy("phoronix", "mode").agg(F.min("path").alias("p"))
-    pairs = (first.where("mode = 'powersave'").select("phoronix", F.col("p").alias("fpowersave"))
-                  .join(first.where("mode = 'performance'").select("phoronix", F.col("p").alias("fperformance")),
-                        "phoronix"))
+    # JOIN5: first (sorted) path per benchmark, kernel and mode, full pairs only
+    first = runs.where(F.col("mode").isNotNull()).groupBy("phoronix", "kernel").agg(
+        F.min(F.when(F.col("mode") == "powersave", F.col("path"))).alias("fpowersave"),
+        F.min(F.when(F.col("mode") == "performance", F.col("path"))).alias("fperformance"))
+    pairs = first.where("fpowersave is not null and fperformance is not null").select("fpowersave", "fperformance")
     res = (result_entries(run_docs)
            .select("path", F.struct("doc_no", "pos").alias("o"), "test", "arguments", "units", "value"))
     keys = ["test", "arguments", "units"]

@@ -12,6 +12,7 @@ from __future__ import annotations
 import io
 import os
 import tarfile
+import zipfile
 
 import numpy as np
 import pandas as pd
@@ -19,16 +20,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .raw import _filesystem  # module-level: pickled by value with this module
+from .raw import _filesystem, put_file  # module-level: pickled by value with this module
+
+
+def _members(tar: tarfile.TarFile):
+    """(member, column name in the file's name) of the ``.npz`` members."""
+    for info in tar:
+        if info.isreg() and os.path.splitext(info.name)[1] == ".npz":
+            yield info, os.path.splitext(os.path.basename(info.name))[0]
 
 
 def _member_columns(fileobj, only=None) -> dict:
     cols = {}
     with tarfile.open(fileobj=fileobj, mode="r:") as tar:
-        for info in tar:
-            if not info.isreg() or os.path.splitext(info.name)[1] != ".npz":
-                continue
-            name = os.path.splitext(os.path.basename(info.name))[0]
+        for info, name in _members(tar):
             if only is not None and name not in only:
                 continue
             with np.load(io.BytesIO(tar.extractfile(info).read())) as npz:
@@ -37,13 +42,30 @@ def _member_columns(fileobj, only=None) -> dict:
     return cols
 
 
-def _numpy_to_spark(a: np.ndarray) -> T.DataType:
-    if a.dtype.kind == "f":
-        return T.DoubleType()
-    if a.dtype.kind == "b":
+def _header_kinds(fileobj, only=None) -> dict:
+    """{column: numpy kind} from the array headers; no array is decoded."""
+    kinds = {}
+    with tarfile.open(fileobj=fileobj, mode="r:") as tar:
+        for info, name in _members(tar):
+            if only is not None and name not in only:
+                continue
+            with zipfile.ZipFile(tar.extractfile(info)) as z:
+                for entry in z.namelist():
+                    with z.open(entry) as f:
+                        version = np.lib.format.read_magic(f)
+                        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+                        kinds[entry.removesuffix(".npy")] = read(f)[2].kind
+    return kinds
+
+
+def _kind_to_spark(kinds: set) -> T.DataType:
+    """The type that holds a column of these numpy kinds."""
+    if kinds <= {"b"}:
         return T.BooleanType()
-    if a.dtype.kind in "iu":
+    if kinds <= {"i", "u", "b"}:
         return T.LongType()
+    if kinds <= {"f", "i", "u", "b"}:
+        return T.DoubleType()
     return T.StringType()
 
 
@@ -63,17 +85,27 @@ def _open(path: str, name: str):
 
 
 def archive_schema(spark: SparkSession, path: str, only=None) -> T.StructType:
-    """Schema of the columns stored in the first archive (decoded on the driver)."""
+    """Union of the columns of all archives, from the array headers (read by
+    tasks, one archive each); a column that an archive lacks is NULL there."""
     archives = _list_archives(path)
     if not archives:
         raise FileNotFoundError(path)
-    with _open(path, archives[0]) as f:
-        cols = _member_columns(f, only)
+
+    def look(batches):
+        for pdf in batches:
+            for archive in pdf["archive"]:
+                with _open(path, archive) as f:
+                    kinds = _header_kinds(f, only)
+                yield pd.DataFrame(list(kinds.items()), columns=["name", "kind"])
+
+    names = spark.createDataFrame([(a,) for a in archives], "archive string").repartition(min(len(archives), 1000))
+    found: dict = {}
+    for name, kind in names.mapInPandas(look, "name string, kind string").distinct().collect():
+        found.setdefault(name, set()).add(kind)
     fields = [T.StructField("trace", T.StringType())]
-    if "idx" not in cols:
+    if "idx" not in found:
         fields.append(T.StructField("idx", T.LongType()))
-    fields += [T.StructField(k, _numpy_to_spark(v)) for k, v in sorted(cols.items())]
-    return T.StructType(fields)
+    return T.StructType(fields + [T.StructField(k, _kind_to_spark(v)) for k, v in sorted(found.items())])
 
 
 class ArchivePartition(InputPartition):
@@ -110,7 +142,8 @@ class ArchiveReader(DataSourceReader):
                 if field.name == "trace":
                     arrays.append(pa.array([part.archive] * (hi - lo), pa.string()))
                 elif field.name in cols:
-                    arrays.append(pa.array(cols[field.name][lo:hi]).cast(field.type))
+                    values = pa.array(cols[field.name][lo:hi])
+                    arrays.append(values if values.type == field.type else values.cast(field.type))
                 else:
                     arrays.append(pa.nulls(hi - lo, field.type))
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
@@ -144,9 +177,10 @@ def read_trace_archives(spark: SparkSession, path: str, only=None,
     return spark.read.format("tracetide_archive").schema(schema).load(path)
 
 
-def write_trace_archive(path: str, columns: dict) -> None:
-    """Test helper / small exports: one ``.npz`` member per column."""
-    with tarfile.open(path, "w") as tar:
+def archive_bytes(columns: dict) -> bytes:
+    """A trace archive: one ``.npz`` member per column."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
         for name, values in columns.items():
             buf = io.BytesIO()
             np.savez_compressed(buf, **{name: np.asarray(values)})
@@ -154,24 +188,42 @@ def write_trace_archive(path: str, columns: dict) -> None:
             info = tarfile.TarInfo(f"data/{name}.npz")
             info.size = len(data)
             tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def write_trace_archive(path: str, columns: dict) -> None:
+    """Test helper / small exports."""
+    put_file(path, archive_bytes(columns))
 
 
-def write_trace_archives(df: DataFrame, directory: str) -> DataFrame:
-    """Write each partition of ``df`` as one archive (in the task that holds it);
-    returns (path, rows) per written archive."""
+def write_trace_archives(df: DataFrame, directory: str, rows_per_archive: int = 1 << 22) -> DataFrame:
+    """Write the rows each task holds as archives of at most ``rows_per_archive``
+    rows; returns (path, rows) per written archive.
+
+    Files are named by partition and number, so a retried or speculative task
+    writes the same files again instead of others beside them.
+    """
     cols = df.columns
 
     def write(batches):
-        import uuid
-        frames = [pdf for pdf in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if len(pdf) == 0:
-            return
-        os.makedirs(directory, exist_ok=True)
-        path = os.path.join(directory, f"part-{uuid.uuid4().hex}.tar")
-        write_trace_archive(path, {c: pdf[c].to_numpy() for c in cols})
-        yield pd.DataFrame({"path": [path], "rows": [len(pdf)]})
+        from pyspark import TaskContext
+        part, number, held, rows = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            pdf = pd.concat(held, ignore_index=True)
+            path = f"{directory.rstrip('/')}/part-{part:05d}-{number:05d}.tar"
+            put_file(path, archive_bytes({c: pdf[c].to_numpy() for c in cols}))
+            return pd.DataFrame({"path": [path], "rows": [len(pdf)]})
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held and rows + len(pdf) > rows_per_archive:
+                yield flush()
+                number, held, rows = number + 1, [], 0
+            held.append(pdf)
+            rows += len(pdf)
+        if held:
+            yield flush()
 
     return df.mapInPandas(write, "path string, rows long")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,13 +12,16 @@ from ..vars import DEFAULT_VARS, merge_vars_frames, vars_frame
 
 
 def read_dictionary(spark: SparkSession, path: str, priority: int = 1) -> DataFrame:
-    """SRC6 / SRC7: ``(key, value, priority)`` from dictionary text files."""
+    """SRC6 / SRC7: ``(key, value, priority)`` from dictionary text files, one
+    row for each name: the last line of a name wins (files in path order)."""
     docs = spark.read.text(path, wholetext=True).withColumn("_f", F.input_file_name())
     lines = docs.select("_f", F.posexplode(F.split("value", "\n")).alias("pos", "line"))
     stop = lines.where(F.length("line") == 0).groupBy("_f").agg(F.min("pos").alias("_stop"))
     kept = lines.join(stop, "_f", "left").where(F.col("_stop").isNull() | (F.col("pos") < F.col("_stop")))
     parts = F.split("line", " ")
-    return kept.select(parts[1].alias("key"), parts[0].alias("value"), F.lit(priority).alias("priority"))
+    named = kept.select(parts[1].alias("key"), parts[0].alias("value"), F.struct("_f", "pos").alias("_at"))
+    last = named.groupBy("key").agg(F.max_by("value", "_at").alias("value"))
+    return last.select("key", "value", F.lit(priority).alias("priority"))
 
 
 # UDF3: extra dictionary readers: fn(spark, path, priority) -> (key, value, priority)
@@ -29,16 +34,18 @@ def register_reader(fn) -> None:
 
 def dictionary_table(spark: SparkSession, paths: list) -> DataFrame:
     """SRC8: defaults, then each dictionary source in order (later overrides);
-    within one source the first line of a name wins."""
+    within one source the last line of a name wins, and an extra reader
+    (UDF3) overrides the file's own lines."""
     frames = [vars_frame(spark, DEFAULT_VARS, 0)]
     for i, p in enumerate(paths, start=1):
-        d = read_dictionary(spark, p, i)
+        found = [read_dictionary(spark, p, i)]
         for reader in READERS:
             try:
-                d = d.unionByName(reader(spark, p, i))
+                found.append(reader(spark, p, i))
             except Exception:  # noqa: BLE001 - a failing reader contributes nothing
                 pass
-        frames.append(d.groupBy("key", "priority").agg(F.first("value").alias("value"))
+        d = reduce(DataFrame.unionByName, [f.withColumn("_n", F.lit(n)) for n, f in enumerate(found)])
+        frames.append(d.groupBy("key", "priority").agg(F.max_by("value", "_n").alias("value"))
                        .select("key", "value", "priority"))
     return merge_vars_frames(*frames)
 

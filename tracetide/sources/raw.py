@@ -10,7 +10,8 @@ single-partition sort.
 
 from __future__ import annotations
 
-import zlib
+import os
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -29,6 +30,20 @@ class RawRecordsPartition(InputPartition):
         self.path, self.cpu, self.start, self.count, self.base = path, cpu, start, count, base
 
 
+def put_file(path: str, data: bytes) -> None:
+    """Write a whole file, in place of any of that name, by local path or URI."""
+    import pyarrow.fs as pafs
+    fs, name = _filesystem(path)
+    fs.create_dir(name.rsplit("/", 1)[0], recursive=True)
+    part = f"{name}.{uuid.uuid4().hex}.tmp"
+    with fs.open_output_stream(part) as f:
+        f.write(data)
+    if isinstance(fs, pafs.LocalFileSystem):
+        os.replace(part, name)
+    else:
+        fs.move(part, name)
+
+
 def _filesystem(path: str):
     import pyarrow.fs as pafs
     if "://" in path:
@@ -48,16 +63,18 @@ class RawRecordsReader(DataSourceReader):
         fs, root = _filesystem(self.path)
         infos = fs.get_file_info(pafs.FileSelector(root, recursive=True))
         parts = []
-        for info in sorted(infos, key=lambda i: i.path):
+        for number, info in enumerate(sorted(infos, key=lambda i: i.path)):
             name = info.path.rstrip("/").split("/")[-1]
             if info.type != pafs.FileType.File or not name.isdigit():
                 continue
             if info.size % RECORD.itemsize != 0:
                 raise ValueError(f"{info.path}: size {info.size} is not a multiple of {RECORD.itemsize}")
             n = info.size // RECORD.itemsize
-            # record position, made unique across files of the same cpu by a
-            # deterministic file number in the upper bits
-            base = (zlib.crc32(info.path.encode()) % (1 << 11)) << 36
+            # record position, made unique across files of the same cpu by the
+            # file's place in the sorted listing in the upper bits
+            if n >= 1 << 36 or number >= 1 << 26:
+                raise ValueError(f"{info.path}: too many records or files")
+            base = number << 36
             for start in range(0, n, self.per_partition):
                 parts.append(RawRecordsPartition(info.path, int(name), start,
                                                  min(self.per_partition, n - start), base))
@@ -109,9 +126,7 @@ def read_raw_per_cpu(spark: SparkSession, directory: str, records_per_partition:
 def read_raw_trace(spark: SparkSession, directory: str, **position_kw) -> DataFrame:
     """SRC5: merged trace sorted by timestamp and renumbered ``idx`` 0..n-1."""
     raw = read_raw_per_cpu(spark, directory)
-    # one sortable key: timestamp first, then (cpu, offset) packed for ties
-    keyed = raw.withColumn("_tt_tie", F.col("cpu") * F.lit(1 << 47) + F.col("offset"))
-    ordered = with_position(keyed, ["timestamp", "_tt_tie"], "idx", **position_kw)
+    ordered = with_position(raw, ["timestamp", "cpu", "offset"], "idx", **position_kw)
     return ordered.select("idx", "timestamp", "cpu", "pid", "event", "arg0", "arg1")
 
 
@@ -120,27 +135,37 @@ def write_raw_file(path: str, rows) -> None:
     np.array([tuple(r) for r in rows], dtype=RECORD).tofile(path)
 
 
-def write_raw_files(trace: DataFrame, directory: str) -> DataFrame:
-    """Write the rows each task holds as per-CPU record files under a per-task
-    folder (``<dir>/<task>/<cpu>``), in timestamp order; returns the files."""
-    import os
-    import uuid
+def write_raw_files(trace: DataFrame, directory: str, rows_per_file: int = 1 << 24) -> DataFrame:
+    """Write the rows each task holds as per-CPU record files under a folder of
+    its own (``<dir>/<partition>-<number>/<cpu>``), in timestamp order; returns
+    the files.  Folders are named by partition, so a retried task replaces its
+    files; a file holds at most ``rows_per_file`` rows."""
 
     def write(batches):
-        frames = [pdf for pdf in batches]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True).sort_values(["timestamp", "idx"])
-        task_dir = os.path.join(directory, uuid.uuid4().hex)
-        os.makedirs(task_dir, exist_ok=True)
-        out = []
-        for cpu, part in pdf.groupby("cpu"):
-            rec = np.empty(len(part), dtype=RECORD)
-            for name in RECORD.names:
-                rec[name] = part[name].to_numpy()
-            path = os.path.join(task_dir, str(int(cpu)))
-            rec.tofile(path)
-            out.append((path, len(part)))
-        yield pd.DataFrame(out, columns=["path", "rows"])
+        from pyspark import TaskContext
+        part, number, held, rows = TaskContext.get().partitionId(), 0, [], 0
+
+        def flush():
+            pdf = pd.concat(held, ignore_index=True).sort_values(["timestamp", "idx"])
+            out = []
+            for cpu, own in pdf.groupby("cpu"):
+                rec = np.empty(len(own), dtype=RECORD)
+                for name in RECORD.names:
+                    rec[name] = own[name].to_numpy()
+                path = f"{directory.rstrip('/')}/{part:05d}-{number:05d}/{int(cpu)}"
+                put_file(path, rec.tobytes())
+                out.append((path, len(own)))
+            return pd.DataFrame(out, columns=["path", "rows"])
+
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held and rows + len(pdf) > rows_per_file:
+                yield flush()
+                number, held, rows = number + 1, [], 0
+            held.append(pdf)
+            rows += len(pdf)
+        if held:
+            yield flush()
 
     return trace.mapInPandas(write, "path string, rows long")

@@ -5,8 +5,8 @@ Two readers produce the same two tables:
 * ``run_lines(path, member, line_no, line)`` -- every text line of a member;
 * ``run_docs(path, member, doc_no, doc)``     -- JSON documents.
 
-:func:`read_run_archives` reads real run archives (uncompressed tars, one
-Spark task per archive); :func:`run_logs_from_events` derives the two tables
+:func:`read_run_archives` reads real run archives (uncompressed tars, a data
+source with one task per archive) and lists the runs by their files; :func:`run_logs_from_events` derives the two tables
 from the driver's ``events`` table (one run per user) so that every run-table
 query can be checked against SQL.
 """
@@ -14,6 +14,7 @@ query can be checked against SQL.
 from __future__ import annotations
 
 import io
+import json
 import os
 import tarfile
 
@@ -21,6 +22,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+
+from .archive import _list_archives, _open  # module-level: pickled by value with this module
+from .raw import put_file
 
 LINES_SCHEMA = T.StructType([
     T.StructField("path", T.StringType()), T.StructField("member", T.StringType()),
@@ -44,43 +49,115 @@ def list_files(spark: SparkSession, directory: str, ext: str, regexp: str = ".*"
     return df.withColumn("name", basename(F.col("path"))).orderBy("path")
 
 
-def _unpack_archives(batches):
-    for pdf in batches:
-        lines, docs = [], []
-        for path, content in zip(pdf["path"], pdf["content"]):
-            path = path[5:] if path.startswith("file:") else path
-            try:
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r:") as tar:
-                    for info in tar:
-                        if not info.isreg():
-                            continue
-                        base = os.path.basename(info.name)
-                        data = tar.extractfile(info).read()
-                        if base in JSON_MEMBERS:
-                            docs.append((path, base, 0, data.decode("utf-8", "replace")))
-                        elif base in TEXT_MEMBERS:
-                            for i, line in enumerate(data.decode("utf-8", "replace").split("\n")):
-                                lines.append((path, base, i, line))
-            except tarfile.TarError:
-                continue
-        yield pd.DataFrame(
-            [("L",) + r for r in lines] + [("D",) + r for r in docs],
-            columns=["kind", "path", "member", "no", "text"])
-
-
-def read_run_archives(spark: SparkSession, directory: str, regexp: str = ".*"):
-    """SRC9 / SRC10 input from run archives: -> (run_lines, run_docs)."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-                  .option("pathGlobFilter", "*.tar").load(directory)
-                  .where(F.regexp_replace("path", "^file:", "").rlike("^(?:" + regexp + ")"))
-                  .select("path", "content"))
-    raw = files.mapInPandas(_unpack_archives,
-                            "kind string, path string, member string, no long, text string")
-    lines = raw.where("kind = 'L'").select("path", "member", F.col("no").alias("line_no"),
-                                           F.col("text").alias("line"))
-    docs = raw.where("kind = 'D'").select("path", "member", F.col("no").alias("doc_no"),
-                                          F.col("text").alias("doc"))
-    return lines, docs
+class RunArchivePartition(InputPartition):
+    def __init__(self, archive: str):
+        self.archive = archive
+
+
+class RunArchiveReader(DataSourceReader):
+    """Rows (kind, path, member, no, text): ``F`` one for each file, ``L`` text
+    lines, ``D`` JSON documents."""
+
+    ROWS = 1 << 14
+
+    def __init__(self, options: dict):
+        self.path = options["path"]
+        self.text = set(json.loads(options.get("textmembers", "[]")))
+        self.docs = set(json.loads(options.get("jsonmembers", "[]")))
+
+    def partitions(self):
+        return [RunArchivePartition(a) for a in _list_archives(self.path)]
+
+    def read(self, part: RunArchivePartition):
+        import pyarrow as pa
+        schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("member", pa.string()), ("no", pa.int64()), ("text", pa.string())])
+
+        def batch(rows):
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
+
+        yield batch([("F", part.archive, None, 0, None)])
+        seen: set = set()
+        try:
+            with _open(self.path, part.archive) as f, tarfile.open(fileobj=f, mode="r:") as tar:
+                for info in tar:  # headers; the contents of other members are skipped
+                    base = os.path.basename(info.name)
+                    if not info.isreg() or base in seen or base not in self.text | self.docs:
+                        continue
+                    seen.add(base)  # of equal names the first member counts
+                    data = tar.extractfile(info)
+                    if base in self.docs:
+                        yield batch([("D", part.archive, base, 0, data.read().decode("utf-8", "replace"))])
+                        continue
+                    rows, i = [], 0
+                    for line in io.TextIOWrapper(data, "utf-8", "replace", newline="\n"):
+                        rows.append(("L", part.archive, base, i, line.removesuffix("\n")))
+                        i += 1
+                        if len(rows) >= self.ROWS:
+                            yield batch(rows)
+                            rows = []
+                    if rows:
+                        yield batch(rows)
+        except tarfile.TarError:
+            return  # an unreadable archive keeps its row and has no logs
+
+
+class RunArchiveDataSource(DataSource):
+    """``spark.read.format("tracetide_runs")``: one task per run archive, read by
+    its tar headers from the file system; only declared members are decoded."""
+
+    @classmethod
+    def name(cls):
+        return "tracetide_runs"
+
+    def schema(self):
+        return "kind string, path string, member string, no long, text string"
+
+    def reader(self, schema):
+        return RunArchiveReader(self.options)
+
+
+def read_run_archives(spark: SparkSession, directory: str, regexp: str = ".*", text_members=TEXT_MEMBERS, json_members=JSON_MEMBERS):
+    """SRC9 / SRC10 / RUN1 input from run archives: -> (run_lines, run_docs, runs).
+
+    ``runs`` has a row for every archive, also for one without logs or one
+    that cannot be read.  The members that the table's columns use are declared
+    by the caller."""
+    spark.dataSource.register(RunArchiveDataSource)
+    raw = (spark.read.format("tracetide_runs").option("textMembers", json.dumps(list(text_members)))
+                .option("jsonMembers", json.dumps(list(json_members))).load(directory))
+    raw = raw.where(F.col("path").rlike("^(?:" + regexp + ")"))
+    lines = raw.where("kind = 'L'").select("path", "member", F.col("no").alias("line_no"), F.col("text").alias("line"))
+    docs = raw.where("kind = 'D'").select("path", "member", F.col("no").alias("doc_no"), F.col("text").alias("doc"))
+    return lines, docs, raw.where("kind = 'F'").select("path")
+
+
+def run_archive_bytes(members: list) -> bytes:
+    """A run archive of (member name, text) in the given order."""
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w") as tar:
+        for name, text in members:
+            data = text.encode("utf-8")
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def write_run_archives(lines: DataFrame, docs: DataFrame, directory: str) -> DataFrame:
+    """Write one archive for each run of the table form (``<directory>/<path>``);
+    a member's lines are in order, of its documents the first is kept.  Files
+    are named by the run, so a retried task replaces them."""
+    text = lines.select("path", "member", F.col("line_no").alias("no"), F.col("line").alias("text"))
+    first = docs.groupBy("path", "member").agg(F.min("doc_no").alias("no"), F.min_by("doc", "doc_no").alias("text"))
+    rows = text.unionByName(first.select("path", "member", "no", "text"))
+
+    def write(pdf: pd.DataFrame) -> pd.DataFrame:
+        path = pdf["path"].iloc[0]
+        members = [(f"logs/{m}", "\n".join(own.sort_values("no")["text"])) for m, own in pdf.groupby("member")]
+        put_file(f"{directory.rstrip('/')}/{path}", run_archive_bytes(members))
+        return pd.DataFrame({"path": [path]})
+
+    return rows.groupBy("path").applyInPandas(write, "path string")
 
 
 # ---------------------------------------------------------------- from events
@@ -89,7 +166,8 @@ def run_path(user_id) -> "F.Column":
     """Run archive path of a user: POWER alternates, PHORONIX pairs users 2k, 2k+1."""
     power = F.when(user_id % 2 == 0, F.lit("powersave-y")).otherwise(F.lit("performance-n"))
     test = F.concat(F.lit("bench"), (F.floor(user_id / 2)).cast("string"))
-    kernel = F.concat(F.lit("k"), (user_id % 3).cast("string"))
+    # users 2k and 2k+1 share a kernel, but for every fifth user
+    kernel = F.when(user_id % 5 == 0, F.lit("k9")).otherwise(F.concat(F.lit("k"), (F.floor(user_id / 2) % 3).cast("string")))
     return F.concat(F.lit("runs/BENCH=phoronix/POWER="), power,
                     F.lit("/MONITORING=cpu-energy-meter/PHORONIX="), test, F.lit("/"), kernel,
                     F.lit("/1.tar"))
@@ -109,7 +187,7 @@ def run_logs_from_events(events: DataFrame):
              .when(F.col("event_type") == "click", F.concat(F.lit("cpu"), cpu, F.lit("_dram_joules="), F.col("v")))
              .when(F.col("event_type") == "purchase", F.col("v"))
              .when(F.col("event_type") == "signup",
-                   F.concat(F.lit("    transactions:   "), F.col("k").cast("string"), F.lit("   ("),
+                   F.concat(F.when(F.col("k") % 2 == 0, F.lit("    transactions:   ")).otherwise(F.lit("    Transactions:   ")), F.col("k").cast("string"), F.lit("   ("),
                             F.col("v"), F.lit(" per sec.)")))
              .otherwise(F.concat(F.lit("error "), F.col("k").cast("string"))))
     lines = base.select("path", member.alias("member"), F.col("event_id").alias("line_no"),

@@ -9,6 +9,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..vars import substitute
+
 
 def save_run_table(df: DataFrame, path: str) -> None:
     """SNK1: uncompressed parquet."""
@@ -38,13 +40,17 @@ def read_with_side_columns(spark: SparkSession, trace_path: str, side_root: str,
     return df
 
 
-def cache_key(trace_path: str, config: dict) -> str:
-    return hashlib.sha256((trace_path + json.dumps(config, sort_keys=True)).encode()).hexdigest()
+def cache_key(trace_path: str, config: dict, variables: dict | None = None) -> str:
+    """Key of the trace and the spec with its ``$NAME`` values filled in."""
+    spec = json.dumps(config, sort_keys=True)
+    if variables is not None:
+        spec = substitute(spec, variables)
+    return hashlib.sha256(f"{len(trace_path)}:{trace_path}{spec}".encode()).hexdigest()
 
 
-def cache_put(root: str, trace_path: str, config: dict, frame: DataFrame, state: dict) -> str:
-    """SNK4: frame parquet + JSON state under a key of (trace path, config)."""
-    key = cache_key(trace_path, config)
+def cache_put(root: str, trace_path: str, config: dict, frame: DataFrame, state: dict, variables: dict | None = None) -> str:
+    """SNK4: frame parquet + JSON state under a key of (trace path, config, dictionary)."""
+    key = cache_key(trace_path, config, variables)
     base = os.path.join(root, key)
     frame.write.mode("overwrite").parquet(os.path.join(base, "frame"))
     frame.sparkSession.createDataFrame([(json.dumps(state),)], "state string") \
@@ -52,8 +58,8 @@ def cache_put(root: str, trace_path: str, config: dict, frame: DataFrame, state:
     return key
 
 
-def cache_get(spark: SparkSession, root: str, trace_path: str, config: dict):
-    key = cache_key(trace_path, config)
+def cache_get(spark: SparkSession, root: str, trace_path: str, config: dict, variables: dict | None = None):
+    key = cache_key(trace_path, config, variables)
     base = os.path.join(root, key)
     try:
         frame = spark.read.parquet(os.path.join(base, "frame")).withColumn("c", F.col("c").cast("int"))
