@@ -49,8 +49,8 @@ def _key_type(probes: DataFrame, probe_key: str, cands: DataFrame, cand_key: str
 
 def asof(probes: DataFrame, cands: DataFrame, eq: list, probe_key: str, cand_key: str,
          cand_idx: str, direction: str, strict: bool, out: str, probe_id: str,
-         block_rows: int | None = None) -> DataFrame:
-    """Add ``out`` (candidate ``cand_idx`` or NULL) to ``probes``.
+         block_rows: int | None = None, out_key: str | None = None) -> DataFrame:
+    """Add ``out`` (candidate ``cand_idx`` or NULL), and its key as ``out_key``, to ``probes``.
 
     ``eq``: list of (probe column, candidate column) equality pairs.
     ``direction='next'``: smallest (key, idx) with key > (>=) probe key;
@@ -119,12 +119,12 @@ def asof(probes: DataFrame, cands: DataFrame, eq: list, probe_key: str, cand_key
                  .select(*gcols, "_tt_blk", "_tt_carry"))
         hits = (hits.join(carry, on=gcols + ["_tt_blk"], how="left")
                     .withColumn("_tt_hit", F.coalesce(F.col("_tt_hit"), F.col("_tt_carry"))))
-    return hits.select("_tt_row.*", F.col("_tt_hit.i").alias(out))
+    return hits.select("_tt_row.*", F.col("_tt_hit.i").alias(out), *([F.col("_tt_hit.k").alias(out_key)] if out_key else []))
 
 
 def group_extreme(probes: DataFrame, cands: DataFrame, eq: list, cand_key: str, cand_idx: str,
                   which: str, out: str, probe_bound: str | None = None,
-                  bound_op: str | None = None) -> DataFrame:
+                  bound_op: str | None = None, out_key: str | None = None) -> DataFrame:
     """argmin / argmax over all candidates of the probe's equality group,
     optionally kept only if it satisfies ``cand_key <bound_op> probe_bound``."""
     gcols = [f"_tt_g{i}" for i in range(len(eq))]
@@ -152,4 +152,7 @@ def group_extreme(probes: DataFrame, cands: DataFrame, eq: list, cand_key: str,
         ops = {"<": lambda a, b: a < b, "<=": lambda a, b: a <= b,
                ">": lambda a, b: a > b, ">=": lambda a, b: a >= b}
         hit = F.when(ops[bound_op](best_col["k"], F.col(probe_bound).cast(ktype)), hit)
-    return staged.withColumn(out, hit).drop("_tt_best")
+    staged = staged.withColumn(out, hit)
+    if out_key:
+        staged = staged.withColumn(out_key, F.when(F.col(out).isNotNull(), F.col("_tt_best")["k"]))
+    return staged.drop("_tt_best")

@@ -11,12 +11,18 @@ Set constraints are compiled into an as-of plan, never into pairs:
 
 * conjuncts without ``get`` filter the candidate rows;
 * ``column == get(column2, node)`` conjuncts become equality keys;
-* at most one ``key <op> get(column, node)`` bound per direction on the
-  reduction key selects the as-of direction (next / previous);
+* ``key <op> get(column, node)`` bounds on the reduction key select the as-of
+  direction (next / previous); of several bounds in one direction the
+  farthest hit counts;
+* comparisons of a ``get`` with a literal or another ``get`` say whether the
+  probe can bind at all;
+* ``|`` around a ``get``, and ``!=`` between the reduction key and a ``get``
+  (which is ``<`` or ``>``), make branches; each branch is an as-of lookup, and
+  the hit of the smallest (largest) key counts;
 * ``[]`` inside a reduction means "rows matching the root".
 
-Shapes outside this (``!=`` or ``|`` against a ``get``, bounds on another
-column than the reduction key) would need pair enumeration and raise
+Shapes outside this (``!=`` or a bound between a ``get`` and another column than
+the reduction key) would need pair enumeration and raise
 :class:`UnsupportedPattern`.
 """
 
@@ -81,16 +87,32 @@ def _gets(c) -> set:
     return set()
 
 
-def _conjuncts(c) -> list:
-    if isinstance(c, list) and len(c) == 3 and c[0] == "&":
-        return _conjuncts(c[1]) + _conjuncts(c[2])
-    return [c]
+def _is_get(c) -> bool:
+    return isinstance(c, list) and len(c) == 3 and c[0] == "get"
 
 
-def _split_reduction(set_constraint, key: str, root_cond: Column, env: dict, names: set):
-    """-> (candidate filter, [(cand col, (node, col))], [(op, (node, col))])."""
-    filters, eqs, bounds = [], [], []
-    for part in _conjuncts(set_constraint):
+def _branches(c, key: str) -> list:
+    """Lists of conjuncts, any of which may hold (disjunctions without ``get`` stay whole)."""
+    if isinstance(c, list) and len(c) == 3:
+        if c[0] == "&":
+            return [x + y for x in _branches(c[1], key) for y in _branches(c[2], key)]
+        if c[0] == "|" and _has_get(c):
+            return _branches(c[1], key) + _branches(c[2], key)
+        if c[0] == "!=" and ((c[1] == key and _is_get(c[2])) or (c[2] == key and _is_get(c[1]))):
+            return [[["<", c[1], c[2]]], [[">", c[1], c[2]]]]
+    return [[c]]
+
+
+def _split_branch(parts: list, key: str, root_cond: Column, env: dict, names: set):
+    """-> (candidate filter, [(cand col, (node, col))], [(op, (node, col))], [probe comparison])."""
+    filters, eqs, bounds, probe_tests = [], [], [], []
+
+    def ref(g):
+        if g[2] not in names:
+            raise UnsupportedPattern(f"get refers to unknown or later node {g[2]!r}")
+        return (g[2], g[1])
+
+    for part in parts:
         if isinstance(part, list) and len(part) == 0:
             filters.append(root_cond)
             continue
@@ -98,23 +120,29 @@ def _split_reduction(set_constraint, key: str, root_cond: Column, env: dict, nam
             filters.append(compile_set(part, env, root_cond))
             continue
         if not (isinstance(part, list) and len(part) == 3 and part[0] in COMPARE):
-            raise UnsupportedPattern(f"'get' allowed only in a top-level comparison: {part!r}")
+            raise UnsupportedPattern(f"'get' allowed only in a comparison: {part!r}")
         op, a, b = part
-        if isinstance(a, list) and a[:1] == ["get"]:
+        if _is_get(a) and not (isinstance(b, str) and b in env):
+            # a get with a literal or a get: a matter of the probe alone
+            if not _is_get(b) and isinstance(b, (list, str)):
+                raise UnsupportedPattern(f"comparison must be get vs column, literal or get: {part!r}")
+            probe_tests.append((op, ref(a), ref(b) if _is_get(b) else b))
+            continue
+        if _is_get(a) or (_is_get(b) and not isinstance(a, (list, str))):
             op, a, b = FLIP[op], b, a
-        if not (isinstance(a, str) and isinstance(b, list) and len(b) == 3 and b[0] == "get"):
+            if _is_get(a):
+                probe_tests.append((op, ref(a), b))
+                continue
+        if not (isinstance(a, str) and _is_get(b)):
             raise UnsupportedPattern(f"comparison must be column vs get: {part!r}")
-        ref = (b[2], b[1])
-        if b[2] not in names:
-            raise UnsupportedPattern(f"get refers to unknown or later node {b[2]!r}")
         if op == "==":
-            eqs.append((a, ref))
+            eqs.append((a, ref(b)))
         elif op in ("<", "<=", ">", ">=") and a == key:
-            bounds.append((op, ref))
+            bounds.append((op, ref(b)))
         else:
             raise UnsupportedPattern(f"{part!r}: only equalities and bounds on the key {key!r}")
     cond = reduce(lambda x, y: x & y, filters) if filters else F.lit(True)
-    return cond, eqs, bounds
+    return cond, eqs, bounds, probe_tests
 
 
 def search(trace: DataFrame, pattern: list, idx: str = "idx", block_rows: int | None = None) -> DataFrame:
@@ -124,7 +152,7 @@ def search(trace: DataFrame, pattern: list, idx: str = "idx", block_rows: int |
     names = [n["name"] for n in pattern]
     for n in names:
         if n in trace.columns:
-            raise UnsupportedPattern(f"Name Collision: cannot use {n} as name")
+            raise UnsupportedPattern(f"node name {n!r} is also a column of the trace")
     env = env_of(trace)
     root = pattern[0]
     if _has_get(root["constraint"]):
@@ -148,9 +176,10 @@ def search(trace: DataFrame, pattern: list, idx: str = "idx", block_rows: int |
         if len(c) != 3 or c[0] not in ("argmin", "argmax"):
             raise UnsupportedPattern(f"{c[0]!r} is not a reduction (argmin/argmax)")
         red, key, sc = c
-        cond, eqs, bounds = _split_reduction(sc, key, root_cond, env, bound)
+        branches = [_split_branch(parts, key, root_cond, env, bound) for parts in _branches(sc, key)]
         # probe values: columns of the rows bound to earlier nodes
-        refs = sorted({r for _, r in eqs} | {r for _, r in bounds})
+        refs = sorted({r for _, eqs, bounds, tests in branches
+                       for r in [*(r for _, r in eqs), *(r for _, r in bounds), *(x for t in tests for x in t[1:] if isinstance(x, tuple))]})
         probes = results
         for node_ref in sorted({n for n, _ in refs} - {rname}):
             cols = sorted({col for n, col in refs if n == node_ref})
@@ -158,34 +187,15 @@ def search(trace: DataFrame, pattern: list, idx: str = "idx", block_rows: int |
                                 *[quoted(col).alias(f"_tt_{node_ref}_{col}") for col in cols])
             probes = probes.join(look, F.col(node_ref) == F.col(f"_tt_at_{node_ref}"), "left") \
                            .drop(f"_tt_at_{node_ref}")
-        cands = trace.where(cond)
-        eq_pairs = [(f"_tt_{n}_{col}", cand) for cand, (n, col) in eqs]
-        want = "next" if red == "argmin" else "prev"
-        lower = [b for b in bounds if b[0] in (">", ">=")]
-        upper = [b for b in bounds if b[0] in ("<", "<=")]
-        if len(lower) > 1 or len(upper) > 1:
-            raise UnsupportedPattern("at most one lower and one upper bound on the key")
-        primary = (lower[0] if lower else None) if red == "argmin" else (upper[0] if upper else None)
-        other = (upper[0] if upper else None) if red == "argmin" else (lower[0] if lower else None)
+        hits = []
+        for n, branch in enumerate(branches):
+            probes = _bind(trace, probes, env, branch, red, key, idx, rname, f"_tt_i{n}", f"_tt_k{n}", block_rows)
+            sign = 1 if red == "argmin" else -1
+            hits.append(F.when(F.col(f"_tt_i{n}").isNotNull(), F.struct(
+                (sign * F.col(f"_tt_k{n}")).alias("k"), F.col(f"_tt_i{n}").alias("i"))))
         out = "_tt_hit"
-        if primary is not None:
-            op, (n, col) = primary
-            probes = asof(probes, cands, eq_pairs, f"_tt_{n}_{col}", key, idx, want,
-                          strict=op in ("<", ">"), out=out, probe_id=rname, block_rows=block_rows)
-            if other is not None:
-                # the nearest row must also respect the opposite bound
-                op2, (n2, col2) = other
-                chk = trace.select(quoted(idx).alias("_tt_chk_i"), quoted(key).alias("_tt_chk_k"))
-                probes = probes.join(chk, F.col(out) == F.col("_tt_chk_i"), "left")
-                test = compare(op2, TCol(F.col("_tt_chk_k"), "int"),
-                               TCol(F.col(f"_tt_{n2}_{col2}"), "int")).col
-                probes = probes.withColumn(out, F.when(test, F.col(out))).drop("_tt_chk_i", "_tt_chk_k")
-        else:
-            op2 = other[0] if other else None
-            bound_col = f"_tt_{other[1][0]}_{other[1][1]}" if other else None
-            probes = group_extreme(probes, cands, eq_pairs, key, idx,
-                                   "min" if red == "argmin" else "max", out,
-                                   probe_bound=bound_col, bound_op=op2)
+        best = hits[0] if len(hits) == 1 else F.least(*hits)  # nulls are skipped
+        probes = probes.withColumn(out, best["i"])
         keep = [c for c in results.columns]
         results = probes.select(*[F.col(k) for k in keep],
                                 F.coalesce(F.col(out), F.col(rname)).cast("bigint").alias(name))
@@ -193,6 +203,38 @@ def search(trace: DataFrame, pattern: list, idx: str = "idx", block_rows: int |
     return results.select(*[F.col(n).cast("bigint").alias(n) for n in names])
 
 
+def _bind(trace: DataFrame, probes: DataFrame, env: dict, branch, red: str, key: str, idx: str, rname: str,
+          out: str, out_key: str, block_rows: int | None) -> DataFrame:
+    """Add the hit (``out``, ``out_key``) of one branch to the probes."""
+    cond, eqs, bounds, tests = branch
+    cands = trace.where(cond)
+    eq_pairs = [(f"_tt_{n}_{col}", cand) for cand, (n, col) in eqs]
+    want, far = ("next", F.greatest) if red == "argmin" else ("prev", F.least)
+    near = [b for b in bounds if (b[0] in (">", ">=")) == (red == "argmin")]
+    other = [b for b in bounds if b not in near]
+    if near:
+        # of several bounds, the hit that is farthest satisfies all
+        for m, (op, (n, col)) in enumerate(near):
+            probes = asof(probes, cands, eq_pairs, f"_tt_{n}_{col}", key, idx, want, strict=op in ("<", ">"),
+                          out=f"{out}_{m}", probe_id=rname, block_rows=block_rows, out_key=f"{out_key}_{m}")
+        sign = 1 if red == "argmin" else -1  # of equal keys an argmax takes the lowest id first
+        each = [F.struct(F.col(f"{out_key}_{m}").alias("k"), (sign * F.col(f"{out}_{m}")).alias("i")) for m in range(len(near))]
+        got = each[0] if len(each) == 1 else far(*each)
+        every = reduce(lambda x, y: x & y, [F.col(f"{out}_{m}").isNotNull() for m in range(len(near))])
+        probes = probes.withColumn(out, F.when(every, sign * got["i"])).withColumn(out_key, F.when(every, got["k"]))
+        probes = probes.drop(*[f"{c}_{m}" for c in (out, out_key) for m in range(len(near))])
+    else:
+        probes = group_extreme(probes, cands, eq_pairs, key, idx, "min" if red == "argmin" else "max", out, out_key=out_key)
+    # the nearest row must also respect the bounds on the other side, and the probe its own tests
+    ok = [compare(op, TCol(F.col(out_key), "int"), TCol(F.col(f"_tt_{n}_{col}"), "int")).col for op, (n, col) in other]
+    for op, (n, col), b in tests:
+        right = TCol(F.col(f"_tt_{b[0]}_{b[1]}"), env[b[1]].kind) if isinstance(b, tuple) else literal(b)
+        ok.append(compare(op, TCol(F.col(f"_tt_{n}_{col}"), env[col].kind), right).col)
+    for test in ok:
+        probes = probes.withColumn(out, F.when(test, F.col(out)))
+    return probes
+
+
 def next_same_event_pattern(loc: str = "cpu") -> list:
     """The next row of the same event on the same ``loc`` (strictly later)."""
     return [

@@ -339,6 +339,55 @@ def q_search_first(spark, sf_dir):
     return search(load_trace(spark, sf_dir), FIRST_PATTERN)
 
 
+NEXT_OF_CPU = ["&", ["==", "cpu", ["get", "cpu", "a"]], [">", "timestamp", ["get", "timestamp", "a"]]]
+_NEXT_CPU_SQL = "SELECT arg_min(t.idx, t.timestamp) FROM trace t WHERE t.cpu = a.cpu AND t.timestamp > a.timestamp"
+
+
+@register("search_get_literal", _with() + (
+    f"SELECT a.idx AS a, coalesce(CASE WHEN a.event = 4 AND a.arg0 <> a.cpu THEN ({_NEXT_CPU_SQL}) END, a.idx) AS b FROM trace a"))
+def q_search_get_literal(spark, sf_dir):
+    """SEA5: ``get`` against a literal and against another ``get`` (tests of the probe)."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": []},
+        {"name": "b", "constraint": ["argmin", "timestamp", ["&", ["&", ["==", ["get", "event", "a"], 4],
+                                     ["!=", ["get", "arg0", "a"], ["get", "cpu", "a"]]], NEXT_OF_CPU]]}])
+
+
+@register("search_or_get", _with() + (
+    "SELECT a.idx AS a, coalesce((SELECT arg_min(t.idx, t.timestamp) FROM trace t WHERE t.timestamp > a.timestamp "
+    "AND (t.cpu = a.cpu OR t.pid = a.pid)), a.idx) AS b FROM trace a WHERE a.event = 4"))
+def q_search_or_get(spark, sf_dir):
+    """SEA4: ``|`` around ``get``: one branch for each side, the smaller key wins."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": ["==", "event", 4]},
+        {"name": "b", "constraint": ["argmin", "timestamp", ["&", [">", "timestamp", ["get", "timestamp", "a"]],
+                                     ["|", ["==", "cpu", ["get", "cpu", "a"]], ["==", "pid", ["get", "pid", "a"]]]]]}])
+
+
+@register("search_ne_key", _with() + (
+    "SELECT a.idx AS a, coalesce((SELECT arg_max(t.idx, t.timestamp) FROM trace t WHERE t.timestamp <> a.timestamp "
+    "AND t.pid = a.pid AND t.event = 4), a.idx) AS b FROM trace a WHERE a.event = 4"))
+def q_search_ne_key(spark, sf_dir):
+    """SEA3: ``!=`` between the reduction key and a ``get`` (``<`` or ``>``)."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": ["==", "event", 4]},
+        {"name": "b", "constraint": ["argmax", "timestamp", ["&", ["&", ["!=", "timestamp", ["get", "timestamp", "a"]],
+                                     ["==", "pid", ["get", "pid", "a"]]], ["==", "event", 4]]]}])
+
+
+@register("search_two_bounds", _with(extra=(
+    f", s AS (SELECT a.idx AS a, a.timestamp, a.cpu, coalesce(({_NEXT_CPU_SQL}), a.idx) AS b FROM trace a WHERE a.event = 4)")) + (
+    "SELECT s.a, s.b, coalesce((SELECT arg_min(t.idx, t.timestamp) FROM trace t WHERE t.event = 2 AND t.timestamp > s.timestamp "
+    "AND t.timestamp >= u.timestamp), s.a) AS c FROM s JOIN trace u ON u.idx = s.b"))
+def q_search_two_bounds(spark, sf_dir):
+    """SEA7: two lower bounds on the key, from two nodes."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": ["==", "event", 4]},
+        {"name": "b", "constraint": ["argmin", "timestamp", NEXT_OF_CPU]},
+        {"name": "c", "constraint": ["argmin", "timestamp", ["&", ["&", ["==", "event", 2], [">", "timestamp", ["get", "timestamp", "a"]]],
+                                     [">=", "timestamp", ["get", "timestamp", "b"]]]]}])
+
+
 @register("asof_block_wakeup", _with(extra=(
     ", j AS (SELECT e0.idx AS e0idx, e1.idx AS e1idx, row_number() OVER (PARTITION BY e0.idx "
     "ORDER BY e1.timestamp, e1.idx) AS rn FROM trace e0 JOIN trace e1 ON e0.pid = e1.pid "
