@@ -145,15 +145,17 @@ def category_stats(frame: DataFrame) -> DataFrame:
 
 
 def hover_sample(frame: DataFrame, viewport: Column, hidden: list,
-                 max_rows: int = HOVER_MAX_ROWS, seed: int = 7) -> DataFrame:
+                 max_rows: int = HOVER_MAX_ROWS, seed: int = 7, keys: list | None = None) -> DataFrame:
     """WIN8: rows in the viewport outside hidden categories; when more than
     ``max_rows`` match, about ``max_rows`` of them chosen by a seeded hash of
-    the row's values (the same rows on every run, whatever the partitioning)."""
+    the row's values, or of its ``keys`` (the same rows on every run, whatever
+    the partitioning)."""
     rows = exclude_categories(frame.where(viewport), hidden)
     n = rows.count()
     if n > max_rows:
-        scale = 1 << 30
-        h = F.pmod(F.xxhash64(F.lit(seed), *[quoted(c) for c in rows.columns]), F.lit(scale))
+        scale = 1 << 32
+        values = F.concat_ws("|", F.lit(str(seed)), *[quoted(c).cast("string") for c in (keys or rows.columns)])
+        h = F.conv(F.substring(F.md5(values.cast("binary")), 1, 8), 16, 10).cast("bigint")
         return rows.where(h < F.lit(int(scale * max_rows / n)))
     return rows
 

@@ -77,6 +77,9 @@ def segment_raster(frame: DataFrame, x_range, y_range, width: int, height: int)
         _cell(_pixel(F.col("cx1"), xmin, xmax, width), width).alias("bx"),
         _cell(_pixel(F.col("cy1"), ymin, ymax, height), height).alias("by"),
         F.col("c").cast("int").alias("c"))
+    # equal ends are counted before they are spread over their pixels; the
+    # number of different ends is bounded by the canvas, not by the rows
+    ends = ends.groupBy("ax", "ay", "bx", "by", "c").agg(F.count(F.lit(1)).alias("_tt_m"))
     ddx, ddy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     steps = F.greatest(F.abs(ddx), F.abs(ddy))
     staged = ends.withColumns({"_tt_dx": ddx, "_tt_dy": ddy, "_tt_n": steps})
@@ -89,8 +92,8 @@ def segment_raster(frame: DataFrame, x_range, y_range, width: int, height: int)
             F.floor((F.col(d) * i * 2 + n) / (n * 2)).cast("int"))
 
     return (staged.withColumn("_tt_i", F.explode(F.sequence(F.lit(0), F.col("_tt_n"))))
-                  .select(along("ax", "_tt_dx").alias("px"), along("ay", "_tt_dy").alias("py"), "c")
-                  .groupBy("px", "py", "c").agg(F.count(F.lit(1)).alias("n")))
+                  .select(along("ax", "_tt_dx").alias("px"), along("ay", "_tt_dy").alias("py"), "c", "_tt_m")
+                  .groupBy("px", "py", "c").agg(F.sum("_tt_m").alias("n")))
 
 
 def shade(raster: DataFrame, categories: DataFrame) -> DataFrame:

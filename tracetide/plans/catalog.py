@@ -24,6 +24,8 @@ from ..sources import dictionary as _dictionary
 from ..sources import raw as _raw
 from ..sources import sinks as _sinks
 from ..sources import text as _text
+from ..functions.scalar import extension as _extension
+from ..sources import runlogs as _runlogs
 from ..sources.runlogs import run_logs_from_events
 from ..streaming.run_stream import run_table_stream_from_logs, scratch_dir
 from ..trace import (EVENT_CODE_BY_TYPE, LB_EXTRA_VARS, OTHER_EVENT_CODE, load_events,
@@ -149,6 +151,11 @@ QUERIES["nxt_same_evt_cpu"] = _computed_query([_NXT.format(k, "cpu") for k in ("
 QUERIES["nxt_same_evt_pid"] = _computed_query([_NXT.format(k, "pid") for k in ("timestamp", "arg0", "arg1")])
 QUERIES["nxt_block_wakeup"] = _computed_query(
     ["nxt_blk_wkp_of_same_pid"] + [f"nxt_{k}_of_(BLOCK|WAKEUP)_on_same_cpu" for k in ("timestamp", "arg0", "arg1")])
+for _loc in ("cpu", "pid"):  # CMP2: all 30 columns
+    QUERIES[f"nxt_pairs_{_loc}"] = _computed_query(
+        [f"nxt_{k}_of_({a}|{b})_on_same_{_loc}" for k in ("timestamp", "arg0", "arg1")
+         for a, b in (("BLOCK", "WAKEUP"), ("IDL_BLN_FAIR_BEG", "IDL_BLN_FAIR_END"), ("PER_BLN_FAIR_BEG", "PER_BLN_FAIR_END"),
+                      ("IDL_BLN_IPA_BEG", "IDL_BLN_IPA_END"), ("PER_BLN_IPA_BEG", "PER_BLN_IPA_END"))], variant="trace_lb")
 QUERIES["nxt_pairs_balancing"] = _computed_query(
     [f"nxt_timestamp_of_({a}|{b})_on_same_{loc}"
      for a, b in (("IDL_BLN_FAIR_BEG", "IDL_BLN_FAIR_END"), ("PER_BLN_FAIR_BEG", "PER_BLN_FAIR_END"),
@@ -567,13 +574,21 @@ def q_result_ranges(spark, sf_dir):
     return _fo.data_ranges(_fo.apply_query(frame, "arg0 >= 2 & delta > 1000000").frame)
 
 
-@register("hover_sample")
+HOVER_ROWS = 200
+
+
+@register("hover_sample", (
+    f"WITH f AS ({RQ_SQL}), r AS (SELECT {SEG_RANGES} FROM f), {MID_BOX_SQL}, "
+    "k AS (SELECT f.* FROM f, v WHERE ((x0 >= xlo AND x0 <= xhi) OR (x0 <= xlo AND x1 >= xhi)) "
+    "AND ((y0 >= ylo AND y0 <= yhi) OR (y0 <= ylo AND y1 >= yhi)) AND c NOT IN (4)), m AS (SELECT count(*) AS m FROM k) "
+    "SELECT k.* FROM k, m WHERE m <= 200 OR CAST('0x' || md5('7|' || CAST(x0 AS VARCHAR) || '|' || CAST(x1 AS VARCHAR) || '|' "
+    "|| CAST(arg1 AS VARCHAR))[1:8] AS BIGINT) < CAST(floor(4294967296 * 200.0::DOUBLE / m) AS BIGINT)"))
 def q_hover(spark, sf_dir):
-    """WIN8: viewport + hidden categories, sampled to at most ~100k rows (rows-only check)."""
+    """WIN8: viewport + hidden categories, sampled to about 200 rows by a hash of the row."""
     frame = _shared_frame(spark, sf_dir, "run_queue")
     spec = RECIPES["run_queue"]()
     box = _mid_box(_fo.data_ranges(frame).first())
-    return _fo.hover_sample(frame, _fo.segment_viewport(*box), _fo.hidden_categories(spec))
+    return _fo.hover_sample(frame, _fo.segment_viewport(*box), _fo.hidden_categories(spec), max_rows=HOVER_ROWS, keys=["x0", "x1", "arg1"])
 
 
 # --------------------------------------------------------------------- raster
@@ -832,9 +847,6 @@ def q_dictionary(spark, sf_dir):
     return table
 
 
-PS_HEADER = ["PID", "USER", "COMMAND"]
-
-
 @register("process_list", (
     "SELECT CAST(user_id AS VARCHAR) AS PID, 'u' || CAST(user_id % 7 AS VARCHAR) AS \"USER\", "
     "'cmd ' || event_type || ' --k ' || json_extract_string(props, '$.k') AS COMMAND FROM events"))
@@ -844,8 +856,11 @@ def q_process_list(spark, sf_dir):
     ev = load_events(spark, sf_dir)
     rows = ev.select(F.format_string("%6d  u%d   cmd %s --k %s", F.col("user_id"), F.col("user_id") % 7,
                                      F.col("event_type"), F.get_json_object("props", "$.k")).alias("value"))
-    spark.createDataFrame([("  PID USER   COMMAND",)], "value string").unionByName(rows).write.text(d)
-    return _text.read_process_list(spark, d, PS_HEADER)
+    # one folder, the header in its first file
+    spark.createDataFrame([("  PID USER   COMMAND",)], "value string").coalesce(1).write.text(_os.path.join(d, "0"))
+    rows.write.text(_os.path.join(d, "1"))
+    d = _os.path.join(d, "*")
+    return _text.read_process_list(spark, d)
 
 
 @register("nested_flatten", "SELECT event_id AS \"e/id\", value AS \"m/v/value\", user_id AS \"m/v/user\", "
@@ -946,3 +961,187 @@ def q_interactive_raster(spark, sf_dir):
     """Interactive update (EXP16 -> AGG6 -> AGG7): raster of the query result over its fitted range."""
     view = _fo.interactive_view(_frame(spark, sf_dir, "freq_points"), "y > 250000", TEST_VARS, 48, 24)
     return view.raster
+
+
+# --------------------------------------------------------------------- run archives
+
+RUN_HEAD = "runs/BENCH=phoronix/POWER=powersave-y/MONITORING=cpu-energy-meter/PHORONIX="
+ODD_RUNS = [RUN_HEAD + f"{n}/k0/1.tar" for n in ("none", "broken", "twice")]
+
+
+def _run_archives(spark, sf_dir) -> str:
+    """Archives of the derived runs, one without logs (a foreign member only),
+    one that is no tar, one with two members of one name."""
+    d = scratch_dir(spark, "run-archives")
+    lines, docs = _run_logs(spark, sf_dir)
+    per_run = F.to_json(F.struct(F.flatten(F.transform(
+        F.array_sort(F.collect_list(F.struct("doc_no", F.from_json("doc", _runs.RESULT_SCHEMA)["results"].alias("r")))),
+        lambda x: x["r"])).alias("results")))
+    merged = docs.where("member = 'phoronix.json'").groupBy("path").agg(per_run.alias("doc"))
+    docs = docs.where("member <> 'phoronix.json'").unionByName(
+        merged.select("path", F.lit("phoronix.json").alias("member"), F.lit(0).cast("bigint").alias("doc_no"), "doc"))
+    _runlogs.write_run_archives(lines, docs, d).collect()
+    put = lambda n, data: _raw.put_file(f"{d.rstrip('/')}/{ODD_RUNS[n]}", data)
+    put(0, _runlogs.run_archive_bytes([("other.txt", "1.00")]))
+    put(1, b"this is no archive " * 100)
+    put(2, _runlogs.run_archive_bytes([("a/time.err", "no number\n1.50"), ("b/time.err", "2.50")]))
+    return d
+
+
+def _archive_summary_sql():
+    odd = ", ".join(f"('{p}')" for p in ODD_RUNS)
+    return (_summary_sql()
+            .replace("idx AS (SELECT DISTINCT path FROM ev", f"idx AS (SELECT * FROM (VALUES {odd}) o(path) UNION SELECT DISTINCT path FROM ev")
+            .replace("END AS line FROM ev), ", f"END AS line FROM ev UNION ALL SELECT '{ODD_RUNS[2]}', 'time.err', 1, '1.50'), "))
+
+
+@register("run_archives_summary", _archive_summary_sql())
+def q_run_archives(spark, sf_dir):
+    """RUN1 / RUN3 / SRC9 / SRC10 / SRC11: the summary from archive files, a row for every file."""
+    lines, docs, files = _runlogs.read_run_archives(spark, _run_archives(spark, sf_dir))
+    table = _runs.traces_summary(lines, docs, runs=files)
+    return table.withColumn("fname", F.regexp_replace("fname", "^.*/runs/BENCH", "runs/BENCH"))
+
+
+@register("run_files", (
+    f"WITH {RUN_LOG_CTES} SELECT path, split_part(path, '/', -1) AS name, '.tar' AS ext FROM idx WHERE path LIKE '%POWER=powersave-y%' "
+    "UNION SELECT * FROM (VALUES " + ", ".join(f"('{p}', '1.tar', '.tar')" for p in ODD_RUNS) + ")"))
+def q_run_files(spark, sf_dir):
+    """SRC11 / SRC12 / FN5: archive files by extension and path pattern, with name and extension."""
+    found = _runlogs.list_files(spark, _run_archives(spark, sf_dir), ".tar", ".*POWER=powersave-y/.*")
+    return found.select(F.regexp_replace("path", "^.*/runs/BENCH", "runs/BENCH").alias("path"), "name", _extension(F.col("path")).alias("ext"))
+
+
+@register("archive_preview", (
+    f"WITH {RUN_LOG_CTES}, t AS (SELECT path, member, string_agg(line, chr(10) ORDER BY line_no) AS body FROM lines "
+    "WHERE path IN (SELECT path FROM idx) GROUP BY path, member) "
+    "SELECT path, 'logs/' || member AS member, CAST(octet_length(encode(body)) AS BIGINT) AS length, substr(body, 1, 64) AS text FROM t "
+    f"UNION ALL SELECT * FROM (VALUES ('{ODD_RUNS[0]}', 'other.txt', 4, '1.00'))"))
+def q_archive_preview(spark, sf_dir):
+    """SRC13: text members of the run archives with length and head."""
+    d = _run_archives(spark, sf_dir)
+    _raw.put_file(f"{d.rstrip('/')}/{ODD_RUNS[1]}", _runlogs.run_archive_bytes([]))
+    _raw.put_file(f"{d.rstrip('/')}/{ODD_RUNS[2]}", _runlogs.run_archive_bytes([]))
+    got = _text.preview_archives(spark, d, 64).where("member not like '%.json'")
+    return got.withColumn("path", F.regexp_replace("path", "^.*/runs/BENCH", "runs/BENCH"))
+
+
+@register("archive_union", _with() + (
+    "SELECT idx, CASE WHEN idx % 2 = 1 THEN arg0 END AS arg0, CASE WHEN idx % 2 = 1 THEN CAST(arg1 AS DOUBLE) ELSE arg1 + 0.5 END AS arg1 FROM trace"))
+def q_archive_union(spark, sf_dir):
+    """SRC1: archives with different columns and types give the union of both."""
+    d = scratch_dir(spark, "archives")
+    trace = load_trace(spark, sf_dir)
+    _archive.write_trace_archives(trace.where("idx % 2 = 1").select("idx", "arg0", "arg1"), _os.path.join(d, "b")).collect()
+    _archive.write_trace_archives(trace.where("idx % 2 = 0").select("idx", (F.col("arg1") + F.lit(0.5).cast("double")).alias("arg1")), _os.path.join(d, "a")).collect()
+    return _archive.read_trace_archives(spark, d).select("idx", "arg0", "arg1")
+
+
+# --------------------------------------------------------------------- spec forms and extension points
+
+FORMS_SPEC = {
+    "input": ["timestamp", "cpu", "event", "arg0", "arg1"], "output": ["x", "y", "c"],
+    "c": [{"label": "two pipelines", "color": "#000000", "concatenate": [
+        [["query", "event == $TICK"], ["=", "x", "timestamp"], ["=", "y", ["/", "arg1", ["+", "arg0", 1], 2.0]]],
+        [["query", "event == $BLOCK & arg0 > 0"], ["=", "x", ["-", ["+", "timestamp", 1], "cpu"]], ["=", "y", ["/", "arg1", "arg0"]]]]}]}
+
+
+@register("spec_forms", oracle.spec_sql(FORMS_SPEC, TEST_VARS))
+def q_spec_forms(spark, sf_dir):
+    """SET1 / EXP8 / EXP9: two pipelines in a category, n-ary division, nested steps."""
+    return build_frame(load_trace(spark, sf_dir), FORMS_SPEC, TEST_VARS)
+
+
+@register("query_modulo", _with() + (
+    "SELECT idx FROM trace WHERE arg0 <> 0 AND idx % arg0 = 1"))
+def q_modulo(spark, sf_dir):
+    """EXP1: remainder with a divisor that is sometimes zero."""
+    from ..functions.expr import compile_query, env_of
+    t = load_trace(spark, sf_dir)
+    return t.where(compile_query("idx % arg0 == 1", env_of(t))).select("idx")
+
+
+@register("query_modulo_negative", _with() + "SELECT idx FROM trace WHERE arg0 > 0 AND idx % arg0 <> 0 AND (idx % arg0) - arg0 = -1")
+def q_modulo_negative(spark, sf_dir):
+    """EXP1: the remainder has the divisor's sign."""
+    from ..functions.expr import compile_query, env_of
+    t = load_trace(spark, sf_dir)
+    return t.where(compile_query("arg0 > 0 & idx % (0 - arg0) == 0 - 1", env_of(t))).select("idx")
+
+
+@register("stored_column", _with() + "SELECT idx, CAST(7 AS BIGINT) AS addr FROM trace")
+def q_stored_column(spark, sf_dir):
+    """SRC3: a computed column that is stored already is kept as it is."""
+    t = load_trace(spark, sf_dir).withColumn("addr", F.lit(7).cast("bigint"))
+    return with_computed(t, ["addr"], TEST_VARS).select("idx", "addr")
+
+
+@register("clamped_ranges", (
+    f"WITH f AS ({RQ_SQL}), r AS (SELECT {SEG_RANGES}, count(DISTINCT y0) AS lanes FROM f) "
+    "SELECT xmin, xmax, greatest(ymin, -1.0) AS ymin, least(ymax, CAST(lanes + 1 AS DOUBLE)) AS ymax FROM r"))
+def q_clamped(spark, sf_dir):
+    """EXP20: the data range with its lanes clamped."""
+    frame = _shared_frame(spark, sf_dir, "run_queue")
+    n = _fo.lanes(frame).first()["lanes"]
+    return _fo.clamp_ranges(_fo.data_ranges(frame).withColumn("lanes", F.lit(n))).select("xmin", "xmax", "ymin", "ymax")
+
+
+@register("declared_run_table", (
+    f"WITH {RUN_LOG_CTES}, l AS (SELECT path, count(*) AS n FROM lines GROUP BY path) SELECT idx.path AS fname, "
+    "CAST(l.n AS DOUBLE) AS lines, CASE WHEN l.n > 10 THEN 'long' ELSE '(NULL)' END AS size, CAST(l.n AS DOUBLE) * 2 AS twice "
+    "FROM idx JOIN l ON l.path = idx.path"))
+def q_declared(spark, sf_dir):
+    """RUN2 / UDF1 / EXP24: a table declared column by column, appended to the empty table of its schema."""
+    lines, _ = _run_logs(spark, sf_dir)
+    index = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    table = (_runs.RunTable(index).add_column("fname", _runs.STRING, lambda d: F.col("path"))
+             .add_column("lines", _runs.FLOAT, lambda d: F.col("n"))
+             .add_column("size", _runs.STRING, lambda d: F.when(F.col("n") > 10, "long"))
+             .add_column("twice", _runs.FLOAT, lambda d: F.col("lines") * 2))
+    empty = _runs.empty_run_table(spark, [_runs.RunColumn("fname", _runs.STRING), _runs.RunColumn("lines", _runs.FLOAT),
+                                          _runs.RunColumn("size", _runs.STRING), _runs.RunColumn("twice", _runs.FLOAT)])
+    return empty.unionByName(table.build())
+
+
+@register("extension_points", _with() + (
+    "SELECT idx, timestamp * 10 AS ts_x10, least(arg1, CAST(1000 AS BIGINT)) AS y FROM trace"))
+def q_extensions(spark, sf_dir):
+    """UDF2 / UDF4: a registered computed column and a registered step operator."""
+    from ..functions import expr as _expr
+    from ..operators import computed as _computed
+    if "q_ts_x10" not in _computed.REGISTRY:
+        _computed.register_computed("q_ts_x10", ["timestamp"], lambda df, v: df.withColumn("q_ts_x10", F.col("timestamp") * 10))
+    _expr.register_step_operator("q_least", lambda a: _expr.TCol(F.least(a[0].col, a[1].col), a[0].kind))
+    t = with_computed(load_trace(spark, sf_dir), ["q_ts_x10"], TEST_VARS)
+    y = _expr.compile_step(["q_least", "arg1", 1000], _expr.env_of(t))
+    return t.select("idx", F.col("q_ts_x10").alias("ts_x10"), y.col.alias("y"))
+
+
+@register("query_listener", f"SELECT c, CAST(count(*) AS BIGINT) AS n FROM ({RQ_SQL}) f WHERE arg0 >= 2 GROUP BY c")
+def q_listener(spark, sf_dir):
+    """UDF5: a listener that derives statistics from each applied query."""
+    seen: list = []
+    _fo.apply_query(_shared_frame(spark, sf_dir, "run_queue"), "arg0 >= 2", TEST_VARS,
+                    listeners=[lambda r: seen.append(r.frame.groupBy("c").agg(F.count(F.lit(1)).alias("n")))])
+    return seen[0]
+
+
+@register("extra_dictionary_reader", (
+    VARS_SQL.replace("SELECT '$' || key AS key, arg_max(value, pr) AS value FROM u GROUP BY key",
+                     "SELECT '$' || key AS key, CASE WHEN key = 'SIGNUP' THEN '77' ELSE arg_max(value, pr) END AS value FROM u GROUP BY key")))
+def q_extra_reader(spark, sf_dir):
+    """UDF3 / SRC6: an extra dictionary reader overrides the file; of two lines of a name the last counts."""
+    d = scratch_dir(spark, "dict")
+    ev = load_events(spark, sf_dir).select("event_type").distinct()
+    code = F.lit(OTHER_EVENT_CODE)
+    for t, c in reversed(list(EVENT_CODE_BY_TYPE.items())):
+        code = F.when(F.col("event_type") == t, F.lit(c)).otherwise(code)
+    lines = ev.select(F.explode(F.array(F.concat(F.lit("98 "), F.upper("event_type")), F.concat(code.cast("string"), F.lit(" "), F.upper("event_type")))).alias("l"))
+    body = lines.agg(F.concat_ws("\n", F.sort_array(F.collect_list("l"), asc=False)).alias("value"))
+    body.coalesce(1).write.text(d)
+    reader = lambda s, p, i: s.createDataFrame([("SIGNUP", "77", i)], "key string, value string, priority int")
+    _dictionary.register_reader(reader)
+    try:
+        return _dictionary.dictionary_table(spark, [d])
+    finally:
+        _dictionary.READERS.remove(reader)

@@ -2,19 +2,19 @@
 
 The driver registers the raw tables (``events`` ...) as views; every oracle
 string rebuilds the trace from ``events`` as a CTE and then states the
-operator in plain SQL (window functions, joins, UNION ALL).  This is a
-second, independent statement of the semantics -- it never goes through the
-Spark compile path.
+operator in plain SQL (window functions, joins, UNION ALL).  It reads query
+strings and column names with code of its own and never goes through the
+Spark compile path; what it shares with the engine are the event codes, the
+``$NAME`` substitution and the recipes' JSON.
 """
 
 from __future__ import annotations
 
 import ast
+import re
 
-from ..functions.expr import parse_query
 from ..trace import EVENT_CODE_BY_TYPE, OTHER_EVENT_CODE
 from ..vars import DEFAULT_VARS, substitute
-from ..operators.computed import REGISTRY
 
 
 def trace_cte(variant: str = "base", name: str = "trace") -> str:
@@ -38,23 +38,27 @@ def q(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
+def parse_query(text: str) -> ast.AST:
+    """A query string as an expression tree; ``&`` and ``|`` bind like ``and`` and ``or``."""
+    words = text.replace("&", " and ").replace("|", " or ").replace("~", " not ")
+    return ast.parse(words.strip(), mode="eval").body
+
+
 def computed_sql(name: str, variables: dict) -> str:
-    spec = REGISTRY[name]
-    fam = spec.family
-    if fam[0] == "same_evt":
-        k = spec.key
-        return f"lead({k}, 1, {k}) OVER (PARTITION BY event, {fam[1]} ORDER BY idx)"
-    if fam[0] == "pair":
-        _, a, b, loc = fam
-        k = spec.key
+    if name == "nxt_blk_wkp_of_same_pid":
+        name = "nxt_timestamp_of_(BLOCK|WAKEUP)_on_same_pid"
+    if m := re.fullmatch(r"nxt_(\w+)_of_same_evt_on_same_(\w+)", name):
+        return f"lead({m[1]}, 1, {m[1]}) OVER (PARTITION BY event, {m[2]} ORDER BY idx)"
+    if m := re.fullmatch(r"nxt_(\w+)_of_\((\w+)\|(\w+)\)_on_same_(\w+)", name):
+        k, a, b, loc = m.groups()
         member = f"event IN ({int(variables[a])}, {int(variables[b])})"
         return (f"CASE WHEN {member} THEN lead({k}, 1, {k}) OVER (PARTITION BY {loc}, {member} "
                 f"ORDER BY idx) ELSE {k} END")
-    if fam[0] == "prv_frq":
+    if name == "prv_frq_on_same_cpu":
         tick = int(variables["TICK"])
         return (f"last_value(CASE WHEN event = {tick} THEN CAST(arg1 AS DOUBLE) END IGNORE NULLS) "
                 f"OVER (PARTITION BY cpu ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    if fam[0] == "addr":
+    if name == "addr":
         return "(CAST(arg0 AS BIGINT) << 32) | CAST(arg1 AS BIGINT)"
     raise ValueError(f"no SQL form for {name}")
 

@@ -6,7 +6,7 @@ Two readers produce the same two tables:
 * ``run_docs(path, member, doc_no, doc)``     -- JSON documents.
 
 :func:`read_run_archives` reads real run archives (uncompressed tars, a data
-source with one task per archive) and lists the runs by their files; :func:`run_logs_from_events` derives the two tables
+source) and lists the runs by their files; :func:`run_logs_from_events` derives the two tables
 from the driver's ``events`` table (one run per user) so that every run-table
 query can be checked against SQL.
 """
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .archive import _list_archives, _open  # module-level: pickled by value with this module
+from .archive import _archive_groups, _open  # module-level: pickled by value with this module
 from .raw import put_file
 
 LINES_SCHEMA = T.StructType([
@@ -50,8 +50,8 @@ def list_files(spark: SparkSession, directory: str, ext: str, regexp: str = ".*"
 
 
 class RunArchivePartition(InputPartition):
-    def __init__(self, archive: str):
-        self.archive = archive
+    def __init__(self, archives: list):
+        self.archives = archives
 
 
 class RunArchiveReader(DataSourceReader):
@@ -66,19 +66,23 @@ class RunArchiveReader(DataSourceReader):
         self.docs = set(json.loads(options.get("jsonmembers", "[]")))
 
     def partitions(self):
-        return [RunArchivePartition(a) for a in _list_archives(self.path)]
+        return [RunArchivePartition(g) for g in _archive_groups(self.path)]
 
     def read(self, part: RunArchivePartition):
+        for archive in part.archives:
+            yield from self.read_one(archive)
+
+    def read_one(self, archive: str):
         import pyarrow as pa
         schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("member", pa.string()), ("no", pa.int64()), ("text", pa.string())])
 
         def batch(rows):
             return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
 
-        yield batch([("F", part.archive, None, 0, None)])
+        yield batch([("F", archive, None, 0, None)])
         seen: set = set()
         try:
-            with _open(self.path, part.archive) as f, tarfile.open(fileobj=f, mode="r:") as tar:
+            with _open(self.path, archive) as f, tarfile.open(fileobj=f, mode="r:") as tar:
                 for info in tar:  # headers; the contents of other members are skipped
                     base = os.path.basename(info.name)
                     if not info.isreg() or base in seen or base not in self.text | self.docs:
@@ -86,11 +90,11 @@ class RunArchiveReader(DataSourceReader):
                     seen.add(base)  # of equal names the first member counts
                     data = tar.extractfile(info)
                     if base in self.docs:
-                        yield batch([("D", part.archive, base, 0, data.read().decode("utf-8", "replace"))])
+                        yield batch([("D", archive, base, 0, data.read().decode("utf-8", "replace"))])
                         continue
                     rows, i = [], 0
                     for line in io.TextIOWrapper(data, "utf-8", "replace", newline="\n"):
-                        rows.append(("L", part.archive, base, i, line.removesuffix("\n")))
+                        rows.append(("L", archive, base, i, line.removesuffix("\n")))
                         i += 1
                         if len(rows) >= self.ROWS:
                             yield batch(rows)
@@ -102,8 +106,9 @@ class RunArchiveReader(DataSourceReader):
 
 
 class RunArchiveDataSource(DataSource):
-    """``spark.read.format("tracetide_runs")``: one task per run archive, read by
-    its tar headers from the file system; only declared members are decoded."""
+    """``spark.read.format("tracetide_runs")``: a task for a large run archive or a
+    group of small ones, read by the tar headers from the file system; only
+    declared members are decoded."""
 
     @classmethod
     def name(cls):

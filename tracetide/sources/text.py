@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import tarfile
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .archive import _list_archives, _open  # module-level: pickled by value with this module
+
 PREVIEW_BYTES = 1 << 20
 
 
@@ -15,13 +20,35 @@ def preview(spark: SparkSession, path: str, limit: int = PREVIEW_BYTES) -> DataF
                          F.substring(F.decode("content", "UTF-8"), 1, limit).alias("text")))
 
 
-def read_process_list(spark: SparkSession, path: str, header: list) -> DataFrame:
+def preview_archives(spark: SparkSession, path: str, limit: int = PREVIEW_BYTES) -> DataFrame:
+    """SRC13: member list of every archive below ``path`` with each member's
+    length and the first ``limit`` bytes as text; only those bytes are read."""
+    names = spark.createDataFrame([(a,) for a in _list_archives(path)], "archive string")
+
+    def look(batches):
+        for pdf in batches:
+            for archive in pdf["archive"]:
+                rows = []
+                with _open(path, archive) as f, tarfile.open(fileobj=f, mode="r:") as tar:
+                    for info in tar:
+                        if info.isreg():
+                            head = tar.extractfile(info).read(limit)
+                            rows.append((archive, info.name, info.size, head.decode("utf-8", "replace")))
+                yield pd.DataFrame(rows, columns=["path", "member", "length", "text"])
+
+    return names.repartition(64).mapInPandas(look, "path string, member string, length long, text string")
+
+
+def read_process_list(spark: SparkSession, path: str, header: list | None = None) -> DataFrame:
     """SRC16: whitespace-separated table; the last column takes the rest of the line.
 
-    ``header`` is the column list of the file's first line.
+    The columns are named by the file's first line; ``header`` overrides it.
     """
-    n = len(header)
     lines = spark.read.text(path)
+    if header is None:
+        first_line = lines.orderBy(F.col("_metadata.file_path"), F.col("_metadata.file_block_start")).first()
+        header = first_line["value"].split() if first_line else ["PID"]
+    n = len(header)
     first = " ".join(header)
     body = lines.where(F.regexp_replace(F.trim("value"), r"\s+", " ") != first) \
                 .where(F.length(F.trim("value")) > 0)
