@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..config import ensure_checkpoint_dir
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 
 def worker_cache() -> dict:
@@ -55,6 +55,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
 
 
+# While a table is written: small batches to the Python workers and from Parquet, so
+# that rows with whole texts or sets do not add up.
+_WHILE_STORING = {"spark.sql.execution.arrow.maxBytesPerBatch": "16m", "spark.sql.parquet.columnarReaderBatchSize": "512"}
+_ROW_GROUP = 32 << 20
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet into the shared folder and read back.
 
@@ -62,7 +68,17 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = shared_folder(spark)
-    df.write.parquet(path)
+    before = {k: spark.conf.get(k, None) for k in _WHILE_STORING}
+    try:
+        for k, v in _WHILE_STORING.items():
+            spark.conf.set(k, v)
+        df.write.option("parquet.block.size", str(_ROW_GROUP)).parquet(path)
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     return spark.read.schema(df.schema).parquet(path)
 
 

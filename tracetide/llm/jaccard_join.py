@@ -99,7 +99,7 @@ def fingerprint_pass(src: DataFrame) -> DataFrame:
                 seen_t.append(t)
                 seen_c.append(c)
                 held += len(t)
-                if held > 4_000_000:
+                if held > 1_000_000:
                     t, c = _merge(seen_t, seen_c)
                     seen_t, seen_c, held = [t], [c], 0
         t, c = _merge(seen_t, seen_c)
@@ -134,7 +134,7 @@ def prefix_pass(src: DataFrame, frequent) -> DataFrame:
                     if n[k] and f not in seen:
                         seen.add(f)
                         new[k] = True
-                if len(seen) > 2_000_000:
+                if len(seen) > 500_000:
                     seen.clear()
                 if not new.any():
                     continue

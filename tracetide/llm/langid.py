@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast, worker_cache
+from .common import broadcast, byte_chunks, worker_cache
 
 BUCKETS = 1 << 16
 ORDERS = 4
@@ -122,8 +122,9 @@ def fit(labelled: DataFrame, *, text: str = "text", lang: str = "lang", key: str
             sums = np.zeros((len(names), BUCKETS + 1), np.int64)
             for k in range(len(names)):
                 sums[k, BUCKETS] = int((code == k).sum())
-            for i, _, sym, start, end, _ in _streams(batch.column(0).to_pylist()):
-                lang_of = np.repeat(code[i:i + len(start)], end - start)
+            parts = ((a, s) for a, b, _, _ in byte_chunks(batch.column(0)) for s in _streams(batch.column(0).slice(a, b - a).to_pylist()))
+            for first, (i, _, sym, start, end, _) in parts:
+                lang_of = np.repeat(code[first + i:first + i + len(start)], end - start)
                 at = np.concatenate([np.arange(s, e) for s, e in zip(start, end, strict=True)]) if len(start) else np.empty(0, int)
                 for b in _grams(sym):
                     sums[:, :BUCKETS] += np.bincount(lang_of * BUCKETS + b[at], minlength=len(names) * BUCKETS).reshape(len(names), BUCKETS)
@@ -174,10 +175,12 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
     def run(batches):
         m = shared()
         for batch in batches:
-            best, post = score_texts(batch.column(batch.num_columns - 1).to_pylist(), m)
-            pred = [m.langs[b] if b >= 0 else UNDETERMINED for b in best.tolist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred, pa.string()), pa.array(post, pa.float64())],
-                                             names=[*keep, *names])
+            texts = batch.column(batch.num_columns - 1)
+            for i, j, _, _ in byte_chunks(texts):  # few texts at a time as Python strings
+                best, post = score_texts(texts.slice(i, j - i).to_pylist(), m)
+                pred = [m.langs[b] if b >= 0 else UNDETERMINED for b in best.tolist()]
+                own = [c.slice(i, j - i) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(post, pa.float64())], names=[*keep, *names])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
     return src.mapInArrow(run, f"{out}, {names[0]} string, {names[1]} double")
