@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
+from ..config import materialize
 from ..functions.scalar import pattern_to_regex, var_from_path
 
 FLOAT, STRING = "float", "string"
@@ -71,8 +72,10 @@ def first_pattern_matches(run_lines: DataFrame, patterns: list) -> DataFrame:
     for dtype, name, member, pattern in patterns:
         rx = pattern_to_regex(pattern)
         hit = (F.col("member") == member) & F.col("line").rlike(rx)
-        aggs.append(F.min_by(F.when(hit, F.regexp_extract("line", rx, 1)),
-                             F.when(hit, F.col("line_no"))).alias(name))
+        value = F.regexp_extract("line", rx, 1)
+        if dtype == FLOAT:  # numbers, so that the aggregate hashes
+            value = F.coalesce(value.try_cast("double"), F.lit(NAN))
+        aggs.append(F.min_by(F.when(hit, value), F.when(hit, F.col("line_no"))).alias(name))
     return run_lines.groupBy("path").agg(*aggs)
 
 
@@ -104,14 +107,11 @@ def nth_results(run_docs: DataFrame, n: int = MAX_RESULTS, member: str = "phoron
     w = Window.partitionBy("path").orderBy("doc_no", "pos")
     top = (result_entries(run_docs, member).withColumn("_tt_rn", F.row_number().over(w))
            .where(F.col("_tt_rn") <= n))
-    aggs = []
-    for i in range(n):
-        hit = F.col("_tt_rn") == i + 1
-        aggs += [F.max(F.when(hit, F.col("test"))).alias(f"phoro_test{i}"),
-                 F.max(F.when(hit, F.col("arguments"))).alias(f"phoro_args{i}"),
-                 F.max(F.when(hit, F.col("units"))).alias(f"phoro_units{i}"),
-                 F.max(F.when(hit, F.col("value"))).alias(f"phoro_value{i}")]
-    return top.groupBy("path").agg(*aggs)
+    # at most n entries a path
+    rows = top.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("_tt_rn", "test", "arguments", "units", "value"))).alias("r"))
+    cols = [F.get("r", F.lit(i))[field].alias(f"phoro_{short}{i}") for i in range(n)
+            for field, short in (("test", "test"), ("arguments", "args"), ("units", "units"), ("value", "value"))]
+    return rows.select("path", *cols)
 
 
 def json_field(run_docs: DataFrame, name: str, member: str, json_path: str) -> DataFrame:
@@ -129,13 +129,19 @@ def traces_summary(run_lines: DataFrame, run_docs: DataFrame,
     ``runs`` (path): the files found; a run without logs then has a row of
     defaults.  Without it the runs are those that left a log."""
     at = F.col("path").rlike("^(?:" + regexp + ")")
-    index = runs.where(at).select("path").distinct() if runs is not None else run_index(run_lines, run_docs, regexp)
     patterns = PERF_PATTERNS + energy_patterns()
+    # one pass over the lines, two over the documents; the runs are the groups found
     lines = first_pattern_matches(run_lines.where(at), patterns)
     docs = run_docs.where(at)
     results = nth_results(docs)
-    kernel = json_field(docs, "kernel", "report.main.json", "$.kernel.version")
-    t = (index.join(lines, "path", "left").join(results, "path", "left").join(kernel, "path", "left"))
+    report = F.col("member") == "report.main.json"
+    kernel = docs.groupBy("path").agg(F.min_by(F.when(report, F.get_json_object("doc", "$.kernel.version")),
+                                               F.when(report, F.col("doc_no"))).alias("kernel"))
+    if runs is None:
+        t = lines.join(kernel, "path", "full_outer")
+    else:
+        t = runs.where(at).select("path").distinct().join(lines, "path", "left").join(kernel, "path", "left")
+    t = t.join(results, "path", "left")
     cols = [F.col("path").alias("fname")]
     cols += [var_from_path(F.col("path"), v).alias(v) for v in PATH_VARS]
     cols += [typed(F.col(name), dtype).alias(name) for dtype, name, _, _ in patterns]
@@ -176,8 +182,10 @@ def power_comparison(run_lines: DataFrame, run_docs: DataFrame, kernel: str | No
         F.min(F.when(F.col("mode") == "powersave", F.col("path"))).alias("fpowersave"),
         F.min(F.when(F.col("mode") == "performance", F.col("path"))).alias("fperformance"))
     pairs = first.where("fpowersave is not null and fperformance is not null").select("fpowersave", "fperformance")
-    res = (result_entries(run_docs)
-           .select("path", F.struct("doc_no", "pos").alias("o"), "test", "arguments", "units", "value"))
+    # the documents of paired runs only, parsed once
+    paired = pairs.select(F.explode(F.array("fpowersave", "fperformance")).alias("path")).distinct()
+    res = materialize(result_entries(run_docs.join(paired, "path", "left_semi"))
+                      .select("path", F.struct("doc_no", "pos").alias("o"), "test", "arguments", "units", "value"))
     keys = ["test", "arguments", "units"]
     # JOIN6: powersave results whose key exists in the performance run (duplicates kept)
     left = res.join(pairs.select(F.col("fpowersave").alias("path"), "fperformance"), "path")
