@@ -7,6 +7,7 @@ Python object is made per word.
 
 from __future__ import annotations
 
+import atexit
 import pickle
 import sys
 import types
@@ -50,9 +51,25 @@ SHINGLE = 5
 U64 = np.uint64
 
 
+_MADE: list = []
+
+
+def _remove_made() -> None:
+    for spark, path in _MADE:
+        try:
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        except Exception:  # noqa: BLE001 - the session has ended before
+            return
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder of the cluster."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder of the cluster; it goes when the driver ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{uuid.uuid4().hex}"
+    if not _MADE:
+        atexit.register(_remove_made)
+    _MADE.append((spark, path))
+    return path
 
 
 # While a table is written: small batches to the Python workers and from Parquet, so
