@@ -9,9 +9,9 @@ m share at least ``3/7 (n + m)`` tokens and one of the first
 2. Every class emits its first tokens.  The order puts tokens that many
    documents hold last (a fixed number of them is found by exact counts in each
    task and broadcast), so groups of a common passage do not form.
-3. In every token group the members, sorted by size, are chained; the chain
-   links that hold are components.  Groups of near copies are connected here
-   with one link for each member, not for each pair.
+3. In every token group each member is paired with the one before it and with
+   the first; the pairs that link are components.  Groups of near copies are
+   connected here with two pairs for each member, not with all pairs.
 4. Groups that still hold several components go through a signature tree: its
    nodes hold OR-combined bitmaps, size ranges and the components below, and a
    dual traversal drops node pairs that are of one component or cannot reach
@@ -157,14 +157,18 @@ def prefix_pass(src: DataFrame, frequent) -> DataFrame:
 
 
 def chained(prefix: DataFrame) -> DataFrame:
-    """Rows of token groups of two and more classes, with the group's previous class by size."""
-    names = ["token", "cid", "n", "prev", "prev_n"]
+    """Rows of token groups of two and more classes, each with the class before it and the group's first.
 
-    def out(token, cid, n, prev, prev_n):
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in (token, cid, n, prev, prev_n)], names=names)
+    Classes come in the order of their fingerprints, so the first one is the
+    same in most groups of a cluster of near copies.
+    """
+    names = ["token", "cid", "n", "prev", "prev_n", "head", "head_n"]
+
+    def out(*cols):
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in cols], names=names)
 
     def run(batches):
-        last = None  # token, cid, n, prev, prev_n of the row that waits for its successor
+        last = None  # the row that waits for its successor: token, cid, n, prev, prev_n, head, head_n
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -177,18 +181,23 @@ def chained(prefix: DataFrame) -> DataFrame:
             inside = token[1:] == token[:-1]
             prev, prev_n = np.zeros(len(token), np.int64), np.zeros(len(token), np.int64)
             prev[1:][inside], prev_n[1:][inside] = cid[:-1][inside], n[:-1][inside]
+            first = np.flatnonzero(np.concatenate([[True], ~inside]))
+            group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(token))))
+            head, head_n = cid[first], n[first]
             if last is not None:
                 prev[0], prev_n[0] = last[3], last[4]
+                head[0], head_n[0] = last[5], last[6]
             emit = prev_n > 0
             emit[:-1] |= inside
             emit[-1] = False
-            last = [x[-1] for x in (token, cid, n, prev, prev_n)]
-            yield out(*(x[emit] for x in (token, cid, n, prev, prev_n)))
+            cols = (token, cid, n, prev, prev_n, head[group], head_n[group])
+            last = [x[-1] for x in cols]
+            yield out(*(x[emit] for x in cols))
         if last is not None and last[4] > 0:
             yield out(*(np.array([x], np.int64) for x in last))
 
-    parts = prefix.repartition("token").sortWithinPartitions("token", "n", "cid")
-    return parts.mapInArrow(run, "token bigint, cid bigint, n bigint, prev bigint, prev_n bigint")
+    parts = prefix.repartition("token").sortWithinPartitions("token", "cid")
+    return parts.mapInArrow(run, "token bigint, cid bigint, n bigint, prev bigint, prev_n bigint, head bigint, head_n bigint")
 
 
 def _wide(tokens: np.ndarray) -> bytes:
@@ -355,9 +364,15 @@ def _leaf_pairs(size, comp, n, bits):
 def tree_candidates(rows: DataFrame) -> DataFrame:
     """Candidate pairs of the token groups in ``rows`` (token, comp, rep, n, sketch)."""
 
-    def out(rep, i, j):
-        a, b = rep[i], rep[j]
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+    def out(rep, found):
+        """A batch of the pairs found, each once."""
+        i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.ones(len(a), bool)
+        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
 
     def solve(token, comp, rep, n, sketch):
         bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(n), -1).view(U64)
@@ -365,11 +380,15 @@ def tree_candidates(rows: DataFrame) -> DataFrame:
         size = np.diff(np.append(cuts, len(token)))
         small = np.repeat(size <= LEAF, size)
         at = np.flatnonzero(small)
-        for i, j in _leaf_pairs(size[size <= LEAF], comp[at], n[at], bits[at]):
-            yield out(rep, at[i], at[j])
+        found = [(at[i], at[j]) for i, j in _leaf_pairs(size[size <= LEAF], comp[at], n[at], bits[at])]
         for s, m in zip(cuts[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
             for i, j in SignatureTree(n[s:s + m], comp[s:s + m], bits[s:s + m]).pairs():
-                yield out(rep, s + i, s + j)
+                found.append((s + i, s + j))
+                if sum(len(f[0]) for f in found[-64:]) > 200_000:
+                    yield out(rep, found)
+                    found = []
+        if found:
+            yield out(rep, found)
 
     def run(batches):
         held: list = []  # batches that end in an open group
@@ -416,7 +435,8 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     prev = shares.select(F.col("cid").alias("prev"), F.col("rep").alias("ra"))
     cur = shares.select("cid", F.col("rep").alias("rb"))
-    chain = rows.where("prev_n > 0 and 4 * prev_n >= 3 * n").select("prev", "cid").distinct()
+    near = lambda c: f"{c}_n > 0 and {c} <> cid and 4 * {c}_n >= 3 * n and 4 * n >= 3 * {c}_n"
+    chain = rows.where(near("prev")).select("prev", "cid").union(rows.where(near("head")).select("head", "cid")).distinct()
     chain = chain.join(prev, "prev").join(cur, "cid").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
     links = linked(src, sketch_survivors(chain, sketches))
     comp = components(links)
