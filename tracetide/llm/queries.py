@@ -98,15 +98,76 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+# --------------------------------------------------------------------- oracles, where SQL can say it
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '<|im_end|><|im_start|>assistant ok'), (-1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'))),
+e AS (
+  SELECT *, replace(replace(text, '\', '\\'), '<|', '<\|') AS body,
+    replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') AS head, sha256(text) AS tie FROM t)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, tie)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, tie) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length('<|im_start|>') + length(head) + 1 + length(body) + length('<|im_end|>') + 1) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+URL_SQL = r"""
+WITH p AS (
+  SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)([^?#]*)', 2), '') AS path FROM pages),
+o AS (
+  SELECT p.host, count(l.doc_id) AS n, coalesce(sum(CASE WHEN l.toxic = 1 OR l.quality = 0 THEN 1 WHEN l.doc_id IS NOT NULL THEN 0 END), 0) AS bad,
+    split_part(p.host, '.', -1) AS suffix,
+    CASE WHEN contains(p.host, '.') THEN split_part(p.host, '.', -2) || '.' || split_part(p.host, '.', -1) ELSE p.host END AS domain
+  FROM p LEFT JOIN labels l ON l.doc_id = p.page_id GROUP BY p.host),
+w0 AS (SELECT CASE WHEN sum(n) > 0 THEN (sum(bad) + 0.5::DOUBLE) / (sum(n) + 1.0::DOUBLE) ELSE 0.0::DOUBLE END AS up FROM o),
+s AS (SELECT suffix, sum(n)::DOUBLE AS n, sum(bad)::DOUBLE AS bad, any_value(w0.up) AS up FROM o, w0 GROUP BY suffix),
+ws AS (SELECT WEIGHT AS w FROM (SELECT MOMENTS FROM s WHERE n > 0)),
+sr AS (SELECT suffix, (bad + w * up) / (n + w) AS rate FROM s, ws),
+d AS (SELECT o.domain, o.suffix, sum(o.n)::DOUBLE AS n, sum(o.bad)::DOUBLE AS bad, any_value(sr.rate) AS up FROM o JOIN sr USING (suffix) GROUP BY o.domain, o.suffix),
+wd AS (SELECT WEIGHT AS w FROM (SELECT MOMENTS FROM d WHERE n > 0)),
+dr AS (SELECT domain, (bad + w * up) / (n + w) AS rate FROM d, wd),
+h AS (SELECT o.host, o.n::DOUBLE AS n, o.bad::DOUBLE AS bad, dr.rate AS up FROM o JOIN dr USING (domain)),
+wh AS (SELECT WEIGHT AS w FROM (SELECT MOMENTS FROM h WHERE n > 0)),
+low AS (SELECT host, a / t - 1.645 * sqrt(a * (t - a) / (t * t * (t + 1))) AS low FROM (SELECT host, bad + w * up AS a, n + w AS t FROM h, wh)),
+r AS (
+  SELECT p.*, CASE WHEN host = 'example.org' OR host LIKE '%.example.org' THEN
+      CASE WHEN starts_with(path, '/en/1') THEN 'example.org/en/1' WHEN starts_with(path, '/es/') THEN 'example.org/es/' WHEN starts_with(path, '/') THEN 'org/' END
+    WHEN host = 'org' OR host LIKE '%.org' THEN CASE WHEN starts_with(path, '/') THEN 'org/' END
+    WHEN host = 'com' OR host LIKE '%.com' THEN CASE WHEN starts_with(path, '/fr/') THEN 'com/fr/' WHEN starts_with(path, '/de/') THEN 'com/de/' END END AS rule FROM p)
+SELECT r.page_id, r.host, r.path, r.rule, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+  WHEN low.low > 0.3 THEN 'block' ELSE 'allow' END AS verdict FROM r JOIN low USING (host)
+""".replace("WEIGHT", "CASE WHEN g < 2 OR v <= 0 OR (ss - (g - 1) * v) / (t - t2 / t) <= 0 THEN 1000.0::DOUBLE "
+            "ELSE least(greatest(v / ((ss - (g - 1) * v) / (t - t2 / t)) - 1, 1.0::DOUBLE), 1000.0::DOUBLE) END").replace(
+    "MOMENTS", "sum(n) AS t, sum(n * n) AS t2, count(*) AS g, sum(n * (bad / n - up) * (bad / n - up)) AS ss, sum(n * up * (1 - up)) / sum(n) AS v")
+
+JACCARD_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
+FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach r ON r.doc_id = w.doc_id GROUP BY w.doc_id
+"""
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_toxicity": (op2_toxicity, None),
     "op3_langid": (op3_langid, None),
-    "op4_chat": (op4_chat, None),
-    "op5_urls": (op5_urls, None),
+    "op4_chat": (op4_chat, CHAT_SQL),
+    "op5_urls": (op5_urls, URL_SQL),
     "op6_decontamination": (op6_decontamination, None),
     "op7_suffix_dedup": (op7_suffix_dedup, None),
     "op8_ann": (op8_ann, None),
     "op9_brown_lm": (op9_brown_lm, None),
-    "op10_jaccard": (op10_jaccard, None),
+    "op10_jaccard": (op10_jaccard, JACCARD_SQL),
 }
