@@ -362,19 +362,26 @@ def _leaf_pairs(size, comp, n, bits):
 
 
 def tree_candidates(rows: DataFrame) -> DataFrame:
-    """Candidate pairs of the token groups in ``rows`` (token, comp, rep, n, sketch)."""
+    """Candidate pairs of the token groups in ``rows`` (token, comp, rep, n, sketch, tokens).
 
-    def out(rep, found):
-        """A batch of the pairs found, each once."""
+    ``tokens`` are all groups of the row's class; a pair that meets in several
+    groups is put out by the group of their smallest common token only.
+    """
+
+    def out(rep, token, tokens, found):
         i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
-        a, b = np.minimum(rep[i], rep[j]), np.maximum(rep[i], rep[j])
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        new = np.ones(len(a), bool)
-        new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new])], names=["a", "b"])
-
-    def solve(token, comp, rep, n, sketch):
+        sets: dict = {}
+
+        def groups(k):
+            if k not in sets:
+                sets[k] = frozenset(tokens[k].as_py())
+            return sets[k]
+
+        first = np.array([min(groups(x) & groups(y)) == token[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        i, j = i[first], j[first]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
+
+    def solve(token, comp, rep, n, sketch, tokens):
         bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(n), -1).view(U64)
         cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
         size = np.diff(np.append(cuts, len(token)))
@@ -385,10 +392,10 @@ def tree_candidates(rows: DataFrame) -> DataFrame:
             for i, j in SignatureTree(n[s:s + m], comp[s:s + m], bits[s:s + m]).pairs():
                 found.append((s + i, s + j))
                 if sum(len(f[0]) for f in found[-64:]) > 200_000:
-                    yield out(rep, found)
+                    yield out(rep, token, tokens, found)
                     found = []
         if found:
-            yield out(rep, found)
+            yield out(rep, token, tokens, found)
 
     def run(batches):
         held: list = []  # batches that end in an open group
@@ -408,9 +415,9 @@ def tree_candidates(rows: DataFrame) -> DataFrame:
 
     def _all(held):
         t = pa.Table.from_batches(held)
-        yield from solve(*(t.column(k).to_numpy() for k in range(4)), t.column(4).to_pylist())
+        yield from solve(*(t.column(k).to_numpy() for k in range(4)), t.column(4).to_pylist(), t.column(5).combine_chunks())
 
-    parts = rows.select("token", "comp", "rep", "n", "sketch").repartition("token").sortWithinPartitions("token", "comp", "n", "rep")
+    parts = rows.select("token", "comp", "rep", "n", "sketch", "tokens").repartition("token").sortWithinPartitions("token", "comp", "n", "rep")
     return parts.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -448,7 +455,9 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     groups = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"),
                                          F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(20,0)")).alias("h2"))
     several = groups.where("lo <> hi").groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token")
-    open_rows = rows.select("token", "cid").join(several, "token", "left_semi").join(known, "cid")
+    open_rows = stored(rows.select("token", "cid").join(several, "token", "left_semi"))
+    groups_of = open_rows.groupBy("cid").agg(F.collect_list("token").alias("tokens"))  # some of a class's first tokens
+    open_rows = open_rows.join(known.join(groups_of, "cid"), "cid")
     open_rows = open_rows.join(sketches.select("rep", "sketch"), "rep")
     more = linked(src, tree_candidates(open_rows))
     comp = components(links.unionByName(more))
