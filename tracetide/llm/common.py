@@ -22,23 +22,26 @@ from pyspark.sql import functions as F
 
 from ..config import ensure_checkpoint_dir
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
-def worker_cache() -> dict:
-    """One dictionary per Python process.
+def worker_cache(owner: str) -> dict:
+    """A dictionary of the Python process for ``owner``; another owner's things go.
 
     Functions are shipped to the workers by value, so a module global would be
-    built again in every task.
+    built again in every task; and workers are used again by later stages.
     """
-    return sys.modules.setdefault("_tracetide_worker_cache", types.ModuleType("_tracetide_worker_cache")).__dict__
+    kept = sys.modules.setdefault("_tracetide_worker_cache", types.ModuleType("_tracetide_worker_cache")).__dict__
+    if owner != "broadcast" and kept.get("owner") != owner:
+        kept["owner"], kept["held"] = owner, {}
+    return kept if owner == "broadcast" else kept["held"]
 
 def broadcast(spark: SparkSession, value):
     """A function that gives ``value`` in any task: sent once to each executor, its classes by value."""
     key, sent = uuid.uuid4().hex, spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
     def get():
-        cache = worker_cache()
+        cache = worker_cache("broadcast")
         if cache.get("broadcast", (None,))[0] != key:
             cache["broadcast"] = key, pickle.loads(sent.value)
         return cache["broadcast"][1]

@@ -28,7 +28,7 @@ ORDERS = 4
 ALPHA = 0.1
 TRAIN_ROWS = 20_000  # documented bound of the labelled sample
 UNDETERMINED = "und"
-_CHUNK_CHARS = 1 << 20
+_CHUNK_CHARS = 1 << 18
 _MULT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F], np.uint32)
 
 
@@ -40,7 +40,7 @@ class Model:
 
 
 def _tables():
-    cache = worker_cache()
+    cache = worker_cache("langid")
     if "letters" in cache:
         return cache["letters"]
     letters = np.zeros(0x110000, bool)
@@ -169,17 +169,20 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
              names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns plus the language and its posterior; the whole text of each row is scored."""
     shared = broadcast(docs.sparkSession, model)
-    src = docs.select(*[docs[c] for c in keep], docs[text].cast("string").alias("__text"))
-    kept = src.select(*keep).schema
+    src = docs.select(*[docs[c] for c in keep])
+    kept = src.schema
+    at = keep.index(text) if text in keep else len(keep)  # a text that is kept is sent once
+    if at == len(keep):
+        src = src.withColumn("__text", docs[text].cast("string"))
 
     def run(batches):
         m = shared()
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(at).cast(pa.string())
             for i, j, _, _ in byte_chunks(texts):  # few texts at a time as Python strings
                 best, post = score_texts(texts.slice(i, j - i).to_pylist(), m)
                 pred = [m.langs[b] if b >= 0 else UNDETERMINED for b in best.tolist()]
-                own = [c.slice(i, j - i) for c in batch.columns[:-1]]
+                own = [c.slice(i, j - i) for c in batch.columns[:len(keep)]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(post, pa.float64())], names=[*keep, *names])
 
     out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)

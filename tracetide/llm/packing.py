@@ -80,7 +80,7 @@ class Encoder:
 
 
 def encoder(path: str) -> Encoder:
-    cache = worker_cache()
+    cache = worker_cache("packing")
     if ("encoder", path) not in cache:
         cache["encoder", path] = Encoder(path)
     return cache["encoder", path]

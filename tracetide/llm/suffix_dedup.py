@@ -40,14 +40,14 @@ LENGTH = 400
 GRAM = 200
 SHALLOW = 32
 MAX_GROUP = 4096
-PIECE = 1 << 21  # bytes looked at together; position bits of an anchor's rank
+PIECE = 1 << 19  # bytes looked at together; position bits of an anchor's rank
 _POS_BITS = 22
 _BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 
 
 def _powers(n: int):
     """Powers of the base and of its inverse, kept in the worker."""
-    cache = worker_cache()
+    cache = worker_cache("suffix_dedup")
     if "powers" not in cache or len(cache["powers"][0]) < n:
         inv = U64(pow(int(_BASE), -1, 1 << 64))
         up, down = np.full(n, _BASE, U64), np.full(n, inv, U64)
