@@ -82,6 +82,16 @@ def test_signature_tree_gives_every_pair_that_can_link():
                 assert (a, b) in got
 
 
+def test_signature_tree_of_unlike_components_has_no_pairs():
+    rng = np.random.default_rng(2)
+    one, two = (rng.integers(0, 1 << 60, 300).astype(np.uint64) for _ in range(2))
+    for m in (64, 128, 256):
+        sets = [np.sort(one)] * m + [np.sort(two)] * 10
+        n, comp = np.full(m + 10, 300), np.repeat([0, 1], [m, 10])
+        bits = np.frombuffer(b"".join(jaccard_join._sketches(np.concatenate(sets), n)), np.uint8).reshape(m + 10, -1).view(np.uint64)
+        assert not list(jaccard_join.SignatureTree(n, comp, bits).pairs())
+
+
 @pytest.mark.parametrize(("length", "gram", "max_group"), [(400, 200, 4096), (40, 16, 4096), (40, 16, 1), (12, 4, 3)])
 def test_substrings_against_brute_force(spark, length, gram, max_group):
     rng = random.Random(length + max_group)

@@ -320,6 +320,8 @@ class SignatureTree:
                 cq = np.tile(4 * q[:, None] + k, (1, 4)).ravel()
                 ok = (cp < len(lo)) & (cq < len(lo)) & (cp <= cq)
                 p, q = cp[ok], cq[ok]
+            if not len(p):
+                return
             step = 1 << 14
             kept = []
             for s in range(0, len(p), step):
