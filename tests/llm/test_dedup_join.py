@@ -92,6 +92,50 @@ def test_signature_tree_of_unlike_components_has_no_pairs():
         assert not list(jaccard_join.SignatureTree(n, comp, bits).pairs())
 
 
+def test_large_token_groups_are_cut_into_bounded_units(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    monkeypatch.setattr(jaccard_join, "LEAST_TOKENS", 2)
+    monkeypatch.setattr(jaccard_join, "LEAF", 4)
+    monkeypatch.setattr(jaccard_join, "FREQUENT", 0)  # the passage stays in the prefixes
+    rng = random.Random(5)
+    passage = " ".join(f"p{k}" for k in range(24))
+    tails = [[f"q{rng.randrange(10**6)}" for _ in range(rng.randint(5, 60))] for _ in range(60)]
+    rows = [(k, " ".join([passage, *t])) for k, t in enumerate(tails)]
+    # linked beyond the chain: one word of the tail is another one
+    rows += [(100 + k, " ".join([passage, *t[:-3], f"z{k}", *t[-2:]])) for k, t in enumerate(tails[:30])]
+    rng.shuffle(rows)
+    units, plain = [], jaccard_join.tree_candidates
+
+    def spy(found):
+        units.extend(found.groupBy("kind", "x", "y").count().collect())
+        return plain(found)
+
+    monkeypatch.setattr(jaccard_join, "tree_candidates", spy)
+    got = jaccard_join.jaccard_components(H.frame(spark, rows).repartition(5)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == H.jaccard_components(rows) and len(got) == len(rows)
+    assert sum(u.kind == 1 for u in units) > 10 and all(u["count"] <= (16 if u.kind else 8) for u in units)
+
+
+@pytest.mark.parametrize("sizes", [(90, 90), (90, 3), (70, 20)])
+def test_pairs_of_two_signature_trees(sizes):
+    rng = np.random.default_rng(sizes[1])
+    base = rng.integers(0, 1 << 60, 200).astype(np.uint64)
+    trees, sets = [], []
+    for m in sizes:
+        own = sorted((np.unique(base[rng.random(200) < rng.uniform(0.7, 1)]) for _ in range(m)), key=len)
+        n, comp = np.array([len(x) for x in own]), np.sort(rng.integers(0, 20, m))
+        bits = np.frombuffer(b"".join(jaccard_join._sketches(np.concatenate(own), n)), np.uint8).reshape(m, -1).view(np.uint64)
+        trees.append(jaccard_join.SignatureTree(n, comp, bits))
+        sets.append((own, comp))
+    got = [p for i, j in trees[0].pairs(trees[1]) for p in zip(i.tolist(), j.tolist(), strict=True)]
+    assert len(got) == len(set(got))
+    for a, x in enumerate(sets[0][0]):
+        for b, y in enumerate(sets[1][0]):
+            common_n = len(np.intersect1d(x, y))
+            if sets[0][1][a] != sets[1][1][b] and 100 * common_n >= 75 * (len(x) + len(y) - common_n):
+                assert (a, b) in got
+
+
 @pytest.mark.parametrize(("length", "gram", "max_group"), [(400, 200, 4096), (40, 16, 4096), (40, 16, 1), (12, 4, 3)])
 def test_substrings_against_brute_force(spark, length, gram, max_group):
     rng = random.Random(length + max_group)

@@ -7,15 +7,18 @@ m share at least ``3/7 (n + m)`` tokens and one of the first
 
 1. Equal sets form one class (by fingerprint), so copies cost one row.
 2. Every class emits its first tokens.  The order puts tokens that many
-   documents hold last (a fixed number of them is found by exact counts in each
-   task and broadcast), so groups of a common passage do not form.
+   documents hold last (a fixed number of them is broadcast; each task counts
+   those that several documents of one 512 KB piece hold), so groups of a very
+   common passage do not form.  Rarer shared tokens can still form large groups.
 3. In every token group each member is paired with the one before it and with
    the first; the pairs that link are components.  Groups of near copies are
    connected here with two pairs for each member, not with all pairs.
 4. Groups that still hold several components go through a signature tree: its
    nodes hold OR-combined bitmaps, size ranges and the components below, and a
    dual traversal drops node pairs that are of one component or cannot reach
-   the overlap asked for.
+   the overlap asked for.  A group of more than BLOCK classes is cut into blocks
+   by size class and component, and each block, and each pair of blocks whose
+   sizes allow links, is a task's work of its own.
 5. What is left is verified on the whole sets; components of the links that
    hold are the result.  No link is lost: steps 2 and 4 only drop pairs that
    cannot link or whose components are joined already.
@@ -29,8 +32,11 @@ an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +47,9 @@ FREQUENT = 100_000  # broadcast bound: tokens moved to the end of the order
 PER_TASK = 50_000  # of each task's most frequent tokens
 SKETCH_BITS = 2048
 LEAF = 16
+BLOCK = 4096  # classes of a token group that are looked at as one; larger groups are cut
+LEAST_TOKENS = 64  # of its groups' tokens, the smallest ones that a row carries
+PAIRS_HELD = 200_000  # candidate pairs put out at a time
 BROADCAST_IDS = 1_000_000  # ids (8 bytes each) that may be broadcast
 
 
@@ -308,41 +317,54 @@ class SignatureTree:
             level = [f.reduceat(x, cuts, axis=0) for f, x in zip((np.bitwise_or, np.minimum, np.maximum, np.maximum, np.minimum, np.maximum), level, strict=True)]
             self.levels.append(level)
 
-    def pairs(self):
-        """Member pairs (i, j) of different components that may link; dual traversal from the root."""
-        top = len(self.levels) - 1
+    def level(self, depth: int):
+        """The nodes at ``depth``; above the root is the root."""
+        return self.levels[min(depth, len(self.levels) - 1)]
+
+    def pairs(self, other: SignatureTree | None = None):
+        """Member pairs (i, j) of different components that may link; dual traversal from the root.
+
+        With ``other``, i is a member of this tree and j one of the other.
+        """
+        same, other = other is None, other or self
+        top = max(len(self.levels), len(other.levels)) - 1
         p, q = np.zeros(1, np.int64), np.zeros(1, np.int64)
         for depth in range(top, -1, -1):
-            bits, lo, hi, slack, c0, c1 = self.levels[depth]
-            if depth < top:  # children of the pairs that are left, each unordered pair once
+            x, y = self.level(depth), other.level(depth)
+            if depth < top:  # children of the pairs that are left, in one tree each unordered pair once
                 k = np.arange(4)
                 cp = (4 * p[:, None] + k).repeat(4, axis=1).ravel()
                 cq = np.tile(4 * q[:, None] + k, (1, 4)).ravel()
-                ok = (cp < len(lo)) & (cq < len(lo)) & (cp <= cq)
+                ok = (cp < len(x[0])) & (cq < len(y[0]))
+                if same:
+                    ok &= cp <= cq
                 p, q = cp[ok], cq[ok]
             if not len(p):
                 return
             step = 1 << 14
             kept = []
             for s in range(0, len(p), step):
-                a, b = p[s:s + step], q[s:s + step]
-                both = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64)
-                most = np.minimum(np.minimum(both + slack[a], both + slack[b]), np.minimum(hi[a], hi[b]))
-                one = (c0[a] == c1[a]) & (c0[b] == c1[b]) & (c0[a] == c0[b])
-                apart = (4 * hi[a] < 3 * lo[b]) | (4 * hi[b] < 3 * lo[a])
-                kept.append(~one & ~apart & (most >= needed(lo[a], lo[b])))
+                bits_a, lo_a, hi_a, slack_a, c0_a, c1_a = (v[p[s:s + step]] for v in x)
+                bits_b, lo_b, hi_b, slack_b, c0_b, c1_b = (v[q[s:s + step]] for v in y)
+                both = np.bitwise_count(bits_a & bits_b).sum(axis=1, dtype=np.int64)
+                most = np.minimum(np.minimum(both + slack_a, both + slack_b), np.minimum(hi_a, hi_b))
+                one = (c0_a == c1_a) & (c0_b == c1_b) & (c0_a == c0_b)
+                apart = (4 * hi_a < 3 * lo_b) | (4 * hi_b < 3 * lo_a)
+                kept.append(~one & ~apart & (most >= needed(lo_a, lo_b)))
             keep = np.concatenate(kept)
             p, q = p[keep], q[keep]
         for a, b in zip(p.tolist(), q.tolist(), strict=True):
-            i, j = np.meshgrid(np.arange(a * LEAF, min((a + 1) * LEAF, len(self.n))), np.arange(b * LEAF, min((b + 1) * LEAF, len(self.n))), indexing="ij")
+            i, j = np.meshgrid(np.arange(a * LEAF, min((a + 1) * LEAF, len(self.n))), np.arange(b * LEAF, min((b + 1) * LEAF, len(other.n))), indexing="ij")
             i, j = i.ravel(), j.ravel()
-            ok = (i < j) & (self.comp[i] != self.comp[j]) & (4 * self.n[i] >= 3 * self.n[j]) & (4 * self.n[j] >= 3 * self.n[i])
+            ok = (self.comp[i] != other.comp[j]) & (4 * self.n[i] >= 3 * other.n[j]) & (4 * other.n[j] >= 3 * self.n[i])
+            if same:
+                ok &= i < j
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
-            most = np.minimum(self.n[i] - np.bitwise_count(self.bits[i] & ~self.bits[j]).sum(axis=1, dtype=np.int64),
-                              self.n[j] - np.bitwise_count(self.bits[j] & ~self.bits[i]).sum(axis=1, dtype=np.int64))
-            ok = most >= needed(self.n[i], self.n[j])
+            most = np.minimum(self.n[i] - np.bitwise_count(self.bits[i] & ~other.bits[j]).sum(axis=1, dtype=np.int64),
+                              other.n[j] - np.bitwise_count(other.bits[j] & ~self.bits[i]).sum(axis=1, dtype=np.int64))
+            ok = most >= needed(self.n[i], other.n[j])
             yield i[ok], j[ok]
 
 
@@ -363,11 +385,68 @@ def _leaf_pairs(size, comp, n, bits):
             yield x[ok], y[ok]
 
 
+def in_blocks(rows: DataFrame) -> DataFrame:
+    """``rows`` (token, comp, rep, n) with ``size``, their size class, and ``block``, of at most BLOCK rows of one token and size class.
+
+    Sets link only if their size classes are the same or neighbours.  Rows are
+    dealt by ranges of all columns, so a group of any size is spread over tasks.
+    """
+    names = ["block", "token", "size", "comp", "rep", "n"]
+
+    def run(batches):
+        block, seen, last = (TaskContext.get().partitionId() << 40) - 1, 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, size = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (size[1:] != size[:-1])
+            new[0] = last != (token[0], size[0])
+            k = np.arange(len(token))
+            at = k - np.maximum.accumulate(np.where(new, k, -seen))
+            of = block + np.cumsum(at % BLOCK == 0)
+            block, seen, last = int(of[-1]), int(at[-1]) + 1, (token[-1], size[-1])
+            yield pa.RecordBatch.from_arrays([pa.array(of), *batch.columns], names=names)
+
+    size = F.floor(F.log("n") / F.lit(math.log(1.34))).cast("bigint")  # 1.34 > 4 / 3
+    parts = rows.select("token", size.alias("size"), "comp", "rep", "n").repartitionByRange("token", "size", "comp", "n", "rep")
+    parts = parts.sortWithinPartitions("token", "size", "comp", "n", "rep")
+    return parts.mapInArrow(run, "block bigint, token bigint, size bigint, comp bigint, rep bigint, n bigint")
+
+
+def block_pairs(blocks: DataFrame) -> DataFrame:
+    """Pairs (x, y) of blocks of one token, also of a block with itself, whose sizes and components allow links."""
+    of = blocks.groupBy("block", "token", "size").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c0"), F.max("comp").alias("c1"))
+    of = stored(of)
+    left = of.select("token", "size", *[F.col(c).alias(f"{c}_x") for c in ("block", "lo", "hi", "c0", "c1")])
+    right = of.select("token", F.explode(F.array(F.col("size"), F.col("size") - 1)).alias("size"), F.col("size").alias("size_y"),
+                      *[F.col(c).alias(f"{c}_y") for c in ("block", "lo", "hi", "c0", "c1")])
+    both = left.join(right, ["token", "size"]).where("size_y <> size or block_x <= block_y")
+    both = both.where("4 * hi_x >= 3 * lo_y and 4 * hi_y >= 3 * lo_x and not (c0_x = c1_x and c0_y = c1_y and c0_x = c0_y)")
+    return both.select(F.col("block_x").alias("x"), F.col("block_y").alias("y"))
+
+
+def units_of_groups(small: DataFrame, large: DataFrame | None, about: DataFrame) -> DataFrame:
+    """Rows (x, y, side, token, comp, rep, n, sketch, tokens) of the units (kind, x, y) that trees are built of.
+
+    A unit is a token group of ``small`` (kind 0), or one or two blocks of a group of ``large`` (kind 1).
+    """
+    unit = ["kind", "x", "y", "side", "token", "comp", "rep", "n", "sketch", "tokens"]
+    out = small.join(about, "rep").select(F.lit(0).alias("kind"), F.col("token").alias("x"), F.col("token").alias("y"), F.lit(0).alias("side"), *unit[4:])
+    if large is None:
+        return out
+    blocks = stored(in_blocks(large))
+    pairs = stored(block_pairs(blocks))
+    sides = pairs.select("x", "y", F.lit(0).alias("side"), F.col("x").alias("block")).union(pairs.where("x <> y").select("x", "y", F.lit(1), "y"))
+    return out.union(blocks.join(about, "rep").join(sides, "block").withColumn("kind", F.lit(1)).select(*unit))
+
+
 def tree_candidates(rows: DataFrame) -> DataFrame:
-    """Candidate pairs of the token groups in ``rows`` (token, comp, rep, n, sketch, tokens).
+    """Candidate pairs of the units in ``rows`` (see units_of_groups), each of at most 2 * BLOCK rows.
 
-    ``tokens`` are all groups of the row's class; a pair that meets in several
-    groups is put out by the group of their smallest common token only.
+    ``tokens`` are the smallest groups of the row's class.  A pair that meets in
+    several groups is left out where both rows name a smaller common one; the
+    pair's smallest group always puts it out.
     """
 
     def out(rep, token, tokens, found):
@@ -379,47 +458,65 @@ def tree_candidates(rows: DataFrame) -> DataFrame:
                 sets[k] = frozenset(tokens[k].as_py())
             return sets[k]
 
-        first = np.array([min(groups(x) & groups(y)) == token[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
+        first = np.array([min(groups(x) & groups(y), default=token[x]) >= token[x] for x, y in zip(i.tolist(), j.tolist(), strict=True)], bool)
         i, j = i[first], j[first]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(rep[i], rep[j])), pa.array(np.maximum(rep[i], rep[j]))], names=["a", "b"])
 
-    def solve(token, comp, rep, n, sketch, tokens):
+    def pairs_of(new, side, comp, n, bits):
+        cuts = np.flatnonzero(new)
+        size = np.diff(np.append(cuts, len(n)))
+        two = np.add.reduceat(side, cuts) > 0
+        small = (size <= LEAF) & ~two
+        at = np.flatnonzero(np.repeat(small, size))
+        for i, j in _leaf_pairs(size[small], comp[at], n[at], bits[at]):
+            yield at[i], at[j]
+        for s, m, both in zip(cuts[~small].tolist(), size[~small].tolist(), two[~small].tolist(), strict=True):
+            k = s + int((side[s:s + m] == 0).sum())
+            tree = SignatureTree(n[s:k], comp[s:k], bits[s:k])
+            for i, j in tree.pairs(SignatureTree(n[k:s + m], comp[k:s + m], bits[k:s + m]) if both else None):
+                yield s + i, (k if both else s) + j
+
+    def solve(new, side, token, comp, rep, n, sketch, tokens):
         bits = np.frombuffer(b"".join(sketch), np.uint8).reshape(len(n), -1).view(U64)
-        cuts = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(cuts, len(token)))
-        small = np.repeat(size <= LEAF, size)
-        at = np.flatnonzero(small)
-        found = [(at[i], at[j]) for i, j in _leaf_pairs(size[size <= LEAF], comp[at], n[at], bits[at])]
-        for s, m in zip(cuts[size > LEAF].tolist(), size[size > LEAF].tolist(), strict=True):
-            for i, j in SignatureTree(n[s:s + m], comp[s:s + m], bits[s:s + m]).pairs():
-                found.append((s + i, s + j))
-                if sum(len(f[0]) for f in found[-64:]) > 200_000:
-                    yield out(rep, token, tokens, found)
-                    found = []
+        found, held = [], 0
+        for i, j in pairs_of(new, side, comp, n, bits):
+            found.append((i, j))
+            held += len(i)
+            if held > PAIRS_HELD:
+                yield out(rep, token, tokens, found)
+                found, held = [], 0
         if found:
             yield out(rep, token, tokens, found)
 
+    def starts(batch):
+        new = np.ones(batch.num_rows, bool)
+        new[1:] = np.any([k[1:] != k[:-1] for k in (batch.column(c).to_numpy() for c in range(3))], axis=0)
+        return new
+
     def run(batches):
-        held: list = []  # batches that end in an open group
+        held, last = [], None  # batches of an open unit, its key
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(batch)
-            token = batch.column(0).to_numpy()
-            if token[0] == token[-1]:
-                continue
-            last = int(np.searchsorted(token, token[-1]))
-            held[-1] = batch.slice(0, last)
-            yield from _all(held)
-            held = [batch.slice(last)]
+            cut = int(np.flatnonzero(starts(batch))[-1])
+            if held and (cut or last != key(batch, 0)):
+                yield from _all([*held, batch.slice(0, cut)])
+                held = []
+            elif cut:
+                yield from _all([batch.slice(0, cut)])
+            held.append(batch.slice(cut))
+            last = key(batch, -1)
         if held:
             yield from _all(held)
 
+    def key(batch, k):
+        return tuple(batch.column(c).to_numpy()[k] for c in range(3))
+
     def _all(held):
-        t = pa.Table.from_batches(held)
-        yield from solve(*(t.column(k).to_numpy() for k in range(4)), t.column(4).to_pylist(), t.column(5).combine_chunks())
+        t = pa.Table.from_batches(held).combine_chunks()
+        yield from solve(starts(t), *(t.column(k).to_numpy() for k in range(3, 8)), t.column(8).to_pylist(), t.column(9).combine_chunks())
 
-    parts = rows.select("token", "comp", "rep", "n", "sketch", "tokens").repartition("token").sortWithinPartitions("token", "comp", "n", "rep")
+    parts = rows.repartition("kind", "x", "y").sortWithinPartitions("kind", "x", "y", "side", "comp", "n", "rep")
     return parts.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
@@ -456,12 +553,13 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     # tokens whose groups hold several components; of equal groups one is enough
     groups = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"),
                                          F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(20,0)")).alias("h2"))
-    several = groups.where("lo <> hi").groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token")
-    open_rows = stored(rows.select("token", "cid").join(several, "token", "left_semi"))
-    groups_of = open_rows.groupBy("cid").agg(F.collect_list("token").alias("tokens"))  # some of a class's first tokens
-    open_rows = open_rows.join(known.join(groups_of, "cid"), "cid")
-    open_rows = open_rows.join(sketches.select("rep", "sketch"), "rep")
-    more = linked(src, tree_candidates(open_rows))
+    several = groups.where("lo <> hi").groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token", "m")
+    open_rows = stored(rows.select("token", "cid").join(several, "token"))
+    groups_of = open_rows.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST_TOKENS).alias("tokens"))
+    about = known.select("cid", "rep").join(groups_of, "cid").select("rep", "tokens").join(sketches.select("rep", "sketch"), "rep")
+    open_rows = open_rows.join(known, "cid").select("token", "m", "comp", "rep", "n")
+    large = None if open_rows.where(F.col("m") > BLOCK).isEmpty() else stored(open_rows.where(F.col("m") > BLOCK).drop("m"))
+    more = linked(src, tree_candidates(units_of_groups(open_rows.where(F.col("m") <= BLOCK).drop("m"), large, about)))
     comp = components(links.unionByName(more))
 
     of_class = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
