@@ -48,10 +48,15 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any passage of the benchmark."""
+    """Documents without any passage of the benchmark; rows without an id are judged one by one."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = stored(decontam.find_matches(docs, items)).select(F.col("doc_id").alias("__found")).distinct()
-    return docs.join(found, F.col("doc_id") == F.col("__found"), "left_anti")
+    found = stored(decontam.find_matches(docs.where("doc_id is not null"), items)).select(F.col("doc_id").alias("__found")).distinct()
+    named = docs.where("doc_id is not null").join(found, F.col("doc_id") == F.col("__found"), "left_anti")
+    if docs.where("doc_id is null").isEmpty():
+        return named
+    rows = stored(docs.where("doc_id is null").withColumn("__row", F.monotonically_increasing_id()))  # an id that is written once
+    found = stored(decontam.find_matches(rows, items, doc_id="__row")).select(F.col("doc_id").alias("__found")).distinct()
+    return named.unionByName(rows.join(found, F.col("__row") == F.col("__found"), "left_anti").select(*docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

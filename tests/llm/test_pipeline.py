@@ -74,6 +74,15 @@ def test_stages_take_an_empty_table_and_null_rows(spark, name):
     assert stages()[name](spark, docs, "/root/testdata/sf0.001").where("doc_id = 1").select("doc_id").distinct().count() == (0 if name == "language ID" else 1)
 
 
+def test_decontamination_judges_rows_without_an_id(spark, tmp_path):
+    item = " ".join(f"benchmark{k} word" for k in range(20))
+    sf = H.sf_dir(tmp_path, {"benchmark": spark.createDataFrame([(1, item)], "item_id bigint, text string")}, spark)
+    rows = [(None, f"before {item} after"), (None, "a clean text without an id"), (1, item), (2, "a clean text")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = stages()["benchmark decontamination"](spark, docs, sf).collect()
+    assert sorted(r.text for r in got) == ["a clean text", "a clean text without an id"]
+
+
 def test_entry_works_without_the_corpus_operators(tmp_path):
     code = ("import sys\nclass No:\n def find_spec(self, n, *a):\n  if n.startswith(('corpus_pipeline', 'tracetide.llm')): raise ModuleNotFoundError(n)\n"
             "sys.meta_path.insert(0, No())\nimport __spark_entry__ as e\nq = e.queries()\nassert q and not any(x.startswith('op') and x[2].isdigit() for x in q) and 'pipeline' not in q\n")
