@@ -169,11 +169,9 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
              names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns plus the language and its posterior; the whole text of each row is scored."""
     shared = broadcast(docs.sparkSession, model)
-    src = docs.select(*[docs[c] for c in keep])
-    kept = src.schema
     at = keep.index(text) if text in keep else len(keep)  # a text that is kept is sent once
-    if at == len(keep):
-        src = src.withColumn("__text", docs[text].cast("string"))
+    src = docs.select(*[docs[c] for c in keep], *([docs[text].cast("string").alias("__text")] if at == len(keep) else []))
+    kept = src.schema.fields[:len(keep)]
 
     def run(batches):
         m = shared()
@@ -185,5 +183,5 @@ def identify(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[s
                 own = [c.slice(i, j - i) for c in batch.columns[:len(keep)]]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(pred, pa.string()), pa.array(post, pa.float64())], names=[*keep, *names])
 
-    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.fields)
+    out = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
     return src.mapInArrow(run, f"{out}, {names[0]} string, {names[1]} double")
