@@ -7,10 +7,11 @@ from tests.conftest import SF_MID
 from tests.helpers import assert_matches_oracle
 
 import __spark_entry__ as entry
+from tracetide.plans.catalog import QUERIES as CATALOG
 
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
-NAMES = sorted(n for n in QUERIES if n in SQL)
+QUERIES = {name: query for name, (query, _) in CATALOG.items()}
+SQL = {name: sql for name, (_, sql) in CATALOG.items() if sql is not None}
+NAMES = sorted(SQL)
 
 # block-sensitive operators: rerun with tiny blocks
 BLOCKED = [n for n in NAMES if n.startswith(("nxt_", "prv_frq", "comm", "position", "rolling",

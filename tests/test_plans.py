@@ -3,9 +3,9 @@
 import pytest
 
 from tests.conftest import SF_SMALL
-import __spark_entry__ as entry
+from tracetide.plans.catalog import QUERIES as CATALOG
 
-QUERIES = entry.queries()
+QUERIES = {name: query for name, (query, _) in CATALOG.items()}
 
 
 def plan_text(df) -> str:
