@@ -184,6 +184,22 @@ def words_of(data: np.ndarray, off: np.ndarray, breaks: np.ndarray = _SPACE):
     return low, starts, ends, doc
 
 
+def byte_breaks(*word_ranges: tuple[int, int]) -> np.ndarray:
+    """Marks of the bytes that part words: all outside ``word_ranges`` (first, last)."""
+    out = np.ones(256, bool)
+    for lo, hi in word_ranges:
+        out[lo:hi + 1] = False
+    return out
+
+
+def word_array(data: np.ndarray, off: np.ndarray, breaks: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of the buffer as an Arrow string array, A-Z lowered, and the document of each."""
+    low, starts, ends, doc = words_of(data, off, breaks)
+    cuts = np.concatenate([[0], np.cumsum(ends - starts)]).astype(np.int32)
+    packed = np.ascontiguousarray(low[~breaks[data]]) if len(data) else low
+    return pa.Array.from_buffers(pa.string(), len(starts), [None, pa.py_buffer(cuts), pa.py_buffer(packed)]), doc
+
+
 def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit tabulation hash of each word (position in word x byte)."""
     if len(starts) == 0:
@@ -202,28 +218,28 @@ def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 _MIXERS = random_u64(SHINGLE, 0xABCD) | U64(1)
 
 
-def shingles_of(wh: np.ndarray, doc: np.ndarray, n_docs: int):
-    """Hashes of the 5-word shingles: (hash, document), not yet distinct.
+def shingles_of(wh: np.ndarray, doc: np.ndarray, n_docs: int, size: int = SHINGLE):
+    """Hashes of the shingles of ``size`` (at most SHINGLE) words: (hash, document), not yet distinct.
 
-    A document of one to four words has its whole word sequence as one shingle.
+    A document of fewer words has its whole word sequence as one shingle.
     """
     n = len(wh)
     if n == 0:
         return np.empty(0, U64), np.empty(0, np.int64)
     counts = np.bincount(doc, minlength=n_docs)
     out_h, out_d = [], []
-    if n >= SHINGLE:
-        full = np.flatnonzero(doc[:n - SHINGLE + 1] == doc[SHINGLE - 1:])
-        h = np.zeros(n - SHINGLE + 1, U64)
-        for k in range(SHINGLE):
-            h += wh[k:n - SHINGLE + 1 + k] * _MIXERS[k]
+    if n >= size:
+        full = np.flatnonzero(doc[:n - size + 1] == doc[size - 1:])
+        h = np.zeros(n - size + 1, U64)
+        for k in range(size):
+            h += wh[k:n - size + 1 + k] * _MIXERS[k]
         out_h.append(splitmix(h[full]))
         out_d.append(doc[full])
-    short = np.flatnonzero((counts > 0) & (counts < SHINGLE))
+    short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
         first = np.searchsorted(doc, short)
         h = np.full(len(short), 0x51A7, U64) + counts[short].astype(U64)
-        for k in range(SHINGLE - 1):
+        for k in range(size - 1):
             has = counts[short] > k
             h[has] += wh[first[has] + k] * _MIXERS[k]
         out_h.append(splitmix(h ^ U64(0xF00DF00DF00DF00D)))

@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, brown_lm, chat, decontam, jaccard_join, langid, packing, suffix_dedup, toxicity, url_filter
+from . import (ann, brown_lm, chat, decontam, divergence, jaccard_join, langid, minhash_join, packing, ranked_search, suffix_dedup, toxicity,
+               url_filter)
 from .common import doc_crc
 
 
@@ -98,6 +99,18 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 # --------------------------------------------------------------------- oracles, where SQL can say it
 
 CHAT_SQL = r"""
@@ -159,6 +172,64 @@ SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS comp
 FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach r ON r.doc_id = w.doc_id GROUP BY w.doc_id
 """
 
+DIVERGENCE_SQL = r"""
+WITH d AS (SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS rid,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ws FROM documents),
+t AS (SELECT lang, source, rid, unnest(ws) AS term FROM d),
+k AS (SELECT lang, term FROM t GROUP BY lang, term HAVING count(DISTINCT rid) >= 10),
+v AS (SELECT l.lang, count(k.term) AS v FROM (SELECT DISTINCT lang FROM d) l LEFT JOIN k ON k.lang = l.lang GROUP BY l.lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT t.lang, t.source, t.term, count(*) AS c FROM t JOIN k ON k.lang = t.lang AND k.term = t.term GROUP BY t.lang, t.source, t.term),
+a AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c FROM g JOIN k ON k.lang = g.lang
+  LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+p AS (SELECT a.lang, a.source, a.term, a.c, 1 + (1000000000::HUGEINT * (a.c + 2)) // (sum(a.c) OVER (PARTITION BY a.lang, a.source) + 2 * v.v) AS p
+  FROM a JOIN v ON v.lang = a.lang),
+l AS (SELECT a.lang, a.term, sum(a.c) AS c FROM a GROUP BY a.lang, a.term),
+q AS (SELECT l.lang, l.term, 1 + (1000000000::HUGEINT * (l.c + 2)) // (sum(l.c) OVER (PARTITION BY l.lang) + 2 * v.v) AS q FROM l JOIN v ON v.lang = l.lang),
+pairs AS (
+  SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // (x.p + y.p)) AS value FROM p x JOIN p y
+    ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY x.lang, x.source, y.source
+  UNION ALL SELECT x.lang, x.source, y.source, 0 FROM g x JOIN g y ON y.lang = x.lang AND y.source <> x.source JOIN v ON v.lang = x.lang WHERE v.v = 0),
+terms AS (SELECT p.lang, p.source, p.term AS item, (p.p - q.q) * (p.p - q.q) // (p.p + q.q) AS value FROM p JOIN q ON q.lang = p.lang AND q.term = p.term
+  WHERE p.c > 0 AND p.p > q.q),
+r AS (
+  SELECT lang, source, 'pair' AS part, item, CAST(value AS BIGINT) AS value FROM pairs
+  UNION ALL SELECT lang, source, 'term', item, CAST(value AS BIGINT) FROM terms),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank FROM r)
+SELECT lang, source, part, item, value, rank FROM n WHERE part = 'pair' OR rank <= 10
+"""
+
+MINHASH_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM o JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other),
+c AS (SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(r.other) AS component_id
+  FROM w LEFT JOIN n ON n.doc_id = w.doc_id JOIN reach r ON r.doc_id = w.doc_id GROUP BY w.doc_id)
+SELECT doc_id, n_shingles, component_id, doc_id = component_id AS kept FROM c
+"""
+
+SEARCH_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+i AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+tf AS (SELECT rid, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM d GROUP BY rid, term),
+len AS (SELECT rid, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY rid),
+s AS (SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_all FROM len),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1))) AS BIGINT) AS w FROM df, s),
+m AS (SELECT rid, 50 + (50 * n * n_docs) // n_all AS m FROM len, s),
+x AS (SELECT i.item_id, tf.rid, any_value(tf.doc_id) AS doc_id, CAST(sum(w.w * ((1000000000 * tf.tf) // (1000 * tf.tf + 20 * m.m))) AS BIGINT) AS score
+  FROM i JOIN tf ON tf.term = i.term JOIN w ON w.term = tf.term JOIN m ON m.rid = tf.rid GROUP BY i.item_id, tf.rid),
+r AS (SELECT item_id, doc_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INT) AS rank FROM x WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
 QUERIES = {
     "op1_packing": (op1_packing, None),
     "op2_toxicity": (op2_toxicity, None),
@@ -170,4 +241,7 @@ QUERIES = {
     "op8_ann": (op8_ann, None),
     "op9_brown_lm": (op9_brown_lm, None),
     "op10_jaccard": (op10_jaccard, JACCARD_SQL),
+    "op11_divergence": (op11_divergence, DIVERGENCE_SQL),
+    "op12_minhash": (op12_minhash, MINHASH_SQL),
+    "op13_search": (op13_search, SEARCH_SQL),
 }
