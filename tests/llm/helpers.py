@@ -35,7 +35,9 @@ def frame(spark, rows, schema="doc_id bigint, text string"):
     for c in ("t", "n", "token", "key", "score", "word", "k", "y", "id", "v", "sketch", "lang"):
         if c not in df.columns:
             df = df.withColumn(c, F.lit("clash"))
-    return df.withColumn("source", F.lit(None).cast("string")).withColumn("n_chars", F.length(df.columns[1]).cast("bigint"))
+    if "source" not in df.columns:
+        df = df.withColumn("source", F.lit(None).cast("string"))
+    return df.withColumn("n_chars", F.length(df.columns[1]).cast("bigint"))
 
 
 def words(text):

@@ -205,7 +205,8 @@ def price_unit(unit: pa.Table) -> pa.Table:
     counts = np.zeros((len(sources) + 1, width), np.int64)
     counts[:, n_terms:] = -1
     row_of = {s: k for k, s in enumerate(sources)}
-    counts[np.array([row_of[s] for s in rows["source"].to_pylist()], np.int64), place[code]] = rows["c"].to_numpy()
+    own = np.array([row_of.get(s, -1) for s in rows["source"].to_pylist()], np.int64)  # -1: a term by itself, whoever holds it
+    counts[own[own >= 0], place[code[own >= 0]]] = rows["c"].to_numpy()[own >= 0]
     counts[-1, place] = of_lang
     forest = Forest(counts)
     out = []
@@ -248,17 +249,22 @@ def audit(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: st
     n_of = kept.groupBy("lang", "source").agg(F.sum("c").alias("n"))
     groups = src.select("lang", "source").distinct()
     sizes = groups.groupBy("lang").agg(F.count("*").alias("n_sources")).join(langs, "lang", "left").na.fill(0, ["n_lang", "v"])
+    blocks = [F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK)).alias("n_blocks"), F.ceil(F.col("n_sources") / SOURCES).alias("n_sb")]
+    sizes = stored(sizes.select("lang", "n_lang", "v", *blocks))
     facts = groups.join(n_of, ["lang", "source"], "left").na.fill(0, ["n"]).join(sizes, "lang")
-    facts = facts.withColumns({"n_blocks": F.greatest(F.lit(1), F.ceil(F.col("v") / BLOCK)), "n_sb": F.ceil(F.col("n_sources") / SOURCES)})
     facts = stored(facts.withColumn("sb", F.pmod(F.xxhash64("source"), F.col("n_sb"))))
 
+    block, empty = F.pmod(F.xxhash64("term"), F.col("n_blocks")), [F.lit(None).cast("bigint").alias(c) for c in ("n", "n_lang", "v")]
     rows = kept.join(facts.select("lang", "source", "n_blocks", "n_sb", "sb"), ["lang", "source"])
-    rows = rows.select("lang", F.pmod(F.xxhash64("term"), F.col("n_blocks")).alias("blk"), "sb", "n_sb", "source", "term", "c", "c_lang",
-                       *[F.lit(None).cast("bigint").alias(c) for c in ("n", "n_lang", "v")])
+    rows = rows.select("lang", block.alias("blk"), "sb", "n_sb", "source", "term", "c", "c_lang", *empty)
     heads = facts.select("lang", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)).alias("blk"), "sb", "n_sb", "source",
                          F.lit(None).cast("string").alias("term"), *[F.lit(None).cast("bigint").alias(c) for c in ("c", "c_lang")], "n", "n_lang", "v")
-    units = rows.unionByName(heads).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_sb") - 1))).drop("n_sb")
-    units = units.withColumns({"si": F.least("sb", "other"), "sj": F.greatest("sb", "other")}).drop("other")
+    # a unit needs all terms of its block, as those that none of its sources holds have a price, too
+    of_sb = F.sequence(F.lit(0).cast("bigint"), F.col("n_sb") - 1)
+    alone = kept.where("first").join(sizes.select("lang", "n_blocks", "n_sb"), "lang").withColumn("sb", F.explode(of_sb))
+    alone = alone.select("lang", block.alias("blk"), "sb", "n_sb", F.lit(None).cast("string").alias("source"), "term", F.lit(0).cast("bigint").alias("c"), "c_lang", *empty)
+    units = rows.unionByName(heads).unionByName(alone).withColumn("other", F.explode(of_sb)).drop("n_sb")
+    units = units.withColumns({"si": F.least("sb", "other"), "sj": F.greatest("sb", "other")}).where("source is not null or sb <= other").drop("other")
     found = stored(units.groupBy("lang", "blk", "si", "sj").applyInArrow(price_unit, "lang string, part string, source string, item string, value bigint"))
 
     pairs = found.where("part = 'pair'").groupBy("lang", F.least("source", "item").alias("source"), F.greatest("source", "item").alias("item")).agg(F.sum("value").alias("value"))
