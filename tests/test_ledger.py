@@ -65,7 +65,10 @@ def test_search_rejects_collisions_and_pair_shapes(spark):
         search(t, [{"name": "cpu", "constraint": []}])
     with pytest.raises(UnsupportedPattern):
         search(t, [{"name": "a", "constraint": []},
-                   {"name": "b", "constraint": ["argmin", "timestamp", ["!=", "cpu", ["get", "cpu", "a"]]]}])
+                   {"name": "b", "constraint": ["argmin", "timestamp", ["==", ["<", "cpu", 1], ["get", "cpu", "a"]]]}])
+    with pytest.raises(UnsupportedPattern):
+        search(t, [{"name": "a", "constraint": []},
+                   {"name": "b", "constraint": ["argmin", "timestamp", ["<", "no_column", ["get", "cpu", "a"]]]}])
 
 
 def test_q8_segment_viewport_as_written_vs_overlap(spark):

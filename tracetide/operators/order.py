@@ -283,12 +283,63 @@ def rolling_many(df: DataFrame, op: str, targets: list, order: str = "idx",
     return result.drop(*drop)
 
 
+def _exact_window_sums(x: np.ndarray, w: int) -> np.ndarray:
+    """Correctly rounded sum of each ``w`` consecutive finite doubles, in time that does not depend on ``w``.
+
+    Every value is a whole number of the smallest unit in ``x``, kept in digits
+    of 32 bits.  Running sums of digits are whole numbers below 2**63, so the
+    difference of two of them is the window's sum without any error; it is rounded once.
+    """
+    n = len(x) - w + 1
+    fraction, exponent = np.frexp(x)
+    mantissa, exponent = np.ldexp(fraction, 53).astype(np.int64), exponent.astype(np.int64) - 53
+    some = mantissa != 0
+    if not some.any():
+        return np.zeros(n)
+    base = int(exponent[some].min())
+    shift = np.where(some, exponent - base, 0)
+    width = int(shift.max()) // 32 + 5  # three digits a value, two for the sums
+    sign, size = np.sign(mantissa), np.abs(mantissa).astype(np.uint64)
+    place, turn, low32 = shift // 32, (shift % 32).astype(np.uint64), np.uint64(0xFFFFFFFF)
+    low, high = (size & low32) << turn, (size >> np.uint64(32)) << turn
+    digits = np.zeros((width, len(x) + 1), np.int64)
+    at = np.arange(1, len(x) + 1)
+    for k, part in enumerate((low & low32, (low >> np.uint64(32)) + (high & low32), high >> np.uint64(32))):
+        digits[place + k, at] = sign * part.astype(np.int64)
+    np.cumsum(digits, axis=1, out=digits)
+    total = digits[:, w:] - digits[:, :-w]
+
+    def carried(d):
+        for k in range(width - 1):
+            d[k + 1] += d[k] >> 32
+            d[k] &= 0xFFFFFFFF
+        return d
+
+    negative = carried(total.copy())[-1] < 0
+    total = carried(np.where(negative, -total, total)).astype(np.uint64)
+    top = width - 1 - np.argmax(total[::-1] > 0, axis=0)
+    column = np.arange(n)
+    digit = lambda k: np.where(top >= k, total[np.maximum(top - k, 0), column], np.uint64(0))
+    # 64 bits from the first one that is set, and whether anything lies below them
+    first = digit(0)
+    gap = (32 - np.frexp(np.maximum(first, 1).astype(np.float64))[1]).astype(np.uint64)
+    bits = (((first << np.uint64(32)) | digit(1)) << gap) | np.where(gap > 0, digit(2) >> (np.uint64(32) - gap) % np.uint64(64), np.uint64(0))
+    nonzero_to = np.concatenate([np.zeros((1, n), np.int64), np.cumsum(total > 0, axis=0)])
+    rest = ((digit(2) << gap) & low32) > 0
+    rest |= nonzero_to[np.maximum(top - 2, 0), column] > 0
+    tail = bits & np.uint64(2047)
+    mantissa = bits >> np.uint64(11)
+    up = (tail > 1024) | ((tail == 1024) & (rest | (mantissa & np.uint64(1) == 1)))
+    power = base + 32 * (top - 1) - gap.astype(np.int64) + 11
+    out = np.ldexp((mantissa + up).astype(np.float64), power.astype(np.int32))
+    return np.where(total.any(axis=0), np.where(negative, -out, out), 0.0)
+
+
 def _rolling_blocks(parts: DataFrame, op: str, targets: list, pos: str, group: str | None,
                     drop_pos: bool) -> DataFrame:
     """Rolling values per bounded position block (block rows + halo): pandas'
-    O(log w) sliding median, or sums of doubles that are no short decimals, each
-    window summed on its own (no running sum, so no digits are lost to other
-    windows); NULL until full or when a NaN/NULL or infinity is inside."""
+    O(log w) sliding median, or exact sums of doubles that are no short decimals;
+    NULL until full or when a NaN/NULL or infinity is inside."""
     outs = [(w, o, k) for w, o, k in targets]
     schema = T.StructType(parts.schema.fields + [T.StructField(o, T.DoubleType()) for _, o, _ in outs])
 
@@ -299,10 +350,13 @@ def _rolling_blocks(parts: DataFrame, op: str, targets: list, pos: str, group: s
             if op == "median":
                 got = vals.rolling(w, min_periods=w).median()
             else:
-                x = vals.where(np.isfinite(vals)).to_numpy()
+                x = vals.to_numpy()
+                bad = ~np.isfinite(x)
                 got = pd.Series(np.nan, index=vals.index)
                 if len(x) >= w:
-                    got.iloc[w - 1:] = np.lib.stride_tricks.sliding_window_view(x, w).sum(axis=1) / (w if op == "mean" else 1)
+                    sums = _exact_window_sums(np.where(bad, 0.0, x), w) / (w if op == "mean" else 1)
+                    n_bad = np.concatenate([[0], np.cumsum(bad)])
+                    got.iloc[w - 1:] = np.where(n_bad[w:] > n_bad[:-w], np.nan, sums)
             got[pdf[pos] < w - 1] = np.nan
             pdf[o] = got
         return pdf

@@ -27,7 +27,7 @@ from ..sources import text as _text
 from ..functions.scalar import extension as _extension
 from ..sources import runlogs as _runlogs
 from ..sources.runlogs import run_logs_from_events
-from ..streaming.run_stream import run_table_stream_from_logs, scratch_dir
+from ..streaming.run_stream import run_table_stream_from_logs, scratch_dir, stream_run_archives
 from ..trace import (EVENT_CODE_BY_TYPE, LB_EXTRA_VARS, OTHER_EVENT_CODE, load_events,
                      load_trace, with_addr)
 from ..vars import DEFAULT_VARS, merge_vars, merge_vars_frames, vars_frame
@@ -395,6 +395,83 @@ def q_search_two_bounds(spark, sf_dir):
                                      [">=", "timestamp", ["get", "timestamp", "b"]]]]}])
 
 
+AFTER = [">", "timestamp", ["get", "timestamp", "a"]]
+ON_CPU = ["==", "cpu", ["get", "cpu", "a"]]
+
+
+@register("search_other_bound", _with() + (
+    "SELECT a.idx AS a, coalesce((SELECT arg_min(t.idx, t.timestamp) FROM trace t WHERE t.cpu = a.cpu AND t.timestamp > a.timestamp "
+    "AND t.arg0 > a.arg0), a.idx) AS b FROM trace a"))
+def q_search_other_bound(spark, sf_dir):
+    """SEA7 with a bound on a column that is not the key: the next row of the CPU with a larger argument."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": []},
+        {"name": "b", "constraint": ["argmin", "timestamp", ["&", ["&", ON_CPU, AFTER], [">", "arg0", ["get", "arg0", "a"]]]]}])
+
+
+@register("search_other_bound_prev", _with() + (
+    "SELECT a.idx AS a, coalesce((SELECT arg_max(t.idx, t.timestamp) FROM trace t WHERE t.timestamp <= a.timestamp "
+    "AND t.pid <= a.cpu AND t.event = 2), a.idx) AS b FROM trace a WHERE a.event = 4"))
+def q_search_other_bound_prev(spark, sf_dir):
+    """SEA6/SEA7: argmax, no equality key, a bound on one column by another one of the probe."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": ["==", "event", 4]},
+        {"name": "b", "constraint": ["argmax", "timestamp", ["&", ["&", ["==", "event", 2], ["<=", "timestamp", ["get", "timestamp", "a"]]],
+                                     [">=", ["get", "cpu", "a"], "pid"]]]}])
+
+
+@register("search_other_range", _with() + (
+    "SELECT a.idx AS a, coalesce((SELECT arg_min(t.idx, t.timestamp) FROM trace t WHERE t.timestamp > a.timestamp AND t.cpu = a.cpu "
+    "AND t.arg1 > a.arg0 AND t.arg1 <= a.arg1 AND t.pid < a.pid), a.idx) AS b FROM trace a WHERE a.event = 4"))
+def q_search_other_range(spark, sf_dir):
+    """SEA7: a range of one column and a bound on a third one."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": ["==", "event", 4]},
+        {"name": "b", "constraint": ["argmin", "timestamp", ["&", ["&", ["&", AFTER, ON_CPU], [">", "arg1", ["get", "arg0", "a"]]],
+                                     ["&", ["<=", "arg1", ["get", "arg1", "a"]], ["<", "pid", ["get", "pid", "a"]]]]]}])
+
+
+@register("search_other_first", _with() + (
+    "SELECT a.idx AS a, coalesce((SELECT arg_min(t.idx, t.timestamp) FROM trace t WHERE t.event = a.event AND t.arg0 >= a.arg0 AND t.arg0 >= a.cpu), "
+    "a.idx) AS b FROM trace a"))
+def q_search_other_first(spark, sf_dir):
+    """SEA6 without a bound on the key, with two on another column."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": []},
+        {"name": "b", "constraint": ["argmin", "timestamp", ["&", ["==", "event", ["get", "event", "a"]],
+                                     ["&", [">=", "arg0", ["get", "arg0", "a"]], [">=", "arg0", ["get", "cpu", "a"]]]]]}])
+
+
+@register("search_ne_other", _with() + (
+    "SELECT a.idx AS a, coalesce((SELECT arg_min(t.idx, t.timestamp) FROM trace t WHERE t.cpu = a.cpu AND t.timestamp > a.timestamp "
+    "AND t.event <> a.event), a.idx) AS b FROM trace a"))
+def q_search_ne_other(spark, sf_dir):
+    """SEA3: ``!=`` on a column that is not the key: the next other event of the CPU."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": []},
+        {"name": "b", "constraint": ["argmin", "timestamp", ["&", ["&", ON_CPU, AFTER], ["!=", "event", ["get", "event", "a"]]]]}])
+
+
+@register("search_ne_other_last", _with() + (
+    "SELECT a.idx AS a, coalesce((SELECT arg_max(t.idx, t.timestamp) FROM trace t WHERE t.event = a.event AND t.pid <> a.pid), a.idx) AS b FROM trace a"))
+def q_search_ne_other_last(spark, sf_dir):
+    """SEA3 without a bound on the key: the last row of the event by another process."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": []},
+        {"name": "b", "constraint": ["argmax", "timestamp", ["&", ["==", "event", ["get", "event", "a"]], ["!=", ["get", "pid", "a"], "pid"]]]}])
+
+
+@register("search_ne_two", _with() + (
+    "SELECT a.idx AS a, coalesce((SELECT arg_max(t.idx, t.timestamp) FROM trace t WHERE t.timestamp < a.timestamp AND t.event <> a.event "
+    "AND t.pid <> a.pid AND t.arg0 <= a.arg0), a.idx) AS b FROM trace a WHERE a.event = 4"))
+def q_search_ne_two(spark, sf_dir):
+    """SEA3/SEA7: two ``!=`` and a bound, all on columns that are not the key."""
+    return search(load_trace(spark, sf_dir), [
+        {"name": "a", "constraint": ["==", "event", 4]},
+        {"name": "b", "constraint": ["argmax", "timestamp", ["&", ["&", ["<", "timestamp", ["get", "timestamp", "a"]], ["!=", "event", ["get", "event", "a"]]],
+                                     ["&", ["!=", "pid", ["get", "pid", "a"]], ["<=", "arg0", ["get", "arg0", "a"]]]]]}])
+
+
 @register("asof_block_wakeup", _with(extra=(
     ", j AS (SELECT e0.idx AS e0idx, e1.idx AS e1idx, row_number() OVER (PARTITION BY e0.idx "
     "ORDER BY e1.timestamp, e1.idx) AS rn FROM trace e0 JOIN trace e1 ON e0.pid = e1.pid "
@@ -1003,6 +1080,15 @@ def q_run_archives(spark, sf_dir):
     return table.withColumn("fname", F.regexp_replace("fname", "^.*/runs/BENCH", "runs/BENCH"))
 
 
+@register("run_archives_stream", _archive_summary_sql())
+def q_run_archives_stream(spark, sf_dir):
+    """STR1 / STR2 over archives: micro-batches of new files, each opened once; equals the batch table."""
+    base, files = scratch_dir(spark, "archivestream"), _run_archives(spark, sf_dir)
+    most = -(-len(_runlogs.new_archives(files, f"{base}/none")) // 3)  # three batches
+    table = stream_run_archives(spark, files, f"{base}/out", f"{base}/checkpoint", files_per_trigger=most)
+    return table.withColumn("fname", F.regexp_replace("fname", "^.*/runs/BENCH", "runs/BENCH"))
+
+
 @register("run_files", (
     f"WITH {RUN_LOG_CTES} SELECT path, split_part(path, '/', -1) AS name, '.tar' AS ext FROM idx WHERE path LIKE '%POWER=powersave-y%' "
     "UNION SELECT * FROM (VALUES " + ", ".join(f"('{p}', '1.tar', '.tar')" for p in ODD_RUNS) + ")"))

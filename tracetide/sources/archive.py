@@ -79,20 +79,20 @@ def _list_archives(path: str) -> list:
     return sorted(i.path for i in infos if i.type == pafs.FileType.File and i.path.endswith(".tar"))
 
 
-def _archive_groups(path: str, most_files: int = 256, most_bytes: int = 128 << 20) -> list:
-    """Archives in groups for a task each: small files together, a large one alone."""
+def _archive_groups(path: str, most_files: int = 256, most_bytes: int = 128 << 20, names: list | None = None) -> list:
+    """Archives in groups for a task each: small files together, a large one alone; a file that is gone has size 0."""
     import pyarrow.fs as pafs
-    names = _list_archives(path)
+    names = _list_archives(path) if names is None else names
     if not names:
         return []
     fs, _ = _filesystem(path)
     groups, held = [[]], 0
     for info in fs.get_file_info(names):
-        if groups[-1] and (held + info.size > most_bytes or len(groups[-1]) >= most_files):
+        if groups[-1] and (held + (info.size or 0) > most_bytes or len(groups[-1]) >= most_files):
             groups.append([])
             held = 0
         groups[-1].append(info.path)
-        held += info.size
+        held += info.size or 0
     return groups
 
 

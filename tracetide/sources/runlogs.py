@@ -22,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
-from .archive import _archive_groups, _open  # module-level: pickled by value with this module
+from .archive import _archive_groups, _filesystem, _list_archives, _open  # module-level: pickled by value with this module
 from .raw import put_file
 
 LINES_SCHEMA = T.StructType([
@@ -54,7 +54,7 @@ class RunArchivePartition(InputPartition):
         self.archives = archives
 
 
-class RunArchiveReader(DataSourceReader):
+class RunArchiveRows:
     """Rows (kind, path, member, no, text): ``F`` one for each file, ``L`` text
     lines, ``D`` JSON documents."""
 
@@ -65,9 +65,6 @@ class RunArchiveReader(DataSourceReader):
         self.text = set(json.loads(options.get("textmembers", "[]")))
         self.docs = set(json.loads(options.get("jsonmembers", "[]")))
 
-    def partitions(self):
-        return [RunArchivePartition(g) for g in _archive_groups(self.path)]
-
     def read(self, part: RunArchivePartition):
         for archive in part.archives:
             yield from self.read_one(archive)
@@ -105,10 +102,60 @@ class RunArchiveReader(DataSourceReader):
             return  # an unreadable archive keeps its row and has no logs
 
 
+class RunArchiveReader(RunArchiveRows, DataSourceReader):
+    def partitions(self):
+        return [RunArchivePartition(g) for g in _archive_groups(self.path)]
+
+
+def seen_archives(log: str) -> list:
+    """The archives that streams with this log have taken up, in order."""
+    import pyarrow.fs as pafs
+    fs, root = _filesystem(log)
+    names = []
+    for info in sorted(fs.get_file_info(pafs.FileSelector(root, allow_not_found=True)), key=lambda i: i.path):
+        if info.path.endswith(".json"):
+            with fs.open_input_file(info.path) as f:
+                names += json.loads(f.read())
+    return names
+
+
+def new_archives(path: str, log: str) -> list:
+    seen = set(seen_archives(log))
+    return [p for p in _list_archives(path) if p not in seen]
+
+
+class RunArchiveStreamReader(RunArchiveRows, DataSourceStreamReader):
+    """The same rows as a stream of new files.
+
+    An offset is a number of files seen.  Which files those are stands in the log folder
+    (option ``seenLog``): one entry for each time that files were found, written before
+    the offset is given to Spark.  So a batch that is run again opens the same
+    archives, and a batch opens none but its own.
+    """
+
+    def __init__(self, options: dict):
+        super().__init__(options)
+        self.log, self.most = options["seenlog"], int(options.get("filespertrigger", "0"))
+
+    def initialOffset(self):
+        return {"files": 0}
+
+    def latestOffset(self):
+        seen = seen_archives(self.log)
+        found = [p for p in _list_archives(self.path) if p not in set(seen)]
+        found = found[:self.most] if self.most else found
+        if found:
+            put_file(f"{self.log.rstrip('/')}/{len(seen):012d}.json", json.dumps(found).encode())
+        return {"files": len(seen) + len(found)}
+
+    def partitions(self, start, end):
+        return [RunArchivePartition(g) for g in _archive_groups(self.path, names=seen_archives(self.log)[start["files"]:end["files"]])]
+
+
 class RunArchiveDataSource(DataSource):
-    """``spark.read.format("tracetide_runs")``: a task for a large run archive or a
-    group of small ones, read by the tar headers from the file system; only
-    declared members are decoded."""
+    """``spark.read.format("tracetide_runs")`` and ``spark.readStream``: a task for a
+    large run archive or a group of small ones, read by the tar headers from the file
+    system; only declared members are decoded."""
 
     @classmethod
     def name(cls):
@@ -120,6 +167,9 @@ class RunArchiveDataSource(DataSource):
     def reader(self, schema):
         return RunArchiveReader(self.options)
 
+    def streamReader(self, schema):
+        return RunArchiveStreamReader(self.options)
+
 
 def read_run_archives(spark: SparkSession, directory: str, regexp: str = ".*", text_members=TEXT_MEMBERS, json_members=JSON_MEMBERS):
     """SRC9 / SRC10 / RUN1 input from run archives: -> (run_lines, run_docs, runs).
@@ -128,8 +178,16 @@ def read_run_archives(spark: SparkSession, directory: str, regexp: str = ".*", t
     that cannot be read.  The members that the table's columns use are declared
     by the caller."""
     spark.dataSource.register(RunArchiveDataSource)
-    raw = (spark.read.format("tracetide_runs").option("textMembers", json.dumps(list(text_members)))
-                .option("jsonMembers", json.dumps(list(json_members))).load(directory))
+    raw = spark.read.format("tracetide_runs").options(**member_options(text_members, json_members)).load(directory)
+    return split_run_rows(raw, regexp)
+
+
+def member_options(text_members, json_members) -> dict:
+    return {"textMembers": json.dumps(list(text_members)), "jsonMembers": json.dumps(list(json_members))}
+
+
+def split_run_rows(raw: DataFrame, regexp: str = ".*"):
+    """(run_lines, run_docs, runs) from the rows of ``tracetide_runs``."""
     raw = raw.where(F.col("path").rlike("^(?:" + regexp + ")"))
     lines = raw.where("kind = 'L'").select("path", "member", F.col("no").alias("line_no"), F.col("text").alias("line"))
     docs = raw.where("kind = 'D'").select("path", "member", F.col("no").alias("doc_no"), F.col("text").alias("doc"))

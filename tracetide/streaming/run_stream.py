@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import ensure_checkpoint_dir
 from ..plans import runs
+from ..sources import runlogs
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
@@ -64,3 +65,34 @@ def run_table_stream_from_logs(spark: SparkSession, run_lines: DataFrame, run_do
     index_dir = write_index(index, os.path.join(base, "index"), batches)
     return stream_run_table(spark, run_lines, run_docs, index_dir, os.path.join(base, "out"),
                             os.path.join(base, "checkpoint"))
+
+
+def stream_run_archives(spark: SparkSession, directory: str, out_dir: str, checkpoint: str, files_per_trigger: int = 0,
+                        callback=None, text_members=runlogs.TEXT_MEMBERS, json_members=runlogs.JSON_MEMBERS) -> DataFrame:
+    """The traces summary of a folder of run archives, batch by batch of new files; returns the table so far.
+
+    Each batch opens its own archives only, and each of them once.  The files seen stand in
+    ``<checkpoint>/seen``, so a later call goes on where this one ended and a batch
+    that failed is run again with the same files.  Takes up to ``files_per_trigger`` files a batch
+    (0: all there are), until no new ones are left.
+    """
+    spark.dataSource.register(runlogs.RunArchiveDataSource)
+    seen = f"{checkpoint.rstrip('/')}/seen"
+
+    def on_batch(batch: DataFrame, epoch: int) -> None:
+        batch = batch.persist()  # read once; the lines, the documents and the files are parts of it
+        try:
+            lines, docs, files = runlogs.split_run_rows(batch)
+            runs.traces_summary(lines, docs, runs=files).write.mode("overwrite").parquet(os.path.join(out_dir, f"epoch={epoch}"))
+        finally:
+            batch.unpersist()
+        if callback is not None:
+            callback(spark.read.parquet(out_dir).drop("epoch"), epoch)
+
+    while True:
+        source = (spark.readStream.format("tracetide_runs").option("seenLog", seen).option("filesPerTrigger", files_per_trigger)
+                       .options(**runlogs.member_options(text_members, json_members)).load(directory))
+        query = source.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{checkpoint.rstrip('/')}/query").trigger(availableNow=True).start()
+        query.awaitTermination()
+        if not runlogs.new_archives(directory, seen):
+            return spark.read.parquet(out_dir).drop("epoch")
