@@ -48,7 +48,7 @@ def test_every_stage_against_brute_force(spark, tmp_path):
     now = spark.createDataFrame(after, now.schema)
     out = stages()["suffix-array dedup"](spark, now, sf)
     assert out.columns == columns
-    want = H.substring_dedup([(r.doc_id, r.text) for r in after])
+    want = H.substring_dedup([(r.doc_id, r.text) for r in after], corpus_pipeline.REPEATED_BYTES)
     cut = out.collect()
     assert {r.doc_id: r.text for r in cut} == {i: k.decode("utf-8", "ignore") for i, (_, _, _, k) in want.items()}
     assert all(r.n_chars == len(r.text) for r in cut) and any(w[1] for w in want.values())
@@ -74,6 +74,19 @@ def test_stages_take_an_empty_table_and_null_rows(spark, name):
     assert stages()[name](spark, docs, "/root/testdata/sf0.001").where("doc_id = 1").select("doc_id").distinct().count() == (0 if name == "language ID" else 1)
 
 
+def test_rows_without_an_id_are_judged(spark):
+    passage = " ".join(f"passage{k}" for k in range(60))
+    rows = [(None, "a copy of some length it is"), (5, "a copy of some length it is"), (4, "a copy of some length it is"), (None, "alone"), (None, "twice without an id here"),
+            (None, "twice without an id here"), (None, f"one {passage} end " + " ".join(f"x{k}" for k in range(40))),
+            (9, f"two {passage} and a longer end " + " ".join(f"y{k}" for k in range(40))), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    got = sorted(str((r.doc_id, r.text)) for r in stages()["n-gram Jaccard join"](spark, docs, "").collect())
+    assert got == sorted(str(x) for x in [(4, rows[2][1]), (None, "alone"), (None, rows[4][1]), rows[6], rows[7], (None, None)])
+    got = {(r.doc_id, r.text, r.n_chars) for r in stages()["suffix-array dedup"](spark, docs.where("text like '%passage%'"), "").collect()}
+    assert {(i, len(t), n) for i, t, n in got} == {(None, len(t), len(t)) for i, t, _ in got if i is None} | {(9, len(t), len(t)) for i, t, _ in got if i == 9}
+    assert len(got) == 2 and all("passage30" not in t and (t.startswith("on") or t.startswith("tw")) for _, t, _ in got)
+
+
 def test_decontamination_judges_rows_without_an_id(spark, tmp_path):
     item = " ".join(f"benchmark{k} word" for k in range(20))
     sf = H.sf_dir(tmp_path, {"benchmark": spark.createDataFrame([(1, item)], "item_id bigint, text string")}, spark)
@@ -90,4 +103,4 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
     import __spark_entry__ as e
 
     names = e.queries()
-    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 11))
+    assert "pipeline" in names and all(any(x.startswith(f"op{n}_") for x in names) for n in range(1, 14))

@@ -8,6 +8,7 @@ Python object is made per word.
 from __future__ import annotations
 
 import atexit
+import gc
 import pickle
 import sys
 import types
@@ -99,7 +100,24 @@ def stored(df: DataFrame) -> DataFrame:
                 spark.conf.unset(k)
             else:
                 spark.conf.set(k, v)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that :func:`stored` wrote, once all that reads them has been written.
+
+    The driver's garbage is collected too: Spark keeps the shuffle files of a finished query
+    until the driver has let go of its plan.
+    """
+    spark = frames[0].sparkSession
+    for df in frames:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.stored_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        _MADE.remove((spark, df.stored_path))
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def doc_crc(col="doc_id"):

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (U64, broadcast, byte_chunks, components, distinct_by_doc, i64, shingles_of, splitmix, stored, word_hashes,
+from .common import (U64, broadcast, byte_chunks, components, discard, distinct_by_doc, i64, shingles_of, splitmix, stored, word_hashes,
                      words_of)
 
 FREQUENT = 100_000  # broadcast bound: tokens moved to the end of the order
@@ -226,8 +226,8 @@ def _most_common(x: np.ndarray, y: np.ndarray, n: int, m: int) -> int:
     return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
 
 
-def whole_sets(src: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(rep, wide, tokens) of the documents in ``pairs`` (a, b); wide: a bitmap that grows with the set."""
+def whole_sets(src: DataFrame, ids: DataFrame) -> DataFrame:
+    """(rep, wide, tokens) of the documents in ``ids`` (doc_id); wide: a bitmap that grows with the set."""
     names = ["rep", "wide", "tokens"]
 
     def run(batches):
@@ -237,7 +237,6 @@ def whole_sets(src: DataFrame, pairs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, m), pa.array([_wide(p) for p in parts], pa.binary()),
                                                   pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     few = ids.count() <= BROADCAST_IDS  # else a sort-merge join
     return src.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi").mapInArrow(run, "rep bigint, wide binary, tokens binary")
 
@@ -268,8 +267,7 @@ def sketch_survivors(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) that link: by wide bitmaps first, then by the whole sets, so few sets are sent."""
-    sets = stored(sets)
+    """Pairs (a, b) that link, written once: by wide bitmaps first, then by the whole sets, so few sets are sent."""
 
     def joined(pairs, column):
         left = sets.select(F.col("rep").alias("a"), F.length("tokens").alias("na"), F.col(column).alias("xa"))
@@ -297,7 +295,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return 100 * common >= 75 * (n + m - common)
 
     some = stored(joined(pairs, "wide").mapInArrow(checked(may), "a bigint, b bigint"))
-    return joined(some, "tokens").mapInArrow(checked(does), "a bigint, b bigint")
+    out = stored(joined(some, "tokens").mapInArrow(checked(does), "a bigint, b bigint"))
+    discard(some)
+    return out
 
 
 class SignatureTree:
@@ -554,13 +554,14 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
     groups = tagged.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("m"),
                                          F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("h1"), F.sum(F.xxhash64(F.lit(1), "rep").cast("decimal(20,0)")).alias("h2"))
     several = groups.where("lo <> hi").groupBy("m", "h1", "h2").agg(F.min("token").alias("token")).select("token", "m")
-    open_rows = stored(rows.select("token", "cid").join(several, "token"))
+    open_rows = opened = stored(rows.select("token", "cid").join(several, "token"))
     groups_of = open_rows.groupBy("cid").agg(F.slice(F.array_sort(F.collect_set("token")), 1, LEAST_TOKENS).alias("tokens"))
     about = known.select("cid", "rep").join(groups_of, "cid").select("rep", "tokens").join(sketches.select("rep", "sketch"), "rep")
     open_rows = open_rows.join(known, "cid").select("token", "m", "comp", "rep", "n")
     large = None if open_rows.where(F.col("m") > BLOCK).isEmpty() else stored(open_rows.where(F.col("m") > BLOCK).drop("m"))
     more = linked(src, tree_candidates(units_of_groups(open_rows.where(F.col("m") <= BLOCK).drop("m"), large, about)))
     comp = components(links.unionByName(more))
+    discard(rows, shares, sketches, known, opened, *([large] if large is not None else []))
 
     of_class = classes.join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left")
     of_class = of_class.select("fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
@@ -569,6 +570,10 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 
 def linked(src: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The candidate pairs that link, written once."""
+    """The candidate pairs that link, written once; what was written for it goes."""
     pairs = stored(pairs)
-    return stored(verified(pairs, whole_sets(src, pairs)))
+    ids = stored(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
+    sets = stored(whole_sets(src, ids))
+    out = verified(pairs, sets)
+    discard(sets, ids, pairs)
+    return out
