@@ -1,8 +1,8 @@
 """Corpus pipeline: stages over the documents table, each written and read again by run().
 
 Every stage takes all rows its predecessor kept; all but the last return the
-columns of documents.  Rows may be repeated; a null id is kept where a stage
-does not need it to tell rows apart.
+columns of documents.  Rows may be repeated; rows without an id are judged like
+others, by a row number.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from tracetide.llm.common import doc_crc, stored
 ORACLE_SQL = None  # trained models and byte-level matches; compared with brute force in tests/llm
 
 TOKENIZER = "byte_bpe_50k.json"
+REPEATED_BYTES = 250  # a passage of 50 words, under five bytes each, is longer
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,23 +27,32 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return out.where(F.col("__lang") != langid.UNDETERMINED).select(*docs.columns)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__row``: the doc_id, or where one is missing a number of the row, written once, in every row."""
+    if docs.where("doc_id is null").isEmpty():
+        return docs.withColumn("__row", F.col("doc_id"))
+    return stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+
+
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked documents: the one of smallest id.
+    """One document of each group of linked documents: the one of smallest id, or any if none has an id.
 
-    Rows without an id cannot be grouped and stay; of rows with one id and one
-    text, one stays.
+    Of rows with one id and one text, one stays.
     """
-    groups = jaccard_join.jaccard_components(docs).where("component_id = doc_id").select(F.col("doc_id").alias("__first")).distinct()
-    known = docs.where("doc_id is not null").join(groups, F.col("doc_id") == F.col("__first"), "left_semi")
-    known = known.withColumn("__copy", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("source", "lang", "n_chars")))
-    return known.where("__copy = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = _numbered(docs)
+    groups = jaccard_join.jaccard_components(rows.select(F.col("__row").alias("doc_id"), "text"))
+    member = rows.select("__row", "doc_id").join(groups.select(F.col("doc_id").alias("__row"), "component_id"), "__row")
+    first = member.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row"))["__row"].alias("__row"))
+    rows = rows.join(first.select("__row"), "__row", "left_semi")
+    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy("__row", "text").orderBy("source", "lang", "n_chars")))
+    return rows.where("__copy = 1").select(*docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without their repeated 400-byte strings; characters that were cut through go too."""
-    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
-    out = suffix_dedup.deduplicate(docs, keep=tuple(rest))
-    out = out.select("doc_id", F.col("kept_text").alias("text"), *[F.col(f"__keep_{c}").alias(c) for c in rest])
+    """Texts without their repeated strings of REPEATED_BYTES; characters that were cut through go too."""
+    rest = [c for c in docs.columns if c not in ("text", "n_chars")]
+    out = suffix_dedup.deduplicate(_numbered(docs), doc_id="__row", length=REPEATED_BYTES, keep=tuple(rest))
+    out = out.select(F.col("kept_text").alias("text"), *[F.col(f"__keep_{c}").alias(c) for c in rest])
     out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
