@@ -17,7 +17,7 @@ from tracetide.llm.common import doc_crc, stored
 ORACLE_SQL = None  # trained models and byte-level matches; compared with brute force in tests/llm
 
 TOKENIZER = "byte_bpe_50k.json"
-REPEATED_BYTES = 250  # a passage of 50 words, under five bytes each, is longer
+REPEATED_BYTES, GRAM_BYTES = 250, 100  # a passage of over 50 words of four letters is longer; anchors about 75 bytes apart
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without their repeated strings of REPEATED_BYTES; characters that were cut through go too."""
     rest = [c for c in docs.columns if c not in ("text", "n_chars")]
-    out = suffix_dedup.deduplicate(_numbered(docs), doc_id="__row", length=REPEATED_BYTES, keep=tuple(rest))
+    out = suffix_dedup.deduplicate(_numbered(docs), doc_id="__row", length=REPEATED_BYTES, gram=GRAM_BYTES, keep=tuple(rest))
     out = out.select(F.col("kept_text").alias("text"), *[F.col(f"__keep_{c}").alias(c) for c in rest])
     out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
