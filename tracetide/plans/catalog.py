@@ -22,6 +22,7 @@ from ..operators.spec import categories as _categories
 from ..sources import archive as _archive
 from ..sources import dictionary as _dictionary
 from ..sources import raw as _raw
+from ..sources import side_columns as _side
 from ..sources import sinks as _sinks
 from ..sources import text as _text
 from ..functions.scalar import extension as _extension
@@ -974,6 +975,19 @@ def q_side(spark, sf_dir):
     return df.select("idx", "prv_frq_on_same_cpu")
 
 
+@register("side_column_bucketed", _with() + (
+    f"SELECT idx, cpu, {oracle.computed_sql('prv_frq_on_same_cpu', DEFAULT_VARS)} AS prv_frq_on_same_cpu, "
+    "timestamp * 2 AS twice FROM trace"))
+def q_side_bucketed(spark, sf_dir):
+    """SNK3 / JOIN9: two columns added to a bucketed trace, joined back without exchange or sort."""
+    d = scratch_dir(spark, "sidebuckets")
+    _side.write_side_trace(load_trace(spark, sf_dir), d)
+    stored = _side.read_side_trace(spark, d)
+    _side.add_side_column(with_computed(stored, ["prv_frq_on_same_cpu"]), "prv_frq_on_same_cpu", d)
+    _side.add_side_column(stored.withColumn("twice", F.col("timestamp") * 2), "twice", d)
+    return _side.read_side_trace(spark, d, ["cpu"], ["prv_frq_on_same_cpu", "twice"])
+
+
 @register("result_cache", RQ_SQL)
 def q_cache(spark, sf_dir):
     """SNK4: frame cached under sha256(trace path + config) and read back."""
