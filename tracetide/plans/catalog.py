@@ -1203,6 +1203,26 @@ def q_declared(spark, sf_dir):
     return empty.unionByName(table.build())
 
 
+@register("run_functions", (
+    f"WITH {RUN_LOG_CTES}, l AS (SELECT path, count(*) AS n FROM lines GROUP BY path), "
+    "r AS (SELECT path, n, CASE WHEN n % 3 = 0 THEN CAST('NaN' AS DOUBLE) ELSE 100.0 / (n % 3) END AS ratio FROM l) "
+    "SELECT path AS fname, regexp_extract(path, 'PHORONIX=([^/]*)', 1) AS bench, ratio, "
+    "CASE n % 3 WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE 'none' END AS label, ratio * 2 AS twice, "
+    "ratio * 2 + 1 AS more, CAST(CASE WHEN n % 3 = 0 THEN 2 ELSE 0 END AS DOUBLE) AS failed FROM r"))
+def q_run_functions(spark, sf_dir):
+    """UDF1 / EXP23: functions of a row, some of which fail on some rows, between Column builders."""
+    lines, _ = _run_logs(spark, sf_dir)
+    index = lines.groupBy("path").agg(F.count(F.lit(1)).alias("n"))
+    table = (_runs.RunTable(index)
+             .add_function("fname", _runs.STRING, lambda index, row: index["path"])
+             .add_function("bench", _runs.STRING, lambda index, row: row["fname"].split("PHORONIX=")[1].split("/")[0])
+             .add_function("ratio", _runs.FLOAT, lambda index, row: 100 / (index["n"] % 3))
+             .add_function("label", _runs.STRING, lambda index, row: {100.0: "one", 50.0: "two"}[row["ratio"]], default="none")
+             .add_column("twice", _runs.FLOAT, lambda d: F.col("ratio") * 2)
+             .add_function("more", _runs.FLOAT, lambda index, row: row["twice"] + 1))
+    return table.build(errors="errors").select(*table.columns_name(), F.size("errors").cast("double").alias("failed"))
+
+
 @register("extension_points", _with() + (
     "SELECT idx, timestamp * 10 AS ts_x10, least(arg1, CAST(1000 AS BIGINT)) AS y FROM trace"))
 def q_extensions(spark, sf_dir):

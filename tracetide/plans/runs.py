@@ -47,9 +47,11 @@ class RunColumn:
 
 def typed(value: Column, dtype: str) -> Column:
     """EXP23: cast with default -- NaN for floats, ``(NULL)`` for strings."""
-    if dtype == FLOAT:
-        return F.coalesce(value.try_cast("double"), F.lit(NAN))
-    return F.coalesce(value.cast("string"), F.lit(NULL_TEXT))
+    return F.coalesce(typed_or_null(value, dtype), F.lit(NAN if dtype == FLOAT else NULL_TEXT))
+
+
+def typed_or_null(value: Column, dtype: str) -> Column:
+    return value.try_cast("double") if dtype == FLOAT else value.cast("string")
 
 
 def empty_run_table(spark: SparkSession, columns: list) -> DataFrame:
@@ -206,29 +208,101 @@ def power_comparison(run_lines: DataFrame, run_docs: DataFrame, kernel: str | No
                       ratio(a - b, a).alias("power_perf_power"), ratio(b - a, b).alias("perf_power_perf"))
 
 
+def _cell(function, dtype: str, default, index: dict, row: dict, name: str, errors: list):
+    """One cell: the function's value as its type, or the default if the function or the conversion fails."""
+    try:
+        value = function(index, row)
+        if value is None:
+            return default
+        return float(value) if dtype == FLOAT else str(value)
+    except Exception as e:  # noqa: BLE001 - whatever a user's function raises is that cell's default
+        errors.append(f"{name}: {type(e).__name__}: {e}")
+        return default
+
+
 class RunTable:
     """RUN1 / UDF1 / EXP24: a run table declared column by column.
 
-    Columns are added in order; each is ``(name, dtype, builder)`` where the
-    builder maps the table built so far to a Column (so later columns may read
-    earlier ones).  Failing cells take the dtype default (NaN / ``(NULL)``).
+    Columns are added in order and later ones may read earlier ones. ``add_column`` takes a builder
+    that maps the table built so far to a Column; ``add_function`` takes a Python function
+    ``f(index, row)`` of one row. Failing cells take the column's default (NaN / ``(NULL)``
+    unless given), and so do null values; the other cells of the row are not touched.
     """
 
     def __init__(self, index: DataFrame):
         self.index = index
         self.columns: list = []
 
-    def add_column(self, name: str, dtype: str, builder) -> "RunTable":
+    def _add(self, name: str, dtype: str, default, **how) -> "RunTable":
         if dtype not in (FLOAT, STRING):
             raise ValueError(f"{dtype} unsupported")
-        self.columns.append((name, dtype, builder))
+        if default is None:
+            default = NAN if dtype == FLOAT else NULL_TEXT
+        self.columns.append({"name": name, "dtype": dtype, "default": default, **how})
         return self
 
+    def add_column(self, name: str, dtype: str, builder, default=None) -> "RunTable":
+        return self._add(name, dtype, default, builder=builder)
+
+    def add_function(self, name: str, dtype: str, function, default=None) -> "RunTable":
+        """``function(index, row)``: ``index`` has the row's index columns as they were given, ``row`` all
+        declared columns; those that are not computed yet hold their defaults."""
+        return self._add(name, dtype, default, function=function)
+
     def columns_name(self) -> list:
-        return [c[0] for c in self.columns]
+        return [c["name"] for c in self.columns]
 
-    def build(self) -> DataFrame:
+    def build(self, errors: str | None = None) -> DataFrame:
+        """The table. ``errors`` names a further column: messages of the row's failing functions, in order."""
         df = self.index
-        for name, dtype, builder in self.columns:
-            df = df.withColumn(name, typed(builder(df), dtype))
-        return df.select(*self.columns_name())
+        taken = {c.lower() for c in df.columns} | {c.lower() for c in self.columns_name()}
+        if errors is not None and errors.lower() in taken:
+            raise ValueError(f"{errors} is the name of another column")
+        index, log = "__index", "__errors"
+        df = df.withColumns({index: F.struct(*[F.col(f"`{c}`") for c in df.columns]),
+                             log: F.array().cast("array<string>")})
+        done = 0
+        while done < len(self.columns):
+            column = self.columns[done]
+            if "builder" in column:
+                value = F.coalesce(typed_or_null(column["builder"](df), column["dtype"]), F.lit(column["default"]))
+                df = df.withColumn(column["name"], value)
+                done += 1
+                continue
+            run = [c for c in self.columns[done:]]
+            run = run[:next((i for i, c in enumerate(run) if "builder" in c), len(run))]
+            df = self._apply(df, done, run, index, log)
+            done += len(run)
+        names = [F.col(f"`{c}`") for c in self.columns_name()]
+        return df.select(*names, *([F.col(log).alias(errors)] if errors is not None else []))
+
+    def _apply(self, df: DataFrame, done: int, run: list, index: str, log: str) -> DataFrame:
+        """Neighbouring functions in one pass over Arrow batches; every row is seen once."""
+        import pyarrow as pa
+
+        new = [c["name"] for c in run]
+        low = {c.lower() for c in new}
+        keep = [f for f in df.schema.fields if f.name != log and f.name.lower() not in low]
+        schema = T.StructType(keep + [T.StructField(c["name"], T.DoubleType() if c["dtype"] == FLOAT else T.StringType()) for c in run]
+                              + [T.StructField(log, T.ArrayType(T.StringType()))])
+        defaults = {c["name"]: c["default"] for c in self.columns}
+        earlier = self.columns_name()[:done]
+        source = df.select(*[F.col(f"`{f.name}`") for f in keep], F.col(log))
+        types = {c["name"]: pa.float64() if c["dtype"] == FLOAT else pa.string() for c in run}
+
+        def compute(batches):
+            for batch in batches:
+                indexes = batch.column(index).to_pylist()
+                before = {c: batch.column(c).to_pylist() for c in earlier}
+                logs = [list(messages) for messages in batch.column(log).to_pylist()]
+                out = {c: [] for c in new}
+                for i, item in enumerate(indexes):
+                    row = {**defaults, **{c: values[i] for c, values in before.items()}}
+                    for c in run:
+                        row[c["name"]] = _cell(c["function"], c["dtype"], c["default"], item, row, c["name"], logs[i])
+                        out[c["name"]].append(row[c["name"]])
+                arrays = [batch.column(f.name) for f in keep]
+                arrays += [pa.array(out[c], types[c]) for c in new] + [pa.array(logs, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in schema.fields])
+
+        return source.mapInArrow(compute, schema)
