@@ -70,9 +70,10 @@ def segment_viewport(xmin, xmax, ymin, ymax) -> Column:
 
 
 def segment_viewport_overlap(xmin, xmax, ymin, ymax) -> Column:
-    """EXP18 variant: true interval overlap of the segment's box with the viewport."""
+    """EXP18 variant: true interval overlap of the segment's box with the viewport (plain
+    comparisons, so that a scan can skip by them)."""
     def axis(a0, a1, lo, hi):
-        return (F.least(F.col(a0), F.col(a1)) <= hi) & (F.greatest(F.col(a0), F.col(a1)) >= lo)
+        return ((F.col(a0) <= hi) | (F.col(a1) <= hi)) & ((F.col(a0) >= lo) | (F.col(a1) >= lo))
     return axis("x0", "x1", xmin, xmax) & axis("y0", "y1", ymin, ymax)
 
 

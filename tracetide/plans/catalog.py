@@ -21,6 +21,7 @@ from ..operators.spec import build_frame, category_table, normalise_time
 from ..operators.spec import categories as _categories
 from ..sources import archive as _archive
 from ..sources import dictionary as _dictionary
+from ..sources import frames as _frames
 from ..sources import raw as _raw
 from ..sources import side_columns as _side
 from ..sources import sinks as _sinks
@@ -623,6 +624,30 @@ def q_viewport_pt(spark, sf_dir):
     return frame.where(_fo.point_viewport(*box))
 
 
+def _stored_viewport(spark, sf_dir, name, **how):
+    """The frame stored in the order of the curve, then zoomed: row groups outside are skipped."""
+    frame = _shared_frame(spark, sf_dir, name)
+    box = _mid_box(_fo.data_ranges(frame).first())
+    d = scratch_dir(spark, "viewport")
+    _frames.write_frame(frame, d, row_group_bytes=1 << 16)
+    return _frames.read_viewport(spark, d, *box, **how)
+
+
+QUERIES["viewport_points_stored"] = (lambda spark, sf_dir: _stored_viewport(spark, sf_dir, "freq_points"), QUERIES["viewport_points"][1])
+QUERIES["viewport_segments_stored"] = (lambda spark, sf_dir: _stored_viewport(spark, sf_dir, "run_queue"), QUERIES["viewport_segments"][1])
+QUERIES["viewport_overlap_stored"] = (lambda spark, sf_dir: _stored_viewport(spark, sf_dir, "run_queue", overlap=True),
+                                      QUERIES["viewport_segments_overlap"][1])
+
+
+@register("synthetic_lines", (
+    "WITH s AS (SELECT CAST((i * 48271 + 11) % 1000000000 AS DOUBLE) AS x0, CAST((i * 69621 + 7) % 160 AS DOUBLE) AS y0, "
+    "CAST((i * 16807 + 3) % 20 AS INTEGER) AS c FROM (SELECT CAST(event_id AS BIGINT) % 2147483648 AS i FROM events)) "
+    "SELECT x0, y0, x0 AS x1, y0 + 0.5 AS y1, c FROM s"))
+def q_synthetic(spark, sf_dir):
+    """SRC17: arithmetic segments, one for each event, sorted by x0."""
+    return _text.synthetic_lines_of(load_events(spark, sf_dir), "event_id")
+
+
 @register("hide_hovertool_run_queue", f"SELECT * FROM ({RQ_SQL}) f WHERE c NOT IN (4)")
 def q_hide(spark, sf_dir):
     """EXP19: drop categories flagged hide_hovertool."""

@@ -84,3 +84,15 @@ def synthetic_lines(spark: SparkSession, n: int = 100_000, seed: int = 1,
     return (spark.range(n).select(x.alias("x0"), y.alias("y0"), x.alias("x1"), (y + 0.5).alias("y1"),
                                   F.floor(F.rand(seed + 2) * categories).cast("int").alias("c"))
                  .orderBy("x0"))
+
+
+def synthetic_lines_of(ids: DataFrame, column: str, lanes: int = 160, categories: int = 20, tmax: int = 10**9) -> DataFrame:
+    """SRC17 in whole-number arithmetic: one segment for each id of a table, the same on every run and engine.
+
+    Multiplicative steps by odd constants scatter neighbouring ids; ids are taken modulo 2**31.
+    """
+    i = F.pmod(F.col(f"`{column}`").cast("long"), F.lit(1 << 31))
+    x = F.pmod(i * 48271 + 11, F.lit(tmax)).cast("double")
+    y = F.pmod(i * 69621 + 7, F.lit(lanes)).cast("double")
+    return ids.select(x.alias("x0"), y.alias("y0"), x.alias("x1"), (y + 0.5).alias("y1"),
+                      F.pmod(i * 16807 + 3, F.lit(categories)).cast("int").alias("c")).orderBy("x0")
