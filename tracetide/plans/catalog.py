@@ -23,6 +23,7 @@ from ..sources import archive as _archive
 from ..sources import dictionary as _dictionary
 from ..sources import frames as _frames
 from ..sources import raw as _raw
+from ..sources import raw_merge as _raw_merge
 from ..sources import side_columns as _side
 from ..sources import sinks as _sinks
 from ..sources import text as _text
@@ -930,6 +931,14 @@ def q_raw(spark, sf_dir):
     return _raw.read_raw_trace(spark, d)
 
 
+@register("raw_merged", _with() + f"SELECT {TRACE_COLS} FROM trace")
+def q_raw_merged(spark, sf_dir):
+    """SRC5: per-CPU record files in time order, merged and numbered by range without a shuffle."""
+    d = scratch_dir(spark, "rawmerge")
+    _raw.write_raw_files(load_trace(spark, sf_dir), d).collect()
+    return _raw_merge.read_raw_merged(spark, d, records_per_range=1 << 20)
+
+
 @register("dictionary_files", VARS_SQL)
 def q_dictionary(spark, sf_dir):
     """SRC6 / SRC7 / SRC8: dictionary text files (old and new name) merged over
