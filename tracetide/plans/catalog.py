@@ -923,6 +923,15 @@ def q_archive(spark, sf_dir):
     return t.select("idx", "timestamp", "cpu", F.col("event").cast("int").alias("event"))
 
 
+@register("archive_split", QUERIES["archive_roundtrip"][1])
+def q_archive_split(spark, sf_dir):
+    """SRC1: archives of stored members, each read in parts by several tasks."""
+    d = scratch_dir(spark, "archivesplit")
+    _archive.write_trace_archives(load_trace(spark, sf_dir), d, compressed=False).collect()
+    t = _archive.read_trace_archives(spark, d, only=["timestamp", "cpu", "event"], split_bytes=1 << 16)
+    return t.select("idx", "timestamp", "cpu", F.col("event").cast("int").alias("event"))
+
+
 @register("raw_roundtrip", _with() + f"SELECT {TRACE_COLS} FROM trace")
 def q_raw(spark, sf_dir):
     """SRC4 / SRC5 / SET3: per-CPU 24-byte record files, merged and renumbered."""

@@ -1,10 +1,12 @@
 """Trace archives: uncompressed tar files with one ``.npz`` member per column.
 
-Reading is a Python data source: one partition per archive, opened from the
-filesystem (no 2 GB ``binaryFile`` row), only the requested members
-decompressed, rows emitted as Arrow batches with an explicit ``idx``.  The
-decoded columns of one archive live in one task, so very large traces should
-be ingested once to parquet and analysed from there.
+Reading is a Python data source: archives are opened from the filesystem (no 2 GB
+``binaryFile`` row), only the requested members are read, and rows are emitted as
+Arrow batches with an explicit ``idx``.  A large archive is dealt to several
+tasks, each of which reads its range of rows from every stored member by byte position.
+Compressed members can only be read from their beginning: such an archive is
+one task's, which streams all its columns side by side.  No task holds more than
+one batch.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .raw import _filesystem, put_file  # module-level: pickled by value with this module
 
+SPLIT_BYTES = 128 << 20
+
 
 def _members(tar: tarfile.TarFile):
     """(member, column name in the file's name) of the ``.npz`` members."""
@@ -30,15 +34,43 @@ def _members(tar: tarfile.TarFile):
             yield info, os.path.splitext(os.path.basename(info.name))[0]
 
 
-def _member_columns(fileobj, only=None) -> dict:
+class _ColumnStream:
+    """One array of an archive, read in pieces."""
+
+    def __init__(self, archive: zipfile.ZipFile, entry: zipfile.ZipInfo):
+        self.name = entry.filename.removesuffix(".npy")
+        self.stored = entry.compress_type == zipfile.ZIP_STORED
+        self.file = archive.open(entry)
+        shape, _, self.dtype = _array_header(self.file)
+        if len(shape) != 1 or self.dtype.hasobject:
+            raise ValueError(f"{self.name} is not a plain column")
+        self.rows, self.data = shape[0], self.file.tell()
+
+    def skip_to(self, row: int) -> None:
+        self.file.seek(self.data + row * self.dtype.itemsize)
+
+    def read(self, rows: int) -> np.ndarray:
+        data = self.file.read(rows * self.dtype.itemsize)
+        if len(data) < rows * self.dtype.itemsize:
+            raise ValueError(f"{self.name} ends early")
+        return np.frombuffer(data, dtype=self.dtype) if self.dtype.itemsize else np.empty(rows, self.dtype)
+
+
+def _array_header(f):
+    version = np.lib.format.read_magic(f)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    return read(f)
+
+
+def _column_streams(tar: tarfile.TarFile, only=None) -> dict:
+    """{column: stream} of the members, none of which is read yet; the last of a name counts."""
     cols = {}
-    with tarfile.open(fileobj=fileobj, mode="r:") as tar:
-        for info, name in _members(tar):
-            if only is not None and name not in only:
-                continue
-            with np.load(io.BytesIO(tar.extractfile(info).read())) as npz:
-                for k in npz.files:
-                    cols[k] = npz[k]
+    for info, name in list(_members(tar)):
+        if only is None or name in only:
+            archive = zipfile.ZipFile(tar.extractfile(info))
+            for entry in archive.infolist():
+                stream = _ColumnStream(archive, entry)
+                cols[stream.name] = stream
     return cols
 
 
@@ -52,9 +84,7 @@ def _header_kinds(fileobj, only=None) -> dict:
             with zipfile.ZipFile(tar.extractfile(info)) as z:
                 for entry in z.namelist():
                     with z.open(entry) as f:
-                        version = np.lib.format.read_magic(f)
-                        read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
-                        kinds[entry.removesuffix(".npy")] = read(f)[2].kind
+                        kinds[entry.removesuffix(".npy")] = _array_header(f)[2].kind
     return kinds
 
 
@@ -126,8 +156,8 @@ def archive_schema(spark: SparkSession, path: str, only=None) -> T.StructType:
 
 
 class ArchivePartition(InputPartition):
-    def __init__(self, archive: str):
-        self.archive = archive
+    def __init__(self, archive: str, share: int, shares: int):
+        self.archive, self.share, self.shares = archive, share, shares
 
 
 class ArchiveReader(DataSourceReader):
@@ -137,39 +167,59 @@ class ArchiveReader(DataSourceReader):
         self.path = options["path"]
         self.schema = schema
         self.names = [f.name for f in schema.fields]
+        self.split = int(options.get("splitBytes", SPLIT_BYTES))
+        self.batch = int(options.get("batchRows", self.BATCH_ROWS))
 
     def partitions(self):
-        return [ArchivePartition(a) for a in _list_archives(self.path)]
+        names = _list_archives(self.path)
+        if not names:
+            return []
+        fs, _ = _filesystem(self.path)
+        parts = []
+        for info in fs.get_file_info(names):
+            shares = max(1, -(-(info.size or 0) // self.split))
+            parts += [ArchivePartition(info.path, i, shares) for i in range(shares)]
+        return parts
 
     def read(self, part: ArchivePartition):
+        with _open(self.path, part.archive) as f, tarfile.open(fileobj=f, mode="r:") as tar:
+            cols = _column_streams(tar, set(self.names) - {"trace"})
+            n = next(iter(cols.values())).rows if cols else 0
+            if any(c.rows != n for c in cols.values()):
+                raise ValueError(f"{part.archive}: columns of different lengths")
+            if all(c.stored for c in cols.values()):
+                start, stop = n * part.share // part.shares, n * (part.share + 1) // part.shares
+                for c in cols.values():
+                    c.skip_to(start)
+            elif part.share == 0:
+                start, stop = 0, n
+            else:
+                return
+            for lo in range(start, stop, self.batch):
+                hi = min(stop, lo + self.batch)
+                yield self._batch(part.archive, {k: c.read(hi - lo) for k, c in cols.items()}, lo, hi)
+
+    def _batch(self, archive: str, cols: dict, lo: int, hi: int):
         import pyarrow as pa
-        only = set(self.names) - {"trace"}
-        with _open(self.path, part.archive) as f:
-            cols = _member_columns(f, only)
-        n = len(next(iter(cols.values()))) if cols else 0
-        if "idx" not in cols:  # positional identity within the archive
-            cols["idx"] = np.arange(n, dtype="int64")
-        arrow_schema = pa.schema([(f.name, {"string": pa.string(), "bigint": pa.int64(),
-                                            "double": pa.float64(), "boolean": pa.bool_()}
-                                   [f.dataType.simpleString()]) for f in self.schema.fields])
-        for lo in range(0, n, self.BATCH_ROWS):
-            hi = min(n, lo + self.BATCH_ROWS)
-            arrays = []
-            for field in arrow_schema:
-                if field.name == "trace":
-                    arrays.append(pa.array([part.archive] * (hi - lo), pa.string()))
-                elif field.name in cols:
-                    values = pa.array(cols[field.name][lo:hi])
-                    arrays.append(values if values.type == field.type else values.cast(field.type))
-                else:
-                    arrays.append(pa.nulls(hi - lo, field.type))
-            yield pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
+        cols.setdefault("idx", np.arange(lo, hi, dtype="int64"))  # positional identity within the archive
+        types = {"string": pa.string(), "bigint": pa.int64(), "double": pa.float64(), "boolean": pa.bool_()}
+        arrow_schema = pa.schema([(f.name, types[f.dataType.simpleString()]) for f in self.schema.fields])
+        arrays = []
+        for field in arrow_schema:
+            if field.name == "trace":
+                arrays.append(pa.array([archive] * (hi - lo), pa.string()))
+            elif field.name in cols:
+                values = pa.array(cols[field.name])
+                arrays.append(values if values.type == field.type else values.cast(field.type))
+            else:
+                arrays.append(pa.nulls(hi - lo, field.type))
+        return pa.RecordBatch.from_arrays(arrays, schema=arrow_schema)
 
 
 class TraceArchiveDataSource(DataSource):
     """``spark.read.format("tracetide_archive").schema(s).load(dir)``: one
-    partition per archive, read from the filesystem (no binaryFile row), only
-    the members named in the schema decoded, Arrow batches of <= 1M rows."""
+    partition for each ``splitBytes`` of an archive, only the members named in the
+    schema read, Arrow batches of <= ``batchRows`` rows."""
 
     @classmethod
     def name(cls):
@@ -183,24 +233,24 @@ class TraceArchiveDataSource(DataSource):
 
 
 def read_trace_archives(spark: SparkSession, path: str, only=None,
-                        schema: T.StructType | None = None) -> DataFrame:
+                        schema: T.StructType | None = None, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """SRC1 / SRC2: every ``.npz`` member of every archive under ``path``
     becomes a column; ``only`` keeps just the listed columns (others are
-    never decompressed)."""
+    never read). ``split_bytes``: size of an archive's part for one task, if its members are stored."""
     if only is not None:
         only = set(only) | {"idx"}
     schema = schema or archive_schema(spark, path, only)
     spark.dataSource.register(TraceArchiveDataSource)
-    return spark.read.format("tracetide_archive").schema(schema).load(path)
+    return spark.read.format("tracetide_archive").schema(schema).option("splitBytes", str(split_bytes)).load(path)
 
 
-def archive_bytes(columns: dict) -> bytes:
-    """A trace archive: one ``.npz`` member per column."""
+def archive_bytes(columns: dict, compressed: bool = True) -> bytes:
+    """A trace archive: one ``.npz`` member per column; stored members can be read in parts."""
     out = io.BytesIO()
     with tarfile.open(fileobj=out, mode="w") as tar:
         for name, values in columns.items():
             buf = io.BytesIO()
-            np.savez_compressed(buf, **{name: np.asarray(values)})
+            (np.savez_compressed if compressed else np.savez)(buf, **{name: np.asarray(values)})
             data = buf.getvalue()
             info = tarfile.TarInfo(f"data/{name}.npz")
             info.size = len(data)
@@ -208,12 +258,12 @@ def archive_bytes(columns: dict) -> bytes:
     return out.getvalue()
 
 
-def write_trace_archive(path: str, columns: dict) -> None:
+def write_trace_archive(path: str, columns: dict, compressed: bool = True) -> None:
     """Test helper / small exports."""
-    put_file(path, archive_bytes(columns))
+    put_file(path, archive_bytes(columns, compressed))
 
 
-def write_trace_archives(df: DataFrame, directory: str, rows_per_archive: int = 1 << 22) -> DataFrame:
+def write_trace_archives(df: DataFrame, directory: str, rows_per_archive: int = 1 << 22, compressed: bool = True) -> DataFrame:
     """Write the rows each task holds as archives of at most ``rows_per_archive``
     rows; returns (path, rows) per written archive.
 
@@ -229,7 +279,7 @@ def write_trace_archives(df: DataFrame, directory: str, rows_per_archive: int =
         def flush():
             pdf = pd.concat(held, ignore_index=True)
             path = f"{directory.rstrip('/')}/part-{part:05d}-{number:05d}.tar"
-            put_file(path, archive_bytes({c: pdf[c].to_numpy() for c in cols}))
+            put_file(path, archive_bytes({c: pdf[c].to_numpy() for c in cols}, compressed))
             return pd.DataFrame({"path": [path], "rows": [len(pdf)]})
 
         for pdf in batches:
