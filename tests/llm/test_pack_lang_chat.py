@@ -125,6 +125,29 @@ def test_chat_folds_deltas_edits_and_regenerations(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_splits_a_hot_conversation(spark, request):
+    """A conversation that holds most rows is many segments, dealt to several tasks, that join up."""
+    texts = [f"turn {i} " + "<|im_end|>\\ é😀" * (i % 40) for i in range(3000)]
+    rows = [(7, i, "assistant" if i % 2 else "user", t) for i, t in enumerate(texts)] + [(None, 0, None, None)] + [(c, 0, "user", "") for c in range(100, 130)]
+    turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string").repartition(5)
+    got = chat.format_segments(chat.events_of_turns(turns)).collect()
+    own = sorted((r for r in got if r.conv_id == 7), key=lambda r: r.segment)
+    assert [r.segment for r in own] == list(range(len(own))) and len(own) > 20
+    assert max(len(r.formatted) for r in own) < 4 * chat.SEGMENT_CHARS
+    whole, spans = chat.render([(role, t) for c, _, role, t in rows if c == 7])
+    assert "".join(r.formatted for r in own) == whole and [(x.start, x.end) for r in own for x in r.loss] == spans
+    assert all(whole[r.start:r.start + len(r.formatted)] == r.formatted for r in own) and sum(r.n_turns for r in own) == 3000
+    assert sorted(r.conv_id for r in got if r.conv_id not in (7, None)) == list(range(100, 130))
+    assert [chat.read_back(r.formatted) for r in got if r.conv_id is None] == [[("", "")]]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # these few bytes would be put together again
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true"))
+    messages = chat.final_messages(chat.events_of_turns(turns))
+    held = messages.where("conv_id = 7").rdd.mapPartitions(lambda p: [sum(1 for _ in p)]).collect()
+    assert max(held) < 1000
+    parts = chat._segments_of_tasks(messages).where("conv_id = 7").groupBy("part").count().collect()
+    assert len(parts) > 3
+
+
 def test_chat_query_against_brute_force(spark, tmp_path):
     rows = [(int(a), int(b), c, d) for a, b, c, d in H.table("conversations").itertuples(index=False)]
     rows += [(900, 1, "assistant", "x" * 100_000 + "<|im_end|>"), (900, None, None, None), (900, 1, "assistant", "tie"), (900, 1, "assistant", "tie"), (900, 1, "a", "b")]

@@ -42,19 +42,32 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
-    formatted = chat.format_conversations(chat.events_of_turns(turns.unionByName(own)))
+    segments = chat.format_segments(chat.events_of_turns(turns.unionByName(own)))
 
     def digests(batches):
+        conv, turns_hash, loss_hash, counts = None, None, None, None
+
+        def row():
+            values = (conv, counts[0], turns_hash.hexdigest(), counts[1], loss_hash.hexdigest(), counts[2])
+            return pa.RecordBatch.from_pylist([dict(zip(DIGESTS.names, values, strict=True))], schema=DIGESTS)
+
         for batch in batches:
-            rows = []
-            for conv, text, loss in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for own_conv, start, text, loss in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                if counts is None or own_conv != conv:
+                    if counts is not None:
+                        yield row()
+                    conv, turns_hash, loss_hash, counts = own_conv, hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
                 messages = chat.read_back(text)
-                masked = chat.masked_text(text, [(x["start"], x["end"]) for x in loss])
-                turns_hash = hashlib.sha256("".join(f"{role}\n{said}\n" for role, said in messages).encode()).hexdigest()
-                rows.append((conv, len(messages), turns_hash, len(masked), hashlib.sha256(masked.encode()).hexdigest(), len(text)))
-            yield pa.RecordBatch.from_pylist([dict(zip(DIGESTS.names, r, strict=True)) for r in rows], schema=DIGESTS)
-
-    return formatted.select("conv_id", "formatted", "loss").mapInArrow(
+                masked = chat.masked_text(text, [(x["start"] - start, x["end"] - start) for x in loss])
+                turns_hash.update("".join(f"{role}\n{said}\n" for role, said in messages).encode())
+                loss_hash.update(masked.encode())
+                counts = [counts[0] + len(messages), counts[1] + len(masked), counts[2] + len(text)]
+        if counts is not None:
+            yield row()
+
+    # a SHA-256 runs through its conversation from the first segment to the last, one segment at a time
+    in_order = segments.repartition("conv_id").sortWithinPartitions("conv_id", "segment").select("conv_id", "start", "formatted", "loss")
+    return in_order.mapInArrow(
         digests, "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
