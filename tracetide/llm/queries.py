@@ -43,6 +43,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id bigint, turn bigint, role string, text string")
     segments = chat.format_segments(chat.events_of_turns(turns.unionByName(own)))
+    read_back, masked_text = chat.read_back, chat.masked_text  # tasks get these two, not the module
 
     def digests(batches):
         conv, turns_hash, loss_hash, counts = None, None, None, None
@@ -57,8 +58,8 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                     if counts is not None:
                         yield row()
                     conv, turns_hash, loss_hash, counts = own_conv, hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
-                messages = chat.read_back(text)
-                masked = chat.masked_text(text, [(x["start"] - start, x["end"] - start) for x in loss])
+                messages = read_back(text)
+                masked = masked_text(text, [(x["start"] - start, x["end"] - start) for x in loss])
                 turns_hash.update("".join(f"{role}\n{said}\n" for role, said in messages).encode())
                 loss_hash.update(masked.encode())
                 counts = [counts[0] + len(messages), counts[1] + len(masked), counts[2] + len(text)]
