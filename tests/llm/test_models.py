@@ -182,6 +182,48 @@ def test_nearest_neighbours_small_tables(spark):
     assert ann.nearest(spark.createDataFrame([(0, [1.0, 0.0])], schema), "id % 50 = 0").count() == 0
 
 
+def searched(forest, x, asked):
+    """(rows compared with repeats, set of rows met) of each search."""
+    where = forest.buckets(x)
+    rows = {b: np.flatnonzero((where == b).any(axis=1)) for b in np.unique(where)}
+    met = [[rows.get(b, np.empty(0, int)) for b in forest.search(x[q])] for q in asked]
+    return [sum(map(len, m)) for m in met], [set(np.concatenate(m).tolist()) for m in met]
+
+
+def recall(x, asked, met, k=5):
+    sims = x[asked] @ x.T
+    sims[np.arange(len(asked)), asked] = -9
+    near = np.argsort(-sims, axis=1)[:, :k]
+    return np.mean([len(set(n.tolist()) & m) / k for n, m in zip(near, met, strict=True)])
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01", "sf0.1"])
+def test_a_search_compares_no_more_rows_than_a_scan(sf):
+    x = np.array(H.table("embeddings", f"/root/testdata/{sf}").embedding.tolist(), float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = np.arange(0, len(x), 50)
+    compared, met = searched(ann.fit(x, 5), x, asked)
+    assert max(compared) <= len(x) and recall(x, asked, met) >= 0.9
+
+
+def test_a_search_compares_few_rows_where_vectors_have_structure():
+    rng = np.random.default_rng(1)
+    for n in (4_000, 30_000):  # the second is more than the sample
+        x = rng.normal(size=(200, 64))[rng.integers(200, size=n)] + 0.1 * rng.normal(size=(n, 6)) @ rng.normal(size=(6, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        asked = np.arange(0, n, n // 80)
+        compared, met = searched(ann.fit(x[rng.permutation(n)[:ann.SAMPLE_ROWS]], 5), x, asked)
+        assert np.mean(compared) < 0.2 * n and recall(x, asked, met) >= 0.9, (n, np.mean(compared) / n)
+
+
+def test_nearest_neighbours_on_the_smaller_table(spark):
+    e = H.table("embeddings", "/root/testdata/sf0.01")
+    want = brute_nearest(list(zip(e.vec_id.tolist(), e.embedding.tolist(), strict=True)), lambda i: i % 50 == 0)
+    out = queries.op8_ann(spark, "/root/testdata/sf0.01").toPandas()
+    met = {q: set(g.vec_id) for q, g in out.groupby("query_id")}
+    assert np.mean([len(met[q] & {v for v, _ in best}) / 5 for q, best in want.items()]) >= 0.9
+
+
 @pytest.mark.parametrize("known", [250_000, 40])
 def test_language_model_against_plain_counts(spark, tmp_path, monkeypatch, known):
     monkeypatch.setattr(brown_lm, "KNOWN_WORDS", known)

@@ -7,7 +7,14 @@
 * Every row is put into one leaf of each tree.
 * A query goes through all trees with one priority queue: nodes are taken in
   order of their smallest margin to the splits above, until the leaves met hold
-  ``search_share`` of the sample.
+  a budget of rows.
+* The budget is measured, not set: vectors of the sample are searched in it, and
+  the budget is the one at which ``target_recall`` of their true neighbours are
+  met.  Neighbours of the whole table are nearer than those of its sample, so
+  they are met earlier.  Forests of each number of ``TREES`` are tried and the one
+  with the smallest budget is taken.  One of them is a single tree, which meets
+  every row once: a query is never compared with more rows than in a full scan,
+  and with few where the vectors have any structure.
 * In each leaf the candidates are ranked by their exact cosine; the best of all
   leaves are the answer.
 
@@ -34,10 +41,11 @@ from pyspark.sql import functions as F
 
 from .common import broadcast, stored
 
-TREES = 8
-LEAF_SAMPLE = 200
+TREES = (1, 8)
+LEAF_SAMPLE = 100
 SAMPLE_ROWS = 20_000  # documented bound of the fitting sample
-SEARCH_SHARE = 0.15
+TARGET_RECALL = 0.97  # of the sample's own neighbours; the answers' recall is tested
+TRIALS = 200  # searches that measure the budget
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 2048
 
@@ -89,10 +97,12 @@ class Tree:
 
 
 class Forest:
-    def __init__(self, sample: np.ndarray, trees: int, leaf: int, share: float, seed: int = 7):
+    """Trees and ``want``, the rows of the sample that a search meets (with repeats over the trees)."""
+
+    def __init__(self, sample: np.ndarray, trees: int, leaf: int, seed: int = 7):
         self.trees = [Tree(sample, seed + t, leaf) for t in range(trees)]
         self.first = np.cumsum([0] + [len(t.size) for t in self.trees])
-        self.want = share * len(sample) * trees
+        self.want = float("inf")
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """(rows, trees): bucket of each row in each tree."""
@@ -117,6 +127,29 @@ class Forest:
         return out
 
 
+def fit(sample: np.ndarray, k: int, trees=TREES, leaf: int = LEAF_SAMPLE, target: float = TARGET_RECALL) -> Forest:
+    """The forest with the smallest budget that meets ``target`` of the ``k`` nearest of TRIALS vectors of the sample."""
+    distinct = np.unique(sample, axis=0)  # copies of a vector are in its own leaf: they say nothing
+    forests = [Forest(sample, t, leaf) for t in trees]
+    if len(distinct) < 2:
+        return forests[0]
+    near_k = min(k, len(distinct) - 1)
+    asked = np.unique(np.linspace(0, len(distinct) - 1, TRIALS).astype(np.int64))
+    sims = distinct[asked] @ distinct.T
+    sims[np.arange(len(asked)), asked] = -np.inf
+    near = np.argpartition(-sims, near_k - 1, axis=1)[:, :near_k]
+    for forest in forests:
+        where, sizes = forest.buckets(distinct), np.concatenate([t.size for t in forest.trees])
+        met = np.empty(near.shape)  # rows met before the neighbour's first leaf is done
+        for i, q in enumerate(asked.tolist()):
+            order = forest.search(distinct[q])
+            rows = np.empty(len(sizes))
+            rows[order] = np.cumsum(sizes[order])
+            met[i] = rows[where[near[i]]].min(axis=1)
+        forest.want = max(float(np.quantile(met, target, method="higher")), (k + 1.0) * len(forest.trees))  # k others at least
+    return min(forests, key=lambda f: f.want)
+
+
 def _matrix(col) -> np.ndarray:
     if not len(col):
         return np.empty((0, 0))
@@ -158,8 +191,8 @@ def best_of_block(qid, q, vid, x, k):
         yield qid[s + i[keep]], vid[j[keep]], score[keep]
 
 
-def nearest(rows: DataFrame, queries, *, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", trees: int = TREES,
-            leaf_sample: int = LEAF_SAMPLE, sample_rows: int = SAMPLE_ROWS, search_share: float = SEARCH_SHARE) -> DataFrame:
+def nearest(rows: DataFrame, queries, *, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", trees=TREES,
+            leaf_sample: int = LEAF_SAMPLE, sample_rows: int = SAMPLE_ROWS, target_recall: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k nearest rows found for each query.
 
     ``queries``: condition on the column ``id`` that names the query rows.  A
@@ -178,8 +211,7 @@ def nearest(rows: DataFrame, queries, *, k: int = 5, vec_id: str = "vec_id", vec
     got = sample.orderBy("id").toArrow().column("v").combine_chunks()
     x = _matrix(got)
     unit = x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else np.zeros((0, 1))
-    forest = Forest(unit, trees, leaf_sample, search_share)
-    shared = broadcast(spark, forest)
+    shared = broadcast(spark, fit(unit, k, trees, leaf_sample, target_recall))
 
     def place(batches):
         for batch in batches:
