@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -235,6 +236,35 @@ def test_decontamination_against_brute_force(spark):
     assert decontam.find_matches(H.frame(spark, []), spark.createDataFrame(bench, "item_id bigint, text string")).count() == 0
 
 
+def test_signatures_do_not_depend_on_the_texts_beside():
+    rng = random.Random(8)
+    texts = [bytes(rng.choice(b"abcdefgh ") for _ in range(n)) for n in (5000, 40, 300, 41, 2400, 90)]
+    sizes = np.array([len(t) for t in texts])
+    walks = decontam.Walks()
+    together = walks.signatures(texts, sizes)
+    for i, t in enumerate(texts):
+        assert (walks.signatures([t], sizes[i:i + 1])[0] == together[i]).all()
+    assert (decontam.random_u64(10, 5, 3) == decontam.random_u64(13, 5)[3:]).all()
+
+
+def test_a_very_long_item(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefghiklmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(4000)]
+    longer = " ".join(rng.choice(words) for _ in range(3200)).encode()
+    tracemalloc.start()
+    block = decontam.Block([1, 2], [longer, b"a short item of a few words"], decontam.RATE)
+    block.matches([(0, longer)] * 20)
+    assert len(longer) > 18_000 and tracemalloc.get_traced_memory()[1] < 150 << 20
+    tracemalloc.stop()
+    item = " ".join(rng.choice(words) for _ in range(800))
+    other = " ".join(rng.choice(words) for _ in range(9000))
+    edited = mutate(item.encode(), 150, rng).decode()
+    rows = [(1, other), (2, other[:5000] + " " + edited + " " + other[5000:]), (3, item[:2500]), (4, "here is a short item of a few words again")]
+    bench = spark.createDataFrame([(1, item), (2, "a short item of a few words")], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): r.distance for r in decontam.find_matches(H.frame(spark, rows), bench).collect()}
+    assert set(got) == {(2, 1), (4, 2)} and 100 < got[2, 1] <= 150 and got[4, 2] == 0
+
+
 def decontam_text(t):
     data = np.frombuffer((t or "").encode(), np.uint8)
     low, _, _ = decontam.normalise(data, np.array([0, len(data)]))

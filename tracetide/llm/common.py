@@ -136,8 +136,9 @@ def splitmix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def random_u64(n: int, seed: int) -> np.ndarray:
-    return splitmix(np.arange(1, n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
+def random_u64(n: int, seed: int, skip: int = 0) -> np.ndarray:
+    """Numbers ``skip`` to ``skip + n - 1`` of the sequence of ``seed``."""
+    return splitmix(np.arange(skip + 1, skip + n + 1, dtype=U64) * U64(0x9E3779B97F4A7C15) + U64(seed))
 
 
 def column_bytes(col) -> tuple[np.ndarray, np.ndarray]:

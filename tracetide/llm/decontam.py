@@ -16,9 +16,12 @@ lowered and white space runs as one space.
    numbers are set for a recall above 0.99 at the full edit rate (tested).
 4. Candidates are verified by the exact edit distance (bit-parallel).
 
-The items are a bounded broadcast: they are taken in blocks of at most
-``BLOCK_BYTES``, each block in a pass of its own over the documents, which are
-never shuffled.
+The items are a bounded broadcast: they are taken in blocks of about
+``BLOCK_BYTES`` (an item counts ``ITEM_BYTES`` more than its length, for its
+signatures), each block in a pass of its own over the documents, which are never
+shuffled.  A Python process builds a block's structures once.  Walks are made for
+texts of like size, ``CELLS`` bytes of them at a time, and their random bits in
+pieces, so a long item takes memory in proportion to its length.
 
 Defined results: null or empty texts and items (also those of white space)
 match nothing; equal items match alike; repeated rows match alike; a null id is
@@ -28,19 +31,24 @@ the leftmost; an empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, broadcast, byte_chunks, random_u64, splitmix
+from .common import U64, broadcast, byte_chunks, random_u64, splitmix, worker_cache
 
 RATE = 0.1
 WALKS, REPEATS, BITS = 8, 48, 5
 SPAN = 2  # steps of a walk for each byte of the item; about then the text is used up
 SAMPLED = 1.7  # places for each byte that are sampled: later ones are mostly past the end
 BLOCK_BYTES = 8 << 20
-_FLUSH = 2048
+ITEM_BYTES = 256
+CELLS = 4 << 20
+STEPS = 4096  # steps of which the random bits are made at once
+_FLUSH, _FLUSH_BYTES = 2048, 32 << 20
 _BITMAP = 22
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -118,29 +126,50 @@ def edit_search(item: bytes, text: bytes) -> tuple[int, int]:
 class Walks:
     """Random bits and sampled places, fixed by seeds."""
 
-    def __init__(self, longest: int):
-        steps = SPAN * longest
-        self.bits = [(random_u64(steps * 257, 1000 + w) >> U64(40) & U64(1)).astype(np.int64).reshape(steps, 257) for w in range(WALKS)]
+    def __init__(self):
+        self.first = [self._make(w, 0) for w in range(WALKS)]
         self.place = (random_u64(WALKS * REPEATS * BITS, 77) >> U64(11)).astype(np.float64).reshape(WALKS, REPEATS, BITS) / float(1 << 53)
         self.mix = random_u64(WALKS * REPEATS, 99).reshape(WALKS, REPEATS)
 
+    @staticmethod
+    def _make(w: int, piece: int) -> np.ndarray:
+        return (random_u64(STEPS * 257, 1000 + w, piece * STEPS * 257) >> U64(40) & U64(1)).astype(np.uint8).reshape(STEPS, 257)
+
+    def bits(self, w: int, piece: int) -> np.ndarray:
+        """(STEPS, 257): move on or stay, for the steps of a piece and each byte."""
+        return self._make(w, piece) if piece else self.first[w]
+
     def signatures(self, texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
         """(texts, WALKS * REPEATS) signatures; the embedding of a text for items of n bytes has SPAN * n places."""
+        out = np.empty((len(texts), WALKS * REPEATS), U64)
+        order = np.argsort(-sizes, kind="stable")
+        s = 0
+        while s < len(order):
+            longest = int(sizes[order[s]])
+            like = int(np.searchsorted(-sizes[order], -(longest // 2), "right"))
+            part = order[s:max(s + 1, min(like, s + CELLS // (longest + 1)))]
+            out[part] = self._like([texts[i] for i in part], sizes[part])
+            s += len(part)
+        return out
+
+    def _like(self, texts: list[bytes], sizes: np.ndarray) -> np.ndarray:
         m, width = len(texts), max(map(len, texts)) + 1
-        raw = np.full((m, width), 256, np.int64)
+        raw = np.full((m, width), 256, np.uint16)
         for i, t in enumerate(texts):
             raw[i, :len(t)] = np.frombuffer(t, np.uint8)
         flat, base, last = raw.ravel(), np.arange(m) * width, width - 1
         steps = SPAN * int(sizes.max())
         out = np.empty((m, WALKS * REPEATS), U64)
         rows = np.arange(m)[:, None]
+        walk = np.empty((steps, m), np.uint16)
         for w in range(WALKS):
             at = np.zeros(m, np.int64)
-            walk = np.empty((steps, m), np.uint16)
             for j in range(steps):
+                if j % STEPS == 0:
+                    bits = self.bits(w, j // STEPS)
                 c = flat[base + at]
                 walk[j] = c
-                at += self.bits[w][j][c]
+                at += bits[j % STEPS][c]
                 np.minimum(at, last, out=at)
             for r in range(REPEATS):
                 where = (self.place[w, r][None, :] * (SAMPLED * sizes)[:, None]).astype(np.int64)
@@ -182,7 +211,7 @@ class Block:
             bitmap[self._slot(uniq)] = True
             self.tables.append((g, uniq, np.append(first, len(val)), item, at, bitmap))
         if self.texts:
-            self.walks = Walks(int(self.size.max()))
+            self.walks = Walks()
             sig = self.walks.signatures(self.texts, self.size)
             owner = np.repeat(np.arange(len(self.texts)), sig.shape[1])
             order = np.argsort(sig.ravel(), kind="stable")
@@ -266,7 +295,7 @@ def find_matches(docs: DataFrame, items: DataFrame, *, doc_id: str = "doc_id", t
     spark = docs.sparkSession
     src = docs.select(docs[doc_id].cast("bigint").alias("doc_id"), docs[text].cast("string").alias("t"))
     bench = items.select(items[item_id].cast("bigint").alias("i"), items[item_text].cast("string").cast("binary").alias("t")).where("length(t) > 0")
-    size = bench.agg(F.sum(F.length("t"))).first()[0] or 0
+    size = bench.agg(F.sum(F.length("t") + ITEM_BYTES)).first()[0] or 0
     blocks = max(1, -(-int(size) // block_bytes))
     out = None
     for b in range(blocks):
@@ -280,12 +309,17 @@ def _pass(spark, src: DataFrame, bench: DataFrame, rate: float) -> DataFrame:
     rows = bench.orderBy("i", "t").toArrow()  # a block of bounded size
     shared = broadcast(spark, (rows.column("i").to_pylist(), rows.column("t").to_pylist()))
     names = [c.split()[0] for c in MATCH_SCHEMA.split(", ")]
+    owner = f"decontamination {uuid.uuid4().hex}"
 
     def run(batches):
-        block = Block(*shared(), rate)
+        cache = worker_cache(owner)
+        if "block" not in cache:
+            cache["block"] = Block(*shared(), rate)
+        block = cache["block"]
         if not block.texts:
             return
         held: list = []  # (item, window, row, region, places of the region's bytes)
+        held_bytes = 0
 
         def close():
             best: dict = {}
@@ -321,10 +355,13 @@ def _pass(spark, src: DataFrame, bench: DataFrame, rate: float) -> DataFrame:
                     if e <= s:
                         continue
                     held.append((item, bytes(data[s:e]), i + d, bytes(data[a:z]), where[a:z] - int(off0[d])))
-                    if len(held) >= _FLUSH:
+                    held_bytes += 10 * (z - a)  # the window, the region, and eight bytes for a place
+                    if len(held) >= _FLUSH or held_bytes >= _FLUSH_BYTES:
                         _merge(found, close())
+                        held_bytes = 0
             if held:
                 _merge(found, close())
+                held_bytes = 0
             keys = sorted(found, key=lambda x: (x[0], x[2]))
             ids = batch.column(0).take(pa.array([k[0] for k in keys], pa.int64()))
             cols = [[k[1] for k in keys], *([found[k][c] for k in keys] for c in (1, 2, 0))]
