@@ -246,9 +246,9 @@ def test_language_model_against_plain_counts(spark, tmp_path, monkeypatch, known
 def test_language_model_probabilities_sum_to_one(spark):
     rows = [(k, t) for k, t in H.documents_fixture() if t]
     model, counts = brown_lm.fit(H.frame(spark, rows).select(F.col("text").alias("t")))
-    assert np.allclose((10 ** model.step).sum(axis=1), 1)  # over the items, after each class
+    assert np.allclose((10 ** (model.trans[:, model.klass] + model.emit)).sum(axis=1), 1)  # over the items, after each class
     words = counts.where("bucket >= 0").toPandas()
-    rest = words[~words.word.isin(model.top)]
+    rest = words[~words.word.isin(model.own)]
     for b, own in rest.groupby("bucket"):
         seen = 10 ** brown_lm._in_bucket(model, own.n.to_numpy(), np.full(len(own), b))
         new = 10 ** brown_lm._in_bucket(model, np.array([0]), np.array([b]))[0]
@@ -258,6 +258,49 @@ def test_language_model_probabilities_sum_to_one(spark):
     assert brown_lm.score(H.frame(spark, []), model, counts).count() == 0
 
 
+def test_rounds_over_all_words_find_the_classes_of_rare_ones(spark):
+    """Nouns and verbs alternate; all of their words are too rare for the head, and their endings say nothing."""
+    rng = np.random.default_rng(5)
+    kinds = [[f"n{k}a" for k in range(60)], [f"v{k}a" for k in range(60)]]
+    texts = [" ".join(kinds[p % 2][rng.integers(60)] for p in range(60)) for _ in range(120)]
+    src = spark.createDataFrame([(t,) for t in texts], "t string")
+    own = np.sort([h for h, in brown_lm.word_counts(src).where("bucket >= 0").select("word").collect()])
+    at_random = np.append(rng.integers(0, 2, len(own) + brown_lm.BUCKETS), brown_lm.CLASSES - 1)
+    klass, pair = brown_lm.exchange_all(src, own, at_random)
+    before = brown_lm.exchange_all(src, own, at_random, rounds=0)[1]
+    assert pair.sum() == 120 * 61 and brown_lm.likelihood(pair) > brown_lm.likelihood(before) + 1000
+    hashes = {h: w for w in sum(kinds, []) for h in [one_hash(w)]}
+    found = [{klass[k] for k, h in enumerate(own.tolist()) if hashes[h][0] == kind} for kind in "nv"]
+    assert len(found[0]) == len(found[1]) == 1 and found[0] != found[1]
+
+
+def one_hash(word):
+    data = np.frombuffer(word.encode(), np.uint8)
+    return int(brown_lm.i64(brown_lm.word_hashes(data, np.array([0]), np.array([len(data)])))[0])
+
+
+def test_rounds_count_neighbours_as_plain_code_does(spark):
+    texts = ["a b a c", "b b", "", "c a b d d"]
+    src = spark.createDataFrame([(t,) for t in texts], "t string")
+    own = np.sort([one_hash(w) for w in "abc"])
+    item = {w: int(np.searchsorted(own, one_hash(w))) for w in "abc"}
+    item["d"] = 3 + int(brown_lm._bucket_of(np.frombuffer(b"d", np.uint8), np.array([0]), np.array([1]))[0])
+    item["END"] = len(own) + brown_lm.BUCKETS
+    klass = np.arange(len(own) + brown_lm.BUCKETS + 1) % 5
+    klass[-1] = brown_lm.CLASSES - 1
+    want = collections.Counter()
+    for t in texts:
+        seq = ["END", *t.split(), "END"]
+        for a, b in zip(seq, seq[1:], strict=False):
+            want[-1, klass[item[a]], klass[item[b]]] += 1
+            if b != "END":
+                want[item[b], 0, klass[item[a]]] += 1
+            if a != "END":
+                want[item[a], 1, klass[item[b]]] += 1
+    got = brown_lm.neighbour_counts(src, lambda: (own, klass)).collect()
+    assert {(r["item"], r["side"], r["class"]): r["n"] for r in got} == dict(want)
+
+
 def test_exchange_raises_the_likelihood():
     rng = np.random.default_rng(3)
     true = rng.integers(0, 3, 40)

@@ -5,15 +5,21 @@ A word model on classes: P(w | previous) = P(class | previous class) * P(w | cla
 * Word counts cover every training document; they are summed by Spark and stay
   distributed.  The ``KNOWN_WORDS`` most frequent ones are broadcast (a fixed
   bound); all others are looked up by a join.
-* Classes are found by the exchange algorithm: items move, one at a time, to
+* Every word of at least ``OWN_COUNT`` occurrences is an item of its own (of the
+  broadcast ones, that is); rarer words share ``BUCKETS`` items by their last
+  bytes, so every word has a class.  The end of a text is an item with a class of
+  its own.
+* Classes are found by the exchange algorithm in two steps.  First the items of
+  the ``HEAD_WORDS`` most frequent words and of the buckets move, one at a time, to
   the class that raises the likelihood of the class bigrams most, until none
-  moves.  Items are the ``TOP_WORDS`` most frequent words, the end of a text,
-  and ``BUCKETS`` groups of the other words by their last bytes, so every word
-  has a class without a look-up.  Item bigrams are counted over all training
-  documents; the matrix has a fixed size.
-* P(w | bucket) is an absolute discount of the word's count; what it frees is
-  the probability of a new word.  Class transitions are smoothed towards the
-  class frequencies.
+  moves; their bigrams are a matrix of fixed size.  Then all items move, in at most
+  ``ALL_ROUNDS`` rounds: Spark counts the classes before and after every item over
+  all training documents, and each item goes to the class under which its
+  neighbours are likeliest, the class bigrams of the round being fixed.  Only the
+  items' classes come to the driver.  The rounds end when the likelihood no longer rises.
+* Counts are discounted by an absolute amount.  What that frees goes to the buckets
+  and there is the probability of a new word.  Class transitions are smoothed
+  towards the class frequencies.
 
 A text is its words, A-Z lowered, ``[^\\x20\\x09-\\x0D]+``, and one end.
 Defined results: null and blank texts are an end alone; a null id is kept;
@@ -33,14 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, broadcast, byte_chunks, i64, splitmix, stored, word_hashes, words_of
+from .common import U64, broadcast, byte_chunks, discard, i64, splitmix, stored, word_hashes, words_of
 
 KNOWN_WORDS = 250_000
-TOP_WORDS = 383
+OWN_COUNT = 4
+HEAD_WORDS = 383
 BUCKETS = 128
 CLASSES = 48
-END_ITEM = TOP_WORDS + BUCKETS
-ITEMS = END_ITEM + 1
+ALL_ROUNDS = 3
 END_HASH = np.int64(0x454E44)  # stands for the end of a text
 ROUNDS = 12
 _FLUSH = 2_000_000
@@ -50,11 +56,11 @@ _FLUSH = 2_000_000
 class Model:
     words: np.ndarray  # sorted hashes (int64) of the broadcast words, the end among them
     counts: np.ndarray
-    top: np.ndarray  # sorted hashes of the top words
-    top_item: np.ndarray
+    own: np.ndarray  # sorted hashes of the words that are items; then come the buckets, then the end
     klass: np.ndarray  # class of each item
-    step: np.ndarray  # (class, item): log10 P(class of item | class) + log10 P(item | its class)
-    bucket_total: np.ndarray  # tokens of each bucket
+    trans: np.ndarray  # (class, class): log10 P(class | class before)
+    emit: np.ndarray  # log10 P(item | its class)
+    bucket_total: np.ndarray  # mass of each bucket: tokens of its rare words, and what its own words were discounted by
     bucket_words: np.ndarray  # distinct words of each bucket
     discount: float
     total: int  # N
@@ -109,12 +115,13 @@ def word_counts(src: DataFrame) -> DataFrame:
     return src.mapInArrow(run, "word bigint, bucket int, n bigint").groupBy("word").agg(F.min("bucket").alias("bucket"), F.sum("n").alias("n"))
 
 
-def _items(h: np.ndarray, bucket: np.ndarray, top: np.ndarray, top_item: np.ndarray) -> np.ndarray:
-    out = TOP_WORDS + bucket
-    if len(top):
-        at = np.minimum(np.searchsorted(top, h), len(top) - 1)
-        hit = top[at] == h
-        out[hit] = top_item[at[hit]]
+def _items(h: np.ndarray, bucket: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """The place in ``own`` (sorted hashes), or beyond it the bucket."""
+    out = len(own) + bucket
+    if len(own):
+        at = np.minimum(np.searchsorted(own, h), len(own) - 1)
+        hit = own[at] == h
+        out[hit] = at[hit]
     return out
 
 
@@ -127,14 +134,14 @@ def _sequence(data, off, docs):
     is_end = np.zeros(int(size.sum()), bool)
     is_end[end_at] = True
     h = np.full(len(is_end), END_HASH)
-    bucket = np.full(len(is_end), BUCKETS)  # with TOP_WORDS added: END_ITEM
+    bucket = np.full(len(is_end), BUCKETS)  # after the buckets: the item of the end
     if len(s):
         h[~is_end] = i64(word_hashes(low, s, e))
         bucket[~is_end] = _bucket_of(low, s, e)
     return h, bucket, is_end, np.repeat(np.arange(docs), size), size
 
 
-def _previous(x: np.ndarray, is_end: np.ndarray, start):
+def _previous(x: np.ndarray, start):
     """The value before each position; a text starts after an end."""
     out = np.empty_like(x)
     out[1:] = x[:-1]
@@ -142,24 +149,114 @@ def _previous(x: np.ndarray, is_end: np.ndarray, start):
     return out
 
 
-def bigram_counts(src: DataFrame, top: np.ndarray, top_item: np.ndarray) -> np.ndarray:
-    """Item bigrams over ``src`` (t): an ITEMS x ITEMS matrix."""
-    names = ["cell", "n"]
+def bigram_counts(src: DataFrame, head: np.ndarray) -> np.ndarray:
+    """Item bigrams over ``src`` (t), of the words ``head`` (sorted), the buckets of all others and the end."""
+    names, items = ["cell", "n"], len(head) + BUCKETS + 1
 
     def run(batches):
-        cells = np.zeros(ITEMS * ITEMS, np.int64)
+        cells = np.zeros(items * items, np.int64)
         for batch in batches:
             for i, j, data, off in byte_chunks(batch.column(0)):
-                h, bucket, is_end, _, _ = _sequence(data, off, j - i)
-                item = _items(h, bucket, top, top_item)
-                cells += np.bincount(_previous(item, is_end, END_ITEM) * ITEMS + item, minlength=ITEMS * ITEMS)
+                h, bucket, _, _, _ = _sequence(data, off, j - i)
+                item = _items(h, bucket, head)
+                cells += np.bincount(_previous(item, items - 1) * items + item, minlength=items * items)
         hit = np.flatnonzero(cells)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(cells[hit])], names=names)
 
     got = src.mapInArrow(run, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(ITEMS * ITEMS)
+    out = np.zeros(items * items)
     out[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy()
-    return out.reshape(ITEMS, ITEMS)
+    return out.reshape(items, items)
+
+
+def neighbour_counts(src: DataFrame, shared) -> DataFrame:
+    """(item, side, class, n): classes before (side 0) and after (1) each item; item -1: class bigrams (side: the first)."""
+    names = ["item", "side", "class", "n"]
+
+    def run(batches):
+        own, klass = shared()
+        cells = np.zeros(len(klass) * 2 * CLASSES, np.int32)  # bounded: the items are
+        pairs = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            for i, j, data, off in byte_chunks(batch.column(0)):
+                h, bucket, is_end, _, _ = _sequence(data, off, j - i)
+                item = _items(h, bucket, own)
+                here = klass[item]
+                before = _previous(here, klass[-1])
+                after = np.append(here[1:], 0)
+                pairs += np.bincount(before * CLASSES + here, minlength=len(pairs))
+                inner = ~is_end
+                where = np.concatenate([item[inner] * 2 * CLASSES + before[inner], (item[inner] * 2 + 1) * CLASSES + after[inner]])
+                where, n = np.unique(where, return_counts=True)
+                cells[where] += n.astype(np.int32)
+                if cells[where].max(initial=0) > 1 << 30:
+                    yield from put(cells)
+                    cells[:] = 0
+        yield from put(cells)
+        k = np.flatnonzero(pairs)
+        yield batch_of(np.full(len(k), -1), k // CLASSES, k % CLASSES, pairs[k])
+
+    def put(cells):
+        hit = np.flatnonzero(cells)
+        for s in range(0, len(hit), 1 << 18):
+            k = hit[s:s + (1 << 18)]
+            yield batch_of(k // (2 * CLASSES), k // CLASSES % 2, k % CLASSES, cells[k])
+
+    def batch_of(item, side, klass, n):
+        return pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(klass.astype(np.int32)),
+                                           pa.array(n.astype(np.int64))], names=names)
+
+    rows = src.mapInArrow(run, "item int, side int, class int, n bigint")
+    return rows.groupBy("item", "side", "class").agg(F.sum("n").alias("n"))
+
+
+def best_classes(counts: DataFrame, pair: np.ndarray) -> DataFrame:
+    """(item, class): the class under which the item's neighbours are likeliest, the class bigrams fixed; the end's is left out."""
+    log = np.log(pair + 0.5)
+    mass = np.log(pair.sum(axis=0) + 0.5 * CLASSES)
+
+    def run(batches):
+        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
+        if not parts:
+            return
+        item, side, klass, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        names, at = np.unique(item, return_inverse=True)
+        for s in range(0, len(names), 8192):
+            e = min(len(names), s + 8192)
+            here = (at >= s) & (at < e)
+            side_counts = np.zeros((e - s, 2, CLASSES))
+            side_counts[at[here] - s, side[here], klass[here]] = n[here]
+            left, right = side_counts[:, 0], side_counts[:, 1]
+            value = left @ log + right @ log.T - 2 * left.sum(axis=1, keepdims=True) * mass
+            best = value[:, :-1].argmax(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(names[s:e].astype(np.int32)), pa.array(best.astype(np.int32))], names=["item", "class"])
+
+    return counts.where("item >= 0").repartition("item").mapInArrow(run, "item int, class int")
+
+
+def likelihood(pair: np.ndarray) -> float:
+    """Log likelihood of the class bigrams, but for a term that no exchange changes."""
+    return float(_h(pair).sum() - _h(pair.sum(axis=0)).sum() - _h(pair.sum(axis=1)).sum())
+
+
+def exchange_all(src: DataFrame, own: np.ndarray, klass: np.ndarray, rounds: int = ALL_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """Classes of all items after at most ``rounds`` rounds over ``src``, and the class bigrams."""
+    spark, kept = src.sparkSession, None
+    for left in range(rounds, -1, -1):
+        counts = stored(neighbour_counts(src, broadcast(spark, (own, klass))))
+        pair = np.zeros((CLASSES, CLASSES))
+        got = counts.where("item = -1").toPandas()  # one row for each pair of classes
+        pair[got["side"], got["class"]] = got["n"]
+        if kept is not None and likelihood(pair) <= likelihood(kept[1]):
+            discard(counts)
+            return kept
+        kept = klass, pair
+        if left:
+            moved = best_classes(counts, pair).toArrow()
+            klass = klass.copy()
+            klass[moved.column("item").to_numpy()] = moved.column("class").to_numpy()
+        discard(counts)
+    return kept
 
 
 def _h(x: np.ndarray) -> np.ndarray:
@@ -236,42 +333,38 @@ def fit(src: DataFrame) -> tuple[Model, DataFrame]:
     total, distinct = int(stats["n"].sum()), int(stats["v"].sum())
     known = counts.where((F.col("n") >= _least_count(counts)) | (F.col("word") == int(END_HASH))).toArrow()
     words, cnt, bucket = (known.column(c).to_numpy().astype(np.int64) for c in ("word", "n", "bucket"))
-    order = np.lexsort((words, -cnt))
+    order = np.argsort(words)
     words, cnt, bucket = words[order], cnt[order], bucket[order]
-    first = np.flatnonzero(words != END_HASH)[:TOP_WORDS]
-    order = np.argsort(words[first])
-    top, top_item, top_count = words[first][order], np.arange(len(first))[order], cnt[first]
     end_docs = int(cnt[words == END_HASH].sum())
-    b_total, b_words = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    mine = (cnt >= OWN_COUNT) & (words != END_HASH)
+    own, own_count, own_bucket = words[mine], cnt[mine], bucket[mine]
     real = stats[stats["bucket"] >= 0]
-    b_total[real["bucket"].to_numpy(np.int64)] = real["n"].to_numpy()
-    b_words[real["bucket"].to_numpy(np.int64)] = real["v"].to_numpy()
-    np.subtract.at(b_total, bucket[first], top_count)
-    np.subtract.at(b_words, bucket[first], 1)
     n1, n2 = float(real["n1"].sum()), float(real["n2"].sum())
     discount = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-
-    grams = bigram_counts(src, top, top_item)
-    klass = exchange_classes(grams)
-    uni = np.concatenate([top_count, np.zeros(TOP_WORDS - len(first)), b_total, [end_docs]]) + 0.5  # each item has some mass
+    b_total, b_words = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    b_total[real["bucket"].to_numpy(np.int64)] = real["n"].to_numpy()
+    b_words[real["bucket"].to_numpy(np.int64)] = real["v"].to_numpy()
+    np.subtract.at(b_total, own_bucket, own_count - discount)
+
+    top = np.sort(np.lexsort((own, -own_count))[:HEAD_WORDS])
+    head = exchange_classes(bigram_counts(src, own[top]))
+    klass = np.concatenate([head[len(top) + own_bucket], head[len(top):]])  # at first, that of the bucket
+    klass[top] = head[:len(top)]
+    klass, pair = exchange_all(src, own, klass)
+    uni = np.concatenate([own_count - discount, b_total, [end_docs]]) + 1e-3  # each item has some mass
     of_class = np.bincount(klass, weights=uni, minlength=CLASSES)
-    onto = np.zeros((ITEMS, CLASSES))
-    onto[np.arange(ITEMS), klass] = 1
-    pair = onto.T @ grams @ onto
     prior = of_class / of_class.sum()
     kappa = 10.0
-    trans = (pair + kappa * prior) / (pair.sum(axis=1, keepdims=True) + kappa)
-    emit = uni / of_class[klass]
-    step = np.log10(trans[:, klass]) + np.log10(emit)
-    by_hash = np.argsort(words)
-    return Model(words[by_hash], cnt[by_hash], top, top_item, klass, step, b_total, b_words, discount, total, distinct), counts
+    trans = np.log10(np.maximum((pair + kappa * prior) / (pair.sum(axis=1, keepdims=True) + kappa), 1e-300))  # a class may be empty
+    emit = np.log10(uni / of_class[klass])
+    return Model(words, cnt, own, klass, trans, emit, b_total, b_words, discount, total, distinct), counts
 
 
 def _in_bucket(m: Model, c: np.ndarray, bucket: np.ndarray) -> np.ndarray:
     """log10 P(word | bucket) of words with count c (0: new)."""
     n, v = m.bucket_total[bucket], m.bucket_words[bucket]
-    seen = np.maximum(c - m.discount, 1e-9) / np.maximum(n, 1)
-    new = np.where(n > 0, (m.discount * v + 1e-9) / np.maximum(n, 1), 1.0)
+    seen = np.maximum(c - m.discount, 1e-9) / np.maximum(n, 1e-9)
+    new = np.where(n > 0, (m.discount * v + 1e-9) / np.maximum(n, 1e-9), 1.0)
     return np.log10(np.where(c > 0, seen, new))
 
 
@@ -294,15 +387,15 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, doc_id: str = "do
             for i, j, data, off in byte_chunks(batch.column(1)):
                 docs_here = j - i
                 h, bucket, is_end, doc, size = _sequence(data, off, docs_here)
-                item = _items(h, bucket, m.top, m.top_item)
-                prev = m.klass[_previous(item, is_end, END_ITEM)]
-                logp = m.step[prev, item]
+                item = _items(h, bucket, m.own)
+                klass = m.klass[item]
+                logp = m.trans[_previous(klass, m.klass[-1]), klass] + m.emit[item]
                 at = np.minimum(np.searchsorted(m.words, h), max(0, len(m.words) - 1))
                 found = m.words[at] == h if len(m.words) else np.zeros(len(h), bool)
                 found |= is_end
                 c = np.where(found, m.counts[at] if len(m.words) else 0, 0)
                 c[is_end & (m.words[at] != h if len(m.words) else True)] = 0
-                in_bucket = (item >= TOP_WORDS) & (item < END_ITEM)
+                in_bucket = (item >= len(m.own)) & ~is_end
                 now = found & in_bucket
                 logp[now] += _in_bucket(m, c[now], bucket[now])
                 base = np.where(found, _base(m, c), 0.0)
@@ -334,7 +427,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, *, doc_id: str = "do
     per = spark.createDataFrame([(k, float(model.bucket_total[k]), float(model.bucket_words[k])) for k in range(BUCKETS)], "bucket int, bn double, bv double")
     rare = rare.join(F.broadcast(per), "bucket")  # one row for each bucket: a fixed number
     d, norm = model.discount, model.total + 0.1 * (model.distinct + 1)
-    bn = F.greatest(F.col("bn"), F.lit(1.0))
+    bn = F.greatest(F.col("bn"), F.lit(1e-9))
     p = F.when(F.col("c") > 0, F.greatest(F.col("c") - d, F.lit(1e-9)) / bn).when(F.col("bn") > 0, (d * F.col("bv") + 1e-9) / bn).otherwise(1.0)
     rare = rare.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
                                    F.sum(F.col("n") * F.log10((F.col("c") + 0.1) / norm)).alias("rare_base"),
