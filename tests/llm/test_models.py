@@ -297,7 +297,7 @@ def test_rounds_count_neighbours_as_plain_code_does(spark):
                 want[item[b], 0, klass[item[a]]] += 1
             if a != "END":
                 want[item[a], 1, klass[item[b]]] += 1
-    got = brown_lm.neighbour_counts(src, lambda: (own, klass)).collect()
+    got = brown_lm.neighbour_counts(brown_lm.item_sequences(src, own), lambda: klass).collect()
     assert {(r["item"], r["side"], r["class"]): r["n"] for r in got} == dict(want)
 
 

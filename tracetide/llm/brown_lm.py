@@ -169,23 +169,36 @@ def bigram_counts(src: DataFrame, head: np.ndarray) -> np.ndarray:
     return out.reshape(items, items)
 
 
-def neighbour_counts(src: DataFrame, shared) -> DataFrame:
+def item_sequences(src: DataFrame, own: np.ndarray) -> DataFrame:
+    """(items): the items of some texts of ``src`` (t) in a row, as int32 bytes; each text closes with the end's."""
+    shared = broadcast(src.sparkSession, own)
+
+    def run(batches):
+        own = shared()
+        for batch in batches:
+            for i, j, data, off in byte_chunks(batch.column(0)):
+                h, bucket, _, _, _ = _sequence(data, off, j - i)
+                yield pa.RecordBatch.from_arrays([pa.array([_items(h, bucket, own).astype(np.int32).tobytes()], pa.binary())], names=["items"])
+
+    return src.mapInArrow(run, "items binary")
+
+
+def neighbour_counts(sequences: DataFrame, shared) -> DataFrame:
     """(item, side, class, n): classes before (side 0) and after (1) each item; item -1: class bigrams (side: the first)."""
     names = ["item", "side", "class", "n"]
 
     def run(batches):
-        own, klass = shared()
+        klass = shared()
         cells = np.zeros(len(klass) * 2 * CLASSES, np.int32)  # bounded: the items are
         pairs = np.zeros(CLASSES * CLASSES, np.int64)
         for batch in batches:
-            for i, j, data, off in byte_chunks(batch.column(0)):
-                h, bucket, is_end, _, _ = _sequence(data, off, j - i)
-                item = _items(h, bucket, own)
+            for raw in batch.column(0):
+                item = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
                 here = klass[item]
                 before = _previous(here, klass[-1])
                 after = np.append(here[1:], 0)
                 pairs += np.bincount(before * CLASSES + here, minlength=len(pairs))
-                inner = ~is_end
+                inner = item < len(klass) - 1
                 where = np.concatenate([item[inner] * 2 * CLASSES + before[inner], (item[inner] * 2 + 1) * CLASSES + after[inner]])
                 where, n = np.unique(where, return_counts=True)
                 cells[where] += n.astype(np.int32)
@@ -206,7 +219,7 @@ def neighbour_counts(src: DataFrame, shared) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(klass.astype(np.int32)),
                                            pa.array(n.astype(np.int64))], names=names)
 
-    rows = src.mapInArrow(run, "item int, side int, class int, n bigint")
+    rows = sequences.mapInArrow(run, "item int, side int, class int, n bigint")
     return rows.groupBy("item", "side", "class").agg(F.sum("n").alias("n"))
 
 
@@ -242,20 +255,22 @@ def likelihood(pair: np.ndarray) -> float:
 def exchange_all(src: DataFrame, own: np.ndarray, klass: np.ndarray, rounds: int = ALL_ROUNDS) -> tuple[np.ndarray, np.ndarray]:
     """Classes of all items after at most ``rounds`` rounds over ``src``, and the class bigrams."""
     spark, kept = src.sparkSession, None
+    sequences = stored(item_sequences(src, own))  # texts are cut into words once, not in every round
     for left in range(rounds, -1, -1):
-        counts = stored(neighbour_counts(src, broadcast(spark, (own, klass))))
+        counts = stored(neighbour_counts(sequences, broadcast(spark, klass)))
         pair = np.zeros((CLASSES, CLASSES))
         got = counts.where("item = -1").toPandas()  # one row for each pair of classes
         pair[got["side"], got["class"]] = got["n"]
         if kept is not None and likelihood(pair) <= likelihood(kept[1]):
             discard(counts)
-            return kept
+            break
         kept = klass, pair
         if left:
             moved = best_classes(counts, pair).toArrow()
             klass = klass.copy()
             klass[moved.column("item").to_numpy()] = moved.column("class").to_numpy()
         discard(counts)
+    discard(sequences)
     return kept
 
 
