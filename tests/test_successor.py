@@ -59,6 +59,9 @@ CASES = [
     ("argmin", [("==", "g", "g"), ("!=", "w", "w")]),
     ("argmax", [("!=", "v", "v")]),
     ("argmin", [(">", "k", "k"), ("!=", "v", "v"), ("!=", "g", "g")]),
+    ("argmax", [("<", "k", "k"), ("!=", "v", "v"), ("!=", "w", "w"), ("<=", "u", "v")]),
+    ("argmin", [("==", "g", "g"), ("!=", "w", "w"), ("!=", "v", "v"), ("!=", "u", "v")]),
+    ("argmin", [("==", "g", "g"), (">=", "k", "k"), ("!=", "v", "u"), (">", "w", "w"), ("<", "u", "u"), (">=", "u", "v")]),
 ]
 
 
@@ -105,3 +108,10 @@ def test_no_pairs_in_the_plan(spark):
     for red, tests in CASES:
         text = search(df, pattern(red, tests), block_rows=40)._jdf.queryExecution().executedPlan().toString()
         assert "CartesianProduct" not in text and "NestedLoop" not in text
+
+
+def test_differs_make_one_plan(spark):
+    """Two ``!=`` beside a bound are one lookup: branches for each side of each ``!=`` multiplied the plan, and the driver's memory with it."""
+    _, df = table(spark)
+    text = search(df, pattern("argmax", CASES[12][1]))._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("Window ") <= 2 and text.count("Union") <= 1

@@ -20,11 +20,11 @@ Set constraints are compiled into an as-of plan, never into pairs:
   (which is ``<`` or ``>``), make branches; each branch is an as-of lookup, and
   the hit of the smallest (largest) key counts;
 * one ``!=`` between another column and a ``get`` keeps, beside the nearest row, the
-  nearest one of a different value (:func:`.asof.asof`, ``differ``); beside bounds on other
-  columns, or a second ``!=``, it is ``<`` or ``>`` or a missing value, as branches;
+  nearest one of a different value (:func:`.asof.asof`, ``differ``); a second one
+  becomes an equality key (:func:`.successor.differ_keys`);
 * bounds on other columns than the key are range successors
   (:mod:`.successor`): one bound by trees of maxima in blocks of the key, each
-  further one by a tree over its ranks;
+  further one, and every one beside a ``!=``, by a tree over its ranks;
 * ``[]`` inside a reduction means "rows matching the root".
 
 What is no comparison of a ``get`` with a column, a literal or another ``get`` raises
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ..config import materialize
 from ..functions.expr import TCol, compare, env_of, literal, quoted
 from .asof import asof, group_extreme
-from .successor import _usable, range_successor, tree_keys
+from .successor import differ_keys, range_successor, tree_keys
 
 
 class UnsupportedPattern(ValueError):
@@ -50,7 +50,6 @@ class UnsupportedPattern(ValueError):
 
 COMPARE = ("==", "!=", "<", ">", "<=", ">=")
 LOGICAL = ("&", "|")
-MISSING = "no value"  # of a branch: a column or a get that is NULL or NaN
 FLIP = {"<": ">", ">": "<", "<=": ">=", ">=": "<=", "==": "==", "!=": "!="}
 
 
@@ -111,46 +110,6 @@ def _branches(c, key: str) -> list:
     return [[c]]
 
 
-def _compares_other(part, key: str, ops: tuple) -> bool:
-    """Whether ``part`` compares a column that is not the key with a ``get``, by one of ``ops``."""
-    return (isinstance(part, list) and len(part) == 3 and part[0] in ops
-            and any(isinstance(a, str) and a != key and _is_get(b) for a, b in (part[1:], part[:0:-1])))
-
-
-def _without_differs(parts: list, key: str, missing: set) -> list:
-    """The branches of ``parts`` without ``!=`` on other columns, unless there is only one and no bound beside it.
-
-    ``missing``: the columns that hold NULL or NaN anywhere; only those need branches for it.
-    """
-    differs = [p for p in parts if _compares_other(p, key, ("!=",))]
-    rest = [p for p in parts if p not in differs]
-    if len(differs) <= 1 and not any(_compares_other(p, key, ("<", "<=", ">", ">=")) for p in rest):
-        return [parts]
-    out = [rest]
-    for _, a, b in differs:
-        column, got = (a, b) if _is_get(b) else (b, a)
-        cases = [["<", column, got], [">", column, got], *([[MISSING, column]] if column in missing else []), *([[MISSING, got]] if got[1] in missing else [])]
-        out = [[*branch, case] for branch in out for case in cases]
-    return out
-
-
-def _leaves(c) -> list:
-    """The comparisons of a set constraint."""
-    if isinstance(c, list) and len(c) == 3 and c[0] in LOGICAL:
-        return _leaves(c[1]) + _leaves(c[2])
-    return [c]
-
-
-def _columns_of(part) -> list:
-    return [x[1] if _is_get(x) else x for x in part[1:] if isinstance(x, str) or _is_get(x)] if isinstance(part, list) else []
-
-
-def _columns_with_missing(trace: DataFrame, columns: list) -> set:
-    """Those of ``columns`` that hold NULL or NaN, by one aggregate."""
-    found = trace.agg(*[F.max(~_usable(quoted(c))).alias(str(k)) for k, c in enumerate(columns)]).first()
-    return {c for c, some in zip(columns, found) if some}
-
-
 def _split_branch(parts: list, key: str, root_cond: Column, env: dict, names: set):
     """-> (candidate filter, [(cand col, (node, col))], [(op, (node, col))], [probe comparison], [(cand col, op, (node, col))])."""
     filters, eqs, bounds, probe_tests, others = [], [], [], [], []
@@ -164,12 +123,6 @@ def _split_branch(parts: list, key: str, root_cond: Column, env: dict, names: se
         if isinstance(part, list) and len(part) == 0:
             filters.append(root_cond)
             continue
-        if isinstance(part, list) and part[0] == MISSING:
-            if _is_get(part[1]):
-                probe_tests.append((MISSING, ref(part[1]), None))
-            else:
-                filters.append(~_usable(quoted(part[1])))
-            continue
         if not _has_get(part):
             filters.append(compile_set(part, env, root_cond))
             continue
@@ -232,11 +185,7 @@ def search(trace: DataFrame, pattern: list, idx: str = "idx", block_rows: int |
         if len(c) != 3 or c[0] not in ("argmin", "argmax"):
             raise UnsupportedPattern(f"{c[0]!r} is not a reduction (argmin/argmax)")
         red, key, sc = c
-        parts_of = _branches(sc, key)
-        if any(len(_without_differs(parts, key, set())) > 1 for parts in parts_of):
-            missing = _columns_with_missing(trace, sorted({c for part in _leaves(sc) for c in _columns_of(part)} & set(trace.columns)))
-            parts_of = [parts for whole in parts_of for parts in _without_differs(whole, key, missing)]
-        branches = [_split_branch(parts, key, root_cond, env, bound) for parts in parts_of]
+        branches = [_split_branch(parts, key, root_cond, env, bound) for parts in _branches(sc, key)]
         # probe values: columns of the rows bound to earlier nodes
         refs = sorted({r for _, eqs, bounds, tests, others in branches
                        for r in [*(r for _, r in eqs), *(r for _, r in bounds), *(x for t in tests for x in t[1:] if isinstance(x, tuple)),
@@ -275,29 +224,16 @@ def _bind(trace: DataFrame, probes: DataFrame, env: dict, branch, red: str, key:
     want, far = ("next", F.greatest) if red == "argmin" else ("prev", F.least)
     near = [b for b in bounds if (b[0] in (">", ">=")) == (red == "argmin")]
     other = [b for b in bounds if b not in near]
+    near = [(op, f"_tt_{n}_{col}") for op, (n, col) in near]
     differ = [(f"_tt_{n}_{col}", a) for a, op, (n, col) in others if op == "!="]
     beyond = [(a, op, f"_tt_{n}_{col}") for a, op, (n, col) in others if op != "!="]
-    if beyond:
-        probes = _beyond(probes, cands, eq_pairs, [(op, f"_tt_{n}_{col}") for op, (n, col) in near], beyond, key, idx, want, out, rname, out_key, block_rows)
-    elif near:
-        # of several bounds, the hit that is farthest satisfies all
-        for m, (op, (n, col)) in enumerate(near):
-            probes = asof(probes, cands, eq_pairs, f"_tt_{n}_{col}", key, idx, want, strict=op in ("<", ">"),
-                          out=f"{out}_{m}", probe_id=rname, block_rows=block_rows, out_key=f"{out_key}_{m}", differ=differ[0] if differ else None)
-        sign = 1 if red == "argmin" else -1  # of equal keys an argmax takes the lowest id first
-        each = [F.struct(F.col(f"{out_key}_{m}").alias("k"), (sign * F.col(f"{out}_{m}")).alias("i")) for m in range(len(near))]
-        got = each[0] if len(each) == 1 else far(*each)
-        every = reduce(lambda x, y: x & y, [F.col(f"{out}_{m}").isNotNull() for m in range(len(near))])
-        probes = probes.withColumn(out, F.when(every, sign * got["i"])).withColumn(out_key, F.when(every, got["k"]))
-        probes = probes.drop(*[f"{c}_{m}" for c in (out, out_key) for m in range(len(near))])
+    if beyond or len(differ) > 1:
+        probes = _beyond(probes, cands, eq_pairs, near, beyond, differ, key, idx, red, out, rname, out_key, block_rows)
     else:
-        probes = group_extreme(probes, cands, eq_pairs, key, idx, "min" if red == "argmin" else "max", out, out_key=out_key, differ=differ[0] if differ else None)
+        probes = _nearest(probes, cands, eq_pairs, near, differ[0] if differ else None, key, idx, red, out, rname, out_key, block_rows)
     # the nearest row must also respect the bounds on the other side, and the probe its own tests
     ok = [compare(op, TCol(F.col(out_key), "int"), TCol(F.col(f"_tt_{n}_{col}"), "int")).col for op, (n, col) in other]
     for op, (n, col), b in tests:
-        if op == MISSING:
-            ok.append(~_usable(F.col(f"_tt_{n}_{col}")))
-            continue
         right = TCol(F.col(f"_tt_{b[0]}_{b[1]}"), env[b[1]].kind) if isinstance(b, tuple) else literal(b)
         ok.append(compare(op, TCol(F.col(f"_tt_{n}_{col}"), env[col].kind), right).col)
     for test in ok:
@@ -305,20 +241,48 @@ def _bind(trace: DataFrame, probes: DataFrame, env: dict, branch, red: str, key:
     return probes
 
 
-def _beyond(probes: DataFrame, cands: DataFrame, eq_pairs: list, near: list, beyond: list, key: str, idx: str, want: str,
+def _nearest(probes: DataFrame, cands: DataFrame, eq_pairs: list, near: list, differ: tuple | None, key: str, idx: str, red: str,
+             out: str, probe_id: str, out_key: str, block_rows: int | None) -> DataFrame:
+    """Add the nearest candidate beyond all of ``near`` (op, probe column), without those the first or last of all."""
+    if not near:
+        return group_extreme(probes, cands, eq_pairs, key, idx, "min" if red == "argmin" else "max", out, out_key=out_key, differ=differ)
+    want, far = ("next", F.greatest) if red == "argmin" else ("prev", F.least)
+    # of several bounds, the hit that is farthest satisfies all
+    for m, (op, x) in enumerate(near):
+        probes = asof(probes, cands, eq_pairs, x, key, idx, want, strict=op in ("<", ">"),
+                      out=f"{out}_{m}", probe_id=probe_id, block_rows=block_rows, out_key=f"{out_key}_{m}", differ=differ)
+    sign = 1 if red == "argmin" else -1  # of equal keys an argmax takes the lowest id first
+    each = [F.struct(F.col(f"{out_key}_{m}").alias("k"), (sign * F.col(f"{out}_{m}")).alias("i")) for m in range(len(near))]
+    got = each[0] if len(each) == 1 else far(*each)
+    every = reduce(lambda x, y: x & y, [F.col(f"{out}_{m}").isNotNull() for m in range(len(near))])
+    probes = probes.withColumn(out, F.when(every, sign * got["i"])).withColumn(out_key, F.when(every, got["k"]))
+    return probes.drop(*[f"{c}_{m}" for c in (out, out_key) for m in range(len(near))])
+
+
+def _beyond(probes: DataFrame, cands: DataFrame, eq_pairs: list, near: list, beyond: list, differ: list, key: str, idx: str, red: str,
             out: str, rname: str, out_key: str, block_rows: int | None) -> DataFrame:
-    """Add the nearest candidate for which all of ``beyond`` (column, op, probe column) hold, too."""
+    """Add the nearest candidate for which all of ``beyond`` (column, op, probe column) hold, too, and which
+    differs by all of ``differ`` (probe column, column)."""
+    want = "next" if red == "argmin" else "prev"
     grouped: dict = {}
     for column, op, x in beyond:
         grouped.setdefault(column, {}).setdefault(op, []).append(x)
-    column = min(grouped, key=lambda c: len(grouped[c]))  # one bound is the successor's, the rest go by trees
-    op, cols = grouped[column].popitem()
+    if not differ:
+        column = min(grouped, key=lambda c: len(grouped[c]))  # one bound is the successor's, the rest go by trees
+        op, cols = grouped[column].popitem()
+    elif len(differ) > 1:  # the scan tells the column of most values apart, the others go by trees
+        many = cands.agg(*[F.approx_count_distinct(quoted(v)) for _, v in differ]).first()
+        differ = [differ[m] for m in sorted(range(len(differ)), key=lambda m: -many[m])]
     rows, of_row = probes, rname
-    for m, (c, ops) in enumerate((c, ops) for c, ops in grouped.items() if ops):
-        rows, cands = tree_keys(rows, cands, c, [(o, x) for o, xs in ops.items() for x in xs], of_row, f"_tt_node{m}")
+    trees = [(c, [(o, x) for o, xs in ops.items() for x in xs]) for c, ops in grouped.items() if ops] + [(c, [("!=", x)]) for x, c in differ[1:]]
+    for m, (c, tests) in enumerate(trees):
+        rows, cands = (differ_keys if tests[0][0] == "!=" else tree_keys)(rows, cands, c, tests, of_row, f"_tt_node{m}")
         eq_pairs = [*eq_pairs, (f"_tt_node{m}", f"_tt_node{m}")]
         rows, of_row = rows.withColumn("_tt_copy", F.xxhash64(of_row, f"_tt_node{m}")), "_tt_copy"
-    got = range_successor(rows, cands, eq_pairs, near, (column, op, cols), key, idx, want, out, of_row, out_key, block_rows)
+    if differ:
+        got = _nearest(rows, cands, eq_pairs, near, differ[0], key, idx, red, out, of_row, out_key, block_rows)
+    else:
+        got = range_successor(rows, cands, eq_pairs, near, (column, op, cols), key, idx, want, out, of_row, out_key, block_rows)
     if of_row == rname:
         return got
     sign = 1 if want == "next" else -1

@@ -20,8 +20,8 @@ Plan, without pairs.  "First row from here on with a value above x":
 Without a key bound only the records of the whole group count, and step 3 is all.
 
 A second bound on other columns (:func:`tree_keys`) becomes an equality key: values are
-ranked, each candidate is put under the nodes of a binary tree over the ranks that hold
-it, and a probe's range is at most one node for each level.  So every further bound
+ranked, each candidate is put under the nodes of a tree over the ranks that hold
+it, and a probe's range is a few nodes for each level.  So does a ``!=`` (:func:`differ_keys`).  So every further bound
 multiplies the rows by the logarithm of the number of different values.
 
 NULL and NaN keys, values and bounds never compare, and NULL equality keys match nothing.
@@ -29,7 +29,6 @@ NULL and NaN keys, values and bounds never compare, and NULL equality keys match
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 import numpy as np
@@ -46,6 +45,7 @@ MOST_ROWS = 1 << 20  # rows of a block that one task holds
 CHUNK_ROWS = 1 << 16  # rows looked at together where groups are small
 NARROW = 1 << 20  # whole numbers of a smaller range need no ranks
 FAN_BITS = 6  # a node of the tree over blocks has 64 children
+TREE_BITS = 2  # a node of a tree over ranks has 4
 
 
 def first_reaching(values: np.ndarray, start: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -245,28 +245,44 @@ def range_successor(probes: DataFrame, cands: DataFrame, eq: list, key_bounds: l
     return hits.select("_tt_row.*", F.col("_tt_hi").alias(out), turn_back(F.col("_tt_hk")).alias(out_key))
 
 
+def _ranked(cands: DataFrame, probes: DataFrame, column: str, cols: list):
+    """(``cands`` with _tt_rank, number of ranks, their table, least value): without a table the numbers themselves are ranks."""
+    whole = all(isinstance(t, T.IntegralType) for t in (cands.schema[column].dataType, *(probes.schema[x].dataType for x in cols)))
+    low, high = cands.agg(F.min(column), F.max(column)).first() if whole else (None, None)
+    if low is not None and high - low < NARROW:
+        return cands.withColumn("_tt_rank", F.col(column).cast("bigint") - low), high - low + 1, None, low
+    cands = materialize(cands)
+    ranked = with_position(cands.where(_usable(F.col(column))).select(F.col(column).alias("_tt_value")).distinct(), ["_tt_value"], out="_tt_rank")
+    return cands.join(ranked, F.col(column) == F.col("_tt_value"), "left").drop("_tt_value"), ranked.count(), ranked, None
+
+
+def _nodes_of_range(least, most, levels: int):
+    """The nodes (number * 64 + level) whose ranks are least .. most - 1: at each level what is left of the range, less whole parents."""
+    f, parts = 1 << TREE_BITS, []
+    for h in range(levels):
+        down, up = TREE_BITS * h, TREE_BITS * (h + 1)
+        l, r = F.shiftright(least + ((1 << down) - 1), down), F.shiftright(most, down)
+        next_l, next_r = F.shiftright(least + ((1 << up) - 1), up), F.shiftright(most, up)
+        run = lambda a, b: F.sequence(a * 64 + h, (b - 1) * 64 + h, F.lit(64).cast("bigint"))  # noqa: B023, E731
+        parts += [F.when((next_l >= next_r) & (l < r), run(l, r)).when((next_l < next_r) & (l < next_l * f), run(l, next_l * f)),
+                  F.when((next_l < next_r) & (next_r * f < r), run(next_r * f, r))]
+    return F.flatten(F.array_compact(F.array(*parts)))
+
+
 def tree_keys(probes: DataFrame, cands: DataFrame, column: str, bounds: list, probe_id: str, node: str) -> tuple[DataFrame, DataFrame]:
     """``bounds`` (op, probe column) of a candidate column as an equality of the new column ``node`` of both sides.
 
-    A candidate is repeated for each level of a binary tree over the ranks of its
-    values, a probe for each node that makes up its range of ranks, at most two
-    a level; one of no range stays once, under no node.
+    A candidate is repeated for each level of a tree over the ranks of its
+    values, a probe for each node that makes up its range of ranks; one of no range stays
+    once, under no node.  A node has 4 children: half the levels of a binary tree.
     """
-    some = cands.where(_usable(F.col(column)))
-    whole = all(isinstance(t, T.IntegralType) for t in (cands.schema[column].dataType, *(probes.schema[x].dataType for _, x in bounds)))
-    low, high = some.agg(F.min(column), F.max(column)).first() if whole else (None, None)
+    some, n, ranked, low = _ranked(cands.where(_usable(F.col(column))), probes, column, [x for _, x in bounds])
     limits = {"from": [], "to": []}  # a probe's ranks are from .. to - 1
-    if whole and low is not None and high - low < NARROW:  # the numbers themselves are the ranks
-        n = high - low + 1
-        some = some.withColumn("_tt_rank", F.col(column).cast("bigint") - low)
+    if ranked is None:
         for op, x in bounds:
             edge = F.col(x).cast("bigint") - low + int(op in (">", "<="))
             limits["from" if op in (">", ">=") else "to"].append(F.when(F.col(x).isNull(), n if op in (">", ">=") else 0).otherwise(edge))
     else:
-        some = materialize(some)
-        ranked = with_position(some.select(F.col(column).alias("_tt_value")).distinct(), ["_tt_value"], out="_tt_rank")
-        n = ranked.count()
-        some = some.join(ranked, F.col(column) == F.col("_tt_value")).drop("_tt_value")
         for m, (op, x) in enumerate(bounds):
             probes = probes.withColumn("_tt_bound", F.when(_usable(F.col(x)), F.col(x)))
             side = "next" if op in (">", ">=") else "prev"
@@ -274,15 +290,33 @@ def tree_keys(probes: DataFrame, cands: DataFrame, column: str, bounds: list, pr
             edge = F.when(F.col("_tt_bound").isNotNull(), F.col(f"_tt_edge{m}") + int(side == "prev"))
             probes = probes.withColumn(f"_tt_edge{m}", F.coalesce(edge, F.lit(n if side == "next" else 0).cast("bigint"))).drop("_tt_bound")
             limits["from" if side == "next" else "to"].append(F.col(f"_tt_edge{m}"))
-    levels = max(1, math.ceil(math.log2(n + 1)))
-    some = some.withColumn(node, F.explode(F.array(*[F.shiftright("_tt_rank", h) * 64 + h for h in range(levels)]))).drop("_tt_rank")
+    levels = max(1, -(-n.bit_length() // TREE_BITS))  # the top one has less than 4 nodes
+    some = some.withColumn(node, F.explode(F.array(*[F.shiftright("_tt_rank", TREE_BITS * h) * 64 + h for h in range(levels)]))).drop("_tt_rank")
     least = reduce(lambda a, b: F.greatest(a, b), limits["from"], F.lit(0).cast("bigint"))
     most = reduce(lambda a, b: F.least(a, b), limits["to"], F.lit(n).cast("bigint"))
     probes = probes.withColumn("_tt_from", least).withColumn("_tt_to", most)
-    nodes = []
-    for h in range(levels):  # at each level what is left of the range, less its odd ends
-        l, r = F.shiftright(F.col("_tt_from") + ((1 << h) - 1), h), F.shiftright("_tt_to", h)
-        nodes += [F.when((l < r) & (l % 2 == 1), l * 64 + h), F.when((l < r) & (r % 2 == 1), (r - 1) * 64 + h)]
-    probes = probes.withColumn(node, F.array_compact(F.array(*nodes)))
+    probes = probes.withColumn(node, _nodes_of_range(F.col("_tt_from"), F.col("_tt_to"), levels))
     probes = probes.withColumn(node, F.explode(F.when(F.size(node) == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(F.col(node))))
     return probes.drop("_tt_from", "_tt_to", *[f"_tt_edge{m}" for m in range(len(bounds))]), some
+
+
+def differ_keys(probes: DataFrame, cands: DataFrame, column: str, tests: list, probe_id: str, node: str) -> tuple[DataFrame, DataFrame]:
+    """One ``("!=", probe column)`` of a candidate column as an equality of the new column ``node`` of both sides.
+
+    In a binary tree over the ranks a value differs from another by exactly one sibling on the
+    other's way to the root: a candidate is repeated for its node of each level, a probe for the siblings.
+    NULL and NaN differ from everything: such candidates have a rank of their own, such probes one that no candidate has.
+    """
+    (_, x), = tests
+    cands, n, ranked, low = _ranked(cands, probes, column, [x])
+    if ranked is None:
+        own = F.col(x).cast("bigint") - low
+        probes = probes.withColumn("_tt_rank", F.when((own >= 0) & (own < n), own))
+    else:
+        probes = probes.join(ranked, F.col(x) == F.col("_tt_value"), "left").drop("_tt_value")
+    levels = (n + 1).bit_length()
+    rank = F.coalesce("_tt_rank", F.lit(n).cast("bigint"))
+    cands = cands.withColumn(node, F.explode(F.array(*[F.shiftright(rank, h) * 64 + h for h in range(levels)]))).drop("_tt_rank")
+    rank = F.coalesce("_tt_rank", F.lit(n + 1).cast("bigint"))
+    siblings = [F.shiftright(rank, h).bitwiseXOR(F.lit(1).cast("bigint")) * 64 + h for h in range(levels)]
+    return probes.withColumn(node, F.explode(F.array(*siblings))).drop("_tt_rank"), cands
