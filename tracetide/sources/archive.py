@@ -99,25 +99,28 @@ def _kind_to_spark(kinds: set) -> T.DataType:
     return T.StringType()
 
 
-def _list_archives(path: str) -> list:
+def _list_infos(path: str) -> list:
+    """File infos of the archives, sorted by path, by one listing."""
     import pyarrow.fs as pafs
     fs, root = _filesystem(path)
     info = fs.get_file_info(root)
     if info.type == pafs.FileType.File:
-        return [info.path]
+        return [info]
     infos = fs.get_file_info(pafs.FileSelector(root, recursive=True))
-    return sorted(i.path for i in infos if i.type == pafs.FileType.File and i.path.endswith(".tar"))
+    return sorted((i for i in infos if i.type == pafs.FileType.File and i.path.endswith(".tar")), key=lambda i: i.path)
+
+
+def _list_archives(path: str) -> list:
+    return [i.path for i in _list_infos(path)]
 
 
 def _archive_groups(path: str, most_files: int = 256, most_bytes: int = 128 << 20, names: list | None = None) -> list:
     """Archives in groups for a task each: small files together, a large one alone; a file that is gone has size 0."""
-    import pyarrow.fs as pafs
-    names = _list_archives(path) if names is None else names
-    if not names:
+    infos = _list_infos(path) if names is None else _filesystem(path)[0].get_file_info(names)
+    if not infos:
         return []
-    fs, _ = _filesystem(path)
     groups, held = [[]], 0
-    for info in fs.get_file_info(names):
+    for info in infos:
         if groups[-1] and (held + (info.size or 0) > most_bytes or len(groups[-1]) >= most_files):
             groups.append([])
             held = 0
@@ -171,12 +174,8 @@ class ArchiveReader(DataSourceReader):
         self.batch = int(options.get("batchRows", self.BATCH_ROWS))
 
     def partitions(self):
-        names = _list_archives(self.path)
-        if not names:
-            return []
-        fs, _ = _filesystem(self.path)
         parts = []
-        for info in fs.get_file_info(names):
+        for info in _list_infos(self.path):
             shares = max(1, -(-(info.size or 0) // self.split))
             parts += [ArchivePartition(info.path, i, shares) for i in range(shares)]
         return parts

@@ -120,8 +120,12 @@ def seen_archives(log: str) -> list:
 
 
 def new_archives(path: str, log: str) -> list:
-    seen = set(seen_archives(log))
-    return [p for p in _list_archives(path) if p not in seen]
+    return _not_in(_list_archives(path), seen_archives(log))
+
+
+def _not_in(names: list, seen: list) -> list:
+    known = set(seen)
+    return [p for p in names if p not in known]
 
 
 class RunArchiveStreamReader(RunArchiveRows, DataSourceStreamReader):
@@ -142,7 +146,7 @@ class RunArchiveStreamReader(RunArchiveRows, DataSourceStreamReader):
 
     def latestOffset(self):
         seen = seen_archives(self.log)
-        found = [p for p in _list_archives(self.path) if p not in set(seen)]
+        found = _not_in(_list_archives(self.path), seen)
         found = found[:self.most] if self.most else found
         if found:
             put_file(f"{self.log.rstrip('/')}/{len(seen):012d}.json", json.dumps(found).encode())
