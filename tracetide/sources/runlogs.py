@@ -18,7 +18,7 @@ import json
 import os
 import tarfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -56,9 +56,10 @@ class RunArchivePartition(InputPartition):
 
 class RunArchiveRows:
     """Rows (kind, path, member, no, text): ``F`` one for each file, ``L`` text
-    lines, ``D`` JSON documents."""
+    lines, ``D`` JSON documents.  Without members to read no file is opened."""
 
     ROWS = 1 << 14
+    CHARS = 1 << 23  # of the texts held for a batch
 
     def __init__(self, options: dict):
         self.path = options["path"]
@@ -66,17 +67,23 @@ class RunArchiveRows:
         self.docs = set(json.loads(options.get("jsonmembers", "[]")))
 
     def read(self, part: RunArchivePartition):
+        """The rows of all archives of the task in batches, so that small archives share one."""
+        schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("member", pa.string()), ("no", pa.int64()), ("text", pa.string())])
+        rows, chars = [], 0
         for archive in part.archives:
-            yield from self.read_one(archive)
+            for row in self.read_one(archive):
+                rows.append(row)
+                chars += len(row[4] or "")
+                if len(rows) >= self.ROWS or chars >= self.CHARS:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                    rows, chars = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
     def read_one(self, archive: str):
-        import pyarrow as pa
-        schema = pa.schema([("kind", pa.string()), ("path", pa.string()), ("member", pa.string()), ("no", pa.int64()), ("text", pa.string())])
-
-        def batch(rows):
-            return pa.RecordBatch.from_pylist([dict(zip(schema.names, r)) for r in rows], schema=schema)
-
-        yield batch([("F", archive, None, 0, None)])
+        yield "F", archive, None, 0, None
+        if not self.text and not self.docs:
+            return
         seen: set = set()
         try:
             with _open(self.path, archive) as f, tarfile.open(fileobj=f, mode="r:") as tar:
@@ -87,17 +94,10 @@ class RunArchiveRows:
                     seen.add(base)  # of equal names the first member counts
                     data = tar.extractfile(info)
                     if base in self.docs:
-                        yield batch([("D", archive, base, 0, data.read().decode("utf-8", "replace"))])
+                        yield "D", archive, base, 0, data.read().decode("utf-8", "replace")
                         continue
-                    rows, i = [], 0
-                    for line in io.TextIOWrapper(data, "utf-8", "replace", newline="\n"):
-                        rows.append(("L", archive, base, i, line.removesuffix("\n")))
-                        i += 1
-                        if len(rows) >= self.ROWS:
-                            yield batch(rows)
-                            rows = []
-                    if rows:
-                        yield batch(rows)
+                    for i, line in enumerate(io.TextIOWrapper(data, "utf-8", "replace", newline="\n")):
+                        yield "L", archive, base, i, line.removesuffix("\n")
         except tarfile.TarError:
             return  # an unreadable archive keeps its row and has no logs
 
@@ -182,8 +182,11 @@ def read_run_archives(spark: SparkSession, directory: str, regexp: str = ".*", t
     that cannot be read.  The members that the table's columns use are declared
     by the caller."""
     spark.dataSource.register(RunArchiveDataSource)
-    raw = spark.read.format("tracetide_runs").options(**member_options(text_members, json_members)).load(directory)
-    return split_run_rows(raw, regexp)
+
+    def rows(texts, docs):  # each table reads its own members only
+        return split_run_rows(spark.read.format("tracetide_runs").options(**member_options(texts, docs)).load(directory), regexp)
+
+    return rows(text_members, [])[0], rows([], json_members)[1], rows([], [])[2]
 
 
 def member_options(text_members, json_members) -> dict:
@@ -218,13 +221,31 @@ def write_run_archives(lines: DataFrame, docs: DataFrame, directory: str) -> Dat
     first = docs.groupBy("path", "member").agg(F.min("doc_no").alias("no"), F.min_by("doc", "doc_no").alias("text"))
     rows = text.unionByName(first.select("path", "member", "no", "text"))
 
-    def write(pdf: pd.DataFrame) -> pd.DataFrame:
-        path = pdf["path"].iloc[0]
-        members = [(f"logs/{m}", "\n".join(own.sort_values("no")["text"])) for m, own in pdf.groupby("member")]
-        put_file(f"{directory.rstrip('/')}/{path}", run_archive_bytes(members))
-        return pd.DataFrame({"path": [path]})
-
-    return rows.groupBy("path").applyInPandas(write, "path string")
+    def write(batches):
+        run, members = None, []  # the members of one run: (name, lines)
+
+        def finish():
+            put_file(f"{directory.rstrip('/')}/{run}", run_archive_bytes([(f"logs/{m}", "\n".join(own)) for m, own in members]))
+            return run
+
+        for batch in batches:
+            done = []
+            for path, member, line in zip(*(batch.column(c).to_pylist() for c in ("path", "member", "text"))):
+                if path != run:
+                    if members:
+                        done.append(finish())
+                    run, members = path, []
+                if not members or members[-1][0] != member:
+                    members.append((member, []))
+                members[-1][1].append(line)
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(done, pa.string())], names=["path"])
+        if members:
+            yield pa.RecordBatch.from_arrays([pa.array([finish()], pa.string())], names=["path"])
+
+    # a run's rows lie together in one task, in order; the hash sorts faster than paths that begin alike
+    rows = rows.repartition("path").sortWithinPartitions(F.xxhash64("path"), "path", "member", F.col("no").asc_nulls_last())
+    return rows.select("path", "member", "text").mapInArrow(write, "path string")
 
 
 # ---------------------------------------------------------------- from events
