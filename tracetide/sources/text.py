@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tarfile
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .archive import _list_archives, _open  # module-level: pickled by value with this module
 
 PREVIEW_BYTES = 1 << 20
+BATCH_ROWS = 1 << 12
+BATCH_BYTES = 1 << 24
 
 
 def preview(spark: SparkSession, path: str, limit: int = PREVIEW_BYTES) -> DataFrame:
@@ -23,20 +25,27 @@ def preview(spark: SparkSession, path: str, limit: int = PREVIEW_BYTES) -> DataF
 def preview_archives(spark: SparkSession, path: str, limit: int = PREVIEW_BYTES) -> DataFrame:
     """SRC13: member list of every archive below ``path`` with each member's
     length and the first ``limit`` bytes as text; only those bytes are read."""
-    names = spark.createDataFrame([(a,) for a in _list_archives(path)], "archive string")
+    names = spark.createDataFrame(pa.table({"archive": pa.array(_list_archives(path), pa.string())}))
+    schema = pa.schema([("path", pa.string()), ("member", pa.string()), ("length", pa.int64()), ("text", pa.string())])
 
     def look(batches):
-        for pdf in batches:
-            for archive in pdf["archive"]:
-                rows = []
+        rows, held = [], 0
+        for batch in batches:
+            for archive in batch.column("archive").to_pylist():
                 with _open(path, archive) as f, tarfile.open(fileobj=f, mode="r:") as tar:
                     for info in tar:
-                        if info.isreg():
-                            head = tar.extractfile(info).read(limit)
-                            rows.append((archive, info.name, info.size, head.decode("utf-8", "replace")))
-                yield pd.DataFrame(rows, columns=["path", "member", "length", "text"])
-
-    return names.repartition(64).mapInPandas(look, "path string, member string, length long, text string")
+                        if not info.isreg():
+                            continue
+                        head = tar.extractfile(info).read(limit)
+                        rows.append((archive, info.name, info.size, head.decode("utf-8", "replace")))
+                        held += len(head)
+                        if len(rows) >= BATCH_ROWS or held >= BATCH_BYTES:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                            rows, held = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return names.repartition(64).mapInArrow(look, "path string, member string, length long, text string")
 
 
 def read_process_list(spark: SparkSession, path: str, header: list | None = None) -> DataFrame:
