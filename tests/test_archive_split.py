@@ -62,3 +62,13 @@ def test_lengths_that_differ_mixed_storage_and_empty_archives(spark, tmp_path):
     assert sorted((r["idx"], r["a"], r["b"]) for r in got) == [(i, i, i) for i in range(50)]
     archive.write_trace_archive(str(tmp_path / "none.tar"), {"a": np.empty(0, dtype="int64")}, False)
     assert archive.read_trace_archives(spark, str(tmp_path / "none.tar"), split_bytes=100).count() == 0
+
+
+def test_a_writing_task_holds_a_bounded_number_of_bytes(spark, tmp_path):
+    """Wide or many rows of one task are cut into archives by their bytes, and read back in small batches."""
+    df = spark.range(0, 1_300_000, 1, 1).selectExpr("id idx", "id * 3 a", "id * 5 b", "cast(id as double) c")
+    done = archive.write_trace_archives(df, str(tmp_path)).collect()
+    assert sum(r["rows"] for r in done) == 1_300_000 and max(r["rows"] for r in done) * 32 < 34 << 20
+    got = archive.read_trace_archives(spark, str(tmp_path)).selectExpr("count(*)", "sum(a)", "sum(b)", "sum(c)", "count(distinct idx)").first()
+    s = 1_300_000 * 1_299_999 // 2
+    assert tuple(got) == (1_300_000, 3 * s, 5 * s, float(s), 1_300_000)

@@ -5,8 +5,8 @@ Reading is a Python data source: archives are opened from the filesystem (no 2 G
 Arrow batches with an explicit ``idx``.  A large archive is dealt to several
 tasks, each of which reads its range of rows from every stored member by byte position.
 Compressed members can only be read from their beginning: such an archive is
-one task's, which streams all its columns side by side.  No task holds more than
-one batch.
+one task's, which streams all its columns side by side.  A reading task holds one
+batch, a writing one the rows of an archive, bounded in bytes, and one column of it.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .raw import _filesystem, put_file  # module-level: pickled by value with this module
+from .raw import _filesystem, new_file, put_file  # module-level: pickled by value with this module
 
 SPLIT_BYTES = 128 << 20
+ARCHIVE_BYTES = 32 << 20  # values that a writing task holds
 
 
 def _members(tar: tarfile.TarFile):
@@ -246,15 +247,20 @@ def read_trace_archives(spark: SparkSession, path: str, only=None,
 def archive_bytes(columns: dict, compressed: bool = True) -> bytes:
     """A trace archive: one ``.npz`` member per column; stored members can be read in parts."""
     out = io.BytesIO()
+    _write_archive(out, columns.items(), compressed)
+    return out.getvalue()
+
+
+def _write_archive(out, columns, compressed: bool) -> None:
+    """(name, values) of one column after the other, so that only one is held beside the rows."""
     with tarfile.open(fileobj=out, mode="w") as tar:
-        for name, values in columns.items():
+        for name, values in columns:
             buf = io.BytesIO()
             (np.savez_compressed if compressed else np.savez)(buf, **{name: np.asarray(values)})
-            data = buf.getvalue()
             info = tarfile.TarInfo(f"data/{name}.npz")
-            info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-    return out.getvalue()
+            info.size = buf.tell()
+            buf.seek(0)
+            tar.addfile(info, buf)
 
 
 def write_trace_archive(path: str, columns: dict, compressed: bool = True) -> None:
@@ -262,9 +268,10 @@ def write_trace_archive(path: str, columns: dict, compressed: bool = True) -> No
     put_file(path, archive_bytes(columns, compressed))
 
 
-def write_trace_archives(df: DataFrame, directory: str, rows_per_archive: int = 1 << 22, compressed: bool = True) -> DataFrame:
+def write_trace_archives(df: DataFrame, directory: str, rows_per_archive: int = 1 << 22, compressed: bool = True,
+                         archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write the rows each task holds as archives of at most ``rows_per_archive``
-    rows; returns (path, rows) per written archive.
+    rows and about ``archive_bytes`` of values in memory; returns (path, rows) per written archive.
 
     Files are named by partition and number, so a retried or speculative task
     writes the same files again instead of others beside them.
@@ -273,22 +280,23 @@ def write_trace_archives(df: DataFrame, directory: str, rows_per_archive: int =
 
     def write(batches):
         from pyspark import TaskContext
-        part, number, held, rows = TaskContext.get().partitionId(), 0, [], 0
+        part, number, held, rows, size = TaskContext.get().partitionId(), 0, [], 0, 0
 
         def flush():
-            pdf = pd.concat(held, ignore_index=True)
             path = f"{directory.rstrip('/')}/part-{part:05d}-{number:05d}.tar"
-            put_file(path, archive_bytes({c: pdf[c].to_numpy() for c in cols}, compressed))
-            return pd.DataFrame({"path": [path], "rows": [len(pdf)]})
+            with new_file(path) as out:
+                _write_archive(out, ((c, pd.concat([p[c] for p in held], ignore_index=True).to_numpy()) for c in cols), compressed)
+            return pd.DataFrame({"path": [path], "rows": [rows]})
 
         for pdf in batches:
             if not len(pdf):
                 continue
-            if held and rows + len(pdf) > rows_per_archive:
+            if held and (rows + len(pdf) > rows_per_archive or size >= archive_bytes):
                 yield flush()
-                number, held, rows = number + 1, [], 0
+                number, held, rows, size = number + 1, [], 0, 0
             held.append(pdf)
             rows += len(pdf)
+            size += int(pdf.memory_usage(index=False, deep=True).sum())
         if held:
             yield flush()
 
