@@ -69,6 +69,7 @@ def test_a_writing_task_holds_a_bounded_number_of_bytes(spark, tmp_path):
     df = spark.range(0, 1_300_000, 1, 1).selectExpr("id idx", "id * 3 a", "id * 5 b", "cast(id as double) c")
     done = archive.write_trace_archives(df, str(tmp_path)).collect()
     assert sum(r["rows"] for r in done) == 1_300_000 and max(r["rows"] for r in done) * 32 < 34 << 20
+    assert archive.ArchiveReader.BATCH_ROWS * (4 * 8 + 200) < 16 << 20  # the archive's path stands in each row
     got = archive.read_trace_archives(spark, str(tmp_path)).selectExpr("count(*)", "sum(a)", "sum(b)", "sum(c)", "count(distinct idx)").first()
     s = 1_300_000 * 1_299_999 // 2
     assert tuple(got) == (1_300_000, 3 * s, 5 * s, float(s), 1_300_000)

@@ -165,7 +165,7 @@ class ArchivePartition(InputPartition):
 
 
 class ArchiveReader(DataSourceReader):
-    BATCH_ROWS = 1 << 20
+    BATCH_ROWS = 1 << 16  # the archive's path stands in each row
 
     def __init__(self, options: dict, schema: T.StructType):
         self.path = options["path"]
@@ -207,7 +207,7 @@ class ArchiveReader(DataSourceReader):
         arrays = []
         for field in arrow_schema:
             if field.name == "trace":
-                arrays.append(pa.array([archive] * (hi - lo), pa.string()))
+                arrays.append(pa.repeat(pa.scalar(archive, pa.string()), hi - lo))
             elif field.name in cols:
                 values = pa.array(cols[field.name])
                 arrays.append(values if values.type == field.type else values.cast(field.type))
