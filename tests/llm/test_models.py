@@ -314,3 +314,15 @@ def test_exchange_raises_the_likelihood():
 
     got = brown_lm.exchange_classes(n, classes=4)
     assert likelihood(got) > likelihood(np.append(np.arange(39) % 3, 3)) + 100
+
+
+def test_brown_counts_cross_the_shuffle_by_blocks(spark):
+    """A task sends one row for each block of items, not one for each item, side and class."""
+    texts = [(" ".join(f"w{(i * 7 + j * j) % 900}" for j in range(80)),) for i in range(60)]
+    src = spark.createDataFrame(texts, "t string").repartition(3)
+    own = np.sort([h for h, in brown_lm.word_counts(src).where("bucket >= 0").select("word").collect()])
+    klass = np.append(np.arange(len(own) + brown_lm.BUCKETS) % 40, brown_lm.CLASSES - 1)
+    counts = brown_lm.block_counts(brown_lm.item_sequences(src, own), lambda: klass).collect()
+    assert sorted(r["block"] for r in counts) == [-1, *range(-(-len(own) // brown_lm.BLOCK_ITEMS))]
+    sums = {r["block"]: int(np.frombuffer(r["n"], np.int64).sum()) for r in counts}
+    assert sums.pop(-1) == 60 * 81 and sum(sums.values()) == 2 * 60 * 80

@@ -47,6 +47,8 @@ HEAD_WORDS = 383
 BUCKETS = 128
 CLASSES = 48
 ALL_ROUNDS = 3
+BLOCK_ITEMS = 512  # items whose neighbour counts go together
+BLOCK_CELLS = BLOCK_ITEMS * 2 * CLASSES
 END_HASH = np.int64(0x454E44)  # stands for the end of a text
 ROUNDS = 12
 _FLUSH = 2_000_000
@@ -183,14 +185,15 @@ def item_sequences(src: DataFrame, own: np.ndarray) -> DataFrame:
     return src.mapInArrow(run, "items binary")
 
 
-def neighbour_counts(sequences: DataFrame, shared) -> DataFrame:
-    """(item, side, class, n): classes before (side 0) and after (1) each item; item -1: class bigrams (side: the first)."""
-    names = ["item", "side", "class", "n"]
+def block_counts(sequences: DataFrame, shared) -> DataFrame:
+    """(block, at, n): classes before (side 0) and after (1) each item, by blocks of ``BLOCK_ITEMS`` items: the cells
+    ((item in the block, side, class) as one number, uint16) with their counts (int64).  Block -1: class bigrams."""
+    names, schema = ["block", "at", "n"], "block int, at binary, n binary"
 
     def run(batches):
         klass = shared()
-        cells = np.zeros(len(klass) * 2 * CLASSES, np.int32)  # bounded: the items are
-        pairs = np.zeros(CLASSES * CLASSES, np.int64)
+        cells = np.zeros(-(-len(klass) // BLOCK_ITEMS) * BLOCK_CELLS, np.int32)  # bounded: the items are
+        pairs, held = np.zeros(CLASSES * CLASSES, np.int64), 0
         for batch in batches:
             for raw in batch.column(0):
                 item = np.frombuffer(raw.as_buffer(), np.int32).astype(np.int64)
@@ -199,28 +202,50 @@ def neighbour_counts(sequences: DataFrame, shared) -> DataFrame:
                 after = np.append(here[1:], 0)
                 pairs += np.bincount(before * CLASSES + here, minlength=len(pairs))
                 inner = item < len(klass) - 1
-                where = np.concatenate([item[inner] * 2 * CLASSES + before[inner], (item[inner] * 2 + 1) * CLASSES + after[inner]])
-                where, n = np.unique(where, return_counts=True)
-                cells[where] += n.astype(np.int32)
-                if cells[where].max(initial=0) > 1 << 30:
+                if held + len(item) > 1 << 30:
                     yield from put(cells)
-                    cells[:] = 0
+                    cells[:], held = 0, 0
+                held += len(item)
+                np.add.at(cells, item[inner] * 2 * CLASSES + before[inner], np.int32(1))
+                np.add.at(cells, (item[inner] * 2 + 1) * CLASSES + after[inner], np.int32(1))
         yield from put(cells)
-        k = np.flatnonzero(pairs)
-        yield batch_of(np.full(len(k), -1), k // CLASSES, k % CLASSES, pairs[k])
+        yield row(-1, pairs)
 
     def put(cells):
-        hit = np.flatnonzero(cells)
-        for s in range(0, len(hit), 1 << 18):
-            k = hit[s:s + (1 << 18)]
-            yield batch_of(k // (2 * CLASSES), k // CLASSES % 2, k % CLASSES, cells[k])
+        for block, own in enumerate(cells.reshape(-1, BLOCK_CELLS)):
+            if own.any():
+                yield row(block, own)
 
-    def batch_of(item, side, klass, n):
-        return pa.RecordBatch.from_arrays([pa.array(item.astype(np.int32)), pa.array(side.astype(np.int32)), pa.array(klass.astype(np.int32)),
-                                           pa.array(n.astype(np.int64))], names=names)
+    def row(block, own):
+        at = np.flatnonzero(own)
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([at.astype(np.uint16).tobytes()], pa.binary()),
+                                           pa.array([own[at].astype(np.int64).tobytes()], pa.binary())], names=names)
+
+    def merge(batches):  # a task's blocks; all there are is a fixed number
+        sums: dict = {}
+        for batch in batches:
+            for block, at, n in zip(batch.column("block").to_pylist(), batch.column("at"), batch.column("n"), strict=True):
+                own = sums.setdefault(block, np.zeros(BLOCK_CELLS, np.int64))
+                own[np.frombuffer(at.as_buffer(), np.uint16)] += np.frombuffer(n.as_buffer(), np.int64)
+        for block, own in sums.items():
+            yield row(block, own)
 
-    rows = sequences.mapInArrow(run, "item int, side int, class int, n bigint")
-    return rows.groupBy("item", "side", "class").agg(F.sum("n").alias("n"))
+    return sequences.mapInArrow(run, schema).repartition("block").mapInArrow(merge, schema)
+
+
+def neighbour_counts(sequences: DataFrame, shared) -> DataFrame:
+    """(item, side, class, n) of :func:`block_counts`; item -1: class bigrams (side: the first)."""
+    names = ["item", "side", "class", "n"]
+
+    def run(batches):
+        for batch in batches:
+            for block, at, n in zip(batch.column("block").to_pylist(), batch.column("at"), batch.column("n"), strict=True):
+                at, n = np.frombuffer(at.as_buffer(), np.uint16).astype(np.int32), np.frombuffer(n.as_buffer(), np.int64)
+                first, klass = at // CLASSES, at % CLASSES
+                item, side = (np.full(len(at), -1, np.int32), first) if block < 0 else (block * BLOCK_ITEMS + first // 2, first % 2)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((item, side, klass, n), (pa.int32(),) * 3 + (pa.int64(),), strict=True)], names=names)
+
+    return block_counts(sequences, shared).mapInArrow(run, "item int, side int, class int, n bigint")
 
 
 def best_classes(counts: DataFrame, pair: np.ndarray) -> DataFrame:
@@ -229,22 +254,24 @@ def best_classes(counts: DataFrame, pair: np.ndarray) -> DataFrame:
     mass = np.log(pair.sum(axis=0) + 0.5 * CLASSES)
 
     def run(batches):
-        parts = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not parts:
-            return
-        item, side, klass, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-        names, at = np.unique(item, return_inverse=True)
-        for s in range(0, len(names), 8192):
-            e = min(len(names), s + 8192)
-            here = (at >= s) & (at < e)
-            side_counts = np.zeros((e - s, 2, CLASSES))
-            side_counts[at[here] - s, side[here], klass[here]] = n[here]
-            left, right = side_counts[:, 0], side_counts[:, 1]
-            value = left @ log + right @ log.T - 2 * left.sum(axis=1, keepdims=True) * mass
-            best = value[:, :-1].argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(names[s:e].astype(np.int32)), pa.array(best.astype(np.int32))], names=["item", "class"])
-
-    return counts.where("item >= 0").repartition("item").mapInArrow(run, "item int, class int")
+        for batch in batches:
+            for block, at, n in zip(batch.column("block").to_pylist(), batch.column("at"), batch.column("n"), strict=True):
+                sides = np.zeros(BLOCK_CELLS)
+                sides[np.frombuffer(at.as_buffer(), np.uint16)] = np.frombuffer(n.as_buffer(), np.int64)
+                left, right = sides.reshape(BLOCK_ITEMS, 2, CLASSES).transpose(1, 0, 2)
+                value = left @ log + right @ log.T - 2 * left.sum(axis=1, keepdims=True) * mass
+                seen = np.flatnonzero(left.any(axis=1) | right.any(axis=1))
+                best = value[seen, :-1].argmax(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array((block * BLOCK_ITEMS + seen).astype(np.int32)), pa.array(best.astype(np.int32))], names=["item", "class"])
+
+    return counts.where("block >= 0").mapInArrow(run, "item int, class int")
+
+
+def class_bigrams(counts: DataFrame) -> np.ndarray:
+    pair = np.zeros(CLASSES * CLASSES)
+    for r in counts.where("block = -1").collect():  # one row
+        pair[np.frombuffer(r["at"], np.uint16)] = np.frombuffer(r["n"], np.int64)
+    return pair.reshape(CLASSES, CLASSES)
 
 
 def likelihood(pair: np.ndarray) -> float:
@@ -257,10 +284,8 @@ def exchange_all(src: DataFrame, own: np.ndarray, klass: np.ndarray, rounds: int
     spark, kept = src.sparkSession, None
     sequences = stored(item_sequences(src, own))  # texts are cut into words once, not in every round
     for left in range(rounds, -1, -1):
-        counts = stored(neighbour_counts(sequences, broadcast(spark, klass)))
-        pair = np.zeros((CLASSES, CLASSES))
-        got = counts.where("item = -1").toPandas()  # one row for each pair of classes
-        pair[got["side"], got["class"]] = got["n"]
+        counts = stored(block_counts(sequences, broadcast(spark, klass)))
+        pair = class_bigrams(counts)
         if kept is not None and likelihood(pair) <= likelihood(kept[1]):
             discard(counts)
             break
