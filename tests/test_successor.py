@@ -115,3 +115,29 @@ def test_differs_make_one_plan(spark):
     _, df = table(spark)
     text = search(df, pattern("argmax", CASES[12][1]))._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("Window ") <= 2 and text.count("Union") <= 1
+
+
+RANGES = [("argmin", [(">", "k", "k"), (">", "u", "v"), ("<=", "u", "u"), ("<", "w", "w")]),
+          ("argmax", [("==", "g", "g"), ("<=", "k", "k"), (">=", "w", "w"), ("<", "v", "u"), (">", "v", "g")])]
+
+
+@pytest.mark.parametrize("look, block, some", [(0, None, None), (2, 13, None), (3, None, 9), (0, 13, 9)])
+@pytest.mark.parametrize("case", range(len(RANGES)))
+def test_what_the_next_rows_leave_open_goes_by_trees(spark, monkeypatch, case, look, block, some):
+    monkeypatch.setattr(S, "LOOK", look)
+    red, tests = RANGES[case]
+    rows, df = table(spark, n=220, seed=20 + case, wide=case == 0)
+    p = pattern(red, tests)
+    if some:  # few probes: nodes of 16 children
+        p[0]["constraint"] = ["<", "idx", some]
+    got = {r.a: r.b for r in search(df.repartition(3), p, block_rows=block).collect()}
+    want = brute(rows, red, tests)
+    assert got == {a: b for a, b in want.items() if not some or a < some}
+
+
+def test_near_hits_need_no_trees(spark):
+    """Every row's next one passes: no copies of the candidates for the nodes of a tree."""
+    df = spark.range(500).selectExpr("id idx", "id k", "1 g", "id v", "cast(id as double) w", "id + 9 u")
+    plan = search(df, pattern("argmin", [("==", "g", "g"), (">", "k", "k"), (">", "v", "v"), ("<=", "v", "u"), (">", "w", "w")]))
+    assert "Generate" not in plan._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.where("b = least(a + 1, 499)").count() == 500

@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from ..config import materialize
 from ..functions.expr import TCol, compare, env_of, literal, quoted
 from .asof import asof, group_extreme
-from .successor import differ_keys, range_successor, tree_keys
+from .successor import FEW_BITS, TREE_BITS, differ_keys, look_ahead, range_successor, tree_keys
 
 
 class UnsupportedPattern(ValueError):
@@ -275,8 +275,18 @@ def _beyond(probes: DataFrame, cands: DataFrame, eq_pairs: list, near: list, bey
         differ = [differ[m] for m in sorted(range(len(differ)), key=lambda m: -many[m])]
     rows, of_row = probes, rname
     trees = [(c, [(o, x) for o, xs in ops.items() for x in xs]) for c, ops in grouped.items() if ops] + [(c, [("!=", x)]) for x, c in differ[1:]]
+    done, bits = None, TREE_BITS
+    if trees and near and not differ:  # most probes need no tree
+        seen = materialize(look_ahead(probes, cands, eq_pairs, near, beyond, key, idx, want, out, rname, out_key, block_rows))
+        done, rows = seen.where("not _tt_left").drop("_tt_left"), seen.where("_tt_left").select(*[quoted(c) for c in probes.columns])
+        if rows.isEmpty():
+            return done
+        bits = FEW_BITS if rows.count() * 16 < cands.count() else TREE_BITS
     for m, (c, tests) in enumerate(trees):
-        rows, cands = (differ_keys if tests[0][0] == "!=" else tree_keys)(rows, cands, c, tests, of_row, f"_tt_node{m}")
+        if tests[0][0] == "!=":
+            rows, cands = differ_keys(rows, cands, c, tests, of_row, f"_tt_node{m}")
+        else:
+            rows, cands = tree_keys(rows, cands, c, tests, of_row, f"_tt_node{m}", bits)
         eq_pairs = [*eq_pairs, (f"_tt_node{m}", f"_tt_node{m}")]
         rows, of_row = rows.withColumn("_tt_copy", F.xxhash64(of_row, f"_tt_node{m}")), "_tt_copy"
     if differ:
@@ -289,7 +299,8 @@ def _beyond(probes: DataFrame, cands: DataFrame, eq_pairs: list, near: list, bey
     best = F.when(F.col(out).isNotNull(), F.struct((sign * F.col(out_key)).alias("k"), F.col(out).alias("i")))
     got = got.groupBy(rname).agg(F.first(F.struct(*[quoted(c) for c in probes.columns if c != rname])).alias("_tt_row"), F.min(best).alias("_tt_best"))
     kept = [F.col(rname) if c == rname else F.col("_tt_row")[c].alias(c) for c in probes.columns]
-    return got.select(*kept, F.col("_tt_best")["i"].alias(out), (sign * F.col("_tt_best")["k"]).alias(out_key))
+    got = got.select(*kept, F.col("_tt_best")["i"].alias(out), (sign * F.col("_tt_best")["k"]).alias(out_key))
+    return got if done is None else done.unionByName(got)
 
 
 def next_same_event_pattern(loc: str = "cpu") -> list:

@@ -21,7 +21,8 @@ Without a key bound only the records of the whole group count, and step 3 is all
 
 A second bound on other columns (:func:`tree_keys`) becomes an equality key: values are
 ranked, each candidate is put under the nodes of a tree over the ranks that hold
-it, and a probe's range is a few nodes for each level.  So does a ``!=`` (:func:`differ_keys`).  So every further bound
+it, and a probe's range is a few nodes for each level.  So does a ``!=`` (:func:`differ_keys`).
+Probes that one of the next candidates in their block answers are done before (:func:`look_ahead`).  So every further bound
 multiplies the rows by the logarithm of the number of different values.
 
 NULL and NaN keys, values and bounds never compare, and NULL equality keys match nothing.
@@ -45,7 +46,9 @@ MOST_ROWS = 1 << 20  # rows of a block that one task holds
 CHUNK_ROWS = 1 << 16  # rows looked at together where groups are small
 NARROW = 1 << 20  # whole numbers of a smaller range need no ranks
 FAN_BITS = 6  # a node of the tree over blocks has 64 children
-TREE_BITS = 2  # a node of a tree over ranks has 4
+TREE_BITS = 2  # a node of a tree over ranks has 4, or 16 where few rows ask
+FEW_BITS = 4
+LOOK = 256  # candidates that look_ahead tries for a probe
 
 
 def first_reaching(values: np.ndarray, start: np.ndarray, least: np.ndarray) -> np.ndarray:
@@ -112,6 +115,11 @@ def _blocks(rows: DataFrame, gcols: list, strict: bool) -> DataFrame:
     schema = T.StructType([*fields, T.StructField("_tt_hi", T.LongType()), T.StructField("_tt_hk", rows.schema["_tt_k"].dataType)])
     names = pa.schema([(f.name, pa.null()) for f in schema.fields])
 
+    return rows.mapInArrow(_by_units(lambda t: _solve(t, strict, names)), schema)
+
+
+def _by_units(solve):
+    """A function of Arrow batches that gives ``solve`` some whole units (from a _tt_pos of 1 to the next) at a time."""
     def run(batches):
         held, size = [], 0
         for batch in batches:
@@ -119,14 +127,14 @@ def _blocks(rows: DataFrame, gcols: list, strict: bool) -> DataFrame:
             if len(new) and size + int(new[-1]) >= CHUNK_ROWS:
                 ready = pa.Table.from_batches([*held, batch.slice(0, int(new[-1]))])
                 if ready.num_rows:
-                    yield from _solve(ready, strict, names)
+                    yield from solve(ready)
                 held, size, batch = [], 0, batch.slice(int(new[-1]))
             held.append(batch)
             size += batch.num_rows
         if size:
-            yield from _solve(pa.Table.from_batches(held), strict, names)
+            yield from solve(pa.Table.from_batches(held))
 
-    return rows.mapInArrow(run, schema)
+    return run
 
 
 def _later_block(asked: DataFrame, tops: DataFrame, gcols: list, n_blocks: int, strict: bool) -> DataFrame:
@@ -245,6 +253,73 @@ def range_successor(probes: DataFrame, cands: DataFrame, eq: list, key_bounds: l
     return hits.select("_tt_row.*", F.col("_tt_hi").alias(out), turn_back(F.col("_tt_hk")).alias(out_key))
 
 
+def _look(table: pa.Table, strict: list, whole: bool, types: pa.Schema, most: int):
+    """Probes of whole units with the first of the next ``most`` candidates that passes all tests; see look_ahead."""
+    is_cand = table.column("_tt_ci").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+    first = np.flatnonzero(table.column("_tt_pos").to_numpy() == 1)
+    end = np.repeat(np.append(first[1:], len(is_cand)), np.diff(np.append(first, len(is_cand))))
+    cand_at, probe_at = np.flatnonzero(is_cand), np.flatnonzero(~is_cand)
+    values = [table.column(f"_tt_v{m}").combine_chunks().take(pa.array(cand_at)).to_numpy() for m in range(len(strict))]
+    probes = table.take(pa.array(probe_at))
+    asks = probes.column("_tt_asks").combine_chunks().to_numpy(zero_copy_only=False)
+    bounds = [probes.column(f"_tt_x{m}").combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for m in range(len(strict))]
+    start, stop = np.searchsorted(cand_at, probe_at), np.searchsorted(cand_at, end[probe_at])
+    hit, still = np.full(len(probe_at), -1), np.flatnonzero(asks)
+    for step in range(most):
+        still = still[start[still] + step < stop[still]]
+        if not len(still):
+            break
+        at, ok = start[still] + step, np.ones(len(still), bool)
+        for m, s in enumerate(strict):
+            ok &= values[m][at] > bounds[m][still] if s else values[m][at] >= bounds[m][still]
+        hit[still[ok]] = at[ok]
+        still = still[~ok]
+    found = hit >= 0
+    left = asks & ~found & ~((start + most >= stop) & whole)
+    rows = pa.array(np.where(found, cand_at[hit] if len(cand_at) else 0, 0), mask=~found)
+    out = probes.append_column("_tt_hi", table.column("_tt_ci").combine_chunks().take(rows)).append_column("_tt_hk", table.column("_tt_k").combine_chunks().take(rows))
+    return out.append_column("_tt_left", pa.array(left)).select(types.names).to_batches(max_chunksize=CHUNK_ROWS)
+
+
+def look_ahead(probes: DataFrame, cands: DataFrame, eq: list, key_bounds: list, tests: list, cand_key: str, cand_idx: str,
+               direction: str, out: str, probe_id: str, out_key: str, block_rows: int | None = None) -> DataFrame:
+    """:func:`range_successor` for any number of ``tests`` (candidate column, op, probe column) among the next LOOK
+    candidates of a probe's block: adds ``out``, ``out_key`` and _tt_left, whether the probe is still open."""
+    block_rows = min(block_rows or conf_int(probes.sparkSession, "tracetide.block.rows"), MOST_ROWS)
+    gcols = [f"_tt_g{i}" for i in range(len(eq))]
+    both = lambda kinds: "bigint" if set(kinds) == {"bigint"} else "double"
+    ktype = both(_key_type(probes, c, cands, cand_key) for _, c in key_bounds)
+    turned = lambda c: c if direction == "next" else _mirrored(c, ktype)
+    limits = [(o in ("<", ">"), turned(F.col(c).cast(ktype))) for o, c in key_bounds]
+    far = reduce(lambda a, b: F.greatest(a, b), [c for _, c in limits], F.lit(None).cast(ktype))
+    after = reduce(lambda a, b: a | b, [F.lit(s) & (c == far) for s, c in limits], F.lit(False))
+    asks = reduce(lambda a, b: a & b, [_usable(F.col(c)) for c in [*(x for _, _, x in tests), *(c for _, c in key_bounds)]])
+    for c in [cand_key, *(c for c, _, _ in tests)]:
+        cands = cands.where(_usable(F.col(c)))
+    for _, b in eq:
+        cands = cands.where(F.col(b).isNotNull())
+    values, limit = [], []  # each test as: the value is above the limit
+    for m, (column, op, x) in enumerate(tests):
+        kind = _key_type(probes, x, cands, column)
+        up = (lambda c: c) if op in (">", ">=") else (lambda c, kind=kind: _mirrored(c, kind))
+        values.append((up(F.col(column).cast(kind)).alias(f"_tt_v{m}"), F.lit(None).cast(kind).alias(f"_tt_v{m}")))
+        limit.append((up(F.col(x).cast(kind)).alias(f"_tt_x{m}"), F.lit(None).cast(kind).alias(f"_tt_x{m}")))
+    row = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
+    P = probes.select(*[F.col(a).alias(g) for (a, _), g in zip(eq, gcols)], far.alias("_tt_k"), F.when(after, 2).otherwise(0).alias("_tt_tag"), F.col(probe_id).cast("bigint").alias("_tt_tie"),
+                      F.lit(None).cast("bigint").alias("_tt_ci"), *[v for _, v in values], *[x for x, _ in limit], asks.alias("_tt_asks"), row.alias("_tt_row"))
+    C = cands.select(*[F.col(b).alias(g) for (_, b), g in zip(eq, gcols)], turned(F.col(cand_key).cast(ktype)).alias("_tt_k"), F.lit(1).alias("_tt_tag"), F.col(cand_idx).cast("bigint").alias("_tt_tie"),
+                     F.col(cand_idx).cast("bigint").alias("_tt_ci"), *[v for v, _ in values], *[x for _, x in limit], F.lit(False).alias("_tt_asks"), F.lit(None).cast(P.schema["_tt_row"].dataType).alias("_tt_row"))
+    rows, cut = P.unionByName(C), ["_tt_k", "_tt_tag", "_tt_tie"]
+    bounds = _row_blocks(rows.select(*cut), cut, block_rows)
+    rows = rows.withColumn("_tt_blk", (bucket_column(rows, bounds, cut) if bounds else F.lit(0)).cast("bigint"))
+    unit = Window.partitionBy(*gcols, "_tt_blk").orderBy(*cut)
+    schema = T.StructType([rows.schema["_tt_row"], T.StructField("_tt_hi", T.LongType()), T.StructField("_tt_hk", rows.schema["_tt_k"].dataType), T.StructField("_tt_left", T.BooleanType())])
+    names = pa.schema([(f.name, pa.null()) for f in schema.fields])
+    strict, most = [op in ("<", ">") for _, op, _ in tests], LOOK
+    done = rows.withColumn("_tt_pos", F.row_number().over(unit)).mapInArrow(_by_units(lambda t: _look(t, strict, not bounds, names, most)), schema)
+    return done.select("_tt_row.*", F.col("_tt_hi").alias(out), turned(F.col("_tt_hk")).alias(out_key), "_tt_left")
+
+
 def _ranked(cands: DataFrame, probes: DataFrame, column: str, cols: list):
     """(``cands`` with _tt_rank, number of ranks, their table, least value): without a table the numbers themselves are ranks."""
     whole = all(isinstance(t, T.IntegralType) for t in (cands.schema[column].dataType, *(probes.schema[x].dataType for x in cols)))
@@ -256,11 +331,11 @@ def _ranked(cands: DataFrame, probes: DataFrame, column: str, cols: list):
     return cands.join(ranked, F.col(column) == F.col("_tt_value"), "left").drop("_tt_value"), ranked.count(), ranked, None
 
 
-def _nodes_of_range(least, most, levels: int):
+def _nodes_of_range(least, most, levels: int, bits: int):
     """The nodes (number * 64 + level) whose ranks are least .. most - 1: at each level what is left of the range, less whole parents."""
-    f, parts = 1 << TREE_BITS, []
+    f, parts = 1 << bits, []
     for h in range(levels):
-        down, up = TREE_BITS * h, TREE_BITS * (h + 1)
+        down, up = bits * h, bits * (h + 1)
         l, r = F.shiftright(least + ((1 << down) - 1), down), F.shiftright(most, down)
         next_l, next_r = F.shiftright(least + ((1 << up) - 1), up), F.shiftright(most, up)
         run = lambda a, b: F.sequence(a * 64 + h, (b - 1) * 64 + h, F.lit(64).cast("bigint"))  # noqa: B023, E731
@@ -269,12 +344,12 @@ def _nodes_of_range(least, most, levels: int):
     return F.flatten(F.array_compact(F.array(*parts)))
 
 
-def tree_keys(probes: DataFrame, cands: DataFrame, column: str, bounds: list, probe_id: str, node: str) -> tuple[DataFrame, DataFrame]:
+def tree_keys(probes: DataFrame, cands: DataFrame, column: str, bounds: list, probe_id: str, node: str, bits: int = TREE_BITS) -> tuple[DataFrame, DataFrame]:
     """``bounds`` (op, probe column) of a candidate column as an equality of the new column ``node`` of both sides.
 
     A candidate is repeated for each level of a tree over the ranks of its
     values, a probe for each node that makes up its range of ranks; one of no range stays
-    once, under no node.  A node has 4 children: half the levels of a binary tree.
+    once, under no node.  A node has ``1 << bits`` children: more of them make fewer copies of candidates, and more of probes.
     """
     some, n, ranked, low = _ranked(cands.where(_usable(F.col(column))), probes, column, [x for _, x in bounds])
     limits = {"from": [], "to": []}  # a probe's ranks are from .. to - 1
@@ -290,12 +365,12 @@ def tree_keys(probes: DataFrame, cands: DataFrame, column: str, bounds: list, pr
             edge = F.when(F.col("_tt_bound").isNotNull(), F.col(f"_tt_edge{m}") + int(side == "prev"))
             probes = probes.withColumn(f"_tt_edge{m}", F.coalesce(edge, F.lit(n if side == "next" else 0).cast("bigint"))).drop("_tt_bound")
             limits["from" if side == "next" else "to"].append(F.col(f"_tt_edge{m}"))
-    levels = max(1, -(-n.bit_length() // TREE_BITS))  # the top one has less than 4 nodes
-    some = some.withColumn(node, F.explode(F.array(*[F.shiftright("_tt_rank", TREE_BITS * h) * 64 + h for h in range(levels)]))).drop("_tt_rank")
+    levels = max(1, -(-n.bit_length() // bits))  # the top one has fewer nodes than children
+    some = some.withColumn(node, F.explode(F.array(*[F.shiftright("_tt_rank", bits * h) * 64 + h for h in range(levels)]))).drop("_tt_rank")
     least = reduce(lambda a, b: F.greatest(a, b), limits["from"], F.lit(0).cast("bigint"))
     most = reduce(lambda a, b: F.least(a, b), limits["to"], F.lit(n).cast("bigint"))
     probes = probes.withColumn("_tt_from", least).withColumn("_tt_to", most)
-    probes = probes.withColumn(node, _nodes_of_range(F.col("_tt_from"), F.col("_tt_to"), levels))
+    probes = probes.withColumn(node, _nodes_of_range(F.col("_tt_from"), F.col("_tt_to"), levels, bits))
     probes = probes.withColumn(node, F.explode(F.when(F.size(node) == 0, F.array(F.lit(-1).cast("bigint"))).otherwise(F.col(node))))
     return probes.drop("_tt_from", "_tt_to", *[f"_tt_edge{m}" for m in range(len(bounds))]), some
 
