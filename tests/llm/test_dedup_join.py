@@ -4,7 +4,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
-from tracetide.llm import common, decontam, jaccard_join, suffix_dedup
+from tracetide.llm import common, decontam, jaccard_join, queries, suffix_dedup
 
 from . import helpers as H
 
@@ -161,6 +161,19 @@ def test_substrings_edge_cases(spark):
     assert suffix_dedup.deduplicate(H.frame(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("ids", [(None, 7, None, 8, 9), (7, 7, 8, 8, 9), (1, 2, 3, 4, 5)])
+def test_substring_query_judges_rows_with_no_id_of_their_own(spark, tmp_path, ids):
+    rng = random.Random(7)
+    passage = "".join(rng.choice("abcdé") for _ in range(450))
+    texts = [f"first {passage} end", f"a second and longer one {passage}", "0123456789" * 50, f"nothing in it {rng.random()}" * 40, None]
+    sf = H.sf_dir(tmp_path, {"documents": H.frame(spark, list(zip(ids, texts, strict=True)))}, spark)
+    got = queries.op7_suffix_dedup(spark, sf)
+    assert got.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    want = H.substring_dedup(list(enumerate(texts)))
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str((i, n, cut, spans, H.sha(kept))) for i, (n, cut, spans, kept) in zip(ids, want.values(), strict=True))
+    assert want[0][1] and want[1][1] and want[2][1]
+
+
 def test_deep_shallow_sort_is_the_suffix_order():
     rng = random.Random(3)
     for _ in range(300):
